@@ -1,0 +1,148 @@
+"""Text rules as columns: hygiene, validation and labels."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# What counts as sensitive, as an address, as a number that identifies.
+SENSITIVE = r"(?i)(^|[^A-Za-z0-9_])(password|passcode|secret|token|api key|bank|medical|diagnosis)([^A-Za-z0-9_]|$)"
+URL = r"(?i)(https?://|www\.)[^\s]+"
+EMAIL = r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+LONG_NUMBER = r"[0-9]{6,}"
+HOME_PATH = r"(/Users/|/home/)[A-Za-z0-9_.-]+"
+CREDENTIAL = r"(?i)(api[_-]?key|secret|passwd|password)[\"']? *[:=]"
+PHONE = r"\+[0-9][0-9 ().-]{7,}[0-9]"
+COMPLETION = r"(?i)(^|[^A-Za-z])(completed|finished|submitted|resolved)([^A-Za-z]|$)"
+UNCLEAR = r"(?i)(^|[^A-Za-z])(unclear|unknown|cannot tell)([^A-Za-z]|$)"
+
+
+def squeezed(text: Column) -> Column:
+    """ASCII white space in runs becomes one space, none at the ends."""
+    return F.regexp_replace(F.regexp_replace(text, r"[ \t\n\x0B\f\r]+", " "), "^ | $", "")
+
+
+def safe_text(text: Column, most: int = 160) -> Column:
+    """Squeezed; withheld if sensitive; e-mail and web addresses replaced; then cut to `most` characters."""
+    one = squeezed(F.coalesce(text, F.lit("")))
+    clean = F.regexp_replace(F.regexp_replace(one, EMAIL, "[email]"), URL, "[url]")
+    return F.when(one.rlike(SENSITIVE), F.lit("[withheld]")).otherwise(F.left(clean, F.lit(most)))
+
+
+def cut_text(text: Column, most: int = 160) -> Column:
+    """The other order: cut first, then replace; what the cut splits is no address any more."""
+    one = F.left(squeezed(F.coalesce(text, F.lit(""))), F.lit(most))
+    return F.when(one.rlike(SENSITIVE), F.lit("[withheld]")).otherwise(F.regexp_replace(F.regexp_replace(one, EMAIL, "[email]"), URL, "[url]"))
+
+
+def redact_description(text: Column, most: int = 320) -> Column:
+    """What follows the last </think>, without terminal codes, addresses and long numbers; null if empty or too long."""
+    tail = F.substring_index(text, "</think>", -1)
+    clean = F.regexp_replace(tail, r"\x1B\[[0-9;]*[A-Za-z]", "")
+    for pattern, to in ((EMAIL, "[email]"), (URL, "[url]"), (LONG_NUMBER, "[number]")):
+        clean = F.regexp_replace(clean, pattern, to)
+    clean = squeezed(clean)
+    return F.when((F.length(clean) > 0) & (F.length(clean) <= most), clean)
+
+
+def failure_code(text: Column, least: int = 3, most: int = 400) -> Column:
+    """The first rule that a text breaks, or ok."""
+    n = F.length(F.coalesce(text, F.lit("")))
+    return (
+        F.when(text.isNull() | (n < least), "too_short")
+        .when(n > most, "too_long")
+        .when(text.rlike(SENSITIVE), "sensitive")
+        .when(text.rlike(URL), "url")
+        .when(text.rlike(EMAIL), "email")
+        .when(text.rlike(LONG_NUMBER), "number")
+        .when(text.rlike(COMPLETION), "completion_claim")
+        .otherwise("ok")
+    )
+
+
+def final_answer(text: Column) -> Column:
+    """The answer behind a closed thinking block, out of a code fence if it is in one."""
+    tail = F.substring_index(text, "</think>", -1)
+    fenced = F.regexp_extract(tail, r"(?s)```(?:json)?\s*(.*?)```", 1)
+    return F.trim(F.when(fenced != "", fenced).otherwise(tail))
+
+
+def broad_context(title: Column, app: Column) -> Column:
+    """A coarse label from title words, else from the app."""
+    t = F.lower(F.coalesce(title, F.lit("")))
+    ladder = (("mail|inbox", "Mail"), ("calendar|meeting", "Planning"), ("invoice|budget", "Finance"), ("test|build|code", "Development"), ("paper|article|report", "Reading"), ("video|music", "Media"))
+    out = F.when(app.isNull(), F.lit("Unclear")).otherwise(F.concat(F.lit("App: "), app))
+    for words, label in reversed(ladder):
+        out = F.when(t.rlike(words), label).otherwise(out)
+    return out
+
+
+GENERIC = ("page", "home", "window", "untitled", "document", "with", "from", "this", "that")
+
+
+def subject_tokens(text: Column, least: int = 4) -> Column:
+    """Distinct lower-case ASCII words of `least` letters or more, no generic ones, a final s dropped, sorted."""
+    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+    kept = F.filter(words, lambda w: (F.length(w) >= least) & ~w.isin(*GENERIC))
+    return F.array_sort(F.array_distinct(F.transform(kept, lambda w: F.regexp_replace(w, "s+$", ""))))
+
+
+def app_name(bundle: Column) -> Column:
+    """The last part of a dotted name, in words with capitals."""
+    return F.initcap(F.replace(F.substring_index(bundle, ".", -1), F.lit("-"), F.lit(" ")))
+
+
+def is_work_path(path: Column) -> Column:
+    """A relative path without hidden, generated or parent parts, and without a runtime suffix."""
+    parts = F.split(path, "/")
+    bad = F.exists(parts, lambda p: p.rlike(r"^\.") | p.isin("node_modules", "__pycache__", "build", "dist", ""))
+    return ~bad & ~path.rlike(r"\.(pyc|log|tmp|sqlite)$")
+
+
+def lexical_flags(df: DataFrame, text: str, source: str) -> DataFrame:
+    """Flags of a description, and the share of its distinct words that its source text has, in thousandths."""
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit("[a-z]{3,}"), F.lit(0)))
+    own, other = words(text), words(source)
+    return df.withColumns(
+        {
+            "unclear": F.coalesce(F.col(text).rlike(UNCLEAR), F.lit(False)),
+            "claims_done": F.coalesce(F.col(text).rlike(COMPLETION), F.lit(False)),
+            "overlap_permille": F.when(F.size(own) > 0, F.floor(F.size(F.array_intersect(own, other)) * 1000 / F.size(own))),
+        }
+    )
+
+
+def line_scan(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Lines with home paths, credentials, e-mail or phone numbers: count and first line of each kind by text."""
+    lines = df.select(F.col(id_col), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("line", "s"))
+    kinds = {"home_path": HOME_PATH, "credential": CREDENTIAL, "email": EMAIL, "phone": PHONE}
+    found = lines.select(id_col, "line", F.explode(F.array_compact(F.array(*[F.when(F.col("s").rlike(p), k) for k, p in kinds.items()]))).alias("kind"))
+    return found.groupBy(id_col, "kind").agg(F.count(F.lit(1)).alias("lines"), (F.min("line") + 1).cast("long").alias("first_line"))
+
+
+def redact_rules(text: Column, rules: list[tuple[str, str]]) -> Column:
+    """Replacement rules one after another; patterns are regular expressions."""
+    for pattern, to in rules:
+        text = F.regexp_replace(text, pattern, to)
+    return text
+
+
+def measured(x: Column) -> Column:
+    """A number that is finite and not negative, else null."""
+    return F.when(~(F.isnan(x) | (x < 0) | (x == float("inf"))), x)
+
+
+def heat_level(seconds: Column) -> Column:
+    """Five levels of intensity."""
+    return F.when(seconds.isNull(), None).when(seconds <= 0, 0).when(seconds < 900, 1).when(seconds < 1800, 2).when(seconds < 2700, 3).otherwise(4).cast("long")
+
+
+def coarse_state(locked: Column, idle_seconds: Column) -> Column:
+    return F.when(locked, "locked").when(idle_seconds >= 180, "idle").otherwise("window")
+
+
+def engine_timings(df: DataFrame, text: str) -> DataFrame:
+    """Prompt and generation time and tokens out of a log text, and tokens a second; null where a line is missing."""
+    number = lambda p: F.expr(f"try_cast(regexp_extract({text}, '{p}', 1) AS DOUBLE)")
+    told = df.withColumns({"prompt_ms": number(r"prompt eval time = *([0-9.]+) ms"), "eval_ms": number(r"(?m)^eval time = *([0-9.]+) ms"), "eval_tokens": number(r"(?m)^eval time = *[0-9.]+ ms / *([0-9]+)")})
+    return told.withColumn("tokens_per_s", F.try_divide(F.col("eval_tokens") * 1000, F.col("eval_ms")))
