@@ -132,3 +132,24 @@ def starts(table_: pa.Table, keys: list[str]) -> np.ndarray:
         values = table_.column(k).to_numpy()
         new[1:] |= values[1:] != values[:-1]
     return np.append(np.flatnonzero(new), table_.num_rows)
+
+
+#: Bits of a key filter: a table of FILTER_BITS / 32768 rows of 4 KB, 8 MB whatever the number of keys.
+FILTER_BITS = 1 << 26
+
+
+def key_filter(keys: DataFrame, column: str) -> DataFrame:
+    """A bitmap of the hashes of a column's values, for passing(): of bounded size, so it may be broadcast."""
+    h = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+    return keys.select(h.alias("h")).groupBy(F.shiftright("h", 15).cast("int").alias("__row")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("__bits"))
+
+
+def passing(df: DataFrame, column: str, bits: DataFrame) -> DataFrame:
+    """Rows of df whose value may be among the keys: all that are, and few others unless the filter is full.
+
+    It only spares a join rows that would find no partner; the join itself decides.
+    """
+    h = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+    told = df.withColumns({"__row": F.shiftright(h, 15).cast("int"), "__at": F.bitmap_bit_position(h).cast("int")}).join(F.broadcast(bits), "__row")
+    byte = F.conv(F.hex(F.substr("__bits", F.shiftright("__at", 3) + 1, F.lit(1))), 16, 10).cast("int")
+    return told.where(F.getbit(byte, F.col("__at").bitwiseAND(7)) == 1).drop("__row", "__at", "__bits")

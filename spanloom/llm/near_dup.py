@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import empty_text, groups, partitions, ready, slices, starts, utf8, written
+from spanloom.llm.common import empty_text, groups, key_filter, partitions, passing, ready, slices, starts, utf8, written
 from spanloom.llm.graph import components
 
 WORDS = 5
@@ -307,12 +307,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     classes = written(signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*alike).agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch")))
     bands = classes.select("node", "sketch").mapInArrow(_bands, "node long, key long")
     # Buckets with at least two members; of those with the same members, one.
-    buckets = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("size > 1")
-    buckets = buckets.groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key", "size")
-    members = bands.join(buckets, "key")
+    buckets = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("node")).alias("who")).where("size > 1")
+    buckets = written(buckets.groupBy("size", "who").agg(F.min("key").alias("key")).select("key", "size"))
+    members = passing(bands, "key", key_filter(buckets, "key")).join(buckets, "key")
+    met = written(_dealt(members, "key", F.ceil(F.col("size") / BLOCK)).select("key", "i", "j", "node"))
     sketches = classes.select("node", F.col("n_shingles").alias("n"), "sketch")
     tasks = partitions(spark)
-    near = _dealt(members, "key", F.ceil(F.col("size") / BLOCK)).join(sketches, "node").select("key", "i", "j", "node", "n", "sketch")
+    near = met.join(passing(sketches, "node", key_filter(met, "node")), "node").select("key", "i", "j", "node", "n", "sketch")
     near = near.repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_families(least), "u long, v long")
     families = components(near)
     families = families.unionByName(families.select(F.col("root").alias("u"), "root").distinct()).withColumnRenamed("u", "node")
@@ -320,7 +321,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     sizes = families.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.sum("n_shingles").alias("shingles"))
     members = _dealt(families.join(sizes, "root"), "root", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES))).select("node", "root", "i", "j")
     texts = docs.select(F.col(id_col).cast("long").alias("node"), empty_text(text_col).alias("text"))
-    met = texts.join(members, "node").select("root", "i", "j", "node", "text").repartition(tasks, "root", "i", "j").sortWithinPartitions("root", "i", "j")
+    met = passing(texts, "node", key_filter(families, "node")).join(members, "node").select("root", "i", "j", "node", "text").repartition(tasks, "root", "i", "j").sortWithinPartitions("root", "i", "j")
     links = components(met.mapInArrow(_links(percent), "u long, v long"))
     roots = classes.select(*alike, "node").join(links.select(F.col("u").alias("node"), "root"), "node", "left").select(*alike, F.coalesce("root", "node").alias("component_id"))
     return signed.select("doc_id", *alike).join(roots, alike, "left").select(
