@@ -9,6 +9,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from spanloom.llm.common import empty_text, ready, slices
 from spanloom.llm.units import stretches
@@ -43,7 +44,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
     ready(docs.sparkSession)
     kept = [c for c in docs.columns if c != into]
     given = docs.select(*[F.col(f"`{c}`") for c in kept], empty_text(f"`{text_col}`").alias("__text"))
-    schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema.add(into, "array<int>")
+    schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema.add(into, ArrayType(IntegerType()))
 
     def run(batches):
         for batch in batches:

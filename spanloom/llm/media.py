@@ -114,10 +114,12 @@ def read_stream(data: bytes) -> dict:
         end -= 128
         tags["TAG"] = data[end + 3 : end + 128]
     offsets, parts, samples, rate, skipped, resyncs, bad, good, rates, table = [], [], 0, 0, 0, 0, 0, 0, set(), None
-    sure = True
+    sure, kind = True, None
     while at < end:
         h = header(data, at)
-        if h is None or at + h[2] > end or not sure and at + h[2] < end and header(data, at + h[2]) is None:
+        # A header that differs from the stream's own in version, layer, rate or channels is chance.
+        odd = h is not None and kind is not None and (h[0], h[1], h[4], h[5]) != kind
+        if h is None or odd or at + h[2] > end or not sure and at + h[2] < end and header(data, at + h[2]) is None:
             nxt = data.find(b"\xff", at + 1, end)
             nxt = end if nxt < 0 else nxt
             skipped += nxt - at
@@ -126,6 +128,7 @@ def read_stream(data: bytes) -> dict:
             continue
         sure = True
         version, layer, size, n, rate, channels, protected = h
+        kind = kind or (version, layer, rate, channels)
         side = (17 if channels == 1 else 32) if version == 1 else (9 if channels == 1 else 17)
         head = 4 + 2 * protected + side
         if table is None and not offsets and layer == 3 and data[at + 4 + side : at + 8 + side] in (b"Xing", b"Info"):
