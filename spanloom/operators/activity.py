@@ -5,7 +5,6 @@ A second counts once within a device; devices are never added up; a gap is unkno
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -176,37 +175,47 @@ def longest_app_stretch(segs: DataFrame) -> DataFrame:
     return found.groupBy(*KEYS).agg(best.alias("b")).select(*KEYS, "b.*")
 
 
-BLOCK_SCHEMA = "device long, day long, block long, start_us long, end_us long, app string, us double"
+def _block_starts(df: DataFrame, most_us: int) -> DataFrame:
+    """df (KEYS, part, start_us, end_us, ...) with `begin`: the start of the block that holds the row's start.
 
+    A block ends most_us after its start if a row covers that moment, else with the last row that starts before it. So a
+    row's block depends on the block before: one pass over rows in order, with one number carried along.
+    """
+    cols = df.columns
+
+    def run(batches):
+        last, begin = None, 0
+        for pdf in batches:
+            out = []
+            for key, s, e in zip(zip(pdf.device, pdf.day, pdf.part, strict=True), pdf.start_us.tolist(), pdf.end_us.tolist(), strict=True):
+                if key != last or s - begin >= most_us:
+                    last, begin = key, s
+                out.append(begin)
+                begin += max(0, (e - begin - 1) // most_us) * most_us
+            yield pdf.assign(begin=out)[[*cols, "begin"]]
+
+    return df.repartition(*KEYS).sortWithinPartitions(*KEYS, "part", "start_us").mapInPandas(run, df.schema.add("begin", "long"))
 
-def _greedy(pdf: pd.DataFrame, most_us: int, gap_us: int) -> pd.DataFrame:
-    out, number = [], -1
-    app = start = end = None
-    for s, e, a, us in zip(pdf.start_us, pdf.end_us, pdf.app, pdf.sampled_us, strict=True):
-        at = s
-        while at < e:
-            if app is None or a != app or not 0 <= at - end <= gap_us or at - start >= most_us:
-                number, app, start = number + 1, a, at
-            end = min(e, start + most_us)
-            out.append((number, start, at, end, a, us * (end - at) / (e - s)))
-            at = end
-    frame = pd.DataFrame(out, columns=["block", "begin", "start_us", "end_us", "app", "us"])
-    done = frame.groupby("block", as_index=False).agg(start_us=("begin", "first"), end_us=("end_us", "max"), app=("app", "first"), us=("us", "sum"))
-    return done.assign(device=pdf.device.iloc[0], day=pdf.day.iloc[0])[["device", "day", "block", "start_us", "end_us", "app", "us"]]
+
+def _blocks(df: DataFrame, most_us: int, first: list[str], sampled: str | None = None) -> DataFrame:
+    """The blocks of df's parts; rows that cross a block's end count in both, their time pro rata."""
+    cut = _block_starts(df, most_us).withColumn("block", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.floor((F.col("end_us") - F.col("begin") - 1) / most_us)), lambda j: F.col("begin") + j * most_us)))
+    low, high = F.greatest("start_us", "block"), F.least(F.col("end_us"), F.col("block") + most_us)
+    us = (high - low) if sampled is None else F.col(sampled) * (high - low) / (F.col("end_us") - F.col("start_us"))
+    # A block may begin before the row it was found in, never after.
+    return cut.groupBy(*KEYS, "part", "block").agg(F.min(low).alias("start_us"), F.max(high).alias("end_us"), F.sum(us).alias("us"), *[F.first(c).alias(c) for c in first]).drop("part", "block")
 
 
 def focus_blocks(segs: DataFrame, most_us: int = BLOCK, gap_us: int = STRETCH_GAP) -> DataFrame:
     """Blocks of one app of most_us at most from their start; segments that pass it are cut, with their time pro rata.
 
-    The cut depends on the block's own start, which no window sees; islands by app, gap and barrier come first, so the
-    fold gets small groups.
+    Parts by app, gap and barrier come first; the greedy cut happens inside them.
     """
     w = ordered(KEYS, "start_us")
     told = segs.withColumn("ok", (F.col("state") == "active") & (F.col("sampled_us") > 0))
     told = told.withColumn("new", F.coalesce(~F.lag("ok").over(w), F.lit(True)) | _changes(["app"], gap_us, w))
     told = islands(told, KEYS, F.col("new"), "start_us", into="part").where("ok")
-    cols = ["device", "day", "part", "start_us", "end_us", "app", "sampled_us"]
-    found = told.select(*cols).groupBy("device", "day", "part").applyInPandas(lambda pdf: _greedy(pdf.sort_values("start_us"), most_us, gap_us), BLOCK_SCHEMA)
+    found = _blocks(told.select(*KEYS, "part", "start_us", "end_us", "app", "sampled_us"), most_us, ["app"], "sampled_us")
     return found.withColumn("block", F.row_number().over(ordered(KEYS, "start_us")).cast("long"))
 
 
@@ -214,24 +223,7 @@ def episodes(runs: DataFrame, most_us: int = BLOCK, jitter_us: int = MERGE_GAP)
     """Runs of one state, app and window, jitter_us apart at most, in episodes of most_us at most; support stays exact."""
     w = ordered(KEYS, "start_us")
     told = islands(runs.withColumn("new", _changes(["state", "app", "win"], jitter_us, w)), KEYS, F.col("new"), "start_us", into="part")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("start_us")
-        out, number, start, end = [], -1, None, None
-        for s, e in zip(pdf.start_us, pdf.end_us, strict=True):
-            at = s
-            while at < e:
-                if start is None or at - end > jitter_us or at - start >= most_us:
-                    number, start = number + 1, at
-                end = min(e, start + most_us)
-                out.append((number, start, end, end - at))
-                at = end
-        frame = pd.DataFrame(out, columns=["n", "start_us", "end_us", "us"]).groupby("n", as_index=False).agg(start_us=("start_us", "first"), end_us=("end_us", "max"), us=("us", "sum"))
-        first = pdf.iloc[0]
-        return frame.assign(device=first.device, day=first.day, state=first.state, app=first.app, win=first.win)[["device", "day", "start_us", "end_us", "us", "state", "app", "win"]]
-
-    cols = ["device", "day", "part", "start_us", "end_us", "state", "app", "win"]
-    return told.select(*cols).groupBy("device", "day", "part").applyInPandas(fold, "device long, day long, start_us long, end_us long, us long, state string, app string, win string")
+    return _blocks(told.select(*KEYS, "part", "start_us", "end_us", "state", "app", "win"), most_us, ["state", "app", "win"])
 
 
 def window_totals(segs: DataFrame, k: int = 20) -> DataFrame:

@@ -65,7 +65,7 @@ def cluster_bootstrap(pairs: DataFrame, cluster: str, a: str, b: str, draws: int
         weight = F.when(u < cdf[i], i).otherwise(weight)
     each = sums.select(cluster, "d", "n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).withColumn("w", weight)
     per = each.groupBy("draw").agg(F.try_divide(F.sum(F.col("w") * F.col("d")), F.sum(F.col("w") * F.col("n"))).alias("m"))
-    whole = sums.agg((F.sum("d") / F.sum("n")).alias("difference"), F.count_if("d > 0").alias("wins"), F.count_if("d < 0").alias("losses"), F.count_if("d = 0").alias("ties"))
+    whole = sums.agg((F.sum("d") / F.sum("n")).alias("difference"), F.count_if(F.expr("d > 0")).alias("wins"), F.count_if(F.expr("d < 0")).alias("losses"), F.count_if(F.expr("d = 0")).alias("ties"))
     return per.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high")).join(F.broadcast(whole))
 
 

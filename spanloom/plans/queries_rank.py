@@ -104,7 +104,7 @@ def ratio_mix(spark, d):
     return K.ratio_mix(f.where("id % 8 >= 4"), f.where("id % 8 < 4"), ["device"], "id", 9, 100)
 
 
-@query(POS + ", b AS (SELECT device, id, CASE WHEN id % 3 = 0 THEN 0 ELSE 1 END AS lane FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY device, lane ORDER BY id) AS r FROM b) SELECT device, id, lane, row_number() OVER (PARTITION BY device ORDER BY r, lane) AS ord FROM r")
+@query(POS + ", b AS (SELECT device, id, CASE WHEN id % 3 = 0 THEN 0 ELSE 1 END::BIGINT AS lane FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY device, lane ORDER BY id) AS r FROM b) SELECT device, id, lane, row_number() OVER (PARTITION BY device ORDER BY r, lane) AS ord FROM r")
 def alternate(spark, d):
     f = _frames(spark, d).select("device", "id")
     return K.alternate(f.where("id % 3 = 0"), f.where("id % 3 <> 0"), ["device"], "id")
@@ -220,7 +220,7 @@ def cadence_keep(spark, d):
 
 @query(
     f"""WITH {V.FRAMES}, m AS (SELECT *, CASE WHEN at_us - lag(at_us) OVER w <= 120000000 AND lag(display) OVER w IS NOT DISTINCT FROM display THEN 0 ELSE 1 END AS new FROM frames WINDOW w AS (PARTITION BY device ORDER BY at_us, id)),
-    e AS (SELECT *, sum(new) OVER (PARTITION BY device ORDER BY at_us, id) AS e FROM m) SELECT device, min_by(id, at_us * 100000 + id) AS episode, min(at_us) AS start_us, max(at_us) AS end_us, count(*) AS frames FROM e GROUP BY device, e"""
+    e AS (SELECT *, sum(new) OVER (PARTITION BY device ORDER BY at_us, id) AS e FROM m) SELECT device, arg_min(id, (at_us, id)) AS episode, min(at_us) AS start_us, max(at_us) AS end_us, count(*) AS frames FROM e GROUP BY device, e"""
 )
 def frame_episodes(spark, d):
     return D.frame_episodes(_frames(spark, d), ["device"], ["display"])

@@ -25,7 +25,7 @@ def empty_annotations(spark: SparkSession) -> DataFrame:
 def upsert_annotations(stored: DataFrame, new: DataFrame) -> DataFrame:
     """Stored and new annotations by (path, model): the latest status, attempts added up. One shuffle, no join."""
     both = stored.select("path", "model", "n", "status", "attempts").unionByName(new.select("path", "model", "n", "status", F.lit(1).cast("long").alias("attempts")))
-    return both.groupBy("path", "model").agg(F.max_by("status", "n").alias("status"), F.max("n").alias("n"), F.sum("attempts").alias("attempts"))
+    return both.groupBy("path", "model").agg(F.max_by("status", F.struct("n", "status")).alias("status"), F.max("n").alias("n"), F.sum("attempts").alias("attempts"))
 
 
 def fill_in(stored: DataFrame, late: DataFrame, key: str, keep: list[str], replace: list[str]) -> DataFrame:
