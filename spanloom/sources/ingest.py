@@ -104,10 +104,10 @@ def write_changed(rows: DataFrame, path: str, keys: list[str]) -> DataFrame:
             raise
         old = mark(rows.limit(0))
     changed = mark(rows).join(old, [*keys, "n", "h"], "left_anti").select(*keys)
-    changed = changed.cache()
-    n = changed.count()
-    if n:
-        rows.join(changed, keys, "left_semi").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+    # As many rows as folders to write. They are fixed before the write, which changes what `old` reads.
+    changed = spark.createDataFrame(changed.collect(), changed.schema)
+    if not changed.isEmpty():
+        rows.join(F.broadcast(changed), keys, "left_semi").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
     return changed
 
 
