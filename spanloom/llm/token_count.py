@@ -123,6 +123,19 @@ def _frequencies(path: str, common):
     return run
 
 
+def _least_common(pieces: DataFrame) -> int:
+    """The least count for which at most COMMON pre-tokens are as frequent, from a histogram of some hundred rows."""
+    size = F.floor(F.log2(F.col("n").cast("double")) * 16).cast("int")
+    found = pieces.groupBy(size.alias("size")).agg(F.count(F.lit(1)).alias("units"), F.min("n").alias("least")).collect()
+    least, units_ = 1 << 62, 0
+    for r in sorted(found, key=lambda r: -r["size"]):
+        units_ += r["units"]
+        if units_ > COMMON:
+            break
+        least = r["least"]
+    return least
+
+
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit).
 
@@ -133,7 +146,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str
     spark = ready(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), empty_text(text_col).alias("text"))
     pieces = written(texts.select("text").mapInArrow(_distinct(tokenizer), "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n")).mapInArrow(_pieces(tokenizer), "unit string, n long, pieces int"))
-    top = pieces.orderBy(F.desc("n"), "unit").limit(COMMON).select("unit", "pieces").toArrow()
+    top = pieces.where(F.col("n") >= _least_common(pieces)).select("unit", "pieces").toArrow()
     common = spark.sparkContext.broadcast(dict(zip(top.column(0).to_pylist(), top.column(1).to_pylist(), strict=True)))
     rows = texts.withColumn("mark", F.crc32("text")).mapInArrow(_frequencies(tokenizer, common), "doc_id long, mark long, unit string, f int, done long, n_bytes long")
     # One row per document stays as it is; the rare pre-tokens find their counts. Both meet in one sum by document.
