@@ -153,3 +153,14 @@ def passing(df: DataFrame, column: str, bits: DataFrame) -> DataFrame:
     told = df.withColumns({"__row": F.shiftright(h, 15).cast("int"), "__at": F.bitmap_bit_position(h).cast("int")}).join(F.broadcast(bits), "__row")
     byte = F.conv(F.hex(F.substr("__bits", F.shiftright("__at", 3) + 1, F.lit(1))), 16, 10).cast("int")
     return told.where(F.getbit(byte, F.col("__at").bitwiseAND(7)) == 1).drop("__row", "__at", "__bits")
+
+
+def first_by_hash(df: DataFrame, column: str, most: int, total: int) -> DataFrame:
+    """The first `most` rows by a hash of a column, a sample that is the same each time.
+
+    A bound on the hash, wide enough for three times as many rows, comes first, so no task gets all of them.
+    """
+    h = F.xxhash64(column)
+    if total > 3 * most:
+        df = df.where(F.pmod(F.xxhash64(column, F.lit(1)), F.lit(1 << 32)) < int((1 << 32) * 3 * most / total))
+    return df.orderBy(h, column).limit(most)
