@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import zlib
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,7 @@ from spanloom.llm.common import empty_text, partitions, ready, slices, written
 CAPACITY = 4096
 END_ID = 1
 #: Distinct words, and ids of them, that a worker remembers before it starts anew.
-WORDS, WORD_IDS = 400_000, 4_000_000
+WORDS, WORD_IDS = 1_000_000, 8_000_000
 
 
 @lru_cache(maxsize=4)
@@ -38,6 +40,8 @@ class Words:
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
+        self.last = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), dtype=bool)
+        self.last[[i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if token.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -45,35 +49,67 @@ class Words:
         self.starts, self.sizes = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.flat, self.used = np.zeros(4096, np.uint32), 0
 
-    def learn(self, words: set[bytes]) -> None:
+    def learn(self, new: list[bytes]) -> None:
         if len(self.index) > WORDS or self.used > WORD_IDS:
             self.clear()
-        new = [w for w in words if w not in self.index]
-        if not new:
-            return
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))
+        plain = [w for w in new if _LETTERS(w)]
+        for at in range(0, len(plain), TOGETHER):
+            part = plain[at : at + TOGETHER]
+            ids = np.array(self._ids([b" ".join(part)])[0], np.uint32)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            # Letters alone are one pre-token, letters and stops two; each has one token with the mark of a word's end.
+            runs = np.cumsum([1 + (w[-1] in _STOPS) for w in part])
+            if len(ends) == runs[-1]:
+                self._keep(part, ids, np.diff(ends[runs - 1], prepend=0))
+        left = [w for w in new if w not in self.index]
+        if left:
+            ids = self._ids(left)
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            self._keep(left, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes)
+
+    def _ids(self, texts: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+
+    def _keep(self, words: list[bytes], flat: np.ndarray, sizes: np.ndarray) -> None:
         n, m = len(self.index), self.used
-        self.starts, self.sizes = (_room(x, n + len(new)) for x in (self.starts, self.sizes))
+        self.starts, self.sizes = (_room(x, n + len(words)) for x in (self.starts, self.sizes))
         self.flat = _room(self.flat, m + len(flat))
         self.flat[m : m + len(flat)] = flat
-        self.sizes[n : n + len(new)] = sizes
-        self.starts[n : n + len(new)] = m + np.cumsum(sizes) - sizes
+        self.sizes[n : n + len(words)] = sizes
+        self.starts[n : n + len(words)] = m + np.cumsum(sizes) - sizes
         self.used += len(flat)
-        self.index.update(zip(new, range(n, n + len(new)), strict=True))
+        self.index.update(zip(words, range(n, n + len(words)), strict=True))
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array, and the offsets of the texts in it."""
-        split = [t.split() for t in texts]
-        self.learn(set().union(*split))
-        at = np.fromiter((self.index[w] for words in split for w in words), np.int64, sum(map(len, split)))
+        split = [_split(t) for t in texts]
+        words = list(chain.from_iterable(split))
+        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        missed = np.flatnonzero(at < 0)
+        if len(missed):
+            before = self.index
+            self.learn(list(dict.fromkeys(words[i] for i in missed)))
+            if self.index is not before:  # the memory began anew, so the places found are void
+                self.learn([w for w in dict.fromkeys(words) if w not in self.index])
+                missed = np.arange(len(words))
+            at[missed] = np.fromiter((self.index[words[i]] for i in missed), np.int64, len(missed))
         sizes = self.sizes[at]
         ends = np.concatenate([[0], np.cumsum(sizes)])
         ids = self.flat[np.repeat(self.starts[at] - ends[:-1], sizes) + np.arange(ends[-1])]
         return ids, ends[np.concatenate([[0], np.cumsum([len(x) for x in split])]).astype(np.int64)]
 
 
+#: Words of composed lower-case Latin letters, with stops behind them or not, are encoded so many together.
+_STOPS = b".,;:!?"
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf])+[.,;:!?]*").fullmatch
+TOGETHER = 256
+
+
+def _split(text: bytes) -> list[bytes]:
+    """Words, lower-cased in ASCII as the tokenizer does. A text that may have special strings is only split."""
+    return (text if b"<|" in text else text.lower()).split()
+
+
 def _room(a: np.ndarray, n: int) -> np.ndarray:
     return a if n <= len(a) else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
 
