@@ -12,6 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -147,7 +148,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     rows = learn.join(F.broadcast(chosen), ["id", "lang"], "left_semi").select("lang", "text").mapInArrow(_rows, "lang string, at array<int>, n array<int>").toArrow()
     if not rows.num_rows:
         return None
-    rows = rows.take(np.lexsort((np.array([len(x) for x in rows.column("at").to_pylist()]), np.array(rows.column("lang").to_pylist()))))
+    rows = rows.combine_chunks()
+    rows = rows.take(np.lexsort((pc.list_value_length(rows.column("at")).to_numpy(), np.array(rows.column("lang").to_pylist()))))
     languages = sorted(set(rows.column("lang").to_pylist()))
     y = np.array([languages.index(x) for x in rows.column("lang").to_pylist()])
     x = []

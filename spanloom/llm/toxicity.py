@@ -17,16 +17,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import empty_text, ready, slices
+from spanloom.llm.common import empty_text, first_by_hash, ready, slices
+from spanloom.llm.near_dup import _PLACE, _mix, _words
 
 #: Labelled documents that the fit sees at most: the first by a hash of their ids, of up to so many bytes each.
 TOXIC_ROWS, ORDINARY_ROWS, ROW_BYTES = 2000, 6000, 50_000
 WINDOW_WORDS = 16
 ORDINARY_BYTES, HARD_BYTES, TOXIC_BYTES = 16384, 4096, 1536
 SEGMENT, SHINGLE = 16, 6
-ENRICHED, CONTEXTS, ROUNDS = 6.0, 6, 3
+ENRICHED, CONTEXTS, ROUNDS, STRIDE = 6.0, 6, 3, 3
 THRESHOLD = 0.7
-_EDGES = b".,;:!?|*%#\"'()"
+#: Stops and signs that end words in the toxic dictionary's samples.
+_TO_BLANK = bytes.maketrans(b".,;:!?|*%#\"'()", b" " * 14)
 
 
 @dataclass
@@ -94,22 +96,31 @@ class _Scorer:
         return out
 
 
-def _contexts(texts: list[bytes]) -> tuple[dict[bytes, int], list[list[bytes]]]:
-    """How many distinct (word before, word, word after) each word has, and each text's words with a new one."""
-    seen: set[int] = set()
-    count: dict[bytes, int] = {}
-    kept = []
-    for t in texts:
-        words = [w.strip(_EDGES) for w in t.lower().split()]
-        own = []
-        for a, b, c in zip([b"", *words[:-1]], words, [*words[1:], b""], strict=True):
-            key = hash((a, b, c))
-            if key not in seen:
-                seen.add(key)
-                count[b] = count.get(b, 0) + 1
-                own.append(b)
-        kept.append(own)
-    return count, kept
+def _contexts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes and how many distinct (word before, word, word after) each has; then, of the first occurrence of
+    each such context, the hash and its place among all words. Numbers only: the texts are gone over in small parts.
+    """
+    hashes, keys = [], []
+    with np.errstate(over="ignore"):
+        for at in range(0, len(texts), 256):
+            part = [_plain(t) for t in texts[at : at + 256]]
+            ends = np.concatenate([[0], np.cumsum([len(t) for t in part])])
+            h, begin = _words(np.frombuffer(b"".join(part), np.uint8), ends)
+            owner = np.searchsorted(ends, begin, side="right")
+            same = np.append(False, owner[1:] == owner[:-1])[: len(h)]
+            before = np.where(same, np.append(np.uint64(0), h[:-1])[: len(h)], np.uint64(0))
+            after = np.where(np.append(same[1:], False)[: len(h)], np.append(h[1:], np.uint64(0))[: len(h)], np.uint64(0))
+            hashes.append(h)
+            keys.append(_mix(before * _PLACE[0] + h * _PLACE[1] + after * _PLACE[2]))
+    h, k = np.concatenate(hashes), np.concatenate(keys)
+    first = np.zeros(len(k), dtype=bool)
+    first[np.unique(k, return_index=True)[1]] = True
+    word, count = np.unique(h[first], return_counts=True)
+    return word, count, h, first
+
+
+def _plain(text: bytes) -> bytes:
+    return text.lower().translate(_TO_BLANK) + b" "
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
@@ -127,23 +138,31 @@ def train(toxic: list[bytes], ordinary: list[bytes], share: float | None = None)
     """A model from toxic and ordinary texts; share: of toxic ones among labelled documents, if the lists have another."""
     if not toxic or not ordinary:
         return None
-    bad, own = _contexts(toxic)
-    good, _ = _contexts(ordinary)
-    n_bad, n_good = max(1, sum(bad.values())), max(1, sum(good.values()))
-    telling = {w for w, c in bad.items() if w and c >= CONTEXTS and (good.get(w, 0) + 0.5) * n_bad * ENRICHED < c * n_good}
-    words = [b" " + b" ".join(dict.fromkeys(w for w in x if w in telling)) + b" " for x in own]
-    words = [w for w in words if len(w) > 3]
+    bad, n_in_bad, told, fresh = _contexts(toxic)
+    good, n_in_good, _, _ = _contexts(ordinary)
+    at = np.minimum(np.searchsorted(good, bad), max(0, len(good) - 1))
+    elsewhere = np.where(good[at] == bad, n_in_good[at], 0) if len(good) else np.zeros(len(bad))
+    n_bad, n_good = max(1, int(n_in_bad.sum())), max(1, int(n_in_good.sum()))
+    telling = bad[(n_in_bad >= CONTEXTS) & ((elsewhere + 0.5) * n_bad * ENRICHED < n_in_bad * n_good)]
+    chosen = np.isin(told, telling) & fresh
+    words, k = [], 0
+    for t in toxic:
+        split = _plain(t).split()
+        own = dict.fromkeys(w for w, c in zip(split, chosen[k : k + len(split)], strict=True) if c)
+        k += len(split)
+        if own:
+            words.append(b" " + b" ".join(own) + b" ")
     toxic_part = _dictionary(words, TOXIC_BYTES) if words else b""
-    plain = list(dict.fromkeys(w for t in ordinary for w in windows(t)))
-    order = np.random.default_rng(7).permutation(len(plain))[:60_000]
-    plain = [plain[i] for i in order]
-    base, hard = _dictionary(plain[:30_000], ORDINARY_BYTES), []
+    # Of the sampled ordinary texts, one window in STRIDE is a training sample.
+    plain = [w for k, t in enumerate(ordinary) for w in windows(t)[k % STRIDE :: STRIDE]]
+    plain = list(dict.fromkeys(plain))
+    base, hard = _dictionary(plain[::2], ORDINARY_BYTES), []
     for _ in range(ROUNDS):
         front = _dictionary(hard, HARD_BYTES) if len(hard) > 100 else b""
         scorer = _Scorer(front + base, toxic_part)
         gain = scorer.gains(plain)
         hard = list(dict.fromkeys([*hard, *(w for w, g in zip(plain, gain, strict=True) if g >= 3)]))
-    x = np.concatenate([scorer.features(toxic), scorer.features(ordinary)])
+    x = np.concatenate([scorer.features(part[i : i + 256]) for part in (toxic, ordinary) for i in range(0, len(part), 256)])
     y = np.concatenate([np.ones(len(toxic)), np.zeros(len(ordinary))])
     centre, spread = x.mean(axis=0), x.std(axis=0) + 1e-9
     w = _logistic(np.c_[(x - centre) / spread, np.ones(len(x))], y)
@@ -167,10 +186,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     learn = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col).cast("string").cast("binary")))
     learn = learn.groupBy(F.col(id_col).alias("__id")).agg(F.max((F.col(label_col) == 1).cast("int")).alias("__y"))
     texts = docs.where(F.col(text_col).isNotNull() & (F.octet_length(text_col) <= ROW_BYTES))
-    share = learn.agg(F.avg("__y")).first()[0]
+    count = {r["__y"]: r["count"] for r in learn.groupBy("__y").count().collect()}
+    share = count.get(1, 0) / max(1, sum(count.values()))
     found = {}
     for y, most in ((1, TOXIC_ROWS), (0, ORDINARY_ROWS)):
-        ids = learn.where(F.col("__y") == y).orderBy(F.xxhash64("__id"), "__id").limit(most)
+        ids = first_by_hash(learn.where(F.col("__y") == y), "__id", most, count.get(y, 0))
         rows = texts.join(F.broadcast(ids), F.col(id_col) == F.col("__id")).select(F.col("__id"), F.col(text_col).alias("t")).dropDuplicates(["__id"]).toArrow().sort_by("__id")
         found[y] = [t.encode() for t in rows.column("t").to_pylist()]
     return train(found[1], found[0], share)
