@@ -12,6 +12,8 @@ from spanloom.llm import langid, near_dup, packing, pii, toxicity
 from spanloom.llm.common import table, written
 from spanloom.llm.registry import tokenizer_path
 
+#: Documents whose five-word shingle sets are at least so similar, in per cent, are near copies.
+NEAR_PERCENT = 80
 #: A language prediction below this is a rejection: such a text is like none of the learned languages.
 LEAST_LANGUAGE_SCORE = 0.4
 
@@ -34,7 +36,7 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one of the smallest id; of rows that share an id, one."""
-    kept = near_dup.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    kept = near_dup.near_duplicates(docs, percent=NEAR_PERCENT).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     one = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[c for c in docs.columns if c != "doc_id"]))
     named = docs.join(kept, "doc_id", "left_semi").withColumn("__r", F.row_number().over(one)).where("__r = 1").select(*_columns(docs))
     return named.unionByName(docs.where("doc_id IS NULL"))

@@ -8,7 +8,7 @@
 3. Families meet again with their texts, and links are confirmed on the full sets; again only a spanning forest leaves.
    Every pair that meets in a bucket and passes the estimate is in one family, so no confirmed link is lost here.
 
-A pair at similarity 0.85 shares no band with probability (1 - 0.85^4)^32 < 1e-10, and fails the estimate, 5 standard
+A pair at similarity 0.8 shares no band with probability (1 - 0.8^4)^32 < 1e-7 (at 0.85: 1e-10), and fails the estimate, 5 standard
 deviations below the threshold, with probability below 1e-6.
 """
 
