@@ -21,7 +21,7 @@ from spanloom.llm.common import empty_text, first_by_hash, ready, slices
 from spanloom.llm.near_dup import _PLACE, _mix, _words
 
 #: Labelled documents that the fit sees at most: the first by a hash of their ids, of up to so many bytes each.
-TOXIC_ROWS, ORDINARY_ROWS, ROW_BYTES = 2000, 6000, 50_000
+TOXIC_ROWS, ORDINARY_ROWS, ROW_BYTES = 2000, 4500, 50_000
 WINDOW_WORDS = 16
 ORDINARY_BYTES, HARD_BYTES, TOXIC_BYTES = 16384, 4096, 1536
 SEGMENT, SHINGLE = 16, 6
