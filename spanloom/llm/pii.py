@@ -31,7 +31,7 @@ PATTERNS = {
 }
 #: A text without this has no span of the kind.
 NEEDS = {"email": "@", "ip": ".", "phone": "+", "nid": "-"}
-OCTET = r"^0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})$"
+OCTET = r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])$"
 PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "nid": 0.3}
 CONTEXT = {
     "email": "mail|contact|write|address",

@@ -75,6 +75,19 @@ def test_pii_brute_force(spark, hard, none):
     assert masked == {0: "to <email> now <ip>.", 1: None, 2: "plain"}
 
 
+def test_pii_addresses_with_zero_parts(spark):
+    r = random.Random(9)
+    alphabet = ["0", "00", "000", "255", "256", "0255", "01", "10", ".", ".", ".", " ", "10.0.0.1", "000.1.2.3", "0.0.0.0", "x"]
+    texts = ["host 10.0.0.1", "192.168.0.5", "127.0.0.1", "0.0.0.0", "000.1.2.3", "1.2.3.0256", "0" * 3000 + ".0.0." + "0" * 3000]
+    texts += ["".join(r.choice(alphabet) for _ in range(r.randint(1, 20))) for _ in range(300)]
+    got = {g.doc_id: g for g in pii.report(docs_of(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        want = ",".join(f"{k}:{s}:{e}" for s, _, e, k in base_spans(t))
+        assert got[i].base_sha256 == hashlib.sha256(want.encode()).hexdigest() and got[i].n_ip == want.count("ip"), (t, want, got[i].spans)
+    assert [got[i].n_ip for i in range(7)] == [1, 1, 1, 1, 1, 0, 1]
+    assert {m.text for m in pii.masked(docs_of(spark, texts[:5])).collect()} == {"host <ip>", "<ip>"}
+
+
 def test_units_join_back():
     for t in HARD:
         assert "".join(units.units(t or "")) == (t or "")
