@@ -12,7 +12,7 @@ TRAIN_ROWS = 20_000
 TREES, DEPTH, SEED = 20, 4, 5
 #: Weight, in rows, of the overall share in a suffix's share of blocked urls.
 PRIOR = 20.0
-#: Suffixes with the most labelled urls whose statistics are kept; others have the overall share.
+#: Suffixes with the most urls, whose statistics are broadcast; those of all others are joined by a shuffle.
 SUFFIXES = 10_000
 FEATURES = ("length", "host_length", "depth", "labels", "digits", "entropy", "params", "dashes", "longest", "has_fragment", "suffix_share", "suffix_count", "site_share")
 
@@ -69,6 +69,23 @@ def _lexical(urls: DataFrame) -> DataFrame:
     )
 
 
+def _found(df: DataFrame, name: str, stats: DataFrame) -> DataFrame:
+    """df with name_n and name_y of each row's suffix, null where no labelled url has it.
+
+    The commonest suffixes are a bounded table and broadcast, so no hot one meets in one task; rows that found theirs
+    there are dealt by their own hash, the others by their suffix.
+    """
+    values = [f"{name}_n", f"{name}_y"]
+    hot = stats.orderBy(F.desc("rows"), name).limit(SUFFIXES).select(name, F.struct(*values).alias("__hot"))
+    told = df.join(F.broadcast(hot), name, "left")
+    if stats.count() <= SUFFIXES:
+        return told.select(*df.columns, *[F.col("__hot")[v].alias(v) for v in values])
+    rest = stats.where(F.col(values[0]) > 0).select(F.lit(True).alias("__cold"), F.col(name).alias("__key"), F.struct(*values).alias("__rest"))
+    key = F.when(F.col("__hot").isNull(), F.col(name)).otherwise(F.xxhash64(*df.columns).cast("string"))
+    met = told.withColumns({"__cold": F.col("__hot").isNull(), "__key": key}).join(rest, ["__cold", "__key"], "left")
+    return met.select(*df.columns, *[F.coalesce("__hot", "__rest")[v].alias(v) for v in values])
+
+
 def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(page_id, host, path, rule, verdict, score): each url's verdict, allow or block.
 
@@ -95,14 +112,18 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id
         return urls.select(*out, F.coalesce("told", F.lit(rest)).alias("verdict"), F.lit(float(rest == "block")).alias("score"))
     share = total.y / total.n
 
+    marked = urls.select("host", F.when(F.col("rule").isNotNull(), (F.col("told") == "block").cast("double")).alias("y"))
+
     def stats(name: str, n: int) -> DataFrame:
-        """The commonest suffixes: a bounded table, so it may be broadcast."""
-        return F.broadcast(labelled.groupBy(_suffix(n).alias(name)).agg(F.count(F.lit(1)).alias(f"{name}_n"), F.sum("y").alias(f"{name}_y")).orderBy(F.desc(f"{name}_n"), name).limit(SUFFIXES))
+        """All suffixes: their urls, and how many of them are labelled and blocked."""
+        return written(marked.groupBy(_suffix(n).alias(name)).agg(F.count(F.lit(1)).alias("rows"), F.count("y").alias(f"{name}_n"), F.coalesce(F.sum("y"), F.lit(0.0)).alias(f"{name}_y")))
+
+    known = {"suffix": stats("suffix", 1), "site": stats("site", 2)}
 
     def with_stats(df: DataFrame, own: Column) -> DataFrame:
         y = F.col("y") if "y" in df.columns else F.lit(0.0)
-        for name, n in (("suffix", 1), ("site", 2)):
-            df = df.join(stats(name, n), name, "left")
+        for name in known:
+            df = _found(df, name, known[name])
             count, bad = F.coalesce(f"{name}_n", F.lit(0)) - own, F.coalesce(f"{name}_y", F.lit(0.0)) - own * y
             df = df.withColumn(f"{name}_share", (bad + PRIOR * share) / (count + PRIOR)).withColumn(f"{name}_count", F.log1p(F.greatest(count, F.lit(0)).cast("double")))
         return df

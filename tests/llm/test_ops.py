@@ -176,6 +176,17 @@ def test_url_filter(spark):
     assert {r.verdict for r in url_filter.judge(df, []).collect()} == {"allow"} and url_filter.judge(df.limit(0), rules).count() == 0
 
 
+def test_url_filter_counts_every_site(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "SUFFIXES", 6)
+    told = [["allow", "block"][i % 2] for i in range(40)]
+    rules = [(f"t{i:02d}/x", what) for i, what in enumerate(told)]
+    asked = [f"http://s.t{i:02d}/y0" for i in range(40)]
+    rows = [f"http://s.t{i:02d}/x{k % 10}" for i in range(40) for k in range(20 if i < 6 else 12)]
+    df = spark.createDataFrame([(k, u) for k, u in enumerate(asked + rows)], "page_id long, url string")
+    got = [r.verdict for r in url_filter.judge(df, rules).orderBy("page_id").collect()]
+    assert len(got) == len(asked + rows) and got[:40] == told
+
+
 WORDS = {"en": "the and that with from this which over there when", "fr": "les des avec pour dans être était voilà où ça", "de": "der die und nicht über schön auch noch wäre für"}
 
 
