@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from spanloom.llm.common import empty_text, ready, slices
 
 FEATURES = 1 << 14
-#: Rows of each language that the weights are trained on, at most, and languages at most.
-ROWS_PER_LANGUAGE, LANGUAGES = 1500, 64
+#: Rows that the weights are trained on, at most: of each language, of all together, and yet so many of each language.
+ROWS_PER_LANGUAGE, ROWS, LEAST_ROWS = 1500, 96_000, 50
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.5, 0.1, 3
 UNKNOWN = "und"
 STRETCH = 1 << 20
@@ -30,10 +30,19 @@ STRETCH = 1 << 20
 class Model:
     languages: list[str]
     idf: np.ndarray
+    first: np.ndarray  # of each feature, where its weights begin in the next two; and the end
+    classes: np.ndarray
     weights: np.ndarray
     bias: np.ndarray
     temperature: float
 
+    def logits(self, at: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Scores of all languages, from the weights that are not 0."""
+        size = self.first[at + 1] - self.first[at]
+        end = np.cumsum(size)
+        k = np.arange(end[-1]) + np.repeat(self.first[at] - end + size, size)
+        return np.bincount(self.classes[k], self.weights[k] * np.repeat(x, size), len(self.bias)) + self.bias
+
 
 @lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
@@ -132,8 +141,9 @@ def _temperature(logits: np.ndarray, y: np.ndarray) -> float:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """A model from documents with a language that are not held out; None if none has a letter.
 
-    Only text and language are looked at. Document frequencies cover all of these documents; weights are trained on the
-    first ROWS_PER_LANGUAGE rows of each language by a hash of the id, so the driver gets a bounded number of counts.
+    Only text and language are looked at. Document frequencies cover all of these documents, and every language is
+    learned; weights are trained on the first rows of each language by a hash of the id, ROWS_PER_LANGUAGE or an equal
+    share of ROWS, but LEAST_ROWS at least.
     """
     ready(docs.sparkSession)
     learn = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~F.coalesce(held_out(id_col), F.lit(False)))
@@ -142,27 +152,30 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     n = np.zeros(FEATURES + 1, np.int64)
     n[df.feature.to_numpy()] = df.n.to_numpy()  # place -1 has the documents
     idf = np.log((1 + n[-1]) / (1 + n[:-1])) + 1
-    common = [r.lang for r in learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    share = ROWS // max(1, learn.select(F.count_distinct("lang")).first()[0])
     first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = learn.where(F.col("lang").isin(common)).select("id", "lang").withColumn("r", F.row_number().over(first)).where(F.col("r") <= ROWS_PER_LANGUAGE).select("id", "lang")
+    chosen = learn.select("id", "lang").withColumn("r", F.row_number().over(first)).where(F.col("r") <= min(ROWS_PER_LANGUAGE, max(LEAST_ROWS, share))).select("id", "lang")
     rows = learn.join(F.broadcast(chosen), ["id", "lang"], "left_semi").select("lang", "text").mapInArrow(_rows, "lang string, at array<int>, n array<int>").toArrow()
     if not rows.num_rows:
         return None
     rows = rows.combine_chunks()
     rows = rows.take(np.lexsort((pc.list_value_length(rows.column("at")).to_numpy(), np.array(rows.column("lang").to_pylist()))))
     languages = sorted(set(rows.column("lang").to_pylist()))
-    y = np.array([languages.index(x) for x in rows.column("lang").to_pylist()])
+    place = {lang: i for i, lang in enumerate(languages)}
+    y = np.array([place[lang] for lang in rows.column("lang").to_pylist()])
     x = []
     for at, c in zip(rows.column("at"), rows.column("n"), strict=True):
         full = np.zeros(FEATURES)
         full[at.values.to_numpy()] = c.values.to_numpy()
         x.append(_weighed(full, idf))
-    aside = np.arange(len(x)) % 10 == 9
+    aside = (np.arange(len(x)) % 10 == 9) & (np.diff(y, prepend=-1) == 0)  # not a language's first row: it may be its only one
     aside = aside if aside.any() else ~aside
     taught = [i for i in range(len(x)) if not aside[i]] or list(range(len(x)))
     w, b = ftrl([x[i] for i in taught], y[taught], len(languages))
-    logits = np.array([x[i][1] @ w[x[i][0]] + b for i in np.flatnonzero(aside)])
-    return Model(languages, idf, w.astype(np.float32), b, _temperature(logits, y[aside]))
+    w = w.astype(np.float32)
+    model = Model(languages, idf, np.append(0, np.cumsum((w != 0).sum(axis=1))), np.nonzero(w)[1].astype(np.int32), w[w != 0], b, 1.0)
+    model.temperature = _temperature(np.array([model.logits(*x[i]) for i in np.flatnonzero(aside)]), y[aside])
+    return model
 
 
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text", lang_into: str = "lang_pred", score_into: str = "lang_score") -> DataFrame:
@@ -176,7 +189,7 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", lang_i
     plain = [F.col(f"`{c}`") for c in kept]
     if model is None:
         return docs.select(*plain, F.lit(UNKNOWN).alias(lang_into), F.lit(0.0).alias(score_into))
-    sent = spark.sparkContext.broadcast(model)  # FEATURES weights for each language
+    sent = spark.sparkContext.broadcast(model)  # the weights that are not 0
     given = docs.select(*plain, empty_text(f"`{text_col}`").alias("__text"))
     schema = docs.select(*plain).schema.add(lang_into, "string").add(score_into, "double")
 
@@ -190,7 +203,7 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", lang_i
                     lang.append(UNKNOWN), score.append(0.0)
                     continue
                 at, x = _weighed(c, m.idf)
-                s = (x @ m.weights[at] + m.bias) / m.temperature
+                s = m.logits(at, x) / m.temperature
                 p = np.exp(s - s.max())
                 lang.append(m.languages[int(p.argmax())]), score.append(float(p.max() / p.sum()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*kept, lang_into, score_into])

@@ -203,6 +203,18 @@ def test_langid(spark, hard, none):
     assert langid.predict(none, model).count() == 0
 
 
+def test_langid_learns_every_language(spark):
+    r = random.Random(7)
+    words = {f"l{k:02d}": ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(6)] for k in range(80)}
+    rows = [(i, " ".join(r.choice(words[x]) for _ in range(15)), x) for i, x in enumerate(x for x in words for _ in range(12))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df)
+    got = langid.predict(df, model).where(langid.held_out()).collect()
+    assert model.languages == sorted(words) and np.mean([g.lang == g.lang_pred for g in got]) > 0.9
+    one = spark.createDataFrame([*rows, *[(10_000 + i, "ϕω χψ ϕω", "once") for i in range(3)]], "doc_id long, text string, lang string")
+    assert "once" in langid.fit(one).languages
+
+
 def test_media(spark, hard, none):
     for n in (0, 1, 63, 64, 1393, 1417, 5000, 100_001):
         data = bytes(i * 7 % 256 for i in range(n))
