@@ -326,8 +326,8 @@ def current_corrections(spark, d):
 def stale_summaries(spark, d):
     """A summary is current only if every block that it cites still exists."""
     c = V.table(spark, d, "conversations")
-    cited = c.groupBy("conv_id").agg(F.collect_set("turn").alias("ids"))
-    return W.still_current(cited, "conv_id", "ids", c.where("length(text) % 9 <> 0").select("conv_id", F.col("turn").alias("block")))
+    cited = c.select("conv_id", "turn").distinct().select("conv_id", F.array("turn").alias("ids"))
+    return W.still_current(cited, "conv_id", "ids", c.where("length(text) % 9 <> 0").select("conv_id", F.col("turn").alias("block")).distinct())
 
 
 @query("SELECT CASE WHEN l.doc_id IS NOT NULL AND l.quality = 1 THEN 'cached' ELSE 'pending' END AS lane, count(*) AS rows FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY ALL")

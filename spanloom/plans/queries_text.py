@@ -171,14 +171,18 @@ def _records(spark, d):
 )
 def validate_records(spark, d):
     """The first rule that a JSON annotation breaks: shape, topic, confidence, cited turns that exist."""
-    rows = _records(spark, d)
-    turns = rows.groupBy("conv_id").agg(F.collect_set("turn").alias("turns"))
-    told = rows.join(turns, "conv_id").withColumn("r", F.from_json("record", "topic STRING, confidence STRING, cites ARRAY<BIGINT>"))
+    rows = _records(spark, d).withColumn("r", F.from_json("record", "topic STRING, confidence STRING, cites ARRAY<BIGINT>"))
+    cited = rows.select("conv_id", "turn", "record", F.explode("r.cites").alias("cite"))
+    turns = rows.select("conv_id", F.col("turn").alias("cite")).distinct()
+    # Turns are met one by one, so a long conversation is no long row.
+    missed = cited.join(turns, ["conv_id", "cite"], "left_anti").select(*[F.col(c).alias(f"__{c}") for c in ("conv_id", "turn", "record")]).distinct()
+    same = F.col("conv_id").eqNullSafe(F.col("__conv_id")) & F.col("turn").eqNullSafe(F.col("__turn")) & (F.col("record") == F.col("__record"))
+    told = rows.join(missed, same, "left")
     code = (
         F.when(F.col("r.cites").isNull(), "malformed")
         .when(F.col("r.topic").isNull(), "no_topic")
         .when(~F.col("r.confidence").isin("low", "medium", "high"), "bad_confidence")
-        .when(F.size(F.array_except("r.cites", "turns")) > 0, "unknown_citation")
+        .when(F.col("__record").isNotNull(), "unknown_citation")
         .otherwise("ok")
     )
     return told.select("conv_id", "turn", code.alias("code"))
