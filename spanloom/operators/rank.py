@@ -14,9 +14,10 @@ def _size(keys: list[str]) -> Column:
     return F.count(F.lit(1)).over(Window.partitionBy(*keys))
 
 
-def top_k(df: DataFrame, keys: list[str], value: str, tie: str, k: int) -> DataFrame:
-    """The k rows of highest value by keys, the smaller `tie` first; with their rank."""
-    return df.withColumn("rank", _rank(keys, F.desc(value), tie)).where(F.col("rank") <= k)
+def top_k(df: DataFrame, keys: list[str], value: str, tie: str, k: int | None = None) -> DataFrame:
+    """The k rows of highest value by keys, or all, the smaller `tie` first; with their rank."""
+    ranked = df.withColumn("rank", _rank(keys, F.desc(value), tie))
+    return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
 def top_k_other(df: DataFrame, keys: list[str], label: str, value: str, k: int, other: str = "Other contexts") -> DataFrame:

@@ -205,7 +205,7 @@ def activity_log(spark, d):
 def apps_sites_period(spark, d):
     from spanloom.operators.rank import top_k
 
-    return top_k(_runs(spark, d).where("app IS NOT NULL").groupBy("device", "app").agg(F.sum(F.col("end_us") - F.col("start_us")).alias("us")), ["device"], "us", "app", 100)
+    return top_k(_runs(spark, d).where("app IS NOT NULL").groupBy("device", "app").agg(F.sum(F.col("end_us") - F.col("start_us")).alias("us")), ["device"], "us", "app")
 
 
 @query(f"WITH {V.RUNS}, h AS (SELECT DISTINCT device, state, unnest(range(start_us // 1800000000, (end_us - 1) // 1800000000 + 1)) AS b FROM runs) SELECT device, b AS half_hour FROM h WHERE state = 'active' INTERSECT SELECT device, b FROM h WHERE state = 'unattributed'")

@@ -288,7 +288,7 @@ def nominate_runtime(spark, d):
 def cluster_bootstrap(spark, d):
     x = _variants(spark, d)
     a, b = x.where("variant = 1").select("example", F.col("score").alias("a")), x.where("variant = 2").select("example", F.col("score").alias("b"))
-    return Q.cluster_bootstrap(a.join(b, "example").withColumn("cluster", F.col("example") % 40), "cluster", "a", "b", draws=500)
+    return Q.cluster_bootstrap(a.join(b, "example").withColumn("cluster", F.col("example") % 40), "cluster", "a", "b")
 
 
 @query(VARIANTS + ", r AS (SELECT *, substr(sha256(concat_ws(':', '9', example, variant)), 1, 16) AS review_id FROM x) SELECT review_id, truth, guess, CAST(score AS BIGINT) AS score FROM r")

@@ -61,9 +61,9 @@ def import_file_events(files: DataFrame, bucket_us: int) -> DataFrame:
 
 
 def import_calendar(items: DataFrame, scope: DataFrame, low_us: int, high_us: int) -> DataFrame:
-    """Items of calendars in scope (a short list) that start in a window."""
+    """Items of calendars in scope that start in a window."""
     seen = items.where((F.col("start_us") >= low_us) & (F.col("start_us") < high_us))
-    return seen.join(F.broadcast(scope.limit(1000)), "calendar", "left_semi").select("id", "calendar", "start_us", "end_us")
+    return seen.join(scope, "calendar", "left_semi").select("id", "calendar", "start_us", "end_us")
 
 
 def timeline(samples: DataFrame, frames: DataFrame, done: DataFrame) -> DataFrame:

@@ -2,7 +2,8 @@
 
 import pytest
 
-from spanloom.plans import queries_tables, queries_text
+from spanloom.operators import quality
+from spanloom.plans import queries_more, queries_tables, queries_text
 
 VALUES = "conv_id long, turn long, role string, text string"
 
@@ -21,3 +22,16 @@ def test_long_conversation_is_no_long_row(spark, monkeypatch, query):
         return
     want = lambda c, t: "malformed" if t % 11 == 0 else "no_topic" if t % 7 == 0 else "bad_confidence" if t % 4 == 0 else "unknown_citation" if t % 5 == 0 and (c == 2 or t >= 200) else "ok"
     assert sorted((r.conv_id, r.turn, r.code) for r in got) == sorted((c, t, want(c, t)) for c, t, _, _ in rows)
+
+
+def test_all_apps_are_ranked(spark, monkeypatch):
+    runs = spark.range(150).selectExpr("1 AS device", "concat('a', id) AS app", "0 AS start_us", "id + 1 AS end_us")
+    monkeypatch.setattr(queries_more, "_runs", lambda *a: runs)
+    assert queries_more.apps_sites_period(spark, "").count() == 150
+
+
+def test_bootstrap_draws(spark, monkeypatch):
+    plain, seen = quality.cluster_bootstrap, []
+    monkeypatch.setattr(queries_tables.Q, "cluster_bootstrap", lambda *a, draws=2000: seen.append(draws) or plain(*a, draws=draws))
+    queries_tables.cluster_bootstrap(spark, "/root/testdata/sf0.001")
+    assert seen == [2000]

@@ -44,3 +44,8 @@ def test_timeline_export(spark, tmp_path):
     S.export_timeline(rows, str(tmp_path / "out"))
     assert [r.at_us for r in spark.read.json(str(tmp_path / "out" / "device=1")).collect()] == [10, 20]
     assert {(r.source, r["rows"]) for r in S.manifest(rows, "source").collect()} == {("s", 2), ("f", 1)}
+
+
+def test_calendar_scope_has_no_bound(spark):
+    items = spark.range(1500).selectExpr("id", "id AS calendar", "10 AS start_us", "20 AS end_us")
+    assert S.import_calendar(items, spark.range(1500).withColumnRenamed("id", "calendar"), 0, 100).count() == 1500
