@@ -1,11 +1,12 @@
 """Token counts of documents: the pieces of each distinct pre-token are counted once, then joined and summed.
 
-Pre-tokens are units (see units.py). The commonest ones, a bounded number, are looked up in a broadcast table; only
-the rare rest is shuffled to its count, so no hot pre-token meets in one task.
+Pre-tokens are units (see units.py). The commonest short ones, of bounded number and length, are looked up in a broadcast
+table; only the rest is shuffled to its count, long ones by a digest instead of their text.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 from collections import Counter
@@ -21,6 +22,9 @@ from spanloom.llm.units import units
 #: Pre-tokens in the broadcast table, and distinct ones that a task holds before it passes them on.
 COMMON = 1 << 18
 HELD = 300_000
+#: Bytes of a pre-token that may be broadcast, and characters of longer ones that a task holds before it passes them on.
+SHORT = 64
+HELD_LONG = 1 << 25
 
 
 @lru_cache(maxsize=4)
@@ -67,19 +71,34 @@ def pretokens(path: str, text: str) -> list[str]:
     return [u for i, part in enumerate(parts) if part for u in ([part] if i % 2 else units(part))]
 
 
+def key(unit: str) -> str:
+    """A pre-token of at most SHORT bytes as it is; a longer one's digest, which is longer than SHORT."""
+    if len(unit) * 4 <= SHORT or len(data := unit.encode()) <= SHORT:
+        return unit
+    return "#" + hashlib.blake2b(data, digest_size=SHORT // 2).hexdigest()
+
+
 def _distinct(path: str):
     def run(batches):
         held: Counter = Counter()
+        long = 0
 
         def out():
             return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["unit", "n"])
 
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                held.update(pretokens(path, text))
+                found = pretokens(path, text)
+                held.update(found)
+                long += sum(len(u) for u in found if len(u) > SHORT)
+                if long > HELD_LONG:
+                    yield out()
+                    held.clear()
+                    long = 0
             if len(held) > HELD:
                 yield out()
                 held.clear()
+                long = 0
         if held:
             yield out()
 
@@ -90,8 +109,9 @@ def _pieces(path: str):
     def run(batches):
         for batch in batches:
             for part in slices(batch, "unit"):
-                n = _count(path, part.column("unit").to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column("unit"), part.column("n"), pa.array(n, pa.int32())], ["unit", "n", "pieces"])
+                found = part.column("unit").to_pylist()
+                n = _count(path, found)
+                yield pa.RecordBatch.from_arrays([pa.array([key(u) for u in found], pa.string()), part.column("n"), pa.array(n, pa.int32())], ["unit", "n", "pieces"])
 
     return run
 
@@ -111,7 +131,7 @@ def _frequencies(path: str, common):
                     for u, f in Counter(pretokens(path, text)).items():
                         n = known.get(u)
                         if n is None:
-                            row.append(i), unit.append(u), freq.append(f), done.append(None), size.append(None)
+                            row.append(i), unit.append(key(u)), freq.append(f), done.append(None), size.append(None)
                         else:
                             total += n * f
                     done[at] = total
@@ -146,7 +166,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str
     spark = ready(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), empty_text(text_col).alias("text"))
     pieces = written(texts.select("text").mapInArrow(_distinct(tokenizer), "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n")).mapInArrow(_pieces(tokenizer), "unit string, n long, pieces int"))
-    top = pieces.where(F.col("n") >= _least_common(pieces)).select("unit", "pieces").toArrow()
+    short = pieces.where(F.octet_length("unit") <= SHORT)
+    top = short.where(F.col("n") >= _least_common(short)).select("unit", "pieces").toArrow()
     common = spark.sparkContext.broadcast(dict(zip(top.column(0).to_pylist(), top.column(1).to_pylist(), strict=True)))
     rows = texts.withColumn("mark", F.crc32("text")).mapInArrow(_frequencies(tokenizer, common), "doc_id long, mark long, unit string, f int, done long, n_bytes long")
     # One row per document stays as it is; the rare pre-tokens find their counts. Both meet in one sum by document.

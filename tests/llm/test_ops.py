@@ -108,6 +108,22 @@ def test_token_counts(spark, hard, none):
     assert token_count.count_tokens(none, path).count() == 0
 
 
+def test_token_counts_broadcast_no_long_texts(spark, monkeypatch):
+    from pyspark import SparkContext
+    from tokenizers import Tokenizer
+
+    sent = []
+    plain = SparkContext.broadcast
+    monkeypatch.setattr(SparkContext, "broadcast", lambda self, value: sent.append(value) or plain(self, value))
+    path = P.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    texts = ["漢字仮名" * 500, "漢字仮名" * 500, "é" * 32, "é" * 33, "x" * 64, "x" * 65, "base64" * 2000, "some short words here", "some " + "y" * 3000 + " more"]
+    got = {r.doc_id: (r.n_bytes, r.n_tokens) for r in token_count.count_tokens(docs_of(spark, texts), path).collect()}
+    assert got == {i: (len(x.encode()), len(t.encode(x, add_special_tokens=False).ids)) for i, x in enumerate(texts)}
+    tables = [x for x in sent if isinstance(x, dict)]
+    assert tables and max(len(u.encode()) for x in tables for u in x) <= 64
+
+
 def test_byte_bpe_round_trip(spark, hard, none):
     path = P.path("byte_bpe_50k.tiktoken")
     enc = byte_bpe.encoding(path, P.PATTERN)
