@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from spanloom.functions.time import SECOND
 
@@ -22,26 +23,45 @@ def _parts(df: DataFrame, keys: list[str], at: str, tie: str, span_us: int) -> D
     return df.withColumn("__new", new).withColumn("part", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
 
 
+def _folded(parts: DataFrame, keys: list[str], cols: list[str], step, schema) -> DataFrame:
+    """One ordered pass over each part: step(state, *cols) gives the next state and the row's values, None for no row.
+
+    State is None where a part begins. Only it is carried between batches, so a part of any length needs no more memory.
+    """
+    group, arrow = [*keys, "part"], to_arrow_schema(schema)
+
+    def run(batches):
+        now, state = None, None
+        for batch in batches:
+            out = []
+            of = zip(*[batch.column(k).to_pylist() for k in group], strict=True)
+            for g, row in zip(of, zip(*[batch.column(c).to_pylist() for c in cols], strict=True), strict=True):
+                if g != now:
+                    now, state = g, None
+                state, found = step(state, *row)
+                if found is not None:
+                    out.append((*g[:-1], *found))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(arrow)], schema=arrow)
+
+    rows = parts.select(*group, *cols).repartition(*group).sortWithinPartitions(*group, "at_us", "id")
+    return rows.mapInArrow(run, schema)
+
+
 def feature_dedupe(frames: DataFrame, keys: list[str], span_us: int = 120 * SECOND, distance: float = 0.10) -> DataFrame:
     """Frames (id, at_us, vector) without those within span_us and distance of the last one kept of the same keys.
 
     A kept frame without a vector becomes the reference all the same, and then nothing matches it.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at_us", "id"])
-        kept, last = [], None
-        for i, at, v in zip(pdf.id, pdf.at_us, pdf.vector, strict=True):
-            close = last is not None and v is not None and last[1] is not None and 0 <= at - last[0] <= span_us and len(v) == len(last[1])
-            if close and np.sqrt(((np.asarray(v, float) - np.asarray(last[1], float)) ** 2).sum()) <= distance:
-                continue
-            kept.append((i, at))
-            last = (at, v)
-        return pd.DataFrame(kept, columns=["id", "at_us"]).assign(**{k: pdf[k].iloc[0] for k in keys})[[*keys, "id", "at_us"]]
+    def step(last, i, at, v):
+        close = last is not None and v is not None and last[1] is not None and 0 <= at - last[0] <= span_us and len(v) == len(last[1])
+        if close and np.sqrt(((np.asarray(v, float) - np.asarray(last[1], float)) ** 2).sum()) <= distance:
+            return last, None
+        return (at, v), (i, at)
 
     told = _parts(frames.select(*keys, "id", "at_us", "vector"), keys, "at_us", "id", span_us)
     schema = frames.select(*keys, "id", "at_us").schema
-    return told.groupBy(*keys, "part").applyInPandas(fold, schema)
+    return _folded(told, keys, ["id", "at_us", "vector"], step, schema)
 
 
 def similarity_clusters(frames: DataFrame, keys: list[str], span_us: int = 120 * SECOND, distance: float = 0.10) -> DataFrame:
@@ -50,22 +70,17 @@ def similarity_clusters(frames: DataFrame, keys: list[str], span_us: int = 120 *
     A frame that is not eligible ends a cluster and is in none.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at_us", "id"])
-        out, first, app = [], None, None
-        for i, at, a, v, ok in zip(pdf.id, pdf.at_us, pdf.app, pdf.vector, pdf.eligible, strict=True):
-            if not ok or v is None:
-                first = None
-                continue
-            v = np.asarray(v, float)
-            if first is None or a != app or at - first[1] > span_us or np.sqrt(((v - first[2]) ** 2).sum()) > distance:
-                first = (i, at, v)
-            app = a
-            out.append((i, at, first[0]))
-        return pd.DataFrame(out, columns=["id", "at_us", "first_id"]).assign(**{k: pdf[k].iloc[0] for k in keys})[[*keys, "id", "at_us", "first_id"]]
+    def step(state, i, at, a, v, ok):
+        first, app = state or (None, None)
+        if not ok or v is None:
+            return (None, app), None
+        v = np.asarray(v, float)
+        if first is None or a != app or at - first[1] > span_us or np.sqrt(((v - first[2]) ** 2).sum()) > distance:
+            first = (i, at, v)
+        return (first, a), (i, at, first[0])
 
     told = _parts(frames.select(*keys, "id", "at_us", "app", "vector", "eligible"), keys, "at_us", "id", span_us)
-    return told.groupBy(*keys, "part").applyInPandas(fold, frames.select(*keys, "id", "at_us", F.col("id").alias("first_id")).schema)
+    return _folded(told, keys, ["id", "at_us", "app", "vector", "eligible"], step, frames.select(*keys, "id", "at_us", F.col("id").alias("first_id")).schema)
 
 
 def label_propagation(clusters: DataFrame, labels: DataFrame) -> DataFrame:
@@ -82,20 +97,16 @@ def cadence_keep(frames: DataFrame, keys: list[str], least_us: int = 20 * SECOND
     differs by `change` or more.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at_us", "id"])
-        kept, last = [], None
-        for i, at, c, d, x in zip(pdf.id, pdf.at_us, pdf.context, pdf.digest, pdf.level, strict=True):
-            if last is not None and c == last[1]:
-                age = at - last[0]
-                if age < least_us or age < most_us and (d == last[2] or abs(x - last[3]) < change):
-                    continue
-            kept.append((i, at))
-            last = (at, c, d, x)
-        return pd.DataFrame(kept, columns=["id", "at_us"]).assign(**{k: pdf[k].iloc[0] for k in keys})[[*keys, "id", "at_us"]]
+    def step(last, i, at, c, d, x):
+        if last is not None and c == last[1]:
+            age = at - last[0]
+            known = x is not None and last[3] is not None
+            if age < least_us or age < most_us and (d is not None and d == last[2] or known and abs(x - last[3]) < change):
+                return last, None
+        return (at, c, d, x), (i, at)
 
     told = _parts(frames.select(*keys, "id", "at_us", "context", "digest", "level"), keys, "at_us", "id", most_us)
-    return told.groupBy(*keys, "part").applyInPandas(fold, frames.select(*keys, "id", "at_us").schema)
+    return _folded(told, keys, ["id", "at_us", "context", "digest", "level"], step, frames.select(*keys, "id", "at_us").schema)
 
 
 def frame_episodes(frames: DataFrame, keys: list[str], context: list[str], gap_us: int = 120 * SECOND) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import pytest
 
-from spanloom.operators import quality
+from spanloom.operators import fold, quality
 from spanloom.plans import queries_more, queries_tables, queries_text
 
 VALUES = "conv_id long, turn long, role string, text string"
@@ -35,3 +35,20 @@ def test_bootstrap_draws(spark, monkeypatch):
     monkeypatch.setattr(queries_tables.Q, "cluster_bootstrap", lambda *a, draws=2000: seen.append(draws) or plain(*a, draws=draws))
     queries_tables.cluster_bootstrap(spark, "/root/testdata/sf0.001")
     assert seen == [2000]
+
+
+def test_folds_carry_their_state_over_batches(spark):
+    """One key without a hole, in batches of three rows."""
+    rows = [(1, i, i * 10_000_000, "a", [0.03 * i], True, "c", i, 0.3 * i) for i in range(50)]
+    f = spark.createDataFrame(rows, "device long, id long, at_us long, app string, vector array<double>, eligible boolean, context string, digest long, level double")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        kept, clusters, cadence = fold.feature_dedupe(f, ["device"]), fold.similarity_clusters(f, ["device"]), fold.cadence_keep(f, ["device"])
+        for df in (kept, clusters, cadence):
+            assert "FlatMapGroupsInPandas" not in df._jdf.queryExecution().toString()
+        assert sorted(r.id for r in kept.collect()) == list(range(0, 50, 4))
+        assert {r.id: r.first_id for r in clusters.collect()} == {i: i // 4 * 4 for i in range(50)}
+        assert sorted(r.id for r in cadence.collect()) == list(range(0, 50, 4))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
