@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from functools import lru_cache
 
 import pyarrow as pa
@@ -16,6 +17,8 @@ from spanloom.llm.units import stretches
 
 #: Longer texts are encoded in parts of about so many characters, cut at safe boundaries.
 STRETCH = 1 << 15
+#: A run of the pattern's white space (Unicode's White_Space) that is taken out before matching.
+_LONG_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
 
 
 @lru_cache(maxsize=4)
@@ -29,9 +32,18 @@ def encoding(ranks_path: str, pattern: str):
 
 
 def encode_text(text: str, ranks_path: str, pattern: str) -> list[int]:
+    """The ids of a text. A long run of white space is one piece, less its last character where more text follows,
+    as the pattern cuts it; it is encoded as such, since matching it takes a stack as deep as the run is long.
+    """
     enc = encoding(ranks_path, pattern)
     out: list[int] = []
-    for part in stretches(text, STRETCH):
+    at = 0
+    for run in _LONG_RUN.finditer(text):
+        for part in stretches(text[at : run.start()], STRETCH):
+            out += enc.encode_ordinary(part)
+        at = run.end() - (run.end() < len(text))
+        out += enc._encode_single_piece(text[run.start() : at])
+    for part in stretches(text[at:], STRETCH):
         out += enc.encode_ordinary(part)
     return out
 

@@ -5,33 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import written
-
-ROUNDS = 100
+from spanloom.llm.common import meet, removed, written
 
 
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u", F.lit(1)))).first())
 
 
+def _with_least(edges: DataFrame, total: int) -> DataFrame:
+    """edges with the least v of each u as m; edges of a node with very many are dealt to all tasks."""
+    return meet(edges, edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "u", "n", total)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(u, root) for each node that has a smaller one in its component; root is the component's smallest node.
 
     `edges` has two long columns u and v; loops, repeats and either direction are fine. Nodes without edges, and the
-    roots themselves, have no row. Each round is written to the shared folder, so lost executors cost one round.
+    roots themselves, have no row. Rounds go on until nothing changes; each is written to the shared folder in place of
+    the one before, so lost executors cost one round.
     """
     e = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     mark = _mark(e)
-    for _ in range(ROUNDS if mark[0] else 0):
+    while mark[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = _with_least(both, 2 * mark[0]).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        down = _with_least(large, 2 * mark[0])
+        small = down.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = written(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct())
-        after = _mark(new)
-        e = new
-        if after == mark:
+        removed(e)
+        e, before, mark = new, mark, _mark(new)
+        if mark == before:
             break
-        mark = after
     return e.select("u", F.col("v").alias("root"))

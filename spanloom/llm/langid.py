@@ -7,6 +7,8 @@ bounded sample of them, and a temperature, fitted on a part of it set aside, cal
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -16,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import empty_text, ready, slices
+from spanloom.llm.common import empty_text, in_one_task, ready, slices
 
 FEATURES = 1 << 14
 #: Rows that the weights are trained on, at most: of each language, of all together, and yet so many of each language.
@@ -84,8 +86,9 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def _document_frequencies(batches):
-    df, n = np.zeros(FEATURES, np.int64), 0
+    df, n, rows = np.zeros(FEATURES, np.int64), 0, Counter()
     for batch in batches:
+        rows.update(batch.column("lang").to_pylist())
         for text in batch.column("text").to_pylist():
             c = counts(text)
             if c is not None:
@@ -93,7 +96,8 @@ def _document_frequencies(batches):
                 n += 1
     at = np.flatnonzero(df)
     if n:
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, at), pa.int32()), pa.array(np.append(n, df[at]))], ["feature", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, at), pa.int32()), pa.nulls(len(at) + 1, pa.string()), pa.array(np.append(n, df[at]))], ["feature", "lang", "n"])
+    yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int32()), pa.array(list(rows), pa.string()), pa.array(list(rows.values()), pa.int64())], ["feature", "lang", "n"])
 
 
 def _rows(batches):
@@ -138,31 +142,13 @@ def _temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return at
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """A model from documents with a language that are not held out; None if none has a letter.
-
-    Only text and language are looked at. Document frequencies cover all of these documents, and every language is
-    learned; weights are trained on the first rows of each language by a hash of the id, ROWS_PER_LANGUAGE or an equal
-    share of ROWS, but LEAST_ROWS at least.
-    """
-    ready(docs.sparkSession)
-    learn = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~F.coalesce(held_out(id_col), F.lit(False)))
-    learn = learn.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    df = learn.select("text").mapInArrow(_document_frequencies, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).toPandas()  # at most FEATURES + 1 rows
-    n = np.zeros(FEATURES + 1, np.int64)
-    n[df.feature.to_numpy()] = df.n.to_numpy()  # place -1 has the documents
-    idf = np.log((1 + n[-1]) / (1 + n[:-1])) + 1
-    share = ROWS // max(1, learn.select(F.count_distinct("lang")).first()[0])
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = learn.select("id", "lang").withColumn("r", F.row_number().over(first)).where(F.col("r") <= min(ROWS_PER_LANGUAGE, max(LEAST_ROWS, share))).select("id", "lang")
-    rows = learn.join(F.broadcast(chosen), ["id", "lang"], "left_semi").select("lang", "text").mapInArrow(_rows, "lang string, at array<int>, n array<int>").toArrow()
-    if not rows.num_rows:
-        return None
+def train(rows: pa.Table, idf: np.ndarray) -> Model:
+    """A model from rows (lang, at, n): the features of a text and their counts. Every tenth row calibrates."""
     rows = rows.combine_chunks()
-    rows = rows.take(np.lexsort((pc.list_value_length(rows.column("at")).to_numpy(), np.array(rows.column("lang").to_pylist()))))
-    languages = sorted(set(rows.column("lang").to_pylist()))
-    place = {lang: i for i, lang in enumerate(languages)}
-    y = np.array([place[lang] for lang in rows.column("lang").to_pylist()])
+    lang, size = np.array(rows.column("lang").to_pylist()), pc.list_value_length(rows.column("at")).to_numpy()
+    marks = np.array([zlib.crc32(at.values.to_numpy().tobytes()) for at in rows.column("at")])
+    rows = rows.take(np.lexsort((marks, size, lang)))
+    languages, y = np.unique(np.sort(lang), return_inverse=True)
     x = []
     for at, c in zip(rows.column("at"), rows.column("n"), strict=True):
         full = np.zeros(FEATURES)
@@ -173,11 +159,39 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     taught = [i for i in range(len(x)) if not aside[i]] or list(range(len(x)))
     w, b = ftrl([x[i] for i in taught], y[taught], len(languages))
     w = w.astype(np.float32)
-    model = Model(languages, idf, np.append(0, np.cumsum((w != 0).sum(axis=1))), np.nonzero(w)[1].astype(np.int32), w[w != 0], b, 1.0)
+    model = Model(languages.tolist(), idf, np.append(0, np.cumsum((w != 0).sum(axis=1))), np.nonzero(w)[1].astype(np.int32), w[w != 0], b, 1.0)
     model.temperature = _temperature(np.array([model.logits(*x[i]) for i in np.flatnonzero(aside)]), y[aside])
     return model
 
 
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
+    """A model from documents with a language that are not held out; None if none has a letter.
+
+    Only text and language are looked at. Document frequencies cover all of these documents, and every language is
+    learned; weights are trained on the first rows of each language by a hash of the id, ROWS_PER_LANGUAGE or an equal
+    share of ROWS, but LEAST_ROWS at least; they meet in one task, and only the model comes to the driver.
+    """
+    spark = ready(docs.sparkSession)
+    learn = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~F.coalesce(held_out(id_col), F.lit(False)))
+    learn = learn.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    # At most FEATURES + 1 rows, and one for each language.
+    found = learn.select("lang", "text").mapInArrow(_document_frequencies, "feature int, lang string, n long").groupBy("feature", "lang").agg(F.sum("n").alias("n")).toArrow()
+    told = found.filter(pc.is_valid(found.column("feature")))
+    rows = {r["lang"]: r["n"] for r in found.filter(pc.is_valid(found.column("lang"))).to_pylist()}
+    if not told.num_rows:
+        return None
+    n = np.zeros(FEATURES + 1, np.int64)
+    n[told.column("feature").to_numpy()] = told.column("n").to_numpy()  # place -1 has the documents
+    idf = np.log((1 + n[-1]) / (1 + n[:-1])) + 1
+    most = min(ROWS_PER_LANGUAGE, max(LEAST_ROWS, ROWS // len(rows)))
+    # A bound on a hash, wide enough for three times as many rows, comes first, so no task gets all rows of a language.
+    bounds = spark.createDataFrame([(lang, min(1 << 32, (3 * most << 32) // r)) for lang, r in rows.items()], "lang string, bound long")
+    near = learn.join(F.broadcast(bounds), "lang").where(F.pmod(F.xxhash64("id", "text", F.lit(1)), F.lit(1 << 32)) < F.col("bound"))
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", F.xxhash64("text"))
+    chosen = near.withColumn("r", F.row_number().over(first)).where(F.col("r") <= most)
+    return in_one_task(chosen.select("lang", "text").mapInArrow(_rows, "lang string, at array<int>, n array<int>"), lambda given: train(given, idf))
+
+
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text", lang_into: str = "lang_pred", score_into: str = "lang_score") -> DataFrame:
     """docs with the likeliest learned language of each whole text, and its probability.
 

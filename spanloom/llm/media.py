@@ -2,7 +2,8 @@
 
 The writer puts a payload into the ancillary part of silent, CRC-protected frames, behind an ID3v2 tag and a frame with
 a variable-bitrate table. The reader takes any MPEG audio: it parses tags, resynchronises on frame headers, reads the
-table, verifies checksums, and gives exact durations and frame offsets.
+table (Xing, Info or VBRI), verifies the checksums of Layers I and III (those of Layer II cover bits that further
+tables of the format place, and are not verified), and gives exact durations and frame offsets.
 """
 
 from __future__ import annotations
@@ -100,28 +101,76 @@ def write_stream(payload: bytes, n_bytes: int) -> bytes:
     return tag + first + bytes(288 - len(first)) + b"".join(frames)
 
 
+def _tags(data: bytes) -> tuple[int, dict[str, bytes]]:
+    """Where the ID3v2 tag at the front ends, and its frames by name."""
+    if len(data) < 10 or data[:3] != b"ID3":
+        return 0, {}
+    safe = lambda at: sum((data[at + i] & 127) << s for i, s in enumerate((21, 14, 7, 0)))
+    major = data[3]
+    end = min(len(data), 10 + safe(6))
+    name, head = (3, 6) if major == 2 else (4, 10)
+    found, k = {}, 10
+    while k + head <= end and data[k] != 0:
+        # Version 4 has 7 bits in each byte of a frame's size, the older ones have 8.
+        n = safe(k + 4) if major >= 4 else int.from_bytes(data[k + name : k + name + (3 if major == 2 else 4)], "big")
+        found[data[k : k + name].decode("latin-1")] = data[k + head : min(k + head + n, end)]
+        k += head + n
+    return end, found
+
+
+def _table(data: bytes, at: int, side: int) -> dict | None:
+    """The variable-bitrate table in the frame at a place: Xing or Info behind the side information, VBRI at a fixed place."""
+    k = at + 4 + side
+    if data[k : k + 4] in (b"Xing", b"Info") and k + 8 <= len(data):
+        flags, k, out = struct.unpack(">I", data[k + 4 : k + 8])[0], k + 8, {}
+        for bit, name in ((1, "frames"), (2, "bytes")):
+            if flags & bit and k + 4 <= len(data):
+                out[name] = struct.unpack(">I", data[k : k + 4])[0]
+                k += 4
+        return out | {"toc": data[k : k + 100] if flags & 4 else b""}
+    k = at + 36
+    if data[k : k + 4] == b"VBRI" and k + 26 <= len(data):
+        size, frames, entries, scale, width = struct.unpack(">IIHHH", data[k + 10 : k + 24])
+        raw = data[k + 26 : k + 26 + entries * width]
+        return {"frames": frames, "bytes": size, "toc": raw, "steps": [scale * int.from_bytes(raw[i : i + width], "big") for i in range(0, len(raw), width)] if width else []}
+    return None
+
+
+def _checked(data: bytes, at: int, layer: int, channels: int, side: int) -> bool | None:
+    """Whether a protected frame's checksum is right; None for Layer II, whose protected bits depend on more tables."""
+    if layer == 3:
+        covered = data[at + 6 : at + 6 + side]
+    elif layer == 1:
+        mode = data[at + 3] >> 6
+        bound = 4 * ((data[at + 3] >> 4 & 3) + 1) if mode == 1 else 32
+        covered = data[at + 6 : at + 6 + (16 if channels == 1 else (32 + bound) // 2)]
+    else:
+        return None
+    return crc16(data[at + 2 : at + 4] + covered) == int.from_bytes(data[at + 4 : at + 6], "big")
+
+
 def read_stream(data: bytes) -> dict:
-    """What a stream has: tags, table, frames with offsets, checksums, duration, and the payload of our own writer."""
-    at, end, tags = 0, len(data), {}
-    if end >= 10 and data[:3] == b"ID3":
-        size = sum((data[6 + i] & 127) << s for i, s in enumerate((21, 14, 7, 0)))
-        at, k = min(end, 10 + size), 10
-        while k + 10 <= at and data[k] != 0:
-            n = sum((data[k + 4 + i] & 127) << s for i, s in enumerate((21, 14, 7, 0)))
-            tags[data[k : k + 4].decode("latin-1")] = data[k + 10 : min(k + 10 + n, at)]
-            k += 10 + n
-    if end - at >= 128 and data[end - 128 : end - 125] == b"TAG":
-        end -= 128
-        tags["TAG"] = data[end + 3 : end + 128]
+    """What a stream has: tags, table, frames with offsets, checksums, duration, and the payload of our own writer.
+
+    An ID3v1 tag is only taken where the frames leave off 128 bytes before the end: what frames hold may look like one.
+    The payload is None where the frames hold less than the tag tells.
+    """
+    end = len(data)
+    at, tags = _tags(data)
     offsets, parts, samples, rate, skipped, resyncs, bad, good, rates, table = [], [], 0, 0, 0, 0, 0, 0, set(), None
     sure, kind = True, None
     while at < end:
         h = header(data, at)
+        if h is None and end - at == 128 and data[at : at + 3] == b"TAG":
+            tags["TAG"] = data[at + 3 :]
+            break
         # A header that differs from the stream's own in version, layer, rate or channels is chance.
         odd = h is not None and kind is not None and (h[0], h[1], h[4], h[5]) != kind
         if h is None or odd or at + h[2] > end or not sure and at + h[2] < end and header(data, at + h[2]) is None:
             nxt = data.find(b"\xff", at + 1, end)
             nxt = end if nxt < 0 else nxt
+            if at < end - 128 < nxt and data[end - 128 : end - 125] == b"TAG":
+                nxt = end - 128
             skipped += nxt - at
             resyncs += sure
             at, sure = nxt, False
@@ -131,19 +180,14 @@ def read_stream(data: bytes) -> dict:
         kind = kind or (version, layer, rate, channels)
         side = (17 if channels == 1 else 32) if version == 1 else (9 if channels == 1 else 17)
         head = 4 + 2 * protected + side
-        if table is None and not offsets and layer == 3 and data[at + 4 + side : at + 8 + side] in (b"Xing", b"Info"):
-            flags, k = struct.unpack(">I", data[at + 8 + side : at + 12 + side])[0], at + 12 + side
-            table = {}
-            for bit, name in ((1, "frames"), (2, "bytes")):
-                if flags & bit:
-                    table[name] = struct.unpack(">I", data[k : k + 4])[0]
-                    k += 4
-            table["toc"] = data[k : k + 100] if flags & 4 else b""
-            at += size
-            continue
-        if protected and layer == 3:
-            ok = crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + side]) == struct.unpack(">H", data[at + 4 : at + 6])[0]
-            good, bad = good + ok, bad + (not ok)
+        if table is None and not offsets and layer == 3:
+            table = _table(data, at, side)
+            if table is not None:
+                at += size
+                continue
+        if protected:
+            ok = _checked(data, at, layer, channels, side)
+            good, bad = good + (ok is True), bad + (ok is False)
         offsets.append(at)
         parts.append(data[at + head : at + size] if layer == 3 else b"")
         samples += n
@@ -154,7 +198,7 @@ def read_stream(data: bytes) -> dict:
         size, used = (int(x) for x in tags["TXXX"][9:].split(b"/"))
     return {
         "offsets": offsets, "samples": samples, "rate": rate, "skipped": skipped, "resyncs": resyncs, "crc_good": good, "crc_bad": bad, "vbr": len(rates) > 1, "table": table,
-        "tags": sorted(tags), "payload": b"".join(parts)[:size] if size <= sum(map(len, parts)) else b"", "n_bytes": used,
+        "tags": sorted(tags), "payload": b"".join(parts)[:size] if size <= sum(map(len, parts)) else None, "n_bytes": used,
     }
 
 
@@ -185,7 +229,10 @@ READ = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long
 
 
 def describe(rows: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """(doc_id, ...READ): what each stream holds. A null stream counts as an empty one: no frames, no payload."""
+    """(doc_id, ...READ): what each stream holds. A null stream counts as an empty one: no frames, no payload.
+
+    A stream whose frames hold less than its tag tells has a null payload size and digests.
+    """
     ready(rows.sparkSession)
 
     def run(batches):
@@ -197,7 +244,8 @@ def describe(rows: DataFrame, id_col: str = "doc_id", media_col: str = "media")
                 p, seek = x["payload"], struct.pack(f"<{len(x['offsets'])}Q", *x["offsets"])
                 t = x["table"] or {}
                 feature = f"frames={len(x['offsets'])};samples={x['samples']};rate={x['rate']};vbr={int(x['vbr'])};table={t.get('frames', 0)}/{t.get('bytes', 0)};crc={x['crc_good']}/{x['crc_bad']};resyncs={x['resyncs']};skipped={x['skipped']};tags={'+'.join(x['tags'])};seek={zlib.crc32(seek):08x}"
-                out.append((x["n_bytes"], len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-BLOCK:]), len(data), hashlib.sha256(data).hexdigest(), feature, x["samples"] / x["rate"] if x["rate"] else 0.0, x["offsets"]))
+                told = (None, None, None) if p is None else (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-BLOCK:]))
+                out.append((x["n_bytes"], *told, len(data), hashlib.sha256(data).hexdigest(), feature, x["samples"] / x["rate"] if x["rate"] else 0.0, x["offsets"]))
             cols = list(zip(*out, strict=True)) if out else [[]] * 9
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.int64())]
             names = [x.split()[0] for x in READ.split(", ")]

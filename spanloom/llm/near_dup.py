@@ -4,10 +4,14 @@
    zero count and the mantissa bits after the first one. Texts with one set are one class with one representative.
 2. Bands of 4 registers bring representatives together. Within a bucket, those whose estimated similarity, corrected
    for chance collisions of registers, comes near the threshold are joined to families; only the joins of a spanning
-   forest leave the task. Buckets with the same members count once; large ones are dealt out as pairs of blocks.
+   forest leave the task. Buckets with the same members count once.
 3. Families meet again with their texts, and links are confirmed on the full sets; again only a spanning forest leaves.
    Every pair that meets in a bucket and passes the estimate is in one family, so no confirmed link is lost here.
 
+A large bucket or family is dealt out in blocks, and its least member, the pivot, comes to each of them. Members that this
+joins to the pivot need no more comparing with each other: only the rest meets all blocks, in pairs of blocks. So a large
+group of copies costs one pass, and no pair of members is left out that could still join something.
+
 A pair at similarity 0.8 shares no band with probability (1 - 0.8^4)^32 < 1e-7 (at 0.85: 1e-10), and fails the estimate, 5 standard
 deviations below the threshold, with probability below 1e-6.
 """
@@ -19,14 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import empty_text, groups, key_filter, partitions, passing, ready, slices, starts, utf8, written
+from spanloom.llm.common import empty_text, groups, key_filter, meet, partitions, passing, ready, slices, starts, utf8, written
 from spanloom.llm.graph import components
 
 WORDS = 5
 BUCKET_BITS, MANTISSA = 7, 10
 REGISTERS = 1 << BUCKET_BITS
 BAND = 4
-#: Members of a block, and shingles in it: larger buckets and families are dealt out as pairs of blocks.
+#: Members of a block, and shingles in it: larger buckets and families are dealt out in blocks.
 BLOCK, BLOCK_SHINGLES = 1024, 500_000
 DEVIATIONS = 5.0
 STRETCH = 1 << 22
@@ -283,12 +287,43 @@ def _links(percent: int):
     return run
 
 
-def _dealt(members: DataFrame, key: str, blocks) -> DataFrame:
-    """members with block columns i and j: once where one block does, else once for each pair with the own block."""
-    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    others = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    pairs = F.transform(others, lambda o: F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j")))
-    return members.withColumn("blocks", blocks.cast("long")).withColumn("pair", F.explode(pairs)).withColumn("i", F.col("pair.i")).withColumn("j", F.col("pair.j")).drop("pair", "blocks")
+def _blocks(members: DataFrame) -> DataFrame:
+    """members (key, node, n, pivot, blocks) with block columns i and j, j always 0: each in its own, the pivot in all."""
+    own = F.array(F.pmod(F.xxhash64("node"), F.col("blocks")))
+    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    return members.select("key", F.explode(F.when(F.col("node") == F.col("pivot"), every).otherwise(own)).alias("i"), F.lit(0).cast("long").alias("j"), "node")
+
+
+def _pairs_of_blocks(members: DataFrame, labels: DataFrame) -> DataFrame | None:
+    """Members of groups of several blocks that are not all joined to their pivot by labels (u, root), with columns i
+    and j: the rest in all pairs of its block with another, those with the pivot in pairs with a block of the rest.
+    None if there are none.
+    """
+    large = members.where("blocks > 1")
+    if large.isEmpty():
+        return None
+    root = lambda c: labels.select(F.col("u").alias(c), F.col("root").alias(f"{c}_root"))
+    pivots = large.groupBy("key").agg(F.first("pivot").alias("pivot"), F.count(F.lit(1)).alias("rows")).join(root("pivot"), "pivot", "left")
+    pivots = pivots.select("key", "rows", F.coalesce("pivot_root", "pivot").alias("lead"))
+    own = large.join(root("node"), "node", "left").select("key", "node", "n", F.coalesce("node_root", "node").alias("own"))
+    total = large.count()
+    told = written(meet(own, pivots, "key", "rows", total).select("key", "node", "n", (F.col("own") == F.col("lead")).alias("same")))
+    blocks = lambda of: F.greatest(F.ceil(F.count_if(of) / BLOCK), F.ceil(F.coalesce(F.sum(F.when(of, F.col("n"))), F.lit(0)) / BLOCK_SHINGLES)).cast("long")
+    sizes = told.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), blocks(~F.col("same")).alias("rest"), blocks(F.col("same")).alias("joined")).where("rest > 0")
+    if sizes.isEmpty():
+        return None
+    met = meet(told, sizes, "key", "rows", total)
+    place = F.when(F.col("same"), F.col("rest") + F.pmod(F.xxhash64("node"), F.col("joined"))).otherwise(F.pmod(F.xxhash64("node"), F.col("rest")))
+    others = F.sequence(F.lit(0).cast("long"), F.col("rest") - 1 + F.when(F.col("same"), 0).otherwise(F.col("joined")))
+    met = met.withColumn("own", place).withColumn("other", F.explode(others))
+    return met.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node")
+
+
+def _joined(members: DataFrame, pairs) -> DataFrame:
+    """Components (u, root) of what pairs(members in blocks) finds: first by block, then in pairs of blocks for the rest."""
+    labels = components(pairs(_blocks(members)))
+    rest = _pairs_of_blocks(members, labels)
+    return labels if rest is None else components(labels.withColumnRenamed("root", "v").unionByName(pairs(rest)))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -307,22 +342,31 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     classes = written(signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*alike).agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch")))
     bands = classes.select("node", "sketch").mapInArrow(_bands, "node long, key long")
     # Buckets with at least two members; of those with the same members, one.
-    buckets = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("node")).alias("who")).where("size > 1")
-    buckets = written(buckets.groupBy("size", "who").agg(F.min("key").alias("key")).select("key", "size"))
-    members = passing(bands, "key", key_filter(buckets, "key")).join(buckets, "key")
-    met = written(_dealt(members, "key", F.ceil(F.col("size") / BLOCK)).select("key", "i", "j", "node"))
-    sketches = classes.select("node", F.col("n_shingles").alias("n"), "sketch")
+    buckets = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("node")).alias("who"), F.min("node").alias("pivot")).where("size > 1")
+    buckets = written(buckets.groupBy("size", "who").agg(F.min("key").alias("key"), F.min("pivot").alias("pivot")).select("key", "size", "pivot"))
+    total = buckets.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    members = meet(passing(bands, "key", key_filter(buckets, "key")), buckets, "key", "size", total)
+    members = written(members.select("key", "node", F.lit(0).cast("long").alias("n"), "pivot", F.ceil(F.col("size") / BLOCK).cast("long").alias("blocks")))
+    sketches = passing(classes.select("node", F.col("n_shingles").alias("n"), "sketch"), "node", key_filter(members, "node"))
     tasks = partitions(spark)
-    near = met.join(passing(sketches, "node", key_filter(met, "node")), "node").select("key", "i", "j", "node", "n", "sketch")
-    near = near.repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_families(least), "u long, v long")
-    families = components(near)
-    families = families.unionByName(families.select(F.col("root").alias("u"), "root").distinct()).withColumnRenamed("u", "node")
-    families = written(families.join(classes.select("node", "n_shingles"), "node"))
-    sizes = families.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.sum("n_shingles").alias("shingles"))
-    members = _dealt(families.join(sizes, "root"), "root", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES))).select("node", "root", "i", "j")
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), empty_text(text_col).alias("text"))
-    met = passing(texts, "node", key_filter(families, "node")).join(members, "node").select("root", "i", "j", "node", "text").repartition(tasks, "root", "i", "j").sortWithinPartitions("root", "i", "j")
-    links = components(met.mapInArrow(_links(percent), "u long, v long"))
+
+    def alike_pairs(met: DataFrame) -> DataFrame:
+        near = met.join(sketches, "node").select("key", "i", "j", "node", "n", "sketch")
+        return near.repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_families(least), "u long, v long")
+
+    families = _joined(members, alike_pairs)
+    families = families.unionByName(families.select(F.col("root").alias("u"), "root").distinct())
+    families = written(families.select(F.col("u").alias("node"), F.col("root").alias("key")).join(classes.select("node", F.col("n_shingles").alias("n")), "node"))
+    sizes = families.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"))
+    members = meet(families, sizes, "key", "size", families.count())
+    members = written(members.select("key", "node", "n", F.col("key").alias("pivot"), F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("long").alias("blocks")))
+    texts = passing(docs.select(F.col(id_col).cast("long").alias("node"), empty_text(text_col).alias("text")), "node", key_filter(families, "node"))
+
+    def confirmed_pairs(met: DataFrame) -> DataFrame:
+        found = texts.join(met, "node").select(F.col("key").alias("root"), "i", "j", "node", "text")
+        return found.repartition(tasks, "root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(_links(percent), "u long, v long")
+
+    links = _joined(members, confirmed_pairs)
     roots = classes.select(*alike, "node").join(links.select(F.col("u").alias("node"), "root"), "node", "left").select(*alike, F.coalesce("root", "node").alias("component_id"))
     return signed.select("doc_id", *alike).join(roots, alike, "left").select(
         "doc_id",

@@ -169,7 +169,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str
     short = pieces.where(F.octet_length("unit") <= SHORT)
     top = short.where(F.col("n") >= _least_common(short)).select("unit", "pieces").toArrow()
     common = spark.sparkContext.broadcast(dict(zip(top.column(0).to_pylist(), top.column(1).to_pylist(), strict=True)))
-    rows = texts.withColumn("mark", F.crc32("text")).mapInArrow(_frequencies(tokenizer, common), "doc_id long, mark long, unit string, f int, done long, n_bytes long")
+    rows = texts.withColumn("mark", F.xxhash64("text", F.octet_length("text"))).mapInArrow(_frequencies(tokenizer, common), "doc_id long, mark long, unit string, f int, done long, n_bytes long")
     # One row per document stays as it is; the rare pre-tokens find their counts. Both meet in one sum by document.
     heads = rows.where(F.col("unit").isNull()).select("doc_id", "mark", "done", "n_bytes", F.lit(1).alias("copies"))
     tails = rows.where(F.col("unit").isNotNull()).join(pieces.select("unit", "pieces"), "unit").select("doc_id", "mark", (F.col("pieces") * F.col("f")).cast("long").alias("done"), F.lit(None).cast("long").alias("n_bytes"), F.lit(0).alias("copies"))

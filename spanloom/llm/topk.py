@@ -30,14 +30,10 @@ def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> D
     )
 
 
-def _matrix(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the commonest length as a matrix, and which rows these are."""
-    sizes = np.diff(column.offsets.to_numpy())
+def _matrix(column: pa.ListArray) -> np.ndarray:
+    """Rows of one length as a matrix."""
     flat = column.flatten().to_numpy(zero_copy_only=False)
-    dim = int(sizes[0]) if len(sizes) else 0
-    if len(sizes) and (sizes == dim).all():
-        return flat.reshape(len(sizes), dim), np.arange(len(sizes))
-    raise ValueError("vectors of one block must have one length")
+    return flat.reshape(len(column), -1)
 
 
 def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -54,7 +50,7 @@ def _scored(block, batches):
     for batch in batches:
         for at in range(0, batch.num_rows, CHUNK):
             part = batch.slice(at, CHUNK)
-            c, _ = _matrix(part.column("v"))
+            c = _matrix(part.column("v"))
             cid = part.column("id").to_numpy()
             s = _scores(q, c)
             yield cid, s, ids[:, None] == cid[None, :]
@@ -151,26 +147,28 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
     """The k rows of `vectors` with the highest inner product for each row of `queries`, without the query's own id.
 
     Returns (query_id, rank from 1, vec_id, score); fewer than k rows where there are fewer candidates. Rows with a
-    null id, a null or empty vector, or null or non-finite components take no part. All vectors must have one length.
-    Ties go to the smaller id; rows that repeat an id count as often as they are there. Empty tables give no rows.
-    Queries are taken in blocks of QUERIES_PER_BLOCK, so what is broadcast is bounded; other columns are ignored.
+    null id, a null or empty vector, or null or non-finite components take no part. A query meets the vectors of its own
+    length. Ties go to the smaller id; rows that repeat an id count as often as they are there. Empty tables give no rows.
+    Queries are taken in blocks of at most QUERIES_PER_BLOCK, one after another, so what is broadcast is bounded; each
+    block's scoring has all tasks. Of queries that repeat an id
+    the one with the least vector is asked. Other columns are ignored.
     """
     spark = ready(vectors.sparkSession)
-    candidates = quantised(vectors, id_col, vector_col, scale)
-    asked = quantised(queries, id_col, vector_col, scale)
-    asked = asked.withColumn("block", F.xxhash64("id"))
-    n_blocks = max(1, -(-asked.count() // (QUERIES_PER_BLOCK // 2)))
+    candidates = quantised(vectors, id_col, vector_col, scale).withColumn("size", F.size("v"))
+    asked = quantised(queries, id_col, vector_col, scale).groupBy("id").agg(F.min("v").alias("v")).withColumn("size", F.size("v"))
+    sizes = {r["size"]: r["count"] for r in asked.groupBy("size").count().collect()}
+    blocks = [(size, b, n) for size, count in sorted(sizes.items()) for n in [-(-count // (QUERIES_PER_BLOCK // 2))] for b in range(n)]
+    if len(blocks) > 1:  # each block reads both again
+        candidates = written(candidates)
+        asked = written(asked)
     out = None
-    if n_blocks > 1:
-        asked = written(asked.withColumn("block", F.pmod("block", F.lit(n_blocks))).repartition(n_blocks, "block"))
-    for b in range(n_blocks):
-        rows = (asked if n_blocks == 1 else asked.where(F.col("block") == b)).select("id", "v").dropDuplicates(["id"]).toArrow()
+    for size, b, n in blocks:
+        own = F.col("size") == size
+        rows = asked.where(own & (F.pmod(F.xxhash64("id"), F.lit(n)) == b)).select("id", "v").toArrow()
         if not rows.num_rows:
             continue
         rows = rows.combine_chunks().sort_by("id")
-        vectors_ = rows.column("v").chunk(0) if rows.column("v").num_chunks else rows.column("v")
-        q, _ = _matrix(vectors_)
-        found = _block(spark, candidates, rows.column("id").to_numpy(), q, k)
+        found = _block(spark, candidates.where(own).select("id", "v"), rows.column("id").to_numpy(), _matrix(rows.column("v").combine_chunks()), k)
         out = found if out is None else out.unionByName(found)
     if out is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")

@@ -17,15 +17,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import empty_text, first_by_hash, ready, slices
+from spanloom.llm.common import empty_text, first_by_hash, in_one_task, ready, slices
 from spanloom.llm.near_dup import _PLACE, _mix, _words
 
-#: Labelled documents that the fit sees at most: the first by a hash of their ids, of up to so many bytes each.
-TOXIC_ROWS, ORDINARY_ROWS, ROW_BYTES = 2000, 4500, 50_000
+#: Labelled documents that the fit sees at most: the first by a hash of their ids. Of a longer text it sees about so many
+#: characters, in stretches spread evenly over the whole of it.
+TOXIC_ROWS, ORDINARY_ROWS, ROW_CHARS, STRETCHES = 2000, 6000, 50_000, 25
 WINDOW_WORDS = 16
 ORDINARY_BYTES, HARD_BYTES, TOXIC_BYTES = 16384, 4096, 1536
 SEGMENT, SHINGLE = 16, 6
-ENRICHED, CONTEXTS, ROUNDS, STRIDE = 6.0, 6, 3, 3
+ENRICHED, CONTEXTS, ROUNDS = 6.0, 6, 3
 THRESHOLD = 0.7
 #: Stops and signs that end words in the toxic dictionary's samples.
 _TO_BLANK = bytes.maketrans(b".,;:!?|*%#\"'()", b" " * 14)
@@ -70,6 +71,8 @@ def windows(text: bytes) -> list[bytes]:
 def _sizes(compressor, parts: list[bytes]) -> np.ndarray:
     import zstandard as zs
 
+    if not parts:
+        return np.zeros(0, np.int64)
     length = np.fromiter(map(len, parts), np.uint64, len(parts))
     at = np.cumsum(length) - length
     out = compressor.multi_compress_to_buffer(zs.BufferWithSegments(b"".join(parts), np.stack([at, length], 1).astype("<u8").tobytes()), threads=0)
@@ -83,9 +86,16 @@ class _Scorer:
     def gains(self, parts: list[bytes]) -> np.ndarray:
         return _sizes(self.ordinary, parts) - _sizes(self.toxic, parts)
 
-    def features(self, texts: list[bytes]) -> np.ndarray:
+    def features(self, texts: list[bytes], known: dict[bytes, int] | None = None) -> np.ndarray:
+        """Features of each text; `known` has gains of windows that were found before."""
         split = [windows(t) for t in texts]
-        gain = self.gains([w for x in split for w in x]).astype(float)
+        each = [w for x in split for w in x]
+        if known:
+            new = [w for w in dict.fromkeys(each) if w not in known]
+            known.update(zip(new, self.gains(new).tolist(), strict=True))
+            gain = np.array([known[w] for w in each], float)
+        else:
+            gain = self.gains(each).astype(float)
         out, at = np.zeros((len(texts), 13)), 0
         for row, x in zip(out, split, strict=True):
             g = np.sort(gain[at : at + len(x)])[::-1]
@@ -153,17 +163,16 @@ def train(toxic: list[bytes], ordinary: list[bytes], share: float | None = None)
         if own:
             words.append(b" " + b" ".join(own) + b" ")
     toxic_part = _dictionary(words, TOXIC_BYTES) if words else b""
-    # Of the sampled ordinary texts, one window in STRIDE is a training sample.
-    plain = [w for k, t in enumerate(ordinary) for w in windows(t)[k % STRIDE :: STRIDE]]
-    plain = list(dict.fromkeys(plain))
+    plain = list(dict.fromkeys(w for t in ordinary for w in windows(t)))
     base, hard = _dictionary(plain[::2], ORDINARY_BYTES), []
     for _ in range(ROUNDS):
         front = _dictionary(hard, HARD_BYTES) if len(hard) > 100 else b""
         scorer = _Scorer(front + base, toxic_part)
         gain = scorer.gains(plain)
         hard = list(dict.fromkeys([*hard, *(w for w, g in zip(plain, gain, strict=True) if g >= 3)]))
-    x = np.concatenate([scorer.features(part[i : i + 256]) for part in (toxic, ordinary) for i in range(0, len(part), 256)])
-    y = np.concatenate([np.ones(len(toxic)), np.zeros(len(ordinary))])
+    known = dict(zip(plain, gain.tolist(), strict=True))
+    x = np.concatenate([scorer.features(part[i : i + 256], known) for part in (ordinary, toxic) for i in range(0, len(part), 256)])
+    y = np.concatenate([np.zeros(len(ordinary)), np.ones(len(toxic))])
     centre, spread = x.mean(axis=0), x.std(axis=0) + 1e-9
     w = _logistic(np.c_[(x - centre) / spread, np.ones(len(x))], y)
     if share is not None and 0 < share < 1:
@@ -176,24 +185,40 @@ def held_out(id_col: str | Column) -> Column:
     return F.crc32(F.col(id_col) if isinstance(id_col, str) else id_col) % 3 == 1
 
 
+def excerpt(text: Column) -> Column:
+    """A text of up to ROW_CHARS characters, or STRETCHES stretches of equal length spread evenly over a longer one."""
+    size = ROW_CHARS // STRETCHES
+    step = (F.length(text) - size) / (STRETCHES - 1)
+    parts = F.transform(F.sequence(F.lit(0), F.lit(STRETCHES - 1)), lambda k: F.substr(text, F.floor(k * step).cast("int") + 1, F.lit(size)))
+    return F.when(F.length(text) <= ROW_CHARS, text).otherwise(F.array_join(parts, " "))
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
     """A model from labelled documents that are not held out; None if there are not both kinds.
 
-    Labels join by id; null ids, labels and texts teach nothing. At most TOXIC_ROWS + ORDINARY_ROWS documents of up to
-    ROW_BYTES bytes reach the driver. The share of toxic ones is counted over all labels.
+    Labels join by id; null ids, labels and texts teach nothing; of rows that share an id one text is seen, the least.
+    At most TOXIC_ROWS + ORDINARY_ROWS documents, each cut by excerpt(), meet in one task, which trains; only the model
+    comes to the driver. The share of toxic ones is counted over all labels.
     """
     ready(docs.sparkSession)
     learn = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col).cast("string").cast("binary")))
     learn = learn.groupBy(F.col(id_col).alias("__id")).agg(F.max((F.col(label_col) == 1).cast("int")).alias("__y"))
-    texts = docs.where(F.col(text_col).isNotNull() & (F.octet_length(text_col) <= ROW_BYTES))
     count = {r["__y"]: r["count"] for r in learn.groupBy("__y").count().collect()}
     share = count.get(1, 0) / max(1, sum(count.values()))
-    found = {}
+    ids = None
     for y, most in ((1, TOXIC_ROWS), (0, ORDINARY_ROWS)):
-        ids = first_by_hash(learn.where(F.col("__y") == y), "__id", most, count.get(y, 0))
-        rows = texts.join(F.broadcast(ids), F.col(id_col) == F.col("__id")).select(F.col("__id"), F.col(text_col).alias("t")).dropDuplicates(["__id"]).toArrow().sort_by("__id")
-        found[y] = [t.encode() for t in rows.column("t").to_pylist()]
-    return train(found[1], found[0], share)
+        some = first_by_hash(learn.where(F.col("__y") == y), "__id", most, count.get(y, 0))
+        ids = some if ids is None else ids.unionByName(some)
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t"))
+    rows = texts.join(F.broadcast(ids), "__id").select("__id", "__y", excerpt(F.col("__t")).alias("__t"))
+    rows = rows.groupBy("__id", "__y").agg(F.min("__t").alias("__t"))
+
+    def make(given: pa.Table) -> Model | None:
+        given = given.sort_by([("__id", "ascending")])
+        y, t = given.column("__y").to_numpy(), [x.encode() for x in given.column("__t").to_pylist()]
+        return train([x for x, k in zip(t, y, strict=True) if k == 1], [x for x, k in zip(t, y, strict=True) if k == 0], share)
+
+    return in_one_task(rows, make)
 
 
 def score(docs: DataFrame, model: Model | None, text_col: str = "text", into: str = "toxicity") -> DataFrame:
