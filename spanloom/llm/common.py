@@ -4,9 +4,6 @@ from __future__ import annotations
 
 import os
 import pickle
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -15,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.sources.scratch import removed, scratch, written
+
 ROOT = str(Path(__file__).resolve().parents[2])
 ROWS_PER_BATCH = 512
 
@@ -33,38 +32,6 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder's path below spark.checkpoint.dir, which all executors share.
-
-    Where that setting is missing, a session on one machine (tests) gets a temporary folder, a cluster its warehouse.
-    """
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not base:
-        alone = re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", sc.master)
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch")
-        base = sc.getCheckpointDir()
-    return f"{base.rstrip('/')}/spanloom-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """The rows of df, written once as Parquet in the shared folder: lineage ends here and executors may go."""
-    spark = df.sparkSession
-    path = scratch(spark)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.written_at = path
-    return out
-
-
-def removed(*tables: DataFrame) -> None:
-    """Delete what written() wrote for these tables, once nothing reads them any more."""
-    for t in tables:
-        sc = t.sparkSession.sparkContext
-        path = sc._jvm.org.apache.hadoop.fs.Path(t.written_at)
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def in_one_task(rows: DataFrame, make: Callable[[pa.Table], object]):
     """make(all rows), run in one task; its pickled result comes back. For samples of a fixed bound: a model's fit.
 
@@ -74,14 +41,26 @@ def in_one_task(rows: DataFrame, make: Callable[[pa.Table], object]):
 
     def run(batches):
         got = [b for b in batches if b.num_rows]
-        given = pa.Table.from_batches(got) if got else None
-        if given is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(make(given.select(names)))], pa.binary())], ["made"])
+        if got:
+            made = pickle.dumps(make(pa.Table.from_batches(got).select(names)))
+            got.clear()
+            give_back()
+            yield pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], ["made"])
 
     made = rows.repartition(1).mapInArrow(run, "made binary").collect()
     return pickle.loads(made[0].made) if made else None
 
 
+def give_back() -> None:
+    """Return memory that this worker has freed: workers go on from task to task, and what one left adds to the next."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -196,22 +175,7 @@ def first_by_hash(df: DataFrame, column: str, most: int, total: int) -> DataFram
     return df.orderBy(h, column).limit(most)
 
 
-#: Keys that meet() takes for hot at most, and rows that make a key hot at least.
-HOT, LEAST_HOT = 1 << 16, 1000
-
-
-def meet(rows: DataFrame, stats: DataFrame, key: str, count: str, total: int) -> DataFrame:
-    """rows joined by key to stats, which has one row a key and in `count` how many rows have it, of `total` in all.
-
-    Keys with more than total / HOT rows, fewer than HOT of them, are broadcast; their rows are dealt by a hash of all
-    their columns, the others by key. So no task gets all rows of a hot key.
-    """
-    many = max(LEAST_HOT, total // HOT)
-    values = [c for c in stats.columns if c != key]
-    hot = stats.where(F.col(count) > many).select(key, F.struct(*values).alias("__hot"))
-    cold = stats.where(F.col(count) <= many).select(F.lit(True).alias("__is_cold"), F.col(key).alias("__key"), F.struct(*values).alias("__cold"))
-    told = rows.join(F.broadcast(hot), key, "left")
-    none = F.col("__hot").isNull()
-    met = told.withColumns({"__is_cold": none, "__key": F.when(none, F.col(key)).otherwise(F.xxhash64(*rows.columns))}).join(cold, ["__is_cold", "__key"], "left")
-    found = F.coalesce("__hot", "__cold")
-    return met.where(found.isNotNull()).select(*rows.columns, *[found[v].alias(v) for v in values])
+__all__ = [
+    "empty_text", "first_by_hash", "give_back", "groups", "in_one_task", "key_filter", "offsets", "partitions", "passing", "ready",
+    "removed", "scratch", "slices", "starts", "table", "utf8", "written",
+]

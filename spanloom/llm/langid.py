@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import empty_text, in_one_task, ready, slices
+from spanloom.llm.common import empty_text, give_back, in_one_task, ready, slices
 
 FEATURES = 1 << 14
 #: Rows that the weights are trained on, at most: of each language, of all together, and yet so many of each language.
@@ -208,6 +208,7 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", lang_i
     schema = docs.select(*plain).schema.add(lang_into, "string").add(score_into, "double")
 
     def run(batches):
+        give_back()
         m = sent.value
         for batch in batches:
             lang, score = [], []

@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import empty_text, groups, key_filter, meet, partitions, passing, ready, slices, starts, utf8, written
-from spanloom.llm.graph import components
+from spanloom.llm.common import empty_text, give_back, groups, key_filter, partitions, passing, ready, slices, starts, utf8, written
+from spanloom.operators.components import components, meet
 
 WORDS = 5
 BUCKET_BITS, MANTISSA = 7, 10
@@ -146,6 +146,7 @@ def _fold(values: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _sign(batches):
+    give_back()
     with np.errstate(over="ignore"):
         for batch in batches:
             for part in slices(batch, "text"):

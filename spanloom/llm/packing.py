@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import empty_text, partitions, ready, slices, written
+from spanloom.llm.common import empty_text, give_back, partitions, ready, slices, written
 
 CAPACITY = 4096
 END_ID = 1
 #: Distinct words, and ids of them, that a worker remembers before it starts anew.
-WORDS, WORD_IDS = 1_000_000, 8_000_000
+WORDS, WORD_IDS = 600_000, 5_000_000
 
 
 @lru_cache(maxsize=4)
@@ -121,6 +121,7 @@ def _words(path: str) -> Words:
 
 def _pieces(path: str, capacity: int, end_id: int):
     def run(batches):
+        give_back()
         words = _words(path)
         for batch in batches:
             for part in slices(batch, "text"):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import empty_text, first_by_hash, in_one_task, ready, slices
+from spanloom.llm.common import empty_text, first_by_hash, give_back, in_one_task, ready, slices
 from spanloom.llm.near_dup import _PLACE, _mix, _words
 
 #: Labelled documents that the fit sees at most: the first by a hash of their ids. Of a longer text it sees about so many
@@ -236,6 +236,7 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text", into: st
     schema = docs.select(*plain).schema.add(into, "double")
 
     def run(batches):
+        give_back()
         m = sent.value
         scorer = _Scorer(m.ordinary, m.toxic)
         for batch in batches:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.llm import byte_bpe, graph, langid, media, near_dup, packing, pii, token_count, topk, toxicity, units, url_filter
+from spanloom.llm import byte_bpe, langid, media, near_dup, packing, pii, token_count, topk, toxicity, units, url_filter
 
 P = pytest.importorskip("public_tokenizers")
 HARD = [None, "", " ", "\n\n\n", "a   b \n \n c  d<|endoftext|>  x    y", "<|startoftext|>, ok. don't", "e\u0301x \u00a0 z", "ÀÉ'S STRASSE İ ß;", "x" * 5000, "ab cd " * 20000, "same text here now ok", "same text here now ok"]
@@ -342,10 +342,3 @@ def test_blocks_lose_no_link(spark, monkeypatch):
         texts.append(" ".join(copy))
     got = {g.doc_id: g.component_id for g in near_dup.near_duplicates(docs_of(spark, texts)).collect()}
     assert got == components_of({i: shingle_set(t) for i, t in enumerate(texts)})
-
-
-def test_components(spark):
-    chain = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7)]
-    got = {r.u: r.root for r in graph.components(spark.createDataFrame(chain, "u long, v long")).collect()}
-    assert got == {**{i: 0 for i in range(1, 41)}, 101: 100, 102: 100}
-    assert graph.components(spark.createDataFrame([], "u long, v long")).count() == 0
