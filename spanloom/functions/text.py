@@ -2,11 +2,24 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # What counts as sensitive, as an address, as a number that identifies.
-SENSITIVE = r"(?i)(^|[^A-Za-z0-9_])(password|passcode|secret|token|api key|bank|medical|diagnosis)([^A-Za-z0-9_]|$)"
+SENSITIVE = (
+    r"(?i)(^|[^A-Za-z0-9_])(password|passcode|verification code|one.time code|recovery key|credit card|bank account|"
+    r"social security|api key|keychain|1password|bitwarden|dashlane|proton pass|suicid(?:e|al)|self.harm|kill myself|"
+    r"hurt myself)([^A-Za-z0-9_]|$)"
+)
+HEALTH = r"(?i)(^|[^A-Za-z0-9_])(doctor|dentist|therapy|hospital|medical|medication|pharmacy|clinic|healthcare)([^A-Za-z0-9_]|$)"
+SENSITIVE_APPS = (
+    "com.1password.1password", "com.agilebits.onepassword7", "com.bitwarden.desktop", "com.apple.passwords",
+    "com.apple.keychainaccess", "com.apple.securityagent", "com.apple.loginwindow", "com.apple.systempreferences",
+    "keepassxc", "dashlane",
+)
+SENSITIVE_VENDORS = ("1password", "bitwarden", "keepassxc", "dashlane")
+SENSITIVE_TITLES = ("password", "passcode", "verification code", "recovery key", "one-time code", "security code", "credit card", "bank account")
 URL = r"(?i)(https?://|www\.)[^\s]+"
 EMAIL = r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 LONG_NUMBER = r"[0-9]{6,}"
@@ -67,29 +80,117 @@ def final_answer(text: Column) -> Column:
     return F.trim(F.when(fenced != "", fenced).otherwise(tail))
 
 
-def broad_context(title: Column, app: Column) -> Column:
-    """A coarse label from title words, else from the app."""
-    t = F.lower(F.coalesce(title, F.lit("")))
-    ladder = (("mail|inbox", "Mail"), ("calendar|meeting", "Planning"), ("invoice|budget", "Finance"), ("test|build|code", "Development"), ("paper|article|report", "Reading"), ("video|music", "Media"))
-    out = F.when(app.isNull(), F.lit("Unclear")).otherwise(F.concat(F.lit("App: "), app))
-    for words, label in reversed(ladder):
-        out = F.when(t.rlike(words), label).otherwise(out)
-    return out
+# Title words and the label they give, in order; browsers, whose site is told instead of the app.
+CONTEXTS = (
+    (("youtube music",), "Music site (subject unknown)"),
+    (("youtube", "video"), "Video site (subject unknown)"),
+    (("chatgpt", "claude"), "AI chat (subject unknown)"),
+    (("gmail", "mail", "messages"), "Messages (subject unknown)"),
+    (("sheets", "spreadsheet"), "Spreadsheet (subject unknown)"),
+    (("docs", "document"), "Document (subject unknown)"),
+    (("github", "codex", "terminal"), "Development tool (task unknown)"),
+    (("chess",), "Chess context (activity unknown)"),
+    (("instagram", "twitter", "reddit"), "Social feed (subject unknown)"),
+)
+BROWSERS = ("chrome", "safari", "firefox", "edge", "arc")
+
+
+def broad_context(title: Column, app: Column, host: Column | None = None) -> Column:
+    """An honest coarse label: of a sensitive title none, else by words of the title, else the site or the app."""
+    t, a = F.lower(F.coalesce(title, F.lit(""))), F.lower(F.coalesce(app, F.lit("")))
+    named = F.coalesce(app, F.lit("")) != ""
+    page = F.lit("Browser page (topic unknown)")
+    if host is not None:
+        page = F.when(F.coalesce(host, F.lit("")) != "", F.concat(F.left(host, F.lit(80)), F.lit(" (topic unknown)"))).otherwise(page)
+    out = F.when(named & a.rlike("|".join(BROWSERS)), page).when(named, F.concat(F.left(app, F.lit(60)), F.lit(" (task unknown)"))).otherwise("Unclear")
+    for words, label in reversed(CONTEXTS):
+        out = F.when(t.rlike("|".join(words)), label).otherwise(out)
+    return F.when(F.coalesce(title.rlike(SENSITIVE), F.lit(False)), "Sensitive window (topic hidden)").otherwise(out)
+
+
+def is_sensitive(*texts: Column) -> Column:
+    """Whether the texts together, nulls left out, have a sensitive word."""
+    return F.concat_ws(" ", *texts).rlike(SENSITIVE)
+
+
+def sensitive_context(app: Column, title: Column) -> Column:
+    """Why a screen must not be kept: no known app, a sensitive one, or a sensitive title; else null."""
+    a, t = F.lower(app), F.lower(title)
+    bad_app = a.isin(*SENSITIVE_APPS) | a.rlike("|".join(SENSITIVE_VENDORS))
+    return (
+        F.when(F.coalesce(app, F.lit("")) == "", "unknown_frontmost_app")
+        .when(bad_app, "sensitive_app")
+        .when(F.coalesce(t.rlike("|".join(SENSITIVE_TITLES)), F.lit(False)), "sensitive_window_title")
+    )
+
+
+def derive_state(source: Column, title: Column) -> Column:
+    """The state that a sample's source tells; a window without a title is unattributed; other sources tell none."""
+    window = F.when(F.coalesce(title, F.lit("")) == "", "unattributed").otherwise("active")
+    return F.when(source.isin("window", "window_legacy"), window).when(source.isin("idle", "idle_legacy"), "idle").when(source == "locked", "locked")
+
+
+def normalize(text: Column) -> Column:
+    """Compatibility-composed (NFKC), case-folded, white space squeezed: what two writings of one thing share.
+
+    Spark has neither form as a function, so texts pass through Arrow in batches.
+    """
+    @F.pandas_udf("string")
+    def fold(x: pd.Series) -> pd.Series:
+        return x.str.normalize("NFKC").str.casefold().str.split().str.join(" ")
+
+    return fold(text)
 
 
-GENERIC = ("page", "home", "window", "untitled", "document", "with", "from", "this", "that")
+# Words that tell no subject, and short ones that do.
+GENERIC = (
+    "window", "browser", "chrome", "safari", "video", "watching", "research", "content", "page", "online", "website", "task",
+    "work", "activity", "general", "media", "social", "unclear", "other", "with", "about", "youtube", "chatgpt", "google",
+    "instagram", "reddit", "browsing",
+)
+SHORT_SUBJECTS = ("seo", "sql", "api", "llm", "ui", "ux", "cv")
 
 
-def subject_tokens(text: Column, least: int = 4) -> Column:
-    """Distinct lower-case ASCII words of `least` letters or more, no generic ones, a final s dropped, sorted."""
-    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
-    kept = F.filter(words, lambda w: (F.length(w) >= least) & ~w.isin(*GENERIC))
+def subject_tokens(text: Column) -> Column:
+    """Distinct lower-case ASCII words of a subject: four letters or more or a known short one, no generic ones, without a
+    final s, sorted."""
+    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]{2,}"), F.lit(0))
+    kept = F.filter(words, lambda w: ((F.length(w) >= 4) | w.isin(*SHORT_SUBJECTS)) & ~w.isin(*GENERIC))
     return F.array_sort(F.array_distinct(F.transform(kept, lambda w: F.regexp_replace(w, "s+$", ""))))
 
 
-def app_name(bundle: Column) -> Column:
-    """The last part of a dotted name, in words with capitals."""
-    return F.initcap(F.replace(F.substring_index(bundle, ".", -1), F.lit("-"), F.lit(" ")))
+# Names of bundles whose last part says little.
+APP_NAMES = {
+    "com.atebits.Tweetie2": "X",
+    "com.chess.iphone": "Chess",
+    "com.facebook.hatch": "Instagram",
+    "com.google.ios.youtubemusic": "YouTube Music",
+    "com.apple.MobileSMS": "Messages",
+    "com.google.Gmail": "Gmail",
+    "com.openai.chat": "ChatGPT",
+    "com.linkedin.LinkedIn": "LinkedIn",
+    "com.google.ios.youtube": "YouTube",
+    "com.google.chrome.ios": "Chrome",
+    "com.apple.control-center": "Control Center",
+    "com.apple.InCallService": "Phone calls",
+    "com.apple.camera": "Camera",
+    "net.whatsapp.WhatsApp": "WhatsApp",
+    "com.apple.SleepLockScreen": "Lock Screen",
+    "com.google.Maps": "Google Maps",
+    "com.apple.mobilenotes": "Notes",
+    "com.apple.springboard.app-library-open-pod": "App Library",
+    "com.apple.springboard.today-view": "Today View",
+    "com.apple.springboard.stand-by": "StandBy",
+    "com.industriousoffice.app": "Industrious",
+    "com.toyopagroup.picaboo": "Snapchat",
+}
+
+
+def app_name(bundle: Column, names: dict[str, str] | None = None) -> Column:
+    """A name to show: a known one, the last part of a com. bundle in words with capitals, or the value itself."""
+    known = F.create_map(*[F.lit(x) for pair in (names or APP_NAMES).items() for x in pair])
+    last = F.initcap(F.replace(F.substring_index(bundle, ".", -1), F.lit("_"), F.lit(" ")))
+    return F.when(F.coalesce(bundle, F.lit("")) == "", "Unknown app").when(known[bundle].isNotNull(), known[bundle]).when(bundle.startswith("com."), last).otherwise(bundle)
 
 
 def is_work_path(path: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from spanloom.functions.time import SECOND
+from spanloom.functions.time import DAY, SECOND
 
 
 def l2(a, b):
@@ -110,10 +110,20 @@ def cadence_keep(frames: DataFrame, keys: list[str], least_us: int = 20 * SECOND
 
 
 def frame_episodes(frames: DataFrame, keys: list[str], context: list[str], gap_us: int = 120 * SECOND) -> DataFrame:
-    """Frames in a row of one context with gaps of gap_us at most; the first frame names the episode. Midnight ends none."""
-    w = Window.partitionBy(*keys).orderBy("at_us", "id")
-    same = F.coalesce(F.col("at_us") - F.lag("at_us").over(w) <= gap_us, F.lit(False))
-    for c in context:
-        same = same & F.lag(c).over(w).eqNullSafe(F.col(c))
-    told = frames.withColumn("__n", (~same).cast("long")).withColumn("__e", F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return told.groupBy(*keys, "__e").agg(F.min_by("id", F.struct("at_us", "id")).alias("episode"), F.min("at_us").alias("start_us"), F.max("at_us").alias("end_us"), F.count(F.lit(1)).alias("frames")).drop("__e")
+    """Frames in a row of one context with gaps of gap_us at most; the first frame names the episode. Midnight ends none.
+
+    Episodes are found by day; then those that reach a day's first or last frame are joined over midnights.
+    """
+    day = [*keys, "__day"]
+    w = Window.partitionBy(*day).orderBy("at_us", "id")
+    told = frames.withColumn("__day", F.floor(F.col("at_us") / DAY)).withColumn("__c", F.struct(*context))
+    same = F.coalesce(F.col("at_us") - F.lag("at_us").over(w) <= gap_us, F.lit(False)) & F.lag("__c").over(w).eqNullSafe(F.col("__c"))
+    told = told.withColumn("__e", F.sum((~same).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = told.groupBy(*day, "__e").agg(F.min_by("id", F.struct("at_us", "id")).alias("episode"), F.min("at_us").alias("start_us"), F.max("at_us").alias("end_us"), F.count(F.lit(1)).alias("frames"), F.first("__c").alias("__c"))
+    parts = parts.withColumn("__edge", (F.col("__e") == 1) | (F.col("__e") == F.max("__e").over(Window.partitionBy(*day))))
+    v = Window.partitionBy(*keys).orderBy("__day", "__e")
+    joins = F.coalesce((F.lag("__day").over(v) < F.col("__day")) & (F.col("start_us") - F.lag("end_us").over(v) <= gap_us), F.lit(False)) & F.lag("__c").over(v).eqNullSafe(F.col("__c"))
+    edge = parts.where("__edge").withColumn("__n", F.sum((~joins).cast("long")).over(v.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = edge.groupBy(*keys, "__n").agg(F.min_by("episode", F.struct("__day", "__e")).alias("episode"), F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.sum("frames").alias("frames"))
+    cols = [*keys, "episode", "start_us", "end_us", "frames"]
+    return whole.select(*cols).unionByName(parts.where("NOT __edge").select(*cols))

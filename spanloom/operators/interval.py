@@ -66,6 +66,14 @@ def merge(df: DataFrame, keys: list[str], gap_us: int = 0) -> DataFrame:
     return islands(told, keys, new, "start_us", "end_us", into="__part").groupBy(*keys, "__part").agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us")).drop("__part")
 
 
+def merge_days(df: DataFrame, keys: list[str], *more: str) -> DataFrame:
+    """merge() of long histories: by day first, then only what touches midnight meets its neighbours again."""
+    parts = merge(by_day(df), [*keys, "day", *more])
+    edge = (F.pmod("start_us", F.lit(DAY)) == 0) | (F.pmod("end_us", F.lit(DAY)) == 0)
+    cols = [*keys, *more, "start_us", "end_us"]
+    return parts.where(~edge).select(*cols).unionByName(merge(parts.where(edge), [*keys, *more]).select(*cols))
+
+
 def union_us(df: DataFrame, keys: list[str], into: str = "union_us") -> DataFrame:
     """Length of the union by keys: each row adds what lies beyond all before it, so one window is enough."""
     told = df.select(*keys, "start_us", "end_us").withColumn("reach", _reach(keys))
@@ -131,10 +139,14 @@ def subtract(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def overlap_partition(df: DataFrame, keys: list[str], label: str, bucket_us: int = HOUR) -> DataFrame:
-    """Overlapping intervals as disjoint pieces, each with the sorted set of labels there; equal neighbours are one."""
-    times = df.select(*keys, F.col("start_us").alias("t")).union(df.select(*keys, F.col("end_us").alias("t"))).distinct()
+    """Overlapping intervals as disjoint pieces, each with the sorted set of labels there; equal neighbours are one.
+
+    Intervals of one label are merged first, so a piece meets each label once, however many intervals lie over it.
+    """
+    own = merge(df, [*keys, label])
+    times = own.select(*keys, F.explode(F.array("start_us", "end_us")).alias("t")).distinct()
     pieces = times.withColumn("end_us", F.lead("t").over(ordered(keys, "t"))).where("end_us IS NOT NULL").withColumnRenamed("t", "start_us")
-    met = overlap_join(pieces, df.select(*keys, "start_us", "end_us", label), keys, bucket_us)
+    met = overlap_join(pieces, own.select(*keys, "start_us", "end_us", label), keys, bucket_us)
     sets = met.groupBy(*keys, F.col("a_start").alias("start_us"), F.col("a_end").alias("end_us")).agg(F.array_join(F.array_sort(F.collect_set(label)), "+").alias("labels"))
     w = ordered(keys, "start_us")
     new = F.coalesce((F.lag("end_us").over(w) != F.col("start_us")) | (F.lag("labels").over(w) != F.col("labels")), F.lit(True))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.functions.time import DAY
+
 
 def apply_corrections(commands: DataFrame, keys: list[str]) -> DataFrame:
     """Current labels from a command log (op set or clear, label, at_us, id): the last one decides.
@@ -97,11 +99,36 @@ def telemetry(rows: DataFrame, keys: list[str], value: str, reserve: int) -> Dat
     )
 
 
-def identity_health(samples: DataFrame, share: int, recent: int = 60, least: int = 24) -> DataFrame:
-    """Each sample with the state of its device's last ones: limited if enough of them have no title."""
-    w = Window.partitionBy("device").orderBy("start_us", "id").rowsBetween(1 - recent, 0)
-    told = samples.withColumns({"missing": F.sum((F.col("state") == "unattributed").cast("long")).over(w), "windows": F.count(F.lit(1)).over(w)})
-    return told.withColumn("status", F.when((F.col("windows") >= least) & (F.col("missing") * 100 >= F.col("windows") * share), "limited").otherwise("normal"))
+def numbered(rows: DataFrame, keys: list[str], at: str, tie: str, into: str = "n") -> DataFrame:
+    """rows with their number, from 0, in time order of their keys: days are counted first, so each is ranked on its own."""
+    told = rows.withColumn("__day", F.floor(F.col(at) / DAY))
+    w = Window.partitionBy(*keys).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
+    base = told.groupBy(*keys, "__day").agg(F.count(F.lit(1)).alias("__rows")).select(*keys, "__day", F.coalesce(F.sum("__rows").over(w), F.lit(0)).alias("__base"))
+    own = F.row_number().over(Window.partitionBy(*keys, "__day").orderBy(at, tie)) - 1
+    return told.withColumn("__own", own).join(base, [*keys, "__day"]).withColumn(into, F.col("__base") + F.col("__own")).drop("__day", "__own", "__base")
+
+
+def identity_health(samples: DataFrame, share: int = 80, recent: int = 60, least: int = 24, chunk: int = 4096) -> DataFrame:
+    """Each sample with the health of titles in its device's last `recent` ones (device, id, start_us, state).
+
+    Of these, windows are active or unattributed, and the unattributed have no title. status, by rank: permission_blocked
+    (windows, but no screen_access), needs_review (all of the last are untitled windows, or `least` windows or more of
+    which `share` per cent are untitled), permission_limited (no ax_access), normal. Runs of `chunk` samples are windows of
+    their own, with the samples before that they need.
+    """
+    told = numbered(samples, ["device"], "start_us", "id")
+    at = F.floor(F.col("n") / chunk)
+    told = told.withColumn("part", F.explode(F.when(F.pmod("n", F.lit(chunk)) > chunk - recent, F.array(at, at + 1)).otherwise(F.array(at))))
+    w = Window.partitionBy("device", "part").orderBy("n").rowsBetween(1 - recent, 0)
+    window, untitled = F.col("state").isin("active", "unattributed").cast("long"), (F.col("state") == "unattributed").cast("long")
+    told = told.withColumns({"windows": F.sum(window).over(w), "untitled": F.sum(untitled).over(w)}).where(at == F.col("part"))
+    status = (
+        F.when((F.col("windows") > 0) & ~F.col("screen_access"), "permission_blocked")
+        .when((F.col("untitled") >= recent) | (F.col("windows") >= least) & (F.col("untitled") * 100 >= F.col("windows") * share), "needs_review")
+        .when(~F.col("ax_access"), "permission_limited")
+        .otherwise("normal")
+    )
+    return told.withColumn("status", status).drop("n", "part")
 
 
 def counter_rates(rows: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:

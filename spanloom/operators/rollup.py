@@ -41,12 +41,8 @@ def period_rollup(facts: DataFrame) -> DataFrame:
     """Month and year in one pass: sums, and days by coverage."""
     date = F.date_add(F.to_date(F.lit("1970-01-01")), F.col("day").cast("int"))
     told = facts.withColumns({"year": F.year(date).cast("long"), "month": F.month(date).cast("long")})
-    told.createOrReplaceTempView("spanloom_facts")
-    return told.sparkSession.sql(
-        """SELECT device, year, month, count(*) AS days, sum(observed_us) AS observed_us, sum(active_us) AS active_us,
-           count_if(coverage = 'full') AS full_days, max(longest_us) AS longest_us
-           FROM spanloom_facts GROUP BY GROUPING SETS ((device, year, month), (device, year))"""
-    )
+    grouped = told.groupingSets([["device", "year", "month"], ["device", "year"]], "device", "year", "month")
+    return grouped.agg(F.count(F.lit(1)).alias("days"), F.sum("observed_us").alias("observed_us"), F.sum("active_us").alias("active_us"), F.count_if(F.col("coverage") == "full").alias("full_days"), F.max("longest_us").alias("longest_us"))
 
 
 def densify(facts: DataFrame, keys: list[str], day: str, low: Column, high: Column) -> DataFrame:
@@ -87,6 +83,32 @@ def alerts(facts: DataFrame) -> DataFrame:
     return facts.select(*KEYS, F.array_join(codes, ",").alias("codes"))
 
 
+def day_alerts(facts: DataFrame) -> DataFrame:
+    """Codes by device and day, in order: quality_failed (column failed), unknown_high (over 300 s and 15 % of observed),
+    phone_stale (phone_age_us of 6 hours or more, or unknown), coverage_low, no_foreground."""
+    rules = {
+        "quality_failed": F.col("failed"),
+        "unknown_high": F.col("unattributed_us") > F.greatest(F.lit(300 * SECOND), F.expr("observed_us * 15 div 100")),
+        "phone_stale": F.coalesce(F.col("phone_age_us") >= 6 * HOUR, F.lit(True)),
+        "coverage_low": F.col("observed_us") < 4 * HOUR,
+        "no_foreground": F.col("active_us") + F.col("unattributed_us") == 0,
+    }
+    return facts.select(*KEYS, F.array_join(F.array_compact(F.array(*[F.when(c, F.lit(code)) for code, c in rules.items()])), ",").alias("codes"))
+
+
+def review_document() -> Column:
+    """A day's facts as a JSON document for a reader."""
+    return F.to_json(
+        F.struct(
+            F.lit(1).alias("schema_version"), "device", "day", "coverage",
+            F.struct(F.col("active_us").alias("identified_us"), F.col("unattributed_us").alias("window_unknown_us"), "unobserved_us").alias("computer"),
+            F.struct(F.col("session_union_us").alias("union_us")).alias("phone"),
+            F.struct(F.col("stretches").alias("sessions"), "switches", "longest_us").alias("behavior"),
+        ),
+        {"ignoreNullFields": "false"},
+    )
+
+
 def touched_days(rows: DataFrame, stored: DataFrame, recent_days: int = 8) -> DataFrame:
     """Days to recompute: their fingerprint differs from the stored one, they are new, or among the last ones.
 
@@ -108,4 +130,4 @@ def week_heatmap(hours: DataFrame) -> DataFrame:
     return spine.join(s, ["device", "day", "hour"], "left").select("device", "day", "hour", heat_level(F.col("s")).alias("level"), F.col("s").isNull().alias("missing"))
 
 
-__all__ = ["DAY", "alerts", "calendar_summary", "day_facts", "densify", "densify_week", "evolution", "history_overlay", "period_rollup", "touched_days", "week_heatmap", "work_artifacts"]
+__all__ = ["DAY", "alerts", "calendar_summary", "day_alerts", "day_facts", "densify", "densify_week", "evolution", "history_overlay", "period_rollup", "review_document", "touched_days", "week_heatmap", "work_artifacts"]

@@ -97,8 +97,7 @@ def interval_union(spark, d):
 
 @query(f"WITH {V.SESSIONS}, {UNION} SELECT * FROM merged")
 def interval_merge(spark, d):
-    # Merged by day, then what touches at midnight: the second pass sees merged intervals only.
-    return I.merge(I.merge(I.by_day(V.sessions(spark, d)), A.KEYS), ["device"])
+    return I.merge_days(V.sessions(spark, d), ["device"])
 
 
 @query(
@@ -309,12 +308,6 @@ def asof_window(spark, d):
     return f.select("id", "device", "match_us", J.within("at_us", 15 * SECOND, "app").alias("app_15s"), J.within("at_us", 300 * SECOND, "app").alias("app_300s"))
 
 
-@query(ASOF + " SELECT device, count(*) AS frames, count(*) FILTER (at_us - match_us <= 15000000 AND win = 'w1' AND app = 'app0') AS suspects FROM j GROUP BY device")
-def asof_audit(spark, d):
-    suspect = (F.col("at_us") - F.col("match_us") <= 15 * SECOND) & (F.col("win") == "w1") & (F.col("app") == "app0")
-    return _asof(spark, d).groupBy("device").agg(F.count(F.lit(1)).alias("frames"), F.count_if(suspect).alias("suspects"))
-
-
 @query(ASOF + " SELECT id, device, match_us AS run_start_us, at_us < end_us AS inside FROM j WHERE match_us IS NOT NULL")
 def episode_of_instant(spark, d):
     return _asof(spark, d).where("match_us IS NOT NULL").select("id", "device", F.col("match_us").alias("run_start_us"), (F.col("at_us") < F.col("end_us")).alias("inside"))
@@ -325,20 +318,6 @@ def point_in_interval(spark, d):
     return I.point_join(V.frames(spark, d).select("id", "device", "at_us"), _runs(spark, d).where("state = 'unattributed'").select("device", "start_us", "end_us"), ["device"], how="left_semi")
 
 
-@query(
-    f"""WITH {V.RUNS}, {V.FRAMES}, {{slots}}, n AS (SELECT s.device, s.day, s.mid, min_by(f.display, abs(f.at_us - s.mid) * 10000000 + f.id) AS topic FROM slots s LEFT JOIN frames f ON f.device = s.device AND abs(f.at_us - s.mid) <= 30000000 GROUP BY ALL)
-    SELECT * FROM n WHERE topic IS NOT NULL""".replace("{slots}", "slots AS (SELECT device, day, start_us + j * 5000000 + (least(start_us + (j + 1) * 5000000, end_us) - start_us - j * 5000000) // 2 AS mid FROM (SELECT *, unnest(range(0, (end_us - start_us - 1) // 5000000 + 1)) AS j FROM runs WHERE state = 'unattributed'))")
-)
-def nearest_within(spark, d):
-    """The display of the nearest frame within 30 s of the midpoint of each 5 s slot of unattributed runs."""
-    u = _runs(spark, d).where("state = 'unattributed'")
-    k = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("end_us") - F.col("start_us") - 1) / (5 * SECOND))))
-    slots = u.withColumn("k", k).withColumn("s", F.col("start_us") + F.col("k") * 5 * SECOND)
-    slots = slots.withColumn("mid", F.col("s") + F.floor((F.least(F.col("s") + 5 * SECOND, F.col("end_us")) - F.col("s")) / 2)).select("device", "day", "mid")
-    marks = V.frames(spark, d).select("device", F.col("at_us").alias("mark_us"), F.col("id").alias("ord"), F.col("display").alias("topic"))
-    return J.nearest(slots, marks, ["device"], "mid", 30 * SECOND, "topic").where("topic IS NOT NULL")
-
-
 FACTS = f"""{V.STRETCHES}{V.TOTALS}, {V.SESSIONS.partition(', sessions AS')[1][2:]}{V.SESSIONS.partition(', sessions AS')[2]}{V.SESSION_DAYS},
     fg AS (SELECT device, day, count(DISTINCT app) AS apps, CAST(sum(end_us - start_us) AS BIGINT) AS foreground_us FROM runs WHERE state IN ('active', 'unattributed') GROUP BY ALL),
     su AS (SELECT device, day, any_value(device_union_us) AS session_union_us FROM summary GROUP BY ALL),
@@ -380,11 +359,6 @@ def densify_period(spark, d):
     return spine.join(kept, ["device", "day"], "left").withColumn("missing", F.col("active_us").isNull())
 
 
-@query(f"WITH {FACTS} SELECT device, day, array_to_string(list_filter([CASE WHEN unattributed_us > greatest(300000000, observed_us * 15 // 100) THEN 'unknown_high' END, CASE WHEN observed_us < 14400000000 THEN 'coverage_low' END, CASE WHEN active_us + unattributed_us = 0 THEN 'no_foreground' END], lambda x: x IS NOT NULL), ',') AS codes FROM facts")
-def alerts(spark, d):
-    return R.alerts(_facts(spark, d))
-
-
 @query(f"WITH {FACTS} SELECT device, day, observed_us, coverage FROM facts")
 def history_days(spark, d):
     return _facts(spark, d).select("device", "day", "observed_us", "coverage")

@@ -19,17 +19,6 @@ QUERIES, SQL = BOOK.queries, BOOK.sql
 TAGS = "tags AS (SELECT doc_id AS id, 'q' || quality::VARCHAR || 't' || toxic::VARCHAR AS topic FROM labels)"
 
 
-@query(f"WITH {V.SEGMENTS}, x AS (SELECT device, day, sampled_us, CASE WHEN state = 'active' AND win = 'w1' THEN 'Topic ' || app WHEN state = 'active' THEN 'App: ' || app ELSE 'Unclear' END AS label, CASE WHEN state = 'active' AND win = 'w1' THEN 'specific' WHEN state = 'active' THEN 'broad' ELSE 'unclear' END AS status FROM segments WHERE state IN ('active', 'unattributed')) SELECT device, day, label, status, CAST(sum(sampled_us) AS BIGINT) AS us FROM x GROUP BY ALL")
-def topic_allocation(spark, d):
-    """Active time to a specific topic of its window, else to an honest broad context."""
-    segs = _segs(spark, d).where("state IN ('active', 'unattributed')")
-    tags = spark.createDataFrame([("app0", "w1", "Topic app0"), ("app1", "w1", "Topic app1")], "app string, win string, topic string")
-    told = segs.join(F.broadcast(tags), ["app", "win"], "left")
-    label = F.coalesce("topic", F.when(F.col("state") == "active", F.concat(F.lit("App: "), "app")).otherwise("Unclear"))
-    status = F.when(F.col("topic").isNotNull(), "specific").when(F.col("state") == "active", "broad").otherwise("unclear")
-    return told.groupBy("device", "day", label.alias("label"), status.alias("status")).agg(F.sum("sampled_us").alias("us"))
-
-
 CAPTIONS = "cp AS (SELECT l_orderkey % 1000 AS id, l_linenumber * 100000 + l_orderkey AS ord, l_returnflag || l_linestatus AS caption FROM lineitem WHERE l_quantity > 40), c1 AS (SELECT id, ord, max(caption) AS caption FROM cp GROUP BY ALL)"
 
 
@@ -39,46 +28,6 @@ def _captions(spark, d):
     return x.groupBy("id", "ord").agg(F.max("caption").alias("caption"))
 
 
-@query(f"WITH {CAPTIONS}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ord) AS r FROM c1), g AS (SELECT id, string_agg(caption, '|' ORDER BY r) AS captions FROM r WHERE r <= 2 GROUP BY id) SELECT d.doc_id AS id, coalesce(captions, '') AS captions FROM documents d LEFT JOIN g ON g.id = d.doc_id")
-def caption_fill(spark, d):
-    return E.with_captions(V.frames(spark, d).select("id"), _captions(spark, d), 2)
-
-
-@query(f"WITH {V.FRAMES}, {CAPTIONS}, g AS (SELECT id, count(*) AS n FROM c1 GROUP BY id) SELECT f.id, f.device, coalesce(g.n, 0) AS captions FROM frames f LEFT JOIN g ON g.id = f.id")
-def frames_with_captions(spark, d):
-    n = _captions(spark, d).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    return V.frames(spark, d).select("id", "device").join(n, "id", "left").select("id", "device", F.coalesce("n", F.lit(0)).alias("captions"))
-
-
-@query(f"WITH {V.FRAMES}, {V.ANNOTATIONS}, x AS (SELECT path % 1000 AS id, bool_or(status = 'complete') AS done FROM annotations GROUP BY ALL) SELECT f.id, CASE WHEN x.id IS NULL THEN 'missing' WHEN done THEN 'accepted' ELSE 'open' END AS verdict FROM frames f LEFT JOIN x ON x.id = f.id")
-def focus_accepted(spark, d):
-    x = V.annotations(spark, d).groupBy((F.col("path") % 1000).alias("id")).agg(F.bool_or(F.col("status") == "complete").alias("done"))
-    return V.frames(spark, d).select("id").join(x, "id", "left").select("id", F.when(F.col("done").isNull(), "missing").when(F.col("done"), "accepted").otherwise("open").alias("verdict"))
-
-
-@query(f"WITH {V.FRAMES}, x AS (SELECT id, device, CASE WHEN n_chars < 300 THEN 'short' WHEN regexp_matches(lower(text), '(idiot|scum|moron)') THEN 'sensitive' WHEN display IS NULL OR display <> 'en' THEN 'foreign' ELSE 'ok' END AS reason FROM frames) SELECT device, reason, count(*) AS frames FROM x GROUP BY ALL")
-def eligible_frames(spark, d):
-    reason = E.first_reason([("short", F.col("n_chars") < 300), ("sensitive", F.lower("text").rlike("(idiot|scum|moron)")), ("foreign", F.col("display").isNull() | (F.col("display") != "en"))])
-    return V.frames(spark, d).groupBy("device", reason.alias("reason")).agg(F.count(F.lit(1)).alias("frames"))
-
-
-@query("SELECT c_custkey AS id, CASE WHEN c_mktsegment IN ('BUILDING') THEN 'app' WHEN contains(lower(c_name), '7') THEN 'title' END AS code FROM customer")
-def sensitive_context(spark, d):
-    return V.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_mktsegment").isin("BUILDING"), "app").when(F.contains(F.lower("c_name"), F.lit("7")), "title").alias("code"))
-
-
-@query(f"WITH {V.ANNOTATIONS} SELECT path, max(at_us) AS at_us FROM annotations WHERE model = 1 AND status = 'complete' AND at_us >= 788918400000000 AND at_us < 820454400000000 GROUP BY path")
-def latest_completed_run(spark, d):
-    a = V.annotations(spark, d).where("model = 1 AND status = 'complete' AND at_us >= 788918400000000 AND at_us < 820454400000000")
-    return a.groupBy("path").agg(F.max("at_us").alias("at_us"))
-
-
-@query("SELECT o_orderkey AS id, CASE WHEN regexp_matches(o_orderpriority, '^[0-9]-[A-Z]+$') THEN o_orderpriority END AS code FROM orders")
-def private_status_only(spark, d):
-    """Only codes of a safe shape leave."""
-    return V.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderpriority").rlike("^[0-9]-[A-Z]+$"), F.col("o_orderpriority")).alias("code"))
-
-
 SIGNS = "s AS (SELECT vec_id AS id, list_sum(list_transform(range(1, 25), lambda i: CASE WHEN embedding[i] > 0 THEN (1::BIGINT << (i - 1)::INTEGER) ELSE 0 END))::BIGINT AS code FROM embeddings)"
 
 
@@ -97,28 +46,6 @@ def frame_reach(spark, d):
     return E.reach(V.frames(spark, d).where("display = 'en'"), 30 * SECOND, 30 * MINUTE)
 
 
-@query("SELECT l.doc_id AS id, d.doc_id % 4 <> 0 AND l.quality = 1 AS usable FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id")
-def freshness_gate(spark, d):
-    """A hypothesis is usable only if its evidence is there and both fingerprints still match."""
-    h = V.table(spark, d, "labels").select(F.col("doc_id").alias("id"), F.lit(1).alias("model"), F.lit(1).alias("image"))
-    q = V.table(spark, d, "labels").select(F.col("doc_id").alias("id"), "quality")
-    now = V.frames(spark, d).select("id").join(q, "id").select("id", F.col("quality").alias("model"), F.when(F.col("id") % 4 != 0, 1).otherwise(0).alias("image"))
-    return E.fresh(h, now, "id", ["model", "image"]).select("id", "usable")
-
-
-@query(f"WITH {V.STRETCHES}, t AS (SELECT device, day, context, sum(us) AS us FROM stretches GROUP BY ALL), w AS (SELECT device, day, max(us) AS top_us, sum(us) AS all_us FROM t GROUP BY ALL) SELECT device, day, CASE WHEN top_us * 2 >= all_us THEN 'clear' ELSE 'mixed' END AS kind, CAST(all_us AS BIGINT) AS us FROM w")
-def kind_totals(spark, d):
-    """A day's chapter has a topic only if its top context holds half of the time."""
-    t = _stretches(spark, d).groupBy(*A.KEYS, "context").agg(F.sum("us").alias("us"))
-    return t.groupBy(*A.KEYS).agg(F.when(F.max("us") * 2 >= F.sum("us"), "clear").otherwise("mixed").alias("kind"), F.sum("us").alias("us"))
-
-
-@query("WITH c AS (SELECT conv_id, turn, length(text) AS n, role = 'user' AS cited FROM conversations) SELECT conv_id, count(*) AS chapters, count(*) FILTER (cited) AS cited, CAST(sum(n) AS BIGINT) AS chars, CAST(coalesce(sum(n) FILTER (cited), 0) AS BIGINT) AS cited_chars FROM c GROUP BY conv_id")
-def summary_coverage(spark, d):
-    c = V.table(spark, d, "conversations").withColumns({"n": F.length("text").cast("long"), "cited": F.col("role") == "user"})
-    return c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("chapters"), F.count_if("cited").alias("cited"), F.sum("n").alias("chars"), F.sum(F.when(F.col("cited"), F.col("n")).otherwise(0)).alias("cited_chars"))
-
-
 @query(f"WITH {V.FRAMES}, x AS (SELECT * FROM frames WHERE n_chars >= 300 AND display IS NOT NULL), t AS (SELECT *, row_number() OVER (PARTITION BY device, display, app ORDER BY at_us, id) AS turn FROM x) SELECT device, display, id, row_number() OVER (PARTITION BY device, display ORDER BY turn, at_us, id) AS rank FROM t QUALIFY rank <= 12")
 def cohort_sample(spark, d):
     reason = E.first_reason([("short", F.col("n_chars") < 300), ("no_display", F.col("display").isNull())])
@@ -132,12 +59,6 @@ def group_split(spark, d):
     return E.group_fill(g, "grp", "n", 300)
 
 
-@query("WITH m AS (SELECT o_custkey AS reader, max(epoch_us(o_orderdate)) AS last_us, count(*) AS n, bool_or(o_orderstatus = 'F') AS failed FROM orders GROUP BY o_custkey) SELECT reader, CASE WHEN failed AND n < 6 THEN 'failed' WHEN last_us < 900000000000000 THEN 'stale' WHEN n < 5 THEN 'behind' ELSE 'current' END AS status FROM m")
-def phone_quality_status(spark, d):
-    m = V.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("reader")).agg(F.max(V.micros("o_orderdate")).alias("last_us"), F.count(F.lit(1)).alias("n"), F.bool_or(F.col("o_orderstatus") == "F").alias("failed"))
-    return m.select("reader", E.first_reason([("failed", F.col("failed") & (F.col("n") < 6)), ("stale", F.col("last_us") < 900_000_000_000_000), ("behind", F.col("n") < 5)], "current").alias("status"))
-
-
 @query(REVIEW + ", lb AS (SELECT device, start_us // 900000000 AS slot, min('L' || (k % 3)::VARCHAR) AS label FROM samples WHERE k % 6 = 1 GROUP BY ALL) SELECT rs.device, rs.slot, unknown_us, label, label IS NOT NULL AS confirmed FROM rs LEFT JOIN lb USING (device, slot) WHERE unknown_us >= 120000000")
 def review_view(spark, d):
     """Slots to review with their current label."""
@@ -145,16 +66,6 @@ def review_view(spark, d):
     return _review(spark, d).join(lb, ["device", "slot"], "left").withColumn("confirmed", F.col("label").isNotNull())
 
 
-@query(f"WITH {V.RUNS}, {V.FRAMES}, j AS (SELECT f.id, f.at_us, f.display, r.end_us, r.state, r.id AS run FROM frames f ASOF LEFT JOIN runs r ON f.device = r.device AND f.at_us >= r.start_us) SELECT id, CASE WHEN run IS NULL OR at_us >= end_us THEN 'no_anchor' WHEN state NOT IN ('active', 'unattributed') THEN 'not_foreground' WHEN display IS NULL THEN 'metadata' ELSE 'ok' END AS reason FROM j")
-def persist_candidate(spark, d):
-    """A hypothesis is kept only if its frame lies in observed foreground support."""
-    from spanloom.operators.asof import asof
-
-    f = asof(V.frames(spark, d).select("id", "device", "at_us", "display"), _runs(spark, d), ["device"], "at_us", ["state", "end_us"])
-    rules = [("no_anchor", F.col("match_us").isNull() | (F.col("at_us") >= F.col("end_us"))), ("not_foreground", ~F.col("state").isin("active", "unattributed")), ("metadata", F.col("display").isNull())]
-    return f.select("id", E.first_reason(rules).alias("reason"))
-
-
 @query("WITH g AS (SELECT l_orderkey AS k, l_linenumber AS n, min(l_returnflag) AS a, min(l_linestatus) AS b FROM lineitem GROUP BY ALL), p AS (SELECT x.k, x.a = y.a AS ea, x.b = y.b AS eb FROM g x JOIN g y ON x.k = y.k AND x.n = 1 AND y.n = 2) SELECT count(*) AS n, count(*) FILTER (ea) AS field_a, count(*) FILTER (eb) AS field_b, count(*) FILTER (ea AND eb) AS joint FROM p")
 def score_generations(spark, d):
     g = V.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n")).agg(F.min("l_returnflag").alias("a"), F.min("l_linestatus").alias("b"))
@@ -201,13 +112,6 @@ def activity_log(spark, d):
     return a.unionByName(segs.where("state = 'unattributed'").select("device", "start_us", "end_us", F.lit(None).cast("string").alias("what"), F.lit("unknown").alias("lane")))
 
 
-@query(f"WITH {V.RUNS} SELECT device, app, CAST(sum(end_us - start_us) AS BIGINT) AS us, row_number() OVER (PARTITION BY device ORDER BY sum(end_us - start_us) DESC, app) AS rank FROM runs WHERE app IS NOT NULL GROUP BY device, app")
-def apps_sites_period(spark, d):
-    from spanloom.operators.rank import top_k
-
-    return top_k(_runs(spark, d).where("app IS NOT NULL").groupBy("device", "app").agg(F.sum(F.col("end_us") - F.col("start_us")).alias("us")), ["device"], "us", "app")
-
-
 @query(f"WITH {V.RUNS}, h AS (SELECT DISTINCT device, state, unnest(range(start_us // 1800000000, (end_us - 1) // 1800000000 + 1)) AS b FROM runs) SELECT device, b AS half_hour FROM h WHERE state = 'active' INTERSECT SELECT device, b FROM h WHERE state = 'unattributed'")
 def bins_intersection(spark, d):
     runs = _runs(spark, d)
@@ -231,12 +135,6 @@ def supported_union(spark, d):
     return V.tags(spark, d).withColumn("status", F.lit("checked")).unionByName(p).groupBy("status", "topic").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("SELECT event_id AS id, CAST(date_part('hour', ts) AS BIGINT) AS local_hour, CAST(date_part('minute', ts) // 30 AS BIGINT) AS half_hour, CAST(0 AS BIGINT) AS offset_min FROM events")
-def temporal_key(spark, d):
-    e = V.table(spark, d, "events").select(F.col("event_id").alias("id"), V.micros("ts").alias("us"))
-    return _temporal_key(e, "us", "UTC").select("id", "local_hour", "half_hour", "offset_min")
-
-
 @query("SELECT o_orderkey AS id, sha256('{\"custkey\":' || o_custkey::VARCHAR || ',\"status\":\"' || o_orderstatus || '\"}') AS fingerprint FROM orders")
 def canonical_fingerprint(spark, d):
     doc = F.to_json(F.struct(F.col("o_custkey").alias("custkey"), F.col("o_orderstatus").alias("status")), {"ignoreNullFields": "false"})
@@ -250,10 +148,4 @@ def session_cost(spark, d):
     return x.groupBy("session").agg(F.sum(F.when(~o, s).otherwise(0)).alias("measured_s"), F.count_if(o).alias("interrupted"), F.when(F.bool_or(o), None).otherwise(F.sum(s)).alias("total_s"), F.sum(F.when(o, 60).otherwise(s)).alias("upper_s"))
 
 
-@query(f"WITH {V.RUNS}{V.TOTALS} SELECT device, day, '{{\"device\":' || device::VARCHAR || ',\"day\":' || day::VARCHAR || ',\"observed_us\":' || observed_us::VARCHAR || '}}' AS document FROM totals")
-def review_export(spark, d):
-    t = A.state_totals(_runs(spark, d))
-    return t.select("device", "day", F.to_json(F.struct("device", "day", "observed_us")).alias("document"))
-
-
 __all__ = ["DAY", "HOUR", "QUERIES", "SQL"]

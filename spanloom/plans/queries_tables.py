@@ -37,22 +37,6 @@ def import_file_events(spark, d):
     return S.import_file_events(V.file_events(spark, d), 120 * SECOND)
 
 
-@query(f"WITH {V.CALENDAR} SELECT id, calendar, start_us, end_us FROM calendar WHERE calendar IN (0, 1, 2) AND start_us >= 820454400000000 AND start_us < 852076800000000")
-def import_calendar(spark, d):
-    scope = spark.createDataFrame([(0,), (1,), (2,)], "calendar long")
-    return S.import_calendar(V.calendar(spark, d), scope, 820_454_400_000_000, 852_076_800_000_000)
-
-
-@query(
-    f"""WITH {V.SAMPLES}, tb AS (SELECT event_id AS id, user_id % 4 AS device, epoch_us(ts) AS start_us, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k, event_type FROM events)
-    SELECT device, CASE WHEN event_type NOT IN ('view', 'click', 'error') THEN 'bad_type' WHEN k % 13 = 0 THEN 'bad_domain' WHEN k > 90 THEN 'bad_id' ELSE 'accepted' END AS verdict, count(*) AS rows FROM tb GROUP BY ALL"""
-)
-def import_tab_events(spark, d):
-    e = V.table(spark, d, "events").withColumn("k", F.regexp_extract("props", "([0-9]+)", 1).cast("long"))
-    verdict = F.when(~F.col("event_type").isin("view", "click", "error"), "bad_type").when(F.col("k") % 13 == 0, "bad_domain").when(F.col("k") > 90, "bad_id").otherwise("accepted")
-    return e.groupBy((F.col("user_id") % 4).alias("device"), verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("rows"))
-
-
 @query("SELECT DISTINCT user_id % 4 AS device, substr(sha256(concat_ws('|', event_type, user_id, value > 50)), 1, 16) AS row_id FROM events")
 def ingest_events(spark, d):
     """Content-addressed append: rows whose id the target already has, or that repeat, are ignored."""
@@ -78,19 +62,6 @@ def upsert_frames(spark, d):
     return S.fill_in(first, late, "id", keep=["app", "win"], replace=["status"]).select("id", "app", "status", "win")
 
 
-@query("SELECT o_custkey % 97 AS common_key, min(o_custkey) AS store FROM orders GROUP BY ALL")
-def discover_stores(spark, d):
-    return V.table(spark, d, "orders").groupBy((F.col("o_custkey") % 97).alias("common_key")).agg(F.min("o_custkey").alias("store"))
-
-
-@query(
-    f"""WITH {V.FRAMES}, u AS (SELECT device, 'sample' AS source FROM (SELECT user_id % 4 AS device FROM events) UNION ALL SELECT device, 'frame' FROM frames WHERE id IN (SELECT doc_id FROM labels) UNION ALL SELECT device, 'pending' FROM frames WHERE id NOT IN (SELECT doc_id FROM labels))
-    SELECT device, source, count(*) AS rows FROM u GROUP BY ALL"""
-)
-def export_timeline(spark, d):
-    return S.timeline(V.samples(spark, d), V.frames(spark, d), V.tags(spark, d)).groupBy("device", "source").agg(F.count(F.lit(1)).alias("rows"))
-
-
 @query(f"WITH {V.FILES} SELECT root, count(*) AS events, count(*) FILTER (work) AS work_events, count(DISTINCT path) FILTER (work) AS work_files FROM files GROUP BY root")
 def work_artifacts(spark, d):
     return R.work_artifacts(V.commits(spark, d), V.file_events(spark, d))[1]
@@ -205,23 +176,12 @@ def retry_window(spark, d):
     return V.annotations(spark, d).where("n = 1 AND status = 'incomplete' AND at_us >= 883612800000000").select("path", "at_us").orderBy(F.desc("at_us"), "path").limit(100)
 
 
-@query("SELECT l.doc_id AS id, d.lang, l.topic FROM (SELECT doc_id, 'q' || quality::VARCHAR || 't' || toxic::VARCHAR AS topic FROM labels) l JOIN documents d ON d.doc_id = l.doc_id AND d.doc_id % 5 <> 0")
-def tag_to_source(spark, d):
-    f = V.frames(spark, d).where("id % 5 <> 0").select("id", F.col("display").alias("lang"))
-    return V.tags(spark, d).join(f, "id").select("id", "lang", "topic")
-
-
 @query("WITH p AS (SELECT c_custkey FROM customer WHERE c_custkey % 7 <> 0) SELECT o_orderkey AS path FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM p)")
 def orphans(spark, d):
     parent = V.table(spark, d, "customer").where("c_custkey % 7 <> 0").select(F.col("c_custkey").alias("o_custkey"))
     return Q.orphans(V.table(spark, d, "orders"), parent, "o_custkey").select(F.col("o_orderkey").alias("path"))
 
 
-@query(f"WITH {V.SAMPLES} SELECT device, count(*) AS rows, count(*) FILTER (dur_us <= 0 OR dur_us > 3600000000) AS invalid, min(start_us) AS first_us, max(start_us) AS last_us FROM samples GROUP BY device")
-def ledger_integrity(spark, d):
-    return Q.ledger_integrity(V.samples(spark, d), HOUR)
-
-
 @query("SELECT event_type AS source, count(*) AS rows FROM events GROUP BY event_type")
 def source_counts(spark, d):
     return V.table(spark, d, "events").groupBy(F.col("event_type").alias("source")).agg(F.count(F.lit(1)).alias("rows"))
@@ -322,21 +282,6 @@ def current_corrections(spark, d):
     return now.select("device", "slot", "label", F.substr(F.sha2(F.concat_ws("|", F.col("device").cast("string"), F.col("slot").cast("string"), "label"), 256), F.lit(1), F.lit(16)).alias("revision"))
 
 
-@query("WITH s AS (SELECT conv_id, list(turn ORDER BY turn) AS ids FROM conversations GROUP BY conv_id), e AS (SELECT conv_id, unnest(ids) AS turn FROM s), c AS (SELECT conv_id, turn FROM conversations WHERE length(text) % 9 <> 0) SELECT e.conv_id, bool_and(c.turn IS NOT NULL) AS current FROM e LEFT JOIN c ON c.conv_id = e.conv_id AND c.turn = e.turn GROUP BY e.conv_id")
-def stale_summaries(spark, d):
-    """A summary is current only if every block that it cites still exists."""
-    c = V.table(spark, d, "conversations")
-    cited = c.select("conv_id", "turn").distinct().select("conv_id", F.array("turn").alias("ids"))
-    return W.still_current(cited, "conv_id", "ids", c.where("length(text) % 9 <> 0").select("conv_id", F.col("turn").alias("block")).distinct())
-
-
-@query("SELECT CASE WHEN l.doc_id IS NOT NULL AND l.quality = 1 THEN 'cached' ELSE 'pending' END AS lane, count(*) AS rows FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY ALL")
-def reuse_or_pending(spark, d):
-    t = V.table(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("id"), F.lit(True).alias("hit"))
-    f = V.frames(spark, d).select("id").join(t, "id", "left")
-    return f.groupBy(F.when(F.col("hit"), "cached").otherwise("pending").alias("lane")).agg(F.count(F.lit(1)).alias("rows"))
-
-
 @query(f"WITH {V.RUNS} SELECT device, day, start_us, end_us, coalesce(CASE WHEN id % 2 = 0 THEN 'kept-' || id::VARCHAR END, substr(sha256(concat_ws('|', device, start_us, end_us)), 1, 12)) AS block_id FROM runs")
 def stable_block_ids(spark, d):
     runs = _runs(spark, d)
@@ -357,41 +302,14 @@ ROLL = """WITH x AS (SELECT user_id % 4 AS device, event_id AS id, epoch_us(ts)
     r AS (SELECT *, sum(untitled) OVER w AS recent, count(*) OVER w AS windows FROM x WINDOW w AS (PARTITION BY device ORDER BY t, id ROWS BETWEEN 59 PRECEDING AND CURRENT ROW))"""
 
 
-@query(ROLL + " SELECT device, CASE WHEN windows >= 24 AND recent * 100 >= windows * 30 THEN 'limited' ELSE 'normal' END AS status, count(*) AS samples FROM r GROUP BY ALL")
-def window_identity_health(spark, d):
-    return W.identity_health(V.samples(spark, d).where("state IN ('active', 'unattributed')"), 30).groupBy("device", "status").agg(F.count(F.lit(1)).alias("samples"))
-
-
 @query("WITH c AS (SELECT user_id, epoch_us(ts) AS t, event_id, value, lag(value) OVER w AS v0, lag(epoch_us(ts)) OVER w AS t0 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT event_id AS id, CASE WHEN v0 IS NULL OR value < v0 THEN NULL ELSE CAST(floor((value - v0) * 1e9 / (t - t0) + 0.5) AS BIGINT) END AS rate FROM c")
 def counter_intervals(spark, d):
     e = V.table(spark, d, "events").select(F.col("event_id").alias("id"), "user_id", V.micros("ts").alias("t"), "value")
     return W.counter_rates(e, ["user_id"], "t", "value").select("id", F.floor(F.col("per_us") * 1e9 + 0.5).alias("rate"))
 
 
-@query("SELECT user_id % 4 AS device, event_type AS kind, CASE WHEN max(epoch_us(ts)) >= 1706572800000000 THEN 'fresh' ELSE 'stale' END AS status FROM events GROUP BY ALL")
-def receipt_fresh(spark, d):
-    e = V.table(spark, d, "events").select((F.col("user_id") % 4).alias("device"), F.col("event_type").alias("kind"), V.micros("ts").alias("t"))
-    return e.groupBy("device", "kind").agg(F.when(F.max("t") >= 1_706_572_800_000_000, "fresh").otherwise("stale").alias("status"))
-
-
 @query("SELECT item.doc_id AS id, CAST(len(list_filter(string_split(item.text, ' '), lambda x: x = 'the')) AS BIGINT) AS the_words FROM documents item")
 def evidence_words(spark, d):
     return V.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.size(F.filter(F.split("text", " "), lambda x: x == "the")).cast("long").alias("the_words"))
 
 
-@query(f"WITH {V.FRAMES}, {V.COMMITS}, p AS (SELECT a.id, b.id AS other, row_number() OVER (PARTITION BY a.id ORDER BY b.at_us DESC, b.id DESC) AS rank FROM frames a JOIN frames b ON a.device = b.device AND a.display = b.display AND a.id <> b.id AND b.at_us BETWEEN a.at_us - 120000000 AND a.at_us + 1000000 AND a.at_us // 86400000000 = b.at_us // 86400000000) SELECT id, other, rank FROM p WHERE rank <= 3")
-def evidence_pack(spark, d):
-    """Up to three neighbours of one display in the two minutes before, on the same day."""
-    f = V.frames(spark, d).select("id", "device", "display", "at_us")
-    return W.neighbours(f, ["device", "display"], 120 * SECOND, SECOND, 3)
-
-
-@query("WITH a AS (SELECT c_custkey AS id, lower(c_mktsegment) AS alias, c_nationkey FROM customer), g AS (SELECT alias, c_nationkey, count(DISTINCT id) AS n, min(id) AS id FROM a GROUP BY ALL) SELECT alias, CAST(c_nationkey AS BIGINT) AS scope, CASE WHEN n = 1 THEN id END AS resolved FROM g")
-def alias_resolution(spark, d):
-    a = V.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.lower("c_mktsegment").alias("alias"), F.col("c_nationkey").cast("long").alias("scope"))
-    return a.groupBy("alias", "scope").agg(F.when(F.count_distinct("id") == 1, F.min("id")).alias("resolved"))
-
-
-@query("SELECT o_custkey AS context, count(DISTINCT date_trunc('day', o_orderdate)) >= 3 AS ready FROM orders GROUP BY o_custkey")
-def promotion_gate(spark, d):
-    return V.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("context")).agg((F.count_distinct(F.to_date("o_orderdate")) >= 3).alias("ready"))

@@ -69,18 +69,31 @@ def final_answer_json(spark, d):
     return V.table(spark, d, "conversations").select("conv_id", "turn", T.final_answer(s).alias("answer"))
 
 
-@query(
-    """WITH p AS (SELECT page_id, lower(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS t, CASE WHEN page_id % 5 <> 0 THEN 'web' END AS app FROM pages)
-    SELECT page_id, CASE WHEN regexp_matches(t, 'mail|inbox') THEN 'Mail' WHEN regexp_matches(t, 'calendar|meeting') THEN 'Planning' WHEN regexp_matches(t, 'invoice|budget') THEN 'Finance' WHEN regexp_matches(t, 'test|build|code') THEN 'Development'
-    WHEN regexp_matches(t, 'paper|article|report') THEN 'Reading' WHEN regexp_matches(t, 'video|music') THEN 'Media' WHEN app IS NULL THEN 'Unclear' ELSE 'App: ' || app END AS label FROM p"""
-)
+def _ladder(title: str, app: str, host: str) -> str:
+    rules = " ".join(f"WHEN regexp_matches(lower(coalesce({title}, '')), '{'|'.join(w)}') THEN '{label}'" for w, label in T.CONTEXTS)
+    page = f"CASE WHEN coalesce({host}, '') <> '' THEN left({host}, 80) || ' (topic unknown)' ELSE 'Browser page (topic unknown)' END"
+    return f"""CASE WHEN coalesce(regexp_matches({title}, {_q(T.SENSITIVE)}), false) THEN 'Sensitive window (topic hidden)' {rules}
+      WHEN coalesce({app}, '') = '' THEN 'Unclear' WHEN regexp_matches(lower({app}), '{'|'.join(T.BROWSERS)}') THEN {page} ELSE left({app}, 60) || ' (task unknown)' END"""
+
+
+TITLES = """p AS (SELECT page_id, CASE page_id % 13 WHEN 0 THEN 'Bank Account' WHEN 1 THEN 'YouTube Music - mix' WHEN 2 THEN 'My Video' WHEN 3 THEN 'ChatGPT' WHEN 4 THEN 'Gmail inbox' WHEN 5 THEN 'Budget spreadsheet' WHEN 6 THEN 'Terminal'
+      ELSE regexp_extract(html, '<title>([^<]*)</title>', 1) END AS title, CASE page_id % 4 WHEN 0 THEN 'Google Chrome' WHEN 1 THEN 'Editor' WHEN 2 THEN '' END AS app, CASE WHEN page_id % 8 <> 0 THEN regexp_extract(url, '://([^/?#]*)', 1) END AS host FROM pages)"""
+
+
+@query(f"WITH {TITLES} SELECT page_id, {_ladder('title', 'app', 'host')} AS label FROM p")
 def broad_context(spark, d):
+    """Titles of pages, some replaced by telling ones, with an app and a site."""
+    k = F.col("page_id")
     title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
-    return V.table(spark, d, "pages").select("page_id", T.broad_context(title, F.when(F.col("page_id") % 5 != 0, F.lit("web"))).alias("label"))
+    for i, known in enumerate(("Bank Account", "YouTube Music - mix", "My Video", "ChatGPT", "Gmail inbox", "Budget spreadsheet", "Terminal")):
+        title = F.when(k % 13 == i, known).otherwise(title)
+    app = F.when(k % 4 == 0, "Google Chrome").when(k % 4 == 1, "Editor").when(k % 4 == 2, "")
+    host = F.when(k % 8 != 0, F.regexp_extract("url", "://([^/?#]*)", 1))
+    return V.table(spark, d, "pages").select("page_id", T.broad_context(title, app, host).alias("label"))
 
 
 @query(
-    """SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_transform(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) >= 4 AND NOT list_contains(['page', 'home', 'window', 'untitled', 'document', 'with', 'from', 'this', 'that'], w)), lambda w: regexp_replace(w, 's+$', '')))), ' ') AS tokens FROM conversations"""
+    f"""SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_transform(list_filter(regexp_extract_all(lower(text), '[a-z0-9]{{2,}}'), lambda w: (length(w) >= 4 OR list_contains({list(T.SHORT_SUBJECTS)}, w)) AND NOT list_contains({list(T.GENERIC)}, w)), lambda w: regexp_replace(w, 's+$', '')))), ' ') AS tokens FROM conversations"""
 )
 def subject_tokens(spark, d):
     return V.table(spark, d, "conversations").select("conv_id", "turn", F.array_join(T.subject_tokens(F.col("text")), " ").alias("tokens"))
@@ -150,9 +163,19 @@ def engine_timings(spark, d):
     return t.select("id", "eval_ms", "eval_tokens", F.floor(F.col("tokens_per_s") + 0.5).alias("rate"))
 
 
-@query("SELECT s_suppkey AS id, 'S ' || lower(substr(s_name, 2)) AS app FROM supplier WHERE false UNION ALL SELECT p_partkey, array_to_string(list_transform(string_split(lower(replace(list_last(string_split(p_type, '.')), '-', ' ')), ' '), lambda w: upper(w[1:1]) || w[2:]), ' ') FROM part")
+BUNDLES = "CASE p_partkey % 6 WHEN 0 THEN 'com.vendor' || (p_partkey % 40)::VARCHAR || '.' || replace(lower(p_name), ' ', '_') WHEN 1 THEN 'com.apple.mobilenotes' WHEN 2 THEN 'net.whatsapp.WhatsApp' WHEN 3 THEN NULL WHEN 4 THEN '' ELSE p_brand END"
+
+
+@query(
+    f"""WITH b AS (SELECT p_partkey AS id, {BUNDLES} AS bundle FROM part)
+    SELECT id, CASE WHEN coalesce(bundle, '') = '' THEN 'Unknown app' WHEN bundle = 'com.apple.mobilenotes' THEN 'Notes' WHEN bundle = 'net.whatsapp.WhatsApp' THEN 'WhatsApp'
+      WHEN starts_with(bundle, 'com.') THEN array_to_string(list_transform(string_split(replace(list_last(string_split(bundle, '.')), '_', ' '), ' '), lambda w: upper(w[1:1]) || lower(w[2:])), ' ') ELSE bundle END AS app FROM b"""
+)
 def app_name(spark, d):
-    return V.table(spark, d, "part").select(F.col("p_partkey").alias("id"), T.app_name(F.col("p_type")).alias("app"))
+    k = F.col("p_partkey")
+    vendor = F.concat(F.lit("com.vendor"), (k % 40).cast("string"), F.lit("."), F.replace(F.lower("p_name"), F.lit(" "), F.lit("_")))
+    bundle = F.when(k % 6 == 0, vendor).when(k % 6 == 1, "com.apple.mobilenotes").when(k % 6 == 2, "net.whatsapp.WhatsApp").when(k % 6 == 4, "").when(k % 6 == 5, F.col("p_brand"))
+    return V.table(spark, d, "part").select(k.alias("id"), T.app_name(bundle).alias("app"))
 
 
 def _records(spark, d):
@@ -188,26 +211,8 @@ def validate_records(spark, d):
     return told.select("conv_id", "turn", code.alias("code"))
 
 
-@query("SELECT lower(source) AS label, count(*) AS chapters, count(*) FILTER (lang IS NULL OR lang NOT IN ('en', 'de')) AS unclear FROM documents GROUP BY ALL")
-def merge_groups(spark, d):
-    return _docs(spark, d).groupBy(F.lower("source").alias("label")).agg(F.count(F.lit(1)).alias("chapters"), F.count_if(F.col("lang").isNull() | ~F.col("lang").isin("en", "de")).alias("unclear"))
-
-
-@query("SELECT lang, source, count(*) AS docs, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY ALL")
-def merge_contexts(spark, d):
-    return _docs(spark, d).groupBy("lang", "source").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_chars").alias("chars"))
-
-
-@query("WITH u AS (SELECT conv_id, role, turn FROM conversations) SELECT role, count(*) AS turns, count(DISTINCT conv_id) AS conversations FROM u GROUP BY role")
-def timeline_lanes(spark, d):
-    return V.table(spark, d, "conversations").groupBy("role").agg(F.count(F.lit(1)).alias("turns"), F.count_distinct("conv_id").alias("conversations"))
-
-
 @query("SELECT page_id, regexp_extract(url, '/([0-9]+)', 1) AS display FROM pages")
 def display_id(spark, d):
     return V.table(spark, d, "pages").select("page_id", F.regexp_extract("url", "/([0-9]+)", 1).alias("display"))
 
 
-@query("SELECT page_id, lower(url) LIKE '%blog%' AND html IS NOT NULL AS hit FROM pages WHERE lower(url) LIKE '%blog%' ORDER BY page_id LIMIT 50")
-def search_intervals(spark, d):
-    return V.table(spark, d, "pages").where(F.contains(F.lower("url"), F.lit("blog"))).orderBy("page_id").limit(50).select("page_id", F.col("html").isNotNull().alias("hit"))

@@ -178,3 +178,28 @@ ANNOTATIONS = """annotations AS (
 
 RECEIPTS = """receipts AS (
   SELECT epoch_us(o_orderdate) AS started_us, epoch_us(o_orderdate) // 86400000000 AS night, o_orderkey % 90 AS completed, o_orderkey % 7 AS failed, CAST(floor(o_totalprice) AS BIGINT) AS elapsed_cs FROM orders)"""
+
+
+def screens(spark: SparkSession, d: str) -> DataFrame:
+    """Frames with an app, a window title and a reading status; some lack one or the other."""
+    i = F.col("id")
+    app, win = F.when(i % 9 != 0, F.concat(F.lit("app"), (i % 2).cast("string"))), F.when(i % 3 != 0, F.concat(F.lit("w"), (F.floor(i / 2) % 2).cast("string")))
+    return frames(spark, d).select("id", "device", "at_us", app.alias("app"), win.alias("win"), "text", F.when(F.col("n_chars") % 10 == 0, "pending").otherwise("complete").alias("status"))
+
+
+SCREENS = (
+    FRAMES
+    + """, screens AS (SELECT id, device, at_us, CASE WHEN id % 9 <> 0 THEN 'app' || (id % 2)::VARCHAR END AS app, CASE WHEN id % 3 <> 0 THEN 'w' || ((id // 2) % 2)::VARCHAR END AS win, text, CASE WHEN n_chars % 10 = 0 THEN 'pending' ELSE 'complete' END AS status FROM frames)"""
+)
+
+
+def captions(spark: SparkSession, d: str) -> DataFrame:
+    """One caption for each attempt on a frame."""
+    a = annotations(spark, d)
+    return a.select(F.col("path").alias("id"), F.col("n").alias("ord"), "status", F.concat_ws(" ", F.lit("view"), "status", F.col("n").cast("string")).alias("caption"), F.when(F.col("model") == 1, "strong").otherwise("weak").alias("model"))
+
+
+CAPTIONS = (
+    ANNOTATIONS
+    + """, captions AS (SELECT path AS id, n AS ord, status, 'view ' || status || ' ' || n::VARCHAR AS caption, CASE WHEN model = 1 THEN 'strong' ELSE 'weak' END AS model FROM annotations)"""
+)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.text import is_work_path
+from spanloom.functions.time import DAY
+from spanloom.sources.scratch import written
 
 
 def with_id(rows: DataFrame, cols: list[str]) -> DataFrame:
@@ -81,10 +83,22 @@ def manifest(rows: DataFrame, source: str) -> DataFrame:
     return rows.groupBy(source).agg(F.count(F.lit(1)).alias("rows"), F.bit_xor(F.xxhash64(*rows.columns)).alias("fingerprint"))
 
 
-def read_receipts(spark: SparkSession, path: str, schema: str, version: int) -> DataFrame:
-    """JSON receipts of one version; malformed ones are left out."""
-    rows = spark.read.schema(schema + ", _bad STRING").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
-    return rows.where(F.col("_bad").isNull() & (F.col("version") == version)).drop("_bad")
+def read_receipts(spark: SparkSession, path: str, schema: str, version: int, most_bytes: int = 4 << 20) -> DataFrame:
+    """JSON receipts of one version, one a line; malformed ones and those above most_bytes are left out."""
+    lines = spark.read.text(path).where(F.octet_length("value") <= most_bytes)
+    told = lines.select(F.from_json("value", schema + ", _bad STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r")).select("r.*")
+    return told.where(F.col("_bad").isNull() & (F.col("version") == version)).drop("_bad")
+
+
+def export_lines(rows: DataFrame, path: str, key: str = "device", at: str = "at_us") -> DataFrame:
+    """Writes one JSON line a row, in time order within a file, a folder for each key and source; and returns the manifest
+    of what is there then: rows, bytes and an order-free digest of the lines."""
+    line = F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"})
+    told = rows.select(key, "source", line.alias("value"), F.col(at).alias("__at"))
+    told.repartition(key, F.floor(F.col("__at") / DAY)).sortWithinPartitions(key, "source", "__at").select(key, "source", "value").write.partitionBy(key, "source").text(path)
+    back = rows.sparkSession.read.schema(f"value string, {key} long, source string").text(path)
+    piece = F.conv(F.substr(F.md5("value"), F.lit(1), F.lit(8)), 16, 10).cast("long")
+    return back.groupBy(key, "source").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("value") + 1).alias("bytes"), F.sum(piece).alias("digest"))
 
 
 def export_timeline(rows: DataFrame, path: str, at: str = "at_us") -> None:
@@ -93,7 +107,10 @@ def export_timeline(rows: DataFrame, path: str, at: str = "at_us") -> None:
 
 
 def write_changed(rows: DataFrame, path: str, keys: list[str]) -> DataFrame:
-    """Rewrites only partitions whose content differs from what is stored; returns the keys written."""
+    """Rewrites only partitions whose content differs from what is stored; returns the keys written.
+
+    The keys are a table of their own, written first, since the write changes what they were found from.
+    """
     spark = rows.sparkSession
     cols = sorted(c for c in rows.columns if c not in keys)
     mark = lambda df: df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*cols)).alias("h"))
@@ -103,11 +120,9 @@ def write_changed(rows: DataFrame, path: str, keys: list[str]) -> DataFrame:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         old = mark(rows.limit(0))
-    changed = mark(rows).join(old, [*keys, "n", "h"], "left_anti").select(*keys)
-    # As many rows as folders to write. They are fixed before the write, which changes what `old` reads.
-    changed = spark.createDataFrame(changed.collect(), changed.schema)
+    changed = written(mark(rows).join(old, [*keys, "n", "h"], "left_anti").select(*keys))
     if not changed.isEmpty():
-        rows.join(F.broadcast(changed), keys, "left_semi").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+        rows.join(changed, keys, "left_semi").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
     return changed
 
 
