@@ -31,34 +31,11 @@ def _captions(spark, d):
 SIGNS = "s AS (SELECT vec_id AS id, list_sum(list_transform(range(1, 25), lambda i: CASE WHEN embedding[i] > 0 THEN (1::BIGINT << (i - 1)::INTEGER) ELSE 0 END))::BIGINT AS code FROM embeddings)"
 
 
-@query(f"WITH {SIGNS} SELECT a.id AS a, b.id AS b FROM s a JOIN s b ON a.id < b.id AND bit_count(xor(a.code, b.code)) <= 4")
-def near_dup_hash(spark, d):
-    """Pairs of 24-bit codes within 4 bits: signs of a vector's first components stand for an image's hash."""
-    bits = [F.when(F.element_at("embedding", i) > 0, F.lit(1 << (i - 1))).otherwise(F.lit(0)).cast("long") for i in range(1, 25)]
-    code = bits[0]
-    for b in bits[1:]:
-        code = code.bitwiseOR(b)
-    return E.hamming_pairs(V.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), code.alias("code")), 4, 24)
-
-
 @query(f"WITH {V.FRAMES}, a AS (SELECT * FROM frames WHERE display = 'en'), m AS (SELECT device, at_us, at_us - 30000000 AS s, at_us + 30000000 AS e, max(at_us + 30000000) OVER (PARTITION BY device ORDER BY at_us, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM a) SELECT device, count(*) AS anchors, count(DISTINCT at_us // 1800000000) AS slots, CAST(sum(e - greatest(s, coalesce(reach, s))) AS BIGINT) AS reach_us FROM m GROUP BY device")
 def frame_reach(spark, d):
     return E.reach(V.frames(spark, d).where("display = 'en'"), 30 * SECOND, 30 * MINUTE)
 
 
-@query(f"WITH {V.FRAMES}, x AS (SELECT * FROM frames WHERE n_chars >= 300 AND display IS NOT NULL), t AS (SELECT *, row_number() OVER (PARTITION BY device, display, app ORDER BY at_us, id) AS turn FROM x) SELECT device, display, id, row_number() OVER (PARTITION BY device, display ORDER BY turn, at_us, id) AS rank FROM t QUALIFY rank <= 12")
-def cohort_sample(spark, d):
-    reason = E.first_reason([("short", F.col("n_chars") < 300), ("no_display", F.col("display").isNull())])
-    return E.cohort(V.frames(spark, d).drop("text"), reason, ["device", "display"], "app", 12).select("device", "display", "id", "rank")
-
-
-@query("WITH g AS (SELECT source AS grp, count(*) AS n FROM documents GROUP BY source), f AS (SELECT *, sum(n) OVER (ORDER BY md5(grp), grp ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS filled FROM g) SELECT grp, n, CAST(filled AS BIGINT) AS filled FROM f WHERE filled <= 300")
-def group_split(spark, d):
-    """Whole groups, in hash order, into the part that is held out."""
-    g = V.table(spark, d, "documents").groupBy(F.col("source").alias("grp")).agg(F.count(F.lit(1)).alias("n"))
-    return E.group_fill(g, "grp", "n", 300)
-
-
 @query(REVIEW + ", lb AS (SELECT device, start_us // 900000000 AS slot, min('L' || (k % 3)::VARCHAR) AS label FROM samples WHERE k % 6 = 1 GROUP BY ALL) SELECT rs.device, rs.slot, unknown_us, label, label IS NOT NULL AS confirmed FROM rs LEFT JOIN lb USING (device, slot) WHERE unknown_us >= 120000000")
 def review_view(spark, d):
     """Slots to review with their current label."""
@@ -66,14 +43,6 @@ def review_view(spark, d):
     return _review(spark, d).join(lb, ["device", "slot"], "left").withColumn("confirmed", F.col("label").isNotNull())
 
 
-@query("WITH g AS (SELECT l_orderkey AS k, l_linenumber AS n, min(l_returnflag) AS a, min(l_linestatus) AS b FROM lineitem GROUP BY ALL), p AS (SELECT x.k, x.a = y.a AS ea, x.b = y.b AS eb FROM g x JOIN g y ON x.k = y.k AND x.n = 1 AND y.n = 2) SELECT count(*) AS n, count(*) FILTER (ea) AS field_a, count(*) FILTER (eb) AS field_b, count(*) FILTER (ea AND eb) AS joint FROM p")
-def score_generations(spark, d):
-    g = V.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n")).agg(F.min("l_returnflag").alias("a"), F.min("l_linestatus").alias("b"))
-    x, y = g.where("n = 1").select("k", "a", "b"), g.where("n = 2").select("k", F.col("a").alias("a2"), F.col("b").alias("b2"))
-    ea, eb = F.col("a") == F.col("a2"), F.col("b") == F.col("b2")
-    return x.join(y, "k").agg(F.count(F.lit(1)).alias("n"), F.count_if(ea).alias("field_a"), F.count_if(eb).alias("field_b"), F.count_if(ea & eb).alias("joint"))
-
-
 @query(f"WITH {V.RECEIPTS}, n AS (SELECT night, sum(completed) AS ok, sum(elapsed_cs) AS cost FROM receipts GROUP BY night) SELECT night, CAST(least(250, CASE WHEN cost > 0 THEN 432000 * ok // cost ELSE 0 END) AS BIGINT) AS quota FROM n")
 def seeded_trial_quota(spark, d):
     n = V.receipts(spark, d).groupBy("night").agg(F.sum("completed").alias("ok"), F.sum("elapsed_cs").alias("cost"))

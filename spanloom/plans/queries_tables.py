@@ -111,11 +111,6 @@ def model_benchmark(spark, d):
     return W.model_benchmark(V.annotations(spark, d).where("status = 'complete'"), 23_400, 0.8)
 
 
-@query(f"WITH {V.ANNOTATIONS} SELECT model, count(*) AS n, count(*) FILTER (status = 'complete') AS complete, count(*) FILTER (status = 'incomplete') AS incomplete, median(elapsed_s) AS median_s, quantile_disc(elapsed_s, 0.9) AS p90_s FROM annotations GROUP BY model")
-def annotation_quality(spark, d):
-    return W.annotation_quality(V.annotations(spark, d))
-
-
 @query(f"WITH {V.ANNOTATIONS}, f AS (SELECT path, bool_or(status = 'complete') AS done, bool_or(status = 'filtered') AS held FROM annotations GROUP BY path) SELECT path % 10 AS night, count(*) AS frames, count(*) FILTER (done) AS complete, count(*) FILTER (NOT done AND held) AS sensitive, count(*) FILTER (NOT done AND NOT held) AS unresolved FROM f GROUP BY ALL")
 def combined_night(spark, d):
     return W.combined(V.annotations(spark, d)).groupBy((F.col("path") % 10).alias("night")).agg(F.count(F.lit(1)).alias("frames"), F.count_if("done").alias("complete"), F.count_if(F.expr("NOT done AND held")).alias("sensitive"), F.count_if(F.expr("NOT done AND NOT held")).alias("unresolved"))
@@ -140,16 +135,6 @@ def conservative_capacity(spark, d):
     return W.conservative(_nights(spark, d), 50, 3)
 
 
-@query(
-    f"""WITH {V.ANNOTATIONS} SELECT model, status, count(*) AS attempts, count(elapsed) AS measured, CASE WHEN count(*) = count(elapsed) THEN CAST(sum(elapsed) AS BIGINT) END AS total_s, CAST(sum(coalesce(elapsed, 50)) AS BIGINT) AS upper_s
-    FROM (SELECT *, CASE WHEN status = 'filtered' AND n = 2 THEN NULL ELSE CAST(elapsed_s AS BIGINT) END AS elapsed FROM annotations) GROUP BY ALL"""
-)
-def telemetry_groups(spark, d):
-    """Attempts by group: a total only where nothing is unknown, and an upper bound from a reservation of 50 s."""
-    a = V.annotations(spark, d).withColumn("elapsed", F.when(~((F.col("status") == "filtered") & (F.col("n") == 2)), F.col("elapsed_s").cast("long")))
-    return W.telemetry(a, ["model", "status"], "elapsed", 50)
-
-
 @query(f"WITH {V.ANNOTATIONS}, f AS (SELECT * FROM annotations WHERE n = 1 AND status = 'incomplete') SELECT path FROM f WHERE NOT EXISTS (SELECT 1 FROM annotations x WHERE x.path = f.path AND x.n = 2 AND x.status = 'complete')")
 def incomplete_not_retried(spark, d):
     a = V.annotations(spark, d)
@@ -194,15 +179,6 @@ def earliest_day(spark, d):
     return a.union(b).agg(F.floor(F.min("t") / DAY).alias("day"))
 
 
-@query(
-    f"""WITH {FACTS}, bad AS (SELECT unnest(list_filter([CASE WHEN active_us + unattributed_us + locked_us + idle_us <> observed_us THEN 'state_sum' END, CASE WHEN observed_us > 86400000000 THEN 'day_bound' END, CASE WHEN observed_us + unobserved_us <> 86400000000 THEN 'unobserved' END,
-      CASE WHEN coalesce(foreground_us, 0) > active_us + unattributed_us THEN 'foreground' END, CASE WHEN coalesce(longest_us, 0) > active_us THEN 'stretch_bound' END, CASE WHEN least(active_us, unattributed_us, locked_us, idle_us, unobserved_us) < 0 THEN 'not_negative' END,
-      CASE WHEN coalesce(session_union_us, 0) > observed_us THEN 'session_union' END], lambda x: x IS NOT NULL)) AS code FROM facts) SELECT code, count(*) AS days FROM bad GROUP BY code"""
-)
-def check_accounting(spark, d):
-    return Q.check_accounting(_facts(spark, d))
-
-
 @query(
     """WITH g AS (SELECT source, count(*) AS n, count(*) FILTER (lang = 'en') AS k FROM documents GROUP BY source)
     SELECT source, k, n, CAST(floor((k / n::DOUBLE + 1.959963984540054 * 1.959963984540054 / (2 * n) - 1.959963984540054 * sqrt(k / n::DOUBLE * (1 - k / n::DOUBLE) / n + 1.959963984540054 * 1.959963984540054 / (4.0 * n * n))) / (1 + 1.959963984540054 * 1.959963984540054 / n) * 1e6 + 0.5) AS BIGINT) AS low_ppm,
@@ -214,16 +190,13 @@ def wilson_interval(spark, d):
 
 
 def _variants(spark, d):
-    x = V.table(spark, d, "lineitem").where("l_linenumber <= 3").select((F.col("l_linenumber").cast("long")).alias("variant"), F.col("l_orderkey").alias("example"), F.col("l_returnflag").alias("truth"), F.when(F.col("l_quantity") > 5, F.when(F.col("l_quantity") % 4 == 0, F.lit("A")).otherwise(F.col("l_returnflag"))).alias("guess"), F.col("l_quantity").alias("score"))
-    return x
-
-
-VARIANTS = "WITH x AS (SELECT CAST(l_linenumber AS BIGINT) AS variant, l_orderkey AS example, l_returnflag AS truth, CASE WHEN l_quantity > 5 THEN CASE WHEN l_quantity % 4 = 0 THEN 'A' ELSE l_returnflag END END AS guess, l_quantity AS score FROM lineitem WHERE l_linenumber <= 3)"
+    """Answers of three variants to examples: every line of an order is one, those of one example and variant are one."""
+    n = F.col("l_linenumber") - 1
+    x = V.table(spark, d, "lineitem").groupBy((n % 3 + 1).cast("long").alias("variant"), (F.col("l_orderkey") * 10 + F.floor(n / 3)).alias("example")).agg(F.max("l_returnflag").alias("truth"), F.max("l_quantity").alias("score"))
+    return x.withColumn("guess", F.when(F.col("score") > 5, F.when(F.col("score") % 4 == 0, F.lit("A")).otherwise(F.col("truth")))).select("variant", "example", "truth", "guess", "score")
 
 
-@query(VARIANTS + " SELECT variant, count(*) AS n, count(guess) AS answered, count(*) FILTER (guess = truth) AS right, count(*) FILTER (guess IS NULL) AS abstained FROM x GROUP BY variant".replace("AS right", 'AS "right"'))
-def variant_metrics(spark, d):
-    return Q.variant_metrics(_variants(spark, d), "variant", "truth", "guess")
+VARIANTS = "WITH y AS (SELECT CAST((l_linenumber - 1) % 3 + 1 AS BIGINT) AS variant, l_orderkey * 10 + (l_linenumber - 1) // 3 AS example, max(l_returnflag) AS truth, max(l_quantity) AS score FROM lineitem GROUP BY ALL), x AS (SELECT variant, example, truth, CASE WHEN score > 5 THEN CASE WHEN score % 4 = 0 THEN 'A' ELSE truth END END AS guess, score FROM y)"
 
 
 @query(VARIANTS + " SELECT bool_and(b.score >= a.score) AS holds, count(*) FILTER (b.score < a.score) AS worse, count(*) AS pairs FROM x a JOIN x b ON a.example = b.example AND a.variant = 1 AND b.variant = 2")
@@ -238,17 +211,19 @@ def select_best(spark, d):
     return Q.select_best(m, F.col("right") * 100 >= F.col("n") * 50, ["right", "n"], "variant")
 
 
-@query(VARIANTS + ", c AS (SELECT variant, example % 2 AS round, CAST(sum(score) AS BIGINT) AS cost FROM x GROUP BY ALL), b AS (SELECT round, cost AS base FROM c WHERE variant = 1) SELECT variant, CAST(sum(cost) AS BIGINT) AS total FROM c JOIN b USING (round) WHERE variant <> 1 GROUP BY variant HAVING bool_and(cost * 100 <= base * 110)")
-def nominate_runtime(spark, d):
-    c = _variants(spark, d).groupBy("variant", (F.col("example") % 2).alias("round")).agg(F.sum("score").cast("long").alias("cost"))
-    return Q.nominate(c, "variant", 1, "cost", 110)
+BOOTSTRAP = """, p AS (SELECT a.example % 40 AS cluster, a.score - b.score AS d FROM x a JOIN x b ON a.example = b.example AND a.variant = 1 AND b.variant = 2), s AS (SELECT cluster, sum(d) AS d, count(*) AS n, row_number() OVER (ORDER BY cluster) - 1 AS place FROM p GROUP BY cluster),
+    c AS (SELECT count(*) AS g FROM s), k AS (SELECT draw, CAST('0x' || substr(md5(draw::VARCHAR || ':' || place::VARCHAR || ':17'), 1, 8) AS BIGINT) % g AS place FROM s, c, (SELECT unnest(range(2000)) AS draw)),
+    m AS (SELECT draw, sum(s.d) / sum(s.n) AS m FROM k JOIN s USING (place) GROUP BY draw), o AS (SELECT m, row_number() OVER (ORDER BY m, draw) - 1 AS r FROM m)
+    SELECT count(*) AS pairs, (SELECT g FROM c) AS clusters, CAST(floor(avg(d) * 1e6 + 0.5) AS BIGINT) AS difference_ppm, (SELECT CAST(floor(m * 1e6 + 0.5) AS BIGINT) FROM o WHERE r = 50) AS low_ppm, (SELECT CAST(floor(m * 1e6 + 0.5) AS BIGINT) FROM o WHERE r = 1950) AS high_ppm, count(*) FILTER (d > 0) AS wins, count(*) FILTER (d < 0) AS losses, count(*) FILTER (d = 0) AS ties FROM p"""
 
 
-@query()
+@query(VARIANTS + BOOTSTRAP)
 def cluster_bootstrap(spark, d):
     x = _variants(spark, d)
     a, b = x.where("variant = 1").select("example", F.col("score").alias("a")), x.where("variant = 2").select("example", F.col("score").alias("b"))
-    return Q.cluster_bootstrap(a.join(b, "example").withColumn("cluster", F.col("example") % 40), "cluster", "a", "b")
+    got = Q.cluster_bootstrap(a.join(b, "example").withColumn("cluster", F.col("example") % 40), "cluster", "a", "b")
+    ppm = lambda c: F.floor(F.col(c) * 1e6 + 0.5).alias(f"{c}_ppm")
+    return got.select("pairs", "clusters", ppm("difference"), ppm("low"), ppm("high"), "wins", "losses", "ties")
 
 
 @query(VARIANTS + ", r AS (SELECT *, substr(sha256(concat_ws(':', '9', example, variant)), 1, 16) AS review_id FROM x) SELECT review_id, truth, guess, CAST(score AS BIGINT) AS score FROM r")

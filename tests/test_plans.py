@@ -3,7 +3,7 @@
 import pytest
 
 from spanloom.operators import fold, quality
-from spanloom.plans import queries_more, queries_tables, queries_text
+from spanloom.plans import queries_context, queries_tables, queries_text
 
 VALUES = "conv_id long, turn long, role string, text string"
 
@@ -26,8 +26,8 @@ def test_long_conversation_is_no_long_row(spark, monkeypatch, query):
 
 def test_all_apps_are_ranked(spark, monkeypatch):
     runs = spark.range(150).selectExpr("1 AS device", "concat('a', id) AS app", "0 AS start_us", "id + 1 AS end_us")
-    monkeypatch.setattr(queries_more, "_runs", lambda *a: runs)
-    assert queries_more.apps_sites_period(spark, "").count() == 150
+    monkeypatch.setattr(queries_context, "_runs", lambda *a: runs)
+    assert queries_context.apps_sites_period(spark, "/root/testdata/sf0.001").where("kind = 'app'").count() == 150
 
 
 def test_bootstrap_draws(spark, monkeypatch):
