@@ -37,13 +37,16 @@ def import_file_events(spark, d):
     return S.import_file_events(V.file_events(spark, d), 120 * SECOND)
 
 
-@query("SELECT DISTINCT user_id % 4 AS device, substr(sha256(concat_ws('|', event_type, user_id, value > 50)), 1, 16) AS row_id FROM events")
+@query(
+    """WITH r AS (SELECT event_id, user_id % 4 AS device, substr(sha256(concat_ws('|', event_type, user_id, value > 50)), 1, 16) AS row_id FROM events), s AS (SELECT DISTINCT row_id FROM r WHERE event_id % 3 = 0)
+    SELECT device, count(DISTINCT row_id) AS added, count(DISTINCT row_id) FILTER (starts_with(row_id, '0')) AS first_ids FROM r WHERE event_id % 3 <> 0 AND row_id NOT IN (SELECT row_id FROM s) GROUP BY device"""
+)
 def ingest_events(spark, d):
-    """Content-addressed append: rows whose id the target already has, or that repeat, are ignored."""
+    """Content-addressed append: of new rows, those whose id is stored already, or that repeat, are ignored."""
     e = V.table(spark, d, "events")
     rows = S.with_id(e.withColumn("big", F.col("value") > 50), ["event_type", "user_id", "big"])
-    target = rows.where("event_id < 0")
-    return S.append_new(rows, target).select((F.col("user_id") % 4).alias("device"), "row_id")
+    added = S.append_new(rows.where("event_id % 3 <> 0"), rows.where("event_id % 3 = 0"))
+    return added.groupBy((F.col("user_id") % 4).alias("device")).agg(F.count(F.lit(1)).alias("added"), F.count_if(F.startswith("row_id", F.lit("0"))).alias("first_ids"))
 
 
 @query(f"WITH {V.ANNOTATIONS} SELECT path, model, count(*) AS attempts, arg_max(status, (n, status)) AS status FROM annotations GROUP BY ALL")

@@ -82,6 +82,126 @@ def keep_last(events: DataFrame, keys: list[str], span_us: int) -> DataFrame:
     return events.select(*cols).groupBy(*keys).transformWithStateInPandas(statefulProcessor=KeepLast(span_us, cols), outputStructType=schema, outputMode="Append", timeMode="None")
 
 
+class Ordered(StatefulProcessor):
+    """One pass over a key's rows in time order, with a state of one row between batches.
+
+    step(state, row) gives the next state and the row's output, or None for no output; state is None at first. A batch's
+    rows of one key are sorted before; how many these are is bounded by the source's maxBytesPerTrigger or maxFilesPerTrigger.
+    """
+
+    def __init__(self, state: str, order: list[str], columns: list[str], step):
+        self.state, self.order, self.columns, self.step = state, order, columns, step
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", self.state)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows)).sort_values(self.order)
+        state, out = (tuple(self.last.get()) if self.last.exists() else None), []
+        for row in pdf.itertuples(index=False):
+            state, found = self.step(state, row)
+            if found is not None:
+                out.append((*key, *found))
+        self.last.update(state)
+        yield pd.DataFrame(out, columns=self.columns)
+
+    def close(self) -> None:
+        pass
+
+
+def _ordered(rows: DataFrame, keys: list[str], order: list[str], state: str, out: str, step) -> DataFrame:
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    columns = [*keys, *[x.split()[0] for x in out.split(", ")]]
+    schema = rows.select(*keys).schema
+    for x in out.split(", "):
+        schema = schema.add(*x.split())
+    return rows.groupBy(*keys).transformWithStateInPandas(statefulProcessor=Ordered(state, order, columns, step), outputStructType=schema, outputMode="Append", timeMode="None")
+
+
+def coalesce(events: DataFrame, keys: list[str], span_us: int) -> DataFrame:
+    """Events (keys, at_us, id) that no kept one of the same keys precedes by less than span_us, each with how many were
+    dropped since the kept one before."""
+
+    def step(state, row):
+        at, dropped = state or (None, 0)
+        if at is not None and row.at_us - at < span_us:
+            return (at, dropped + 1), None
+        return (int(row.at_us), 0), (int(row.id), int(row.at_us), dropped)
+
+    return _ordered(events.select(*keys, "id", "at_us"), keys, ["at_us", "id"], "at LONG, dropped LONG", "id long, at_us long, dropped long", step)
+
+
+def tab_dedupe(events: DataFrame, keys: list[str], span_us: int = 3 * SECOND) -> DataFrame:
+    """Tab events (keys, id, at_us, identity) without those that repeat the last one sent within span_us."""
+
+    def step(state, row):
+        if state is not None and state[0] == row.identity and row.at_us - state[1] < span_us:
+            return state, None
+        return (row.identity, int(row.at_us)), (int(row.id), int(row.at_us))
+
+    return _ordered(events.select(*keys, "id", "at_us", "identity"), keys, ["at_us", "id"], "identity STRING, at LONG", "id long, at_us long", step)
+
+
+def frame_cadence(frames: DataFrame, keys: list[str], least_us: int = 20 * SECOND, most_us: int = 120 * SECOND, change: float = 1.0) -> DataFrame:
+    """Frames (keys, id, at_us, context, digest, level) to keep, by the rules of fold.cadence_keep."""
+
+    def step(state, row):
+        context = None if pd.isna(row.context) else row.context
+        digest, level = (None if pd.isna(x) else x for x in (row.digest, row.level))
+        if state is not None and context is not None and context == state[1]:
+            age = row.at_us - state[0]
+            same = digest is not None and digest == state[2] or level is not None and state[3] is not None and abs(level - state[3]) < change
+            if age < least_us or age < most_us and same:
+                return state, None
+        return (int(row.at_us), context, None if digest is None else int(digest), None if level is None else float(level)), (int(row.id), int(row.at_us))
+
+    return _ordered(frames.select(*keys, "id", "at_us", "context", "digest", "level"), keys, ["at_us", "id"], "at LONG, context STRING, digest LONG, level DOUBLE", "id long, at_us long", step)
+
+
+def identity_samples(samples: DataFrame, recent: int = 60) -> DataFrame:
+    """Each sample (device, id, at_us, state) with the windows, and the untitled ones, among its device's last `recent`.
+
+    The state is one string of the last samples: w for a titled window, u for an untitled one, - for anything else.
+    """
+
+    def step(state, row):
+        told = ((state[0] if state else "") + {"active": "w", "unattributed": "u"}.get(row.state, "-"))[-recent:]
+        return (told,), (int(row.id), len(told) - told.count("-"), told.count("u"))
+
+    return _ordered(samples.select("device", "id", "at_us", "state"), ["device"], ["at_us", "id"], "seen STRING", "id long, windows long, untitled long", step)
+
+
+def last_receipts(receipts: DataFrame, keys: list[str]) -> DataFrame:
+    """The latest receipt's time by keys, kept as receipts (keys, at_us) come in; for complete or update mode."""
+    return receipts.groupBy(*keys).agg(F.max("at_us").alias("at_us"))
+
+
+def run_complete(df: DataFrame, path: str, checkpoint: str) -> None:
+    """Takes all input that is there and leaves the whole result of an aggregation, as of the last batch, at path."""
+
+    def batch(out: DataFrame, _: int) -> None:
+        out.write.mode("overwrite").parquet(path)
+
+    df.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+
+
+def lateness(rows: DataFrame, at: str, received: str) -> DataFrame:
+    """rows with their UTC day and kind: current, late (over 6 hours, what a scan's look-back still sees) or backfill (over
+    36 hours, what only redoing the day brings in)."""
+    late = F.col(received) - F.col(at)
+    kind = F.when(late > 36 * 3600 * SECOND, "backfill").when(late > 6 * 3600 * SECOND, "late").otherwise("current")
+    return rows.withColumns({"day": F.floor(F.col(at) / (86_400 * SECOND)), "kind": kind})
+
+
+def mark_touched(rows: DataFrame, path: str, checkpoint: str, cols: list[str]) -> None:
+    """Each batch appends the distinct values of cols that it touched: the days to recompute, and why."""
+
+    def batch(df: DataFrame, _: int) -> None:
+        df.select(*cols).distinct().write.mode("append").parquet(path)
+
+    rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 class Health(StatefulProcessor):
     """The last `recent` samples of a device as a list state of 0 and 1, and the state they tell after each batch."""
 
