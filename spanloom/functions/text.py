@@ -26,7 +26,10 @@ LONG_NUMBER = r"[0-9]{6,}"
 HOME_PATH = r"(/Users/|/home/)[A-Za-z0-9_.-]+"
 CREDENTIAL = r"(?i)(api[_-]?key|secret|passwd|password)[\"']? *[:=]"
 PHONE = r"\+[0-9][0-9 ().-]{7,}[0-9]"
-COMPLETION = r"(?i)(^|[^A-Za-z])(completed|finished|submitted|resolved)([^A-Za-z]|$)"
+COMPLETION = (
+    r"(?i)(^|[^A-Za-z0-9_])(completed|finished|submitted|published|delivered|sent|saved|finalized|achieved|deployed|resolved|"
+    r"launched|released|merged|shipped|purchased|deleted|emailed|posted)([^A-Za-z0-9_]|$)"
+)
 UNCLEAR = r"(?i)(^|[^A-Za-z])(unclear|unknown|cannot tell)([^A-Za-z]|$)"
 
 

@@ -23,6 +23,66 @@ SAFE_FIELDS = (
 SAFE_CODE = "^[a-zA-Z0-9_+-]{1,80}$"
 
 
+# What a model's result may say.
+KINDS = ("writing", "research", "communication", "coding", "administration", "learning", "media", "other", "unclear")
+CLAIMS = ("activity_kind", "project_candidate", "task_candidate", "visible_work")
+RESULT = (*("version",), *CLAIMS, "evidence_ids", "claim_evidence", "uncertainty")
+
+
+def validate_results(records: DataFrame, evidence: DataFrame, version: str) -> DataFrame:
+    """(id, code): the first rule that a model's JSON result breaks, or ok.
+
+    records: id, record. evidence: id, evidence_id, primary (the current observation). Rules in order: malformed, keys (other
+    fields than RESULT), version, kind, uncertainty, evidence (none cited, or one that was not supplied), text (a claim that is
+    empty, over 240 characters, sensitive, has an address, or says that something is done; visible_work must be there),
+    claims (other keys), citation (a claim cites what the result doesn't), null_claim (no claim, yet evidence), primary (a
+    claim without the current observation), specific (unclear, yet a project or task). Ids are met one by one, so a result
+    with very many is no long row anywhere.
+    """
+    schema = "version STRING, activity_kind STRING, project_candidate STRING, task_candidate STRING, visible_work STRING, evidence_ids ARRAY<STRING>, claim_evidence MAP<STRING, ARRAY<STRING>>, uncertainty STRING"
+    told = records.select("id", F.from_json("record", schema).alias("r"), F.json_object_keys("record").alias("keys"))
+    cited = told.select("id", F.explode("r.evidence_ids").alias("evidence_id")).distinct()
+    unknown = cited.join(evidence.select("id", "evidence_id"), ["id", "evidence_id"], "left_anti").select("id").distinct().withColumn("__unknown", F.lit(True))
+    main = evidence.where("primary").groupBy("id").agg(F.min("evidence_id").alias("__primary"))
+    met = told.join(unknown, "id", "left").join(main, "id", "left")
+    r = lambda c: F.col(f"r.{c}")
+    of = lambda c: F.coalesce(F.element_at(r("claim_evidence"), c), F.array().cast("array<string>"))
+    bad_text = lambda c: (T.squeezed(c) == "") | (F.length(c) > 240) | c.rlike(T.SENSITIVE) | c.rlike(T.EMAIL) | c.rlike(T.URL) | c.rlike(T.COMPLETION)
+    either = lambda cs: reduce(lambda a, b: a | b, [F.coalesce(c, F.lit(False)) for c in cs])
+    rules = [
+        ("malformed", F.col("keys").isNull()),
+        ("keys", F.array_sort("keys") != F.array_sort(F.array(*[F.lit(c) for c in RESULT]))),
+        ("version", ~r("version").eqNullSafe(F.lit(version))),
+        ("kind", ~F.coalesce(r("activity_kind").isin(*KINDS), F.lit(False))),
+        ("uncertainty", ~F.coalesce(r("uncertainty").isin("supported", "partial", "unclear"), F.lit(False))),
+        ("evidence", (F.coalesce(F.size(r("evidence_ids")), F.lit(-1)) <= 0) | F.col("__unknown").isNotNull()),
+        ("text", r("visible_work").isNull() | either([bad_text(r(c)) for c in CLAIMS[1:]])),
+        ("claims", F.array_sort(F.map_keys(r("claim_evidence"))) != F.array_sort(F.array(*[F.lit(c) for c in CLAIMS]))),
+        ("citation", either([F.size(F.array_except(of(c), r("evidence_ids"))) > 0 for c in CLAIMS])),
+        ("null_claim", either([r(c).isNull() & (F.size(of(c)) > 0) for c in CLAIMS])),
+        ("primary", either([r(c).isNotNull() & ~F.coalesce(F.array_contains(of(c), F.col("__primary")), F.lit(False)) for c in CLAIMS])),
+        ("specific", (r("uncertainty") == "unclear") & (r("project_candidate").isNotNull() | r("task_candidate").isNotNull())),
+    ]
+    return met.select("id", first_reason(rules).alias("code"))
+
+
+def batch_dispositions(asked: DataFrame, answers: DataFrame, key: str) -> DataFrame:
+    """What becomes of each row asked (key, id, source): (key, id, topic, status).
+
+    answers: key, id, ord, topic, word. The first answer to an id counts; ids that were not asked count for nothing. A topic
+    stands as model_inference if its text is fit, its evidence word occurs in the source and one of its subject words does;
+    else the row is unclassified, and model_failed without any answer.
+    """
+    first = answers.groupBy(key, "id").agg(F.min_by(F.struct("topic", "word"), "ord").alias("a"))
+    met = asked.join(first, [key, "id"], "left")
+    source, word = F.lower("source"), F.trim(F.lower("a.word"))
+    fit = (T.failure_code(F.col("a.topic"), 1, 65) == "ok") & (T.failure_code(F.col("a.word"), 1, 60) == "ok") & (F.lower("a.topic") != "unclear")
+    backed = ((F.length(word) >= 4) | word.isin(*T.SHORT_SUBJECTS)) & F.contains(source, word) & F.arrays_overlap(T.subject_tokens(F.col("a.topic")), T.subject_tokens(F.col("source")))
+    ok = F.coalesce(fit & backed, F.lit(False))
+    status = F.when(F.col("a").isNull(), "model_failed").when(ok, "model_inference").otherwise("unclassified")
+    return met.select(key, "id", F.when(ok, F.col("a.topic")).otherwise("Unclear").alias("topic"), status.alias("status"))
+
+
 def slots(spans: DataFrame, step_us: int = 5 * SECOND) -> DataFrame:
     """Each span (start_us, end_us) once for each step of it, counted from its start: the step's length us and its mid."""
     k = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("end_us") - F.col("start_us") - 1) / step_us)))

@@ -303,6 +303,48 @@ def timeline_lanes(spark, d):
     return row(A.behavior_sessions(segs), "computer", F.col("context"), "session").unionByName(row(segs.where("state = 'unattributed'"), "computer", F.lit("Unknown"), "unknown")).unionByName(row(phone, "phone", F.col("labels"), "phone"))
 
 
+CODES = ("malformed", "keys", "version", "kind", "uncertainty", "evidence", "evidence", "text", "text", "text", "claims", "citation", "null_claim", "primary", "specific", "ok", "ok")
+
+
+@query(f"SELECT conv_id * 1000 + turn AS id, {list(CODES)}[(conv_id * 7 + turn) % 17 + 1] AS code FROM conversations")
+def validate_results(spark, d):
+    """Model results as JSON, one in seventeen kinds of fault each, and the first rule that each breaks."""
+    c = V.table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), ((F.col("conv_id") * 7 + F.col("turn")) % 17).alias("k"))
+    k, one, other = F.col("k"), F.concat(F.lit("e"), F.col("id").cast("string")), F.concat(F.lit("n"), F.col("id").cast("string"))
+    none = F.array().cast("array<string>")
+    when = lambda n, bad, good: F.when(k == n, bad).otherwise(good)
+    project = F.when(k == 8, "see www.x.org").when(k == 14, "Alpha").when(k % 2 == 0, "Alpha")
+    project = F.when(k == 12, None).otherwise(project)
+    claims = F.create_map(
+        F.lit("activity_kind"), F.array(one), F.lit("project_candidate"), F.when(project.isNotNull() | (k == 12), F.array(one, other)).otherwise(none), F.when(k == 10, "other").otherwise("task_candidate"),
+        F.when(k == 9, F.array(one)).otherwise(none), F.lit("visible_work"), F.when(k == 11, F.array(one, F.lit("x"))).when(k == 13, F.array(other)).otherwise(F.array(one)),
+    )
+    body = [
+        when(2, "activity_result_v0", F.lit("activity_result_v1")).alias("version"), when(3, "dancing", F.lit("coding")).alias("activity_kind"), project.alias("project_candidate"), when(9, "report finished", F.lit(None).cast("string")).alias("task_candidate"),
+        when(7, None, F.lit("edits a table")).alias("visible_work"), F.when(k == 5, none).when(k == 6, F.array(one, F.lit("zz"))).otherwise(F.array(one, other)).alias("evidence_ids"), claims.alias("claim_evidence"),
+        F.when(k == 4, "sure").when(k == 14, "unclear").otherwise("partial").alias("uncertainty"),
+    ]
+    text = lambda *more: F.to_json(F.struct(*body, *more), {"ignoreNullFields": "false"})
+    record = F.when(k == 0, "{broken").when(k == 1, text(F.lit(1).alias("more"))).otherwise(text())
+    evidence = c.select("id", F.explode(F.array(F.struct(one.alias("evidence_id"), F.lit(True).alias("primary")), F.struct(other.alias("evidence_id"), F.lit(False).alias("primary")))).alias("e")).select("id", "e.*")
+    return C.validate_results(c.select("id", record.alias("record")), evidence, "activity_result_v1")
+
+
+@query(
+    """WITH w AS (SELECT conv_id, turn, text, regexp_extract_all(lower(text), '[a-z0-9]{4,}')[1] AS w FROM conversations), a AS (SELECT *, CASE WHEN turn % 6 = 0 THEN 'none' WHEN turn % 6 = 1 THEN 'finished' WHEN turn % 6 = 2 THEN 'foreign' WHEN w IS NULL THEN 'foreign' ELSE 'ok' END AS k FROM w)
+    SELECT conv_id, turn AS id, CASE WHEN k = 'ok' AND NOT list_contains({generic}, w) THEN w || ' project' ELSE 'Unclear' END AS topic, CASE WHEN k = 'none' THEN 'model_failed' WHEN k = 'ok' AND NOT list_contains({generic}, w) THEN 'model_inference' ELSE 'unclassified' END AS status FROM a""".replace("{generic}", str(list(T.GENERIC)))
+)
+def validate_batch(spark, d):
+    """Topics that a model gave turns, each with a word as evidence: which stand, which don't, and which are missing."""
+    c, t = V.table(spark, d, "conversations"), F.col("turn")
+    word = F.element_at(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]{4,}"), F.lit(0)), 1)
+    topic = F.when(t % 6 == 1, F.concat(word, F.lit(" finished"))).when(t % 6 == 2, "zzyzx plan").otherwise(F.concat(F.coalesce(word, F.lit("zzyzx")), F.lit(" project")))
+    answers = c.where("turn % 6 <> 0").select("conv_id", t.alias("id"), t.alias("ord"), topic.alias("topic"), F.coalesce(word, F.lit("zzyzx")).alias("word"))
+    late = answers.select("conv_id", "id", (F.col("ord") + 1000).alias("ord"), F.lit("later topic").alias("topic"), F.lit("later").alias("word"))
+    strange = answers.withColumn("id", F.col("id") + 5000)
+    return C.batch_dispositions(c.select("conv_id", t.alias("id"), F.col("text").alias("source")), answers.unionByName(late).unionByName(strange), "conv_id")
+
+
 PERIOD = f"""WITH {V.STRETCHES}, su AS (SELECT device, day, CAST(coalesce(sum(us) FILTER (us >= 1200000000), 0) AS BIGINT) AS sustained_us FROM stretches GROUP BY ALL), md AS (SELECT * FROM measures JOIN su USING (device, day))"""
 TOTAL = "SELECT device, CAST(sum(us) AS BIGINT) AS us, CAST(sum(switches) AS BIGINT) AS switches, CAST(sum(sessions) AS BIGINT) AS sessions, CAST(sum(sustained_us) AS BIGINT) AS sustained_us, max(longest_us) AS longest_us, count(*) AS days, CASE WHEN sum(us) > 0 THEN CAST(floor(sum(switches)::DOUBLE * 36000000000.0::DOUBLE / sum(us)::DOUBLE + 0.5) AS BIGINT) END AS switches_per_hour_x10 FROM md GROUP BY device"
 
