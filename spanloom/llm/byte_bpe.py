@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from spanloom.llm.common import empty_text, ready, slices
+from spanloom.llm.common import added, empty_text, ready, slices
 from spanloom.llm.units import stretches
 
 #: Longer texts are encoded in parts of about so many characters, cut at safe boundaries.
@@ -55,31 +55,27 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
     """
     ready(docs.sparkSession)
     kept = [c for c in docs.columns if c != into]
-    given = docs.select(*[F.col(f"`{c}`") for c in kept], empty_text(f"`{text_col}`").alias("__text"))
-    schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema.add(into, ArrayType(IntegerType()))
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "__text"):
-                ids = pa.array([encode_text(t, ranks_path, pattern) for t in part.column("__text").to_pylist()], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids], [*kept, into])
+                yield [*part.columns[:-1], pa.array([encode_text(t, ranks_path, pattern) for t in part.column("__text").to_pylist()], pa.list_(pa.int32()))]
 
-    return given.mapInArrow(run, schema)
+    return added(docs, kept, empty_text(f"`{text_col}`"), [(into, ArrayType(IntegerType()))], run)
 
 
 def decode(rows: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", into: str = "decoded") -> DataFrame:
     """rows with one more binary column `into`: the bytes of the ids. Null ids give null, no ids no bytes."""
     ready(rows.sparkSession)
     kept = [c for c in rows.columns if c != into]
-    schema = rows.select(*[F.col(f"`{c}`") for c in kept]).schema.add(into, "binary")
 
     def run(batches):
         enc = encoding(ranks_path, pattern)
         for batch in batches:
-            out = pa.array([None if x is None else enc.decode_bytes(x) for x in batch.column(ids_col).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.select(kept).columns, out], [*kept, into])
+            out = [None if x is None else enc.decode_bytes(x) for x in batch.column("__text").to_pylist()]
+            yield [*batch.columns[:-1], pa.array(out, pa.binary())]
 
-    return rows.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
+    return added(rows, kept, F.col(f"`{ids_col}`"), [(into, "binary")], run)
 
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -9,8 +9,9 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from spanloom.sources.scratch import removed, scratch, written
 
@@ -51,6 +52,25 @@ def in_one_task(rows: DataFrame, make: Callable[[pa.Table], object]):
     return pickle.loads(made[0].made) if made else None
 
 
+def added(docs: DataFrame, kept: list[str], given: Column, new: list[tuple[str, DataType | str]], run: Callable) -> DataFrame:
+    """The columns `kept` of docs, whatever their names, and new ones.
+
+    run(batches) gets these columns and then `given`, as column "__text", and yields the arrays of a batch: those of the kept
+    columns and those of the new ones.
+    """
+    names = [f"c{i}" for i in range(len(kept) + len(new))]
+    told = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(kept, names, strict=False)], given.alias("__text"))
+    schema = told.select(*names[: len(kept)]).schema
+    for n, (_, kind) in zip(names[len(kept) :], new, strict=True):
+        schema = schema.add(n, kind)
+
+    def each(batches):
+        for arrays in run(batches):
+            yield pa.RecordBatch.from_arrays(arrays, names)
+
+    return told.mapInArrow(each, schema).toDF(*kept, *[n for n, _ in new])
+
+
 def give_back() -> None:
     """Return memory that this worker has freed: workers go on from task to task, and what one left adds to the next."""
     import ctypes
@@ -176,6 +196,6 @@ def first_by_hash(df: DataFrame, column: str, most: int, total: int) -> DataFram
 
 
 __all__ = [
-    "empty_text", "first_by_hash", "give_back", "groups", "in_one_task", "key_filter", "offsets", "partitions", "passing", "ready",
+    "added", "empty_text", "first_by_hash", "give_back", "groups", "in_one_task", "key_filter", "offsets", "partitions", "passing", "ready",
     "removed", "scratch", "slices", "starts", "table", "utf8", "written",
 ]

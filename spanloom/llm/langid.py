@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import empty_text, give_back, in_one_task, ready, slices
+from spanloom.llm.common import added, empty_text, give_back, in_one_task, ready, slices
 
 FEATURES = 1 << 14
 #: Rows that the weights are trained on, at most: of each language, of all together, and yet so many of each language.
@@ -200,12 +200,9 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", lang_i
     """
     spark = ready(docs.sparkSession)
     kept = [c for c in docs.columns if c not in (lang_into, score_into)]
-    plain = [F.col(f"`{c}`") for c in kept]
     if model is None:
-        return docs.select(*plain, F.lit(UNKNOWN).alias(lang_into), F.lit(0.0).alias(score_into))
+        return docs.select(*[F.col(f"`{c}`") for c in kept], F.lit(UNKNOWN).alias(lang_into), F.lit(0.0).alias(score_into))
     sent = spark.sparkContext.broadcast(model)  # the weights that are not 0
-    given = docs.select(*plain, empty_text(f"`{text_col}`").alias("__text"))
-    schema = docs.select(*plain).schema.add(lang_into, "string").add(score_into, "double")
 
     def run(batches):
         give_back()
@@ -221,6 +218,6 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", lang_i
                 s = m.logits(at, x) / m.temperature
                 p = np.exp(s - s.max())
                 lang.append(m.languages[int(p.argmax())]), score.append(float(p.max() / p.sum()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*kept, lang_into, score_into])
+            yield [*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())]
 
-    return given.mapInArrow(run, schema)
+    return added(docs, kept, empty_text(f"`{text_col}`"), [(lang_into, "string"), (score_into, "double")], run)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import empty_text, ready, slices
+from spanloom.llm.common import added, empty_text, ready, slices
 
 # Fixed values of the format: bit rates in kbit/s by (version 1 or 2, layer), sample rates in Hz by version.
 BITRATES = {
@@ -214,15 +214,14 @@ def store(docs: DataFrame, text_col: str = "text", into: str = "media") -> DataF
     """
     ready(docs.sparkSession)
     kept = [c for c in docs.columns if c != into]
-    plain = [F.col(f"`{c}`") for c in kept]
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "__text"):
                 out = [write_stream(padded(b := t.encode()), len(b)) for t in part.column("__text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(out, pa.binary())], [*kept, into])
+                yield [*part.columns[:-1], pa.array(out, pa.binary())]
 
-    return docs.select(*plain, empty_text(f"`{text_col}`").alias("__text")).mapInArrow(run, docs.select(*plain).schema.add(into, "binary"))
+    return added(docs, kept, empty_text(f"`{text_col}`"), [(into, "binary")], run)
 
 
 READ = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, duration_s double, seek_offsets array<long>"

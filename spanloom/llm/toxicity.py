@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import empty_text, first_by_hash, give_back, in_one_task, ready, slices
+from spanloom.llm.common import added, empty_text, first_by_hash, give_back, in_one_task, ready, slices
 from spanloom.llm.near_dup import _PLACE, _mix, _words
 
 #: Labelled documents that the fit sees at most: the first by a hash of their ids. Of a longer text it sees about so many
@@ -190,7 +190,7 @@ def excerpt(text: Column) -> Column:
     size = ROW_CHARS // STRETCHES
     step = (F.length(text) - size) / (STRETCHES - 1)
     parts = F.transform(F.sequence(F.lit(0), F.lit(STRETCHES - 1)), lambda k: F.substr(text, F.floor(k * step).cast("int") + 1, F.lit(size)))
-    return F.when(F.length(text) <= ROW_CHARS, text).otherwise(F.array_join(parts, " "))
+    return F.when(text.isNull() | (F.length(text) <= ROW_CHARS), text).otherwise(F.array_join(parts, " "))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
@@ -228,12 +228,9 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text", into: st
     """
     spark = ready(docs.sparkSession)
     kept = [c for c in docs.columns if c != into]
-    plain = [F.col(f"`{c}`") for c in kept]
     if model is None:
-        return docs.select(*plain, F.lit(0.0).alias(into))
+        return docs.select(*[F.col(f"`{c}`") for c in kept], F.lit(0.0).alias(into))
     sent = spark.sparkContext.broadcast(model)  # some 25 KB
-    given = docs.select(*plain, empty_text(f"`{text_col}`").alias("__text"))
-    schema = docs.select(*plain).schema.add(into, "double")
 
     def run(batches):
         give_back()
@@ -243,6 +240,6 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text", into: st
             for part in slices(batch, "__text"):
                 x = (scorer.features([t.encode() for t in part.column("__text").to_pylist()]) - m.centre) / m.spread
                 z = np.c_[x, np.ones(len(x))] @ m.weights
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], [*kept, into])
+                yield [*part.columns[:-1], pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))]
 
-    return given.mapInArrow(run, schema)
+    return added(docs, kept, empty_text(f"`{text_col}`"), [(into, "double")], run)

@@ -48,6 +48,24 @@ def test_topk_brute_force(spark):
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_topk_meets_vectors_of_its_own_length(spark, monkeypatch):
+    monkeypatch.setattr(topk, "QUERIES_PER_BLOCK", 4)
+    r = random.Random(12)
+    rows = [(i, [float(r.randint(-3, 3)) for _ in range(4 if i % 3 else 6)]) for i in range(60)] + [(0, [9.0] * 4), (100, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("size", F.lit("clash")).withColumn("v", F.lit(1))
+    asked = df.where("vec_id % 2 = 0")
+    got = topk.top_k(df, asked, k=3).collect()
+    own = {}
+    for i, v in sorted(rows, key=lambda x: (x[0], x[1])):
+        if v and i % 2 == 0:
+            own.setdefault(i, v)
+    assert {g.query_id for g in got} == set(own)
+    for q, v in own.items():
+        dot = lambda w: sum(int(1024 * a) * int(1024 * b) for a, b in zip(v, w, strict=True))  # noqa: E731,B023
+        want = sorted((-dot(w), i) for i, w in rows if i != q and len(w) == len(v))[:3]
+        assert [(-g.score, g.vec_id) for g in sorted((g for g in got if g.query_id == q), key=lambda g: g.rank)] == want
+
+
 def base_spans(t):
     out = [(m.start(), 0, m.end(), "email") for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [(m.start(), 1, m.end(), "ip") for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
@@ -124,6 +142,32 @@ def test_token_counts_broadcast_no_long_texts(spark, monkeypatch):
     assert tables and max(len(u.encode()) for x in tables for u in x) <= 64
 
 
+def test_token_counts_of_many_rows_without_an_id(spark):
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    texts = [f"row {i % 40} of many {'x' * (i % 7)}" for i in range(400)]
+    df = spark.createDataFrame([(None, x) for x in texts], "doc_id long, text string")
+    got = Counter((g.n_bytes, g.n_tokens) for g in token_count.count_tokens(df, path).collect())
+    assert got == Counter((len(x), len(t.encode(x, add_special_tokens=False).ids)) for x in texts)
+
+
+def test_byte_bpe_digests(spark):
+    """The query's columns against the library and hashlib, with long runs and every kind of white space."""
+    path = P.path("byte_bpe_50k.tiktoken")
+    enc = byte_bpe.encoding(path, P.PATTERN)
+    r = random.Random(8)
+    white = "\t\n\x0b\x0c\r \x1c\x1f\x85\xa0\u2003\u3000\u200b"
+    texts = ["".join(r.choice(["ab", "'s", "1", "!", " x", r.choice(white) * r.choice([1, 2, 9999, 10_000, 12_000])]) for _ in range(r.randint(1, 8))) for _ in range(80)]
+    got = {g.doc_id: g for g in byte_bpe.digests(docs_of(spark, texts), path, P.PATTERN).collect()}
+    for i, t in enumerate(texts):
+        ids = enc.encode_ordinary(t)
+        assert (got[i].n_tokens, got[i].ids_sha256, got[i].decoded_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
+    for t in (" " * 2_000_000, "\n" * 2_000_000 + "x", "a" * 2_000_000):
+        assert enc.decode_bytes(byte_bpe.encode_text(t, path, P.PATTERN)) == t.encode()
+
+
 def test_byte_bpe_round_trip(spark, hard, none):
     path = P.path("byte_bpe_50k.tiktoken")
     enc = byte_bpe.encoding(path, P.PATTERN)
@@ -192,6 +236,39 @@ def test_url_filter(spark):
     assert {r.verdict for r in url_filter.judge(df, []).collect()} == {"allow"} and url_filter.judge(df.limit(0), rules).count() == 0
 
 
+def test_url_filter_brute_force(spark):
+    """Hosts, paths, rules and rule verdicts of random urls, and lexical features, against plain Python."""
+    r = random.Random(21)
+    rules = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
+    parts = ["http", "://", "/", "?", "#", "Example.COM", "example.net", ".org", "x.", "/en/", "/de/8", "/es/", "7", "&a=1", "é", "a" * 30]
+    urls = [None, "", *("".join(r.choice(parts) for _ in range(r.randint(1, 9))) for _ in range(500)), *(f"http://s{i % 7}.example.{r.choice(['com', 'net', 'org'])}/{r.choice(['en', 'de', 'es'])}/{i}" for i in range(300))]
+    got = {g.page_id: g for g in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()}
+    for i, u in enumerate(urls):
+        host = path = ""
+        if u and "://" in u:
+            rest = u.split("://", 1)[1]
+            host = re.split("[/?#]", rest)[0]
+            path = re.split("[?#]", rest[len(host) :])[0]
+            host = host.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+        fit = [(len(x), x, v) for x, v in rules for h, p in [x.split("/", 1)] if (host == h or host.endswith("." + h)) and path.startswith("/" + p)]
+        best = max(fit, default=None)
+        assert (got[i].host, got[i].path, got[i].rule) == (host, path, best and best[1]), u
+        assert got[i].verdict in ("allow", "block") and (best is None or got[i].verdict == best[2])
+    told = url_filter._lexical(spark.createDataFrame([(u or "", "h.co", "/a-b/cc") for u in urls], "u string, host string, path string")).select("u", "length", "digits", "params", "dashes", "entropy", "depth", "longest").collect()
+    for x in told:
+        share = [n / max(1, len(x.u)) for n in Counter(x.u).values()]
+        query = re.search(r"\?([^#]*)", x.u)
+        assert (x.length, x.dashes, x.depth, x.longest) == (len(x.u), sum(c in "-_" for c in x.u), 2, 2)
+        assert x.params == len([p for p in (query[1] if query else "").split("&") if p]) and abs(x.digits - sum(c in "0123456789" for c in x.u) / max(1, len(x.u))) < 1e-12
+        assert abs(x.entropy + sum(s * np.log2(s) for s in share)) < 1e-9
+
+
+def test_url_filter_repeated_rows_and_ties(spark):
+    df = spark.createDataFrame([(1, "http://a.com/en/1"), (1, "http://a.com/en/1"), (2, "http://b.io/z"), (2, "http://b.io/z"), (None, None)], "page_id long, url string").withColumn("suffix", F.lit("c")).withColumn("a.b", F.lit(1))
+    got = url_filter.judge(df, [("com/en/", "block"), ("io/q", "allow")]).collect()
+    assert len(got) == 5 and len({(g.page_id, g.verdict) for g in got}) == 3
+
+
 def test_url_filter_counts_every_site(spark, monkeypatch):
     monkeypatch.setattr(url_filter, "SUFFIXES", 6)
     told = [["allow", "block"][i % 2] for i in range(40)]
@@ -219,6 +296,60 @@ def test_langid(spark, hard, none):
     assert langid.predict(none, model).count() == 0
 
 
+def test_ftrl_against_a_plain_one(monkeypatch):
+    """Weights of the vectorised learner against one number at a time."""
+    monkeypatch.setattr(langid, "FEATURES", 12)
+    monkeypatch.setattr(langid, "EPOCHS", 2)
+    r = np.random.default_rng(3)
+    rows = [(np.sort(r.choice(12, 4, replace=False)), r.random(4)) for _ in range(40)]
+    y = r.integers(0, 3, 40)
+    w, b = langid.ftrl(rows, y, 3)
+    z, n = np.zeros((13, 3)), np.zeros((13, 3))
+    weight = lambda f, k: 0.0 if abs(z[f, k]) <= langid.L1 else -(z[f, k] - np.sign(z[f, k]) * langid.L1) / ((langid.BETA + np.sqrt(n[f, k])) / langid.ALPHA + langid.L2)
+    order = np.random.default_rng(11)
+    for _ in range(2):
+        for i in order.permutation(40):
+            x = [*zip(rows[i][0].tolist(), rows[i][1].tolist(), strict=True), (12, 1.0)]
+            now = {(f, k): weight(f, k) for f, _ in x for k in range(3)}
+            s = np.array([sum(v * now[f, k] for f, v in x) for k in range(3)])
+            p = np.exp(s - s.max()) / np.exp(s - s.max()).sum()
+            for f, v in x:
+                for k in range(3):
+                    g = (p[k] - (y[i] == k)) * v
+                    sigma = (np.sqrt(n[f, k] + g * g) - np.sqrt(n[f, k])) / langid.ALPHA
+                    z[f, k] += g - sigma * now[f, k]
+                    n[f, k] += g * g
+    want = np.array([[weight(f, k) for k in range(3)] for f in range(13)])
+    assert np.allclose(want[:-1], w) and np.allclose(want[-1], b) and (w == 0).any()
+
+
+def test_langid_scores_against_the_model(spark):
+    r = random.Random(13)
+    df = spark.createDataFrame([(i, " ".join(r.choice(WORDS[x].split()) for _ in range(r.randint(1, 9))), x) for i, x in ((i, r.choice("en fr de".split())) for i in range(300))], "doc_id long, text string, lang string")
+    model = langid.fit(df.withColumn("a.b", F.lit(1)))
+    for g in langid.predict(df.withColumn("a.b", F.lit(1)), model).collect():
+        c = langid.counts(g.text)
+        x = np.log1p(c) * model.idf
+        x /= np.sqrt((x * x).sum())
+        full = np.zeros((langid.FEATURES, len(model.languages)))
+        for f in np.flatnonzero(np.diff(model.first)):
+            k = slice(model.first[f], model.first[f + 1])
+            full[f, model.classes[k]] = model.weights[k]
+        s = (x @ full + model.bias) / model.temperature
+        p = np.exp(s - s.max()) / np.exp(s - s.max()).sum()
+        assert g.lang_pred == model.languages[p.argmax()] and abs(g.lang_score - p.max()) < 1e-9
+
+
+def test_langid_sample_is_bounded_by_language(spark, monkeypatch):
+    monkeypatch.setattr(langid, "ROWS_PER_LANGUAGE", 20)
+    seen = []
+    plain = langid.in_one_task
+    monkeypatch.setattr(langid, "in_one_task", lambda rows, make: seen.append({r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}) or plain(rows, make))
+    rows = [(i if i % 5 else None, f"{WORDS['en' if i % 4 else 'fr']} {i}", "en" if i % 4 else "fr") for i in range(800)]
+    langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert seen == [{"en": 20, "fr": 20}]
+
+
 def test_langid_learns_every_language(spark):
     r = random.Random(7)
     words = {f"l{k:02d}": ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(6)] for k in range(80)}
@@ -252,6 +383,68 @@ def test_media(spark, hard, none):
     assert media.store(none).count() == 0 and media.describe(spark.createDataFrame([(1, None)], "doc_id long, media binary")).first().media_bytes == 0
 
 
+def test_media_digests(spark):
+    """The query's columns against hashlib and zlib, over texts that look like tags and tables at every phase."""
+    texts = [(w * 1500)[k : k + n] for w in ("TAG", "ID3", "Xing", "VBRI", "Info", "é") for k in range(len(w)) for n in (0, 1, 67, 127, 128, 129, 1390, 1417, 3000)]
+    for g in media.describe(media.store(docs_of(spark, texts))).collect():
+        raw = texts[g.doc_id].encode()
+        p = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+        stream = media.write_stream(p, len(raw))
+        assert (g.n_bytes, g.payload_bytes, g.payload_sha256, g.tail_crc32) == (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
+        assert (g.media_bytes, g.media_sha256) == (len(stream), hashlib.sha256(stream).hexdigest()) and "crc=" in g.feature
+
+
+def test_media_reads_other_streams(spark):
+    s = media.write_stream(media.padded(b"q" * 5000), 5000)
+    old = media.read_stream(s + b"TAG" + b"t" * 125)
+    assert "TAG" in old["tags"] and old["skipped"] == 0 and old["payload"] == media.padded(b"q" * 5000)
+    assert media.read_stream(s[:-700])["payload"] is None
+    short = media.describe(spark.createDataFrame([(1, bytearray(s[:-700]))], "doc_id long, media binary")).first()
+    assert short.payload_bytes is None and short.payload_sha256 is None and short.media_bytes == len(s) - 700
+    # Version 2.3 has plain sizes: 200 is no syncsafe number.
+    body = b"TIT2" + (200).to_bytes(4, "big") + b"\0\0" + b"a" * 200 + b"TPE1" + (3).to_bytes(4, "big") + b"\0\0" + b"abc"
+    assert media.read_stream(b"ID3\x03\0\0" + media._syncsafe(len(body)) + body + s)["tags"] == ["TIT2", "TPE1"]
+    # A VBRI table, and Layer I frames with a right and a wrong checksum.
+    vbri = b"\xff\xfb" + bytes([0x90, 0xC0]) + bytes(32) + b"VBRI" + bytes(6) + (9000).to_bytes(4, "big") + (33).to_bytes(4, "big") + (2).to_bytes(2, "big") + (1).to_bytes(2, "big") + (2).to_bytes(2, "big") + bytes(2) + b"\x01\x00\x00\x02"
+    frame = vbri + bytes(media.header(vbri, 0)[2] - len(vbri))
+    t = media.read_stream(frame)["table"]
+    assert (t["frames"], t["bytes"], t["steps"]) == (33, 9000, [256, 2])
+    head, cover = b"\xff\xfe" + bytes([0x40, 0xC0]), bytes(16)
+    size = media.header(head + bytes(4), 0)[2]
+    good = head + media.crc16(head[2:] + cover).to_bytes(2, "big") + cover
+    both = good + bytes(size - len(good)) + head + b"\0\1" + cover + bytes(size - 6 - len(cover))
+    x = media.read_stream(both)
+    assert (x["crc_good"], x["crc_bad"], len(x["offsets"])) == (1, 1, 2)
+
+
+def test_toxicity_scores_against_the_model(spark):
+    """Scores from compressed lengths, one window at a time."""
+    r = random.Random(14)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(3, 7)))
+    texts = [" ".join([*(word() for _ in range(r.randint(0, 60))), *(["zorkblat quixgrump"] * (i % 3 == 0))]) for i in range(200)] + ["", " ", "a" * 3000]
+    model = toxicity.train([t.encode() for t in texts[::3]], [t.encode() for i, t in enumerate(texts) if i % 3], 0.2)
+    plain, both = toxicity._compressor(model.ordinary), toxicity._compressor(model.ordinary + model.toxic)
+    df = docs_of(spark, texts).withColumn("a.b", F.lit(1))
+    for g in toxicity.score(df, model).collect():
+        w = toxicity.windows(texts[g.doc_id].encode())
+        gain = sorted((len(plain.compress(x)) - len(both.compress(x)) for x in w), reverse=True)
+        over = [sum(x >= t for x in gain) for t in (3, 4, 5, 6, 7)]
+        top = (gain + [0, 0, 0])[:3]
+        x = np.array([*top, np.mean(gain), np.log(len(gain)), over[0] / len(w), over[2] / len(w), over[1] > 0, over[2] > 0, over[3] > 0, np.log1p(over[1]), np.log1p(over[2]), np.log1p(over[4])], float)
+        z = float(np.append((x - model.centre) / model.spread, 1.0) @ model.weights)
+        assert abs(g.toxicity - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-9, texts[g.doc_id][:40]
+
+
+def test_toxicity_excerpts_spread_over_long_texts(spark):
+    text = "".join(f"{i:06d} " for i in range(30_000))
+    df = spark.createDataFrame([(1, text), (2, "short"), (3, None)], "i long, t string")
+    got = {x.i: x.e for x in df.select("i", toxicity.excerpt(F.col("t")).alias("e")).collect()}
+    assert got[2] == "short" and got[3] is None and len(got[1]) < 51_000
+    size = toxicity.ROW_CHARS // toxicity.STRETCHES
+    pieces = [got[1][k * (size + 1) : k * (size + 1) + size] for k in range(toxicity.STRETCHES)]
+    assert all(p in text for p in pieces) and pieces[0] == text[:size] and pieces[-1] == text[-size:] and len(set(pieces)) == len(pieces)
+
+
 def test_toxicity(spark, hard, none):
     r = random.Random(4)
     syllables = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve".split()
@@ -330,6 +523,44 @@ def test_near_duplicates(spark, hard, none):
     assert near_dup.near_duplicates(none).count() == 0
 
 
+def test_large_groups_with_strangers_lose_no_link(spark, monkeypatch):
+    """Blocks of a few: members that the pivot does not join meet all others."""
+    from spanloom.operators import components as C
+
+    monkeypatch.setattr(near_dup, "BLOCK", 5)
+    monkeypatch.setattr(C, "LEAST_HOT", 4)
+    r = random.Random(31)
+    centre = [f"w{i}" for i in range(120)]
+    texts, now = [], list(centre)
+    for i in range(90):  # a chain that drifts away from its first text, links between neighbours only
+        now[r.randrange(120)] = f"d{i}"
+        texts.append(" ".join(now))
+    for _ in range(40):
+        copy = list(centre)
+        for _ in range(r.randint(0, 8)):
+            copy[r.randrange(120)] = f"x{r.random()}"
+        texts.append(" ".join(copy))
+    r.shuffle(texts)
+    got = {g.doc_id: g.component_id for g in near_dup.near_duplicates(docs_of(spark, texts)).collect()}
+    assert got == components_of({i: shingle_set(t) for i, t in enumerate(texts)})
+
+
+def test_near_pairs_at_the_threshold_are_met(spark):
+    """Pairs just above and just below 85 per cent, of sets of several sizes: all above are linked, none below."""
+    r = random.Random(33)
+    texts, want, i = [], {}, 0
+    for n in (20, 60, 200, 1000):
+        for _ in range(40):
+            base = [f"{n}b{r.random()}" for _ in range(n + 4)]
+            m = next(m for m in range(1, n) if 100 * (n - m) < 85 * (n + m))  # shingles that an ending of m new words changes
+            for cut, linked in ((m - 1, True), (m, False)):
+                texts += [" ".join(f"{cut}{w}" for w in base), " ".join([f"{cut}{w}" for w in base[: len(base) - cut]] + [f"z{r.random()}" for _ in range(cut)])]
+                want |= {i: i, i + 1: i if linked else i + 1}
+                i += 2
+    got = {g.doc_id: g.component_id for g in near_dup.near_duplicates(docs_of(spark, texts)).collect()}
+    assert got == want
+
+
 def test_blocks_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "BLOCK", 7)
     r = random.Random(8)
