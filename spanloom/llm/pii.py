@@ -42,6 +42,8 @@ CONTEXT = {
     "nid": "ssn|social|security|identity|passport|national",
 }
 BEFORE, AFTER, BONUS, THRESHOLD = 40, 20, 0.3, 0.5
+#: The column in which masked() keeps spans; it is not returned.
+SPANS = "__spans_to_mask"
 
 
 def _digits(x: Column) -> Column:
@@ -145,6 +147,6 @@ def masked(docs: DataFrame, text_col: str = "text") -> DataFrame:
         new = s["start"] >= acc["at"]
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(new, F.concat(acc["out"], gap, F.lit("<"), s["kind"], F.lit(">"))).otherwise(acc["out"]).alias("out"))
 
-    clean = F.aggregate("pii_spans", begin, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
-    found = find(docs, text_col)
-    return found.withColumn(text_col, F.when(F.size("pii_spans") > 0, clean).otherwise(text)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    clean = F.aggregate(SPANS, begin, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
+    found = find(docs, text_col, SPANS)
+    return found.withColumn(text_col, F.when(F.size(SPANS) > 0, clean).otherwise(text)).select(*[F.col(f"`{c}`") for c in docs.columns])
