@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.operators.interval import overlap_join
+from spanloom.sources.scratch import written
 
 FRONT = ("active", "unattributed")
 
@@ -37,7 +38,9 @@ def allocate(runs: DataFrame, corrections: DataFrame, hypotheses: DataFrame, key
     distinct label is the model's, several at one distance conflict. Else unclassified. Idle and locked are not
     foreground.
     """
-    pieces = scope_pieces(runs, corrections, hypotheses, keys)
+    # Runs and pieces meet several tables, so each is made and written once.
+    runs = written(runs.select(*keys, "id", "start_us", "end_us", "state"))
+    pieces = written(scope_pieces(runs, corrections, hypotheses, keys))
     pieces = pieces.withColumn("mid", F.floor((F.col("start_us") + F.col("end_us")) / 2))
     own = [*keys, "id", "a_start", "a_end"]
     c = overlap_join(pieces.where("state = 'unattributed'").select(*keys, "id", "start_us", "end_us"), corrections.select(*keys, "start_us", "end_us", "label"), keys)
