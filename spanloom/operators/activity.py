@@ -148,6 +148,7 @@ def duration_histogram(sessions: DataFrame) -> DataFrame:
     for i in range(len(BUCKETS) - 2, -1, -1):
         bucket = F.when(F.col("us") < BUCKETS[i][1] * SECOND, i).otherwise(bucket)
     counted = sessions.groupBy("device", bucket.cast("long").alias("bucket")).agg(F.count(F.lit(1)).alias("sessions"), F.sum("us").alias("us"))
+    # Five rows for each device.
     spine = sessions.select("device").distinct().join(F.broadcast(spark.range(len(BUCKETS)).withColumnRenamed("id", "bucket")))
     return spine.join(counted, ["device", "bucket"], "left").select("device", "bucket", F.coalesce("sessions", F.lit(0)).alias("sessions"), F.coalesce("us", F.lit(0)).alias("us"))
 

@@ -1,10 +1,8 @@
-"""Evidence of frames: eligibility, reach, captions, freshness, groups kept whole, and picks for evaluation."""
+"""Evidence of frames: why one is out, what they reach, and codes that differ in few bits."""
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -16,14 +14,6 @@ def first_reason(rules: list[tuple[str, Column]], otherwise: str = "ok") -> Colu
     return out
 
 
-def with_captions(frames: DataFrame, captions: DataFrame, k: int) -> DataFrame:
-    """frames with their first k captions by order, joined; frames without any keep an empty text."""
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("ord"))
-    first = captions.withColumn("r", rank).where(F.col("r") <= k)
-    joined = first.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "caption"))), lambda s: s["caption"]), "|").alias("captions"))
-    return frames.join(joined, "id", "left").withColumn("captions", F.coalesce("captions", F.lit("")))
-
-
 def reach(anchors: DataFrame, radius_us: int, slot_us: int) -> DataFrame:
     """By device: valid anchors, distinct slots and seconds (the union of radius_us around each)."""
     from spanloom.operators.interval import union_us
@@ -33,14 +23,6 @@ def reach(anchors: DataFrame, radius_us: int, slot_us: int) -> DataFrame:
     return counted.join(union_us(spans, ["device"], "reach_us"), "device")
 
 
-def fresh(hypotheses: DataFrame, current: DataFrame, key: str, cols: list[str]) -> DataFrame:
-    """hypotheses with `usable`: current evidence exists and every fingerprint column still matches."""
-    now = current.select(key, *[F.col(c).alias(f"__{c}") for c in cols], F.lit(True).alias("__there"))
-    met = hypotheses.join(now, key, "left")
-    same = reduce(lambda a, c: a & F.col(c).eqNullSafe(F.col(f"__{c}")), cols, F.coalesce("__there", F.lit(False)))
-    return met.withColumn("usable", same).drop("__there", *[f"__{c}" for c in cols])
-
-
 def hamming_pairs(codes: DataFrame, most: int, bits: int = 64) -> DataFrame:
     """Pairs (a, b) of codes (id, code) that differ in at most `most` bits.
 
@@ -52,17 +34,3 @@ def hamming_pairs(codes: DataFrame, most: int, bits: int = 64) -> DataFrame:
     other = told.select(F.col("id").alias("b"), F.col("code").alias("c2"), "n", "v")
     near = told.withColumnRenamed("id", "a").join(other, ["n", "v"]).where("a < b")
     return near.where(F.bit_count(F.col("code").bitwiseXOR(F.col("c2"))) <= most).select("a", "b").distinct()
-
-
-def group_fill(groups: DataFrame, group: str, size: str, target: int) -> DataFrame:
-    """Whole groups in hash order while their sizes add up to at most target."""
-    w = Window.orderBy(F.md5(F.col(group).cast("string")), group).rowsBetween(Window.unboundedPreceding, 0)
-    # One row a group: the table of groups, not of their members, is what is ordered here.
-    return groups.withColumn("filled", F.sum(size).over(w)).where(F.col("filled") <= target)
-
-
-def cohort(frames: DataFrame, reason: Column, bins: list[str], episode: str, quota: int) -> DataFrame:
-    """Eligible frames by bin, different episodes first, up to quota; the reason ladder tells why others are out."""
-    ok = frames.withColumn("reason", reason).where("reason = 'ok'")
-    ok = ok.withColumn("turn", F.row_number().over(Window.partitionBy(*bins, episode).orderBy("at_us", "id")))
-    return ok.withColumn("rank", F.row_number().over(Window.partitionBy(*bins).orderBy("turn", "at_us", "id")).cast("long")).where(F.col("rank") <= quota)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from spanloom.functions.time import DAY, SECOND
+from spanloom.operators.interval import with_same
 
 
 def l2(a, b):
@@ -17,10 +18,20 @@ def l2(a, b):
 
 
 def _parts(df: DataFrame, keys: list[str], at: str, tie: str, span_us: int) -> DataFrame:
-    """df with `part`, new after a hole of more than span_us: no fold below looks over one, so groups get small."""
-    w = Window.partitionBy(*keys).orderBy(at, tie)
-    new = F.coalesce((F.col(at) - F.lag(at).over(w) > span_us).cast("long"), F.lit(1))
-    return df.withColumn("__new", new).withColumn("part", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+    """df with `part`, new after a hole of more than span_us: no fold below looks over one.
+
+    Holes are found by day; one row a day then tells how many parts begin before it, and whether its first row begins one.
+    """
+    day = [*keys, "__day"]
+    w = Window.partitionBy(*day).orderBy(at, tie)
+    told = df.withColumn("__day", F.floor(F.col(at) / DAY))
+    told = told.withColumn("__hole", F.coalesce((F.col(at) - F.lag(at).over(w) > span_us).cast("long"), F.lit(0)))
+    told = told.withColumn("__own", F.sum("__hole").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    v = Window.partitionBy(*keys).orderBy("__day")
+    days = told.groupBy(*day).agg(F.min(at).alias("first"), F.max(at).alias("last"), F.sum("__hole").alias("holes"))
+    begins = F.coalesce((F.col("first") - F.lag("last").over(v) > span_us).cast("long"), F.lit(1)) + F.coalesce(F.lag("holes").over(v), F.lit(0))
+    days = days.withColumn("begins", begins).select(*day, F.sum("begins").over(v.rowsBetween(Window.unboundedPreceding, 0)).alias("__before"))
+    return with_same(told, days, day).withColumn("part", F.col("__before") + F.col("__own")).drop("__day", "__hole", "__own", "__before")
 
 
 def _folded(parts: DataFrame, keys: list[str], cols: list[str], step, schema) -> DataFrame:

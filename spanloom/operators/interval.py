@@ -20,6 +20,13 @@ def ordered(keys: list[str], *by: str | Column):
     return Window.partitionBy(*keys).orderBy(*(by or ORDER))
 
 
+def with_same(rows: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with the other columns of `other`, which has one row for each value of keys; a null key is a key like any."""
+    named = other.withColumnsRenamed({k: f"__{k}" for k in keys})
+    same = reduce(lambda a, k: a & F.col(k).eqNullSafe(F.col(f"__{k}")), keys, F.lit(True))
+    return rows.join(named, same).drop(*[f"__{k}" for k in keys])
+
+
 def clip(df: DataFrame, low: Column | int, high: Column | int) -> DataFrame:
     """Intervals cut to [low, high); empty ones go."""
     low, high = (F.lit(x) if isinstance(x, int) else x for x in (low, high))

@@ -87,7 +87,7 @@ def discover_stores(candidates: DataFrame) -> DataFrame:
 def freshness(receipts: DataFrame, limits: DataFrame, now_us: Column | int, keys: list[str]) -> DataFrame:
     """Each kind of limits for each of keys: whether there is a receipt, its age, and whether that is within the kind's.
 
-    receipts: keys, kind, at_us. limits: kind, limit_us. A receipt up to 30 s ahead of the clock is fresh too; a kind
+    receipts: keys, kind, at_us. limits: kind, limit_us, a fixed table of few kinds. A receipt up to 30 s ahead of the clock is fresh too; a kind
     without any is not, and has no age.
     """
     last = receipts.groupBy(*keys, "kind").agg(F.max("at_us").alias("at_us"))

@@ -85,11 +85,6 @@ def orphans(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
     return child.join(parent.select(key).distinct(), key, "left_anti")
 
 
-def ledger_integrity(samples: DataFrame, most_us: int) -> DataFrame:
-    """Rows, invalid durations, and rows that start after the last but one day's end, by device."""
-    return samples.groupBy("device").agg(F.count(F.lit(1)).alias("rows"), F.count_if((F.col("dur_us") <= 0) | (F.col("dur_us") > most_us)).alias("invalid"), F.min("start_us").alias("first_us"), F.max("start_us").alias("last_us"))
-
-
 def wilson(df: DataFrame, k: str, n: str, z: float = 1.959963984540054) -> DataFrame:
     """df with the 95 % bounds of a share by Wilson, in parts of a million; null for n = 0."""
     p = F.try_divide(F.col(k).cast("double"), F.col(n).cast("double"))
@@ -153,14 +148,6 @@ def select_best(candidates: DataFrame, gate: Column, order: list[str], key: str)
     return candidates.where(gate).orderBy(*[F.desc(c) for c in order], key).limit(1)
 
 
-def nominate(rounds: DataFrame, variant: str, base: str, cost: str, share: int = 85) -> DataFrame:
-    """Variants whose cost is at most `share` percent of the base's in every round, the cheapest first."""
-    b = rounds.where(F.col(variant) == base).select("round", F.col(cost).alias("base_cost"))
-    met = rounds.where(F.col(variant) != base).join(b, "round")
-    ok = met.groupBy(variant).agg(F.bool_and(F.col(cost) * 100 <= F.col("base_cost") * share).alias("ok"), F.sum(cost).alias("total"))
-    return ok.where("ok").orderBy("total", variant).drop("ok")
-
-
 def blind(rows: DataFrame, id_col: str, variant: str, seed: int) -> tuple[DataFrame, DataFrame]:
     """An anonymous review table in a reproducible order, and the key table that names what each row was."""
     key = F.substr(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"), F.col(variant).cast("string")), 256), F.lit(1), F.lit(16))

@@ -143,6 +143,7 @@ def page(df: DataFrame, keys: list[str], order: str, offset: int, rows: int = 20
 def temporal_split(df: DataFrame, day: str) -> DataFrame:
     """df with `split`: the last day tests, the one before validates, the others train."""
     days = df.select(day).distinct().orderBy(F.desc(day)).limit(2)
+    # One row joins every row: the first and the last day.
     last = F.broadcast(days.agg(F.max(day).alias("d1"), F.min(day).alias("d2")))
     told = df.join(last)
     return told.withColumn("split", F.when(F.col(day) == F.col("d1"), "test").when(F.col(day) == F.col("d2"), "validation").otherwise("train")).drop("d1", "d2")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.time import DAY
+from spanloom.operators.interval import with_same
 
 
 def apply_corrections(commands: DataFrame, keys: list[str]) -> DataFrame:
@@ -27,32 +28,12 @@ def active_outcomes(commands: DataFrame, keys: list[str]) -> DataFrame:
     return commands.where("op = 'mark'").join(now, keys).where("at_us >= epoch").groupBy(*keys).agg(F.count(F.lit(1)).alias("outcomes"))
 
 
-def still_current(summaries: DataFrame, key: str, ids: str, blocks: DataFrame) -> DataFrame:
-    """Whether every block that a summary cites exists. blocks: key, block."""
-    cited = summaries.select(key, F.explode_outer(ids).alias("block"))
-    met = cited.join(blocks.withColumn("there", F.lit(True)), [key, "block"], "left")
-    return met.groupBy(key).agg(F.bool_and(F.col("there").isNotNull()).alias("current"))
-
-
 def stable_ids(blocks: DataFrame, prior: DataFrame, keys: list[str]) -> DataFrame:
     """A block keeps its earlier id if its keys are unchanged; others get a digest."""
     own = F.substr(F.sha2(F.concat_ws("|", *[F.col(k).cast("string") for k in keys]), 256), F.lit(1), F.lit(12))
     return blocks.join(prior.select(*keys, "prior_id"), keys, "left").withColumn("block_id", F.coalesce("prior_id", own)).drop("prior_id")
 
 
-def neighbours(frames: DataFrame, keys: list[str], before_us: int, after_us: int, k: int) -> DataFrame:
-    """Up to k other frames of the same keys and day around each frame, the latest first: (id, other, rank).
-
-    Buckets of the window's length make the range join an equi-join.
-    """
-    size = before_us + after_us
-    a = frames.withColumn("b", F.explode(F.sequence(F.floor((F.col("at_us") - before_us) / size), F.floor((F.col("at_us") + after_us) / size))))
-    o = frames.select(*keys, F.col("id").alias("other"), F.col("at_us").alias("o_us"), F.floor(F.col("at_us") / size).alias("b"))
-    near = a.join(o, [*keys, "b"]).where(f"other <> id AND o_us BETWEEN at_us - {before_us} AND at_us + {after_us} AND at_us div 86400000000 = o_us div 86400000000")
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("o_us"), F.desc("other"))).cast("long")
-    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("id", "other", "rank")
-
-
 def night_capacity(receipts: DataFrame, window_s: int) -> DataFrame:
     """By night: runs once by start, sums, and how many attempts a window of window_s holds at that pace."""
     best = F.max_by(F.struct("night", "completed", "failed", "elapsed_cs"), F.struct("completed", "failed", "elapsed_cs"))
@@ -74,38 +55,18 @@ def model_benchmark(rows: DataFrame, window_s: int, share: float) -> DataFrame:
     return m.withColumn("capacity", F.floor(F.lit(window_s * share) / F.col("p90_s")))
 
 
-def annotation_quality(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("model").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(F.col("status") == "complete").alias("complete"),
-        F.count_if(F.col("status") == "incomplete").alias("incomplete"),
-        F.median("elapsed_s").alias("median_s"),
-        F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY elapsed_s)").alias("p90_s"),
-    )
-
-
 def combined(annotations: DataFrame) -> DataFrame:
     """Each frame over several runs: done if any run completed it, held if any filtered it."""
     return annotations.groupBy("path").agg(F.bool_or(F.col("status") == "complete").alias("done"), F.bool_or(F.col("status") == "filtered").alias("held"))
 
 
-def telemetry(rows: DataFrame, keys: list[str], value: str, reserve: int) -> DataFrame:
-    """Attempts, measured ones, a total only where nothing is unknown, and an upper bound with a reservation."""
-    return rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("attempts"),
-        F.count(value).alias("measured"),
-        F.when(F.count(F.lit(1)) == F.count(value), F.sum(value)).alias("total_s"),
-        F.sum(F.coalesce(F.col(value), F.lit(reserve))).alias("upper_s"),
-    )
-
-
 def numbered(rows: DataFrame, keys: list[str], at: str, tie: str, into: str = "n") -> DataFrame:
     """rows with their number, from 0, in time order of their keys: days are counted first, so each is ranked on its own."""
     told = rows.withColumn("__day", F.floor(F.col(at) / DAY))
     w = Window.partitionBy(*keys).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
     base = told.groupBy(*keys, "__day").agg(F.count(F.lit(1)).alias("__rows")).select(*keys, "__day", F.coalesce(F.sum("__rows").over(w), F.lit(0)).alias("__base"))
     own = F.row_number().over(Window.partitionBy(*keys, "__day").orderBy(at, tie)) - 1
-    return told.withColumn("__own", own).join(base, [*keys, "__day"]).withColumn(into, F.col("__base") + F.col("__own")).drop("__day", "__own", "__base")
+    return with_same(told.withColumn("__own", own), base, [*keys, "__day"]).withColumn(into, F.col("__base") + F.col("__own")).drop("__day", "__own", "__base")
 
 
 def identity_health(samples: DataFrame, share: int = 80, recent: int = 60, least: int = 24, chunk: int = 4096) -> DataFrame:

@@ -116,6 +116,7 @@ def touched_days(rows: DataFrame, stored: DataFrame, recent_days: int = 8) -> Da
     """
     now = rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*[c for c in rows.columns])).alias("h"))
     last = rows.agg(F.max("day").alias("last"))
+    # The last join is of one row, the last day.
     met = now.join(stored.select(*KEYS, F.col("n").alias("n0"), F.col("h").alias("h0")), KEYS, "left").join(F.broadcast(last))
     stale = ~(F.col("n").eqNullSafe(F.col("n0")) & F.col("h").eqNullSafe(F.col("h0"))) | (F.col("day") > F.col("last") - recent_days)
     return met.where(stale).select(*KEYS, "n", "h")

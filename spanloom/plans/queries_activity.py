@@ -372,6 +372,7 @@ def day_metrics(spark, d):
 @query(f"WITH {FACTS} SELECT device, day, observed_us, source FROM (SELECT device, day, observed_us, 'recent' AS source, 0 AS p FROM facts WHERE day > (SELECT max(day) - 8 FROM facts) UNION ALL SELECT device, day, observed_us, 'stored', 1 FROM facts) QUALIFY row_number() OVER (PARTITION BY device, day ORDER BY p) = 1")
 def history_overlay(spark, d):
     f = _facts(spark, d).select("device", "day", "observed_us")
+    # One row joins every row: the last day.
     recent = f.join(F.broadcast(f.agg(F.max("day").alias("m")))).where("day > m - 8").drop("m").withColumn("source", F.lit("recent"))
     return R.history_overlay(recent, f.withColumn("source", F.lit("stored")), A.KEYS)
 

@@ -13,7 +13,7 @@ from spanloom.operators import trial as E
 from spanloom.operators.evidence import first_reason
 from spanloom.operators.interval import by_day
 from spanloom.plans.book import Book
-from spanloom.plans.queries_activity import FACTS, _runs, _segs
+from spanloom.plans.queries_activity import FACTS, _runs
 from spanloom.plans.queries_context import MARKS, NEAREST, SLOTS, TOPICS, _marks, _topics
 from spanloom.plans.queries_text import _q
 from spanloom.sources import adapters as V
