@@ -159,10 +159,12 @@ def resolve_aliases(candidates: DataFrame, bindings: DataFrame) -> DataFrame:
     plain = lambda c: F.lower(T.squeezed(c))
     each = bindings.select("binding", F.col("project").alias("of"), F.explode("observations").alias("observation"), "aliases").select("binding", "of", "observation", F.explode("aliases").alias("alias"))
     each = each.select("binding", "of", "observation", plain(F.col("alias")).alias("alias")).distinct()
+    one = lambda *keys: each.groupBy("observation", "alias", *keys).agg(F.when(F.count_distinct("binding") == 1, F.min("binding")).alias("resolved"))
     asked = candidates.where("cited AND candidate IS NOT NULL").select("id", "observation", "task", "project", plain(F.col("candidate")).alias("alias"))
-    met = asked.join(each, ["observation", "alias"]).where(~F.col("task") | (F.col("of") == F.col("project")))
-    one = met.groupBy("id").agg(F.when(F.count_distinct("binding") == 1, F.min("binding")).alias("resolved"))
-    return candidates.join(one, "id", "left")
+    # A name is resolved once, however many claims use it.
+    free = asked.where(~F.col("task")).join(one(), ["observation", "alias"]).select("id", "resolved")
+    bound = asked.where("task").join(one("of").withColumnRenamed("of", "project"), ["observation", "alias", "project"]).select("id", "resolved")
+    return candidates.join(free.unionByName(bound), "id", "left")
 
 
 def visual_evidence(frames: DataFrame, captions: DataFrame, app: str | None) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
-from spanloom.operators.components import components
+from spanloom.operators.components import components, meet
 from spanloom.operators.evidence import hamming_pairs
 from spanloom.operators.interval import union_us
 from spanloom.sources.scratch import removed, written
@@ -23,7 +25,8 @@ def greedy_exclusion(rows: DataFrame, most: int = 4, bits: int = 64) -> DataFram
     What an earlier row's fate settles needs no order of its own: in each round every row without an open or kept earlier
     neighbour is kept, and its later neighbours go. Rounds are as many as the longest chain of open neighbours.
     """
-    told = rows.select("id", F.struct("ord", "id").alias("o"), "code")
+    # A code that repeats goes with the first of its rows or with what removes that one, so one row a code is looked at.
+    told = rows.groupBy("code").agg(F.min(F.struct("ord", "id")).alias("o")).select("o.id", "o", "code")
     pairs = hamming_pairs(told.select("id", "code"), most, bits)
     a, b = told.select(F.col("id").alias("a"), F.col("o").alias("ao")), told.select(F.col("id").alias("b"), F.col("o").alias("bo"))
     met = pairs.join(a, "a").join(b, "b")
@@ -37,18 +40,17 @@ def greedy_exclusion(rows: DataFrame, most: int = 4, bits: int = 64) -> DataFram
         new = written(state.join(told_, "id", "left").select("id", F.coalesce("kept", fate).alias("kept")))
         removed(state)
         state = new
-    return rows.join(state, "id", "left").withColumn("kept", F.coalesce("kept", F.lit(True)))
+    first = told.select("id", F.lit(True).alias("__first"))
+    return rows.join(first, "id", "left").join(state, "id", "left").withColumn("kept", F.coalesce("__first", F.lit(False)) & F.coalesce("kept", F.lit(True))).drop("__first")
 
 
 def whole_groups(rows: DataFrame, keys: list[str]) -> DataFrame:
     """rows (id) with `group`: the smallest id among all rows that shared values of any key link to each other."""
-    from functools import reduce
-
     each = [rows.where(F.col(k).isNotNull()).select("id", F.xxhash64(F.lit(k), F.col(k).cast("string")).alias("key")) for k in keys]
     links = reduce(DataFrame.unionByName, each)
-    first = links.groupBy("key").agg(F.min("id").alias("first"))
+    first = links.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
     # A key's rows are linked to its first one, not to each other.
-    found = components(links.join(first, "key").select(F.col("id").alias("u"), F.col("first").alias("v")))
+    found = components(meet(links, first, "key", "n", links.count()).select(F.col("id").alias("u"), F.col("first").alias("v")))
     return rows.join(found.select(F.col("u").alias("id"), "root"), "id", "left").withColumn("group", F.coalesce("root", "id")).drop("root")
 
 
