@@ -152,12 +152,12 @@ TOPICS = f"""tags2 AS (SELECT app, win, CASE WHEN app = 'app1' AND win = 'w1' TH
     al AS (SELECT s.device, s.day, coalesce(CASE WHEN t.topic <> 'video page' THEN t.topic END, {_ladder("s.win", "s.app", "NULL::VARCHAR")}) AS label, CASE WHEN t.topic <> 'video page' THEN 'specific_model' ELSE 'broad_context' END AS status, sampled_us FROM segments s LEFT JOIN tags2 t ON t.app = s.app AND t.win = s.win WHERE s.state = 'active')"""
 
 
-def _topics(spark, d):
+def _topics(spark, d, segs=None):
     i = F.col("id")
     f = V.frames(spark, d).select(F.concat(F.lit("app"), (i % 2).cast("string")).alias("app"), F.concat(F.lit("w"), (F.floor(i / 2) % 2).cast("string")).alias("win"), F.col("app").alias("source")).where("NOT (app = 'app0' AND win = 'w0')")
     tags = f.groupBy("app", "win").agg(F.min(F.concat(F.lit("project "), "source")).alias("topic")).withColumn("status", F.lit("model_inference"))
     tags = tags.withColumn("topic", F.when((F.col("app") == "app1") & (F.col("win") == "w1"), "video page").otherwise(F.col("topic")))
-    return C.allocate_topics(_segs(spark, d), tags, A.KEYS)
+    return C.allocate_topics(_segs(spark, d) if segs is None else segs, tags, A.KEYS)
 
 
 @query(f"WITH {V.SEGMENTS}, {V.FRAMES}, {TOPICS} SELECT device, day, label, status, CAST(sum(sampled_us) AS BIGINT) AS us FROM al GROUP BY ALL")

@@ -17,7 +17,7 @@ from spanloom.plans.queries_activity import FACTS, _runs
 from spanloom.plans.queries_context import MARKS, NEAREST, SLOTS, TOPICS, _marks, _topics
 from spanloom.plans.queries_text import _q
 from spanloom.sources import adapters as V
-from spanloom.sources.scratch import scratch
+from spanloom.sources.scratch import scratch, written
 
 BOOK = Book()
 query = BOOK.query
@@ -288,10 +288,11 @@ REPORT = f"""WITH {FACTS}, {V.FRAMES}, {MARKS}, {SLOTS}, {NEAREST.partition(SLOT
 
 
 def _report(spark, d):
-    runs = _runs(spark, d)
-    segs = A.segments(runs)
+    # Ten parts of the report read them.
+    runs = written(_runs(spark, d))
+    segs = written(A.segments(runs))
     frames = V.screens(spark, d).select("device", F.floor(F.col("at_us") / DAY).alias("day"), "status")
-    return Q.accounting_report(runs, segs, by_day(V.sessions(spark, d)), A.session_summary(V.sessions(spark, d)), frames, _topics(spark, d), C.screen_suggested(segs.where("state = 'unattributed'"), _marks(spark, d), A.KEYS), A.focus_blocks(segs), A.behavior_sessions(segs)).withColumns({k: F.expr(v) for k, v in DRIFT.items()})
+    return Q.accounting_report(runs, segs, by_day(V.sessions(spark, d)), A.session_summary(V.sessions(spark, d)), frames, _topics(spark, d, segs), C.screen_suggested(segs.where("state = 'unattributed'"), _marks(spark, d), A.KEYS), A.focus_blocks(segs), A.behavior_sessions(segs)).withColumns({k: F.expr(v) for k, v in DRIFT.items()})
 
 
 @query(
