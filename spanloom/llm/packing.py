@@ -24,7 +24,7 @@ from spanloom.llm.common import empty_text, give_back, partitions, ready, slices
 CAPACITY = 4096
 END_ID = 1
 #: Distinct words, and ids of them, that a worker remembers before it starts anew.
-WORDS, WORD_IDS = 600_000, 5_000_000
+WORDS, WORD_IDS = 800_000, 6_500_000
 
 
 @lru_cache(maxsize=4)
