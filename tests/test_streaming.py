@@ -41,3 +41,25 @@ def test_mark_days(spark, tmp_path):
     df.write.parquet(str(tmp_path / "in"))
     T.mark_days(T.source(spark, str(tmp_path / "in"), df.schema), str(tmp_path / "out"), str(tmp_path / "cp"))
     assert spark.read.parquet(str(tmp_path / "out")).distinct().count() == 2
+
+
+def test_ordered_passes_carry_their_state_over_batches(spark, tmp_path):
+    """The same rows as one file and as three, one a batch."""
+    rows = [("p", i, t * S, ["a", "a", "b"][i % 3], i % 2, 0.1 * i) for i, t in enumerate(range(0, 900, 7))]
+    df = spark.createDataFrame(rows, "k string, id long, at_us long, identity string, digest long, level double").withColumn("context", F.lit("c"))
+    df.coalesce(1).write.parquet(str(tmp_path / "one"))
+    for i in range(3):
+        df.where((F.col("id") >= i * 45) & (F.col("id") < (i + 1) * 45)).coalesce(1).write.mode("append").parquet(str(tmp_path / "three"))
+    for name, op in {"coalesce": lambda s: T.coalesce(s, ["k"], 30 * S), "tabs": lambda s: T.tab_dedupe(s, ["k"], 30 * S), "cadence": lambda s: T.frame_cadence(s, ["k"], change=0.35)}.items():
+        got = []
+        for part, files in (("one", 10), ("three", 1)):
+            src = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(str(tmp_path / part))
+            T.run_once(op(src), str(tmp_path / f"{name}{part}"), str(tmp_path / f"{name}{part}cp"))
+            got.append(sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / f"{name}{part}")).collect()))
+        assert got[0] == got[1] and 1 < len(got[0]) < len(rows), name
+
+
+def test_lateness(spark):
+    h = 3600 * S
+    df = spark.createDataFrame([(0, 0), (0, 6 * h), (0, 6 * h + 1), (30 * h, 66 * h + 1)], "at long, got long")
+    assert [(r.day, r.kind) for r in T.lateness(df, "at", "got").orderBy("at", "got").collect()] == [(0, "current"), (0, "current"), (0, "late"), (1, "backfill")]
