@@ -11,6 +11,8 @@ import json
 import os
 from collections import Counter
 from functools import lru_cache
+from itertools import repeat
+from operator import mul
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -90,7 +92,8 @@ def _distinct(path: str):
             for text in batch.column("text").to_pylist():
                 found = pretokens(path, text)
                 held.update(found)
-                long += sum(len(u) for u in found if len(u) > SHORT)
+                if max(map(len, found), default=0) > SHORT:
+                    long += sum(len(u) for u in found if len(u) > SHORT)
                 if long > HELD_LONG:
                     yield out()
                     held.clear()
@@ -124,17 +127,15 @@ def _frequencies(path: str, common):
                 ids, marks = part.column("doc_id").to_pylist(), part.column("mark").to_pylist()
                 row, unit, freq, done, size = [], [], [], [], []
                 for i, text in enumerate(part.column("text").to_pylist()):
-                    total = 0
-                    row.append(i), unit.append(None), freq.append(None), size.append(len(text.encode()))
-                    done.append(0)
-                    at = len(done) - 1
-                    for u, f in Counter(pretokens(path, text)).items():
-                        n = known.get(u)
-                        if n is None:
-                            row.append(i), unit.append(key(u)), freq.append(f), done.append(None), size.append(None)
-                        else:
-                            total += n * f
-                    done[at] = total
+                    count = Counter(pretokens(path, text))
+                    pieces = list(map(known.get, count, repeat(0)))  # 0 where the table has none
+                    row.append(i), unit.append(None), freq.append(None), size.append(len(text.encode())), done.append(sum(map(mul, pieces, count.values())))
+                    rare = [uf for uf, n in zip(count.items(), pieces, strict=True) if not n]
+                    row += [i] * len(rare)
+                    unit += [key(u) for u, _ in rare]
+                    freq += [f for _, f in rare]
+                    done += [None] * len(rare)
+                    size += [None] * len(rare)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([ids[i] for i in row], pa.int64()), pa.array([marks[i] for i in row], pa.int64()), pa.array(unit, pa.string()), pa.array(freq, pa.int32()), pa.array(done, pa.int64()), pa.array(size, pa.int64())],
                     ["doc_id", "mark", "unit", "f", "done", "n_bytes"],
