@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import byte_bpe, langid, media, near_dup, packing, pii, token_count, topk, toxicity, url_filter
+from spanloom.llm import byte_bpe, context_tree, langid, media, near_dup, packing, pii, token_count, topk, toxicity, url_filter
 from spanloom.llm.common import table
 
 URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
@@ -71,8 +71,12 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op11_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.scored(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_topk, op2_pii, op3_token_counts, op4_packing, op5_byte_bpe, op6_url_filter, op7_langid, op8_media, op9_toxicity, op10_near_dup)
+    ops = (op1_topk, op2_pii, op3_token_counts, op4_packing, op5_byte_bpe, op6_url_filter, op7_langid, op8_media, op9_toxicity, op10_near_dup, op11_lm_score)
     return {f.__name__: f for f in ops}
 
 
