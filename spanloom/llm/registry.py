@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import byte_bpe, context_tree, langid, media, near_dup, packing, pii, token_count, topk, toxicity, url_filter
+from spanloom.llm import byte_bpe, context_tree, hard_negatives, langid, media, near_dup, packing, pii, prefix_trie, token_count, topk, toxicity, url_filter
 from spanloom.llm.common import table
 
 URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
@@ -75,8 +75,18 @@ def op11_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_tree.scored(table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", label)
+    return hard_negatives.mine(rows, rows.where("vec_id % 100 = 0"), positives=5, negatives=10, low=30, high=90, scale=256)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"), family=5, most=8)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_topk, op2_pii, op3_token_counts, op4_packing, op5_byte_bpe, op6_url_filter, op7_langid, op8_media, op9_toxicity, op10_near_dup, op11_lm_score)
+    ops = (op1_topk, op2_pii, op3_token_counts, op4_packing, op5_byte_bpe, op6_url_filter, op7_langid, op8_media, op9_toxicity, op10_near_dup, op11_lm_score, op12_hard_negatives, op13_prefix_trie)
     return {f.__name__: f for f in ops}
 
 
@@ -92,6 +102,22 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
 """
 
+HARD_NEGATIVES_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT::DOUBLE) AS e
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id AS id, a.label = c.label AS same, list_inner_product(a.e, c.e)::BIGINT AS score
+  FROM (SELECT * FROM v WHERE vec_id % 100 = 0) a JOIN v c ON a.vec_id <> c.vec_id),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (
+  SELECT p.anchor_id, p.id AS positive_id, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
 NEAR_DUP_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
@@ -112,4 +138,4 @@ SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, c.component_id, n.doc_id = c
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk": TOPK_SQL, "op10_near_dup": NEAR_DUP_SQL}
+    return {"op1_topk": TOPK_SQL, "op10_near_dup": NEAR_DUP_SQL, "op12_hard_negatives": HARD_NEGATIVES_SQL}

@@ -9,10 +9,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import ready, written
+from spanloom.llm.common import ready, removed, scratch, written
 
 BINS = 256
 QUERIES_PER_BLOCK = 4096
@@ -21,12 +21,12 @@ CHUNK = 1024
 LEAST, MOST = -(2**62), 2**62
 
 
-def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
+def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int, *more: Column) -> DataFrame:
     """(id, v): floor(scale * x) for each component; vectors that are null, empty or hold null or non-finite ones go."""
     x = F.col(vector_col)
     bad = F.exists(x, lambda e: e.isNull() | F.isnan(e) | (F.abs(e.cast("double")) == float("inf")))
     return vectors.where(F.col(id_col).isNotNull() & x.isNotNull() & (F.size(x) > 0) & ~bad).select(
-        F.col(id_col).cast("long").alias("id"), F.transform(x, lambda e: F.floor(e.cast("double") * scale)).alias("v")
+        F.col(id_col).cast("long").alias("id"), F.transform(x, lambda e: F.floor(e.cast("double") * scale)).alias("v"), *more
     )
 
 
@@ -41,6 +41,8 @@ def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     bound = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(1, q.shape[1])
     if bound < 2**53:
         return (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64)
+    if bound >= 2**62:
+        raise ValueError("scores of 2^62 or more")
     return q @ c.T
 
 
@@ -118,8 +120,11 @@ def _kept(block, least: np.ndarray, k: int):
     return run
 
 
-def _block(spark, candidates: DataFrame, ids: np.ndarray, q: np.ndarray, k: int) -> DataFrame:
-    """The rows of one block of queries: counting rounds, then the filter."""
+_ROWS = "query_id long, vec_id long, score long"
+
+
+def _block(spark, candidates: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, path: str) -> None:
+    """Writes the rows of one block of queries: counting rounds, then the filter."""
     n = len(ids)
     block = spark.sparkContext.broadcast((ids, q))  # at most QUERIES_PER_BLOCK vectors
     bounds = candidates.mapInArrow(_range()(block), "q int, low long, high long, n long").groupBy("q").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n")).collect()
@@ -140,7 +145,8 @@ def _block(spark, candidates: DataFrame, ids: np.ndarray, q: np.ndarray, k: int)
         new = low + at * width
         high = np.where(open_, np.minimum(new + width, high), high)
         low = np.where(open_, new, low)
-    return candidates.mapInArrow(_kept(block, low, k), "query_id long, vec_id long, score long")
+    candidates.mapInArrow(_kept(block, low, k), _ROWS).write.parquet(path)
+    block.destroy()
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024) -> DataFrame:
@@ -149,9 +155,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
     Returns (query_id, rank from 1, vec_id, score); fewer than k rows where there are fewer candidates. Rows with a
     null id, a null or empty vector, or null or non-finite components take no part. A query meets the vectors of its own
     length. Ties go to the smaller id; rows that repeat an id count as often as they are there. Empty tables give no rows.
-    Queries are taken in blocks of at most QUERIES_PER_BLOCK, one after another, so what is broadcast is bounded; each
-    block's scoring has all tasks. Of queries that repeat an id
-    the one with the least vector is asked. Other columns are ignored.
+    Queries are taken in blocks of about QUERIES_PER_BLOCK / 2; a block's rows are written and its broadcast destroyed before
+    the next one begins, so what the driver holds and the last plan do not grow with the number of blocks; each block's
+    scoring has all tasks. Of queries that repeat an id the one with the least vector is asked. Scores of 2^62 or more
+    raise. Other columns are ignored.
     """
     spark = ready(vectors.sparkSession)
     candidates = quantised(vectors, id_col, vector_col, scale).withColumn("size", F.size("v"))
@@ -161,16 +168,17 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
     if len(blocks) > 1:  # each block reads both again
         candidates = written(candidates)
         asked = written(asked)
-    out = None
-    for size, b, n in blocks:
+    base = scratch(spark)
+    spark.createDataFrame([], _ROWS).write.parquet(f"{base}/block=0")
+    for at, (size, b, n) in enumerate(blocks, 1):
         own = F.col("size") == size
         rows = asked.where(own & (F.pmod(F.xxhash64("id"), F.lit(n)) == b)).select("id", "v").toArrow()
         if not rows.num_rows:
             continue
         rows = rows.combine_chunks().sort_by("id")
-        found = _block(spark, candidates.where(own).select("id", "v"), rows.column("id").to_numpy(), _matrix(rows.column("v").combine_chunks()), k)
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+        _block(spark, candidates.where(own).select("id", "v"), rows.column("id").to_numpy(), _matrix(rows.column("v").combine_chunks()), k, f"{base}/block={at}")
+    if len(blocks) > 1:
+        removed(candidates, asked)
+    out = spark.read.schema(_ROWS).parquet(base)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -7,7 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 from functools import lru_cache
 
-import pytest
+import pyarrow as pa
 
 from spanloom.llm import context_tree as C
 
@@ -85,9 +85,7 @@ def texts(seed, size):
     return [r.choice([" ", "\t", "\n\x0b", "   "]).join(r.choices(words, k=r.randint(0, 14))) for _ in range(size)] + [None, "", " \n ", "ONE", "x" * 3000, "the of " * 300]
 
 
-@pytest.mark.parametrize("held", [C.HELD, 3])
-def test_scores_are_those_of_the_plain_trees(spark, monkeypatch, held):
-    monkeypatch.setattr(C, "HELD", held)
+def test_scores_are_those_of_the_plain_trees(spark):
     rows = [(i, t) for i, t in enumerate(texts(5, 60))] + [(7, "other text of one id"), (8, "twice"), (8, "twice"), (None, "the of no id")]
     df = spark.createDataFrame([(i, t, 5, "k", 9, 0.5, "u") for i, t in rows], SCHEMA)
     want, n = brute(rows)
@@ -111,12 +109,28 @@ def test_common_units_and_rare_ones_add_up(spark, monkeypatch):
     assert {g.doc_id: (g.n_known, round(g.base_score, 6), round(g.score, 6)) for g in C.score(df, units, tokens_, words).collect()} == some
 
 
-def test_long_texts_are_cut_at_words_only(spark, monkeypatch):
-    rows = [(i, t) for i, t in enumerate(texts(7, 30))]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    whole = {g.doc_id: (g.n_tokens, round(g.base_score, 6), round(g.score, 6)) for g in C.scored(df).collect()}
-    monkeypatch.setattr(C, "STRETCH", 16)
-    assert {g.doc_id: (g.n_tokens, round(g.base_score, 6), round(g.score, 6)) for g in C.scored(df).collect()} == whole
+def batch_of(rows):
+    return pa.RecordBatch.from_arrays([pa.array([t or "" for t in rows], pa.string()), pa.array([i % 3 > 0 for i in range(len(rows))])], ["text", "teach"])
+
+
+def test_long_texts_are_cut_at_words_only(monkeypatch):
+    column = batch_of(texts(7, 30)).column("text")
+    whole = [x.tolist() for x in C._tokens(column)]
+    for most in (1, 16, 100):
+        monkeypatch.setattr(C, "STRETCH", most)
+        assert [x.tolist() for x in C._tokens(column)] == whole
+
+
+def test_units_passed_on_early_sum_to_the_same(monkeypatch):
+    def summed(held):
+        monkeypatch.setattr(C, "HELD", held)
+        found = Counter()
+        for x in C._units(iter([batch_of(texts(seed, 20)) for seed in (1, 2, 3)])):
+            for r in x.to_pylist():
+                found[r["key"], r["kind"], r["skip"], r["data"]] += r["n"]
+        return found
+
+    assert summed(800_000) == summed(2)
 
 
 def test_chances_of_all_bytes_sum_to_one(spark):
