@@ -168,8 +168,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """A model from documents with a language that are not held out; None if none has a letter.
 
     Only text and language are looked at. Document frequencies cover all of these documents, and every language is
-    learned; weights are trained on the first rows of each language by a hash of the id, ROWS_PER_LANGUAGE or an equal
-    share of ROWS, but LEAST_ROWS at least; they meet in one task, and only the model comes to the driver.
+    learned; weights are trained on the first distinct rows (id and text) of each language by a hash, ROWS_PER_LANGUAGE or
+    an equal share of ROWS, but LEAST_ROWS at least; they meet in one task, and only the model comes to the driver. Rows
+    that repeat teach once.
     """
     spark = ready(docs.sparkSession)
     learn = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~F.coalesce(held_out(id_col), F.lit(False)))
@@ -184,11 +185,15 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     n[told.column("feature").to_numpy()] = told.column("n").to_numpy()  # place -1 has the documents
     idf = np.log((1 + n[-1]) / (1 + n[:-1])) + 1
     most = min(ROWS_PER_LANGUAGE, max(LEAST_ROWS, ROWS // len(rows)))
-    # A bound on a hash, wide enough for three times as many rows, comes first, so no task gets all rows of a language.
-    bounds = spark.createDataFrame([(lang, min(1 << 32, (3 * most << 32) // r)) for lang, r in rows.items()], "lang string, bound long")
-    near = learn.join(F.broadcast(bounds), "lang").where(F.pmod(F.xxhash64("id", "text", F.lit(1)), F.lit(1 << 32)) < F.col("bound"))
+    # A bound on a hash, wide enough for three times as many distinct rows, comes first, so no task gets all rows of a
+    # language; what repeats within it is one row before it is ranked.
+    learn = learn.withColumn("mark", F.xxhash64("id", "text"))
+    distinct = {r["lang"]: r["count"] for r in learn.select("lang", "mark").distinct().groupBy("lang").count().collect()}
+    bounds = spark.createDataFrame([(lang, min(1 << 32, (3 * most << 32) // r)) for lang, r in distinct.items()], "lang string, bound long")
+    near = learn.join(F.broadcast(bounds), "lang").where(F.pmod(F.xxhash64("mark", F.lit(1)), F.lit(1 << 32)) < F.col("bound"))
+    once = near.groupBy("lang", "mark", "id").agg(F.min("text").alias("text"))
     first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", F.xxhash64("text"))
-    chosen = near.withColumn("r", F.row_number().over(first)).where(F.col("r") <= most)
+    chosen = once.withColumn("r", F.row_number().over(first)).where(F.col("r") <= most)
     return in_one_task(chosen.select("lang", "text").mapInArrow(_rows, "lang string, at array<int>, n array<int>"), lambda given: train(given, idf))
 
 

@@ -145,7 +145,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
 
 
 def train(toxic: list[bytes], ordinary: list[bytes], share: float | None = None) -> Model | None:
-    """A model from toxic and ordinary texts; share: of toxic ones among labelled documents, if the lists have another."""
+    """A model from toxic and ordinary texts; share: of toxic ones among labelled documents, if the lists have another.
+
+    Every second distinct window of the ordinary texts teaches the base dictionary; the others, which it has not seen, find
+    the windows that it compresses badly, and these the second one.
+    """
     if not toxic or not ordinary:
         return None
     bad, n_in_bad, told, fresh = _contexts(toxic)

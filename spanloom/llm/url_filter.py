@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import first_by_hash, ready, written
+from spanloom.llm.common import first_by_hash, ready, removed, written
 
-#: Labelled rows that the trees are trained on at most, the first by a hash of the url.
-TRAIN_ROWS = 20_000
+#: Distinct labelled urls that the trees are trained on: the first of each verdict by a hash, in the verdicts' shares of
+#: TRAIN_ROWS, but LEAST_ROWS of each at least (all, if fewer).
+TRAIN_ROWS, LEAST_ROWS = 20_000, 1000
 TREES, DEPTH, SEED = 20, 4, 5
 #: Weight, in rows, of the overall share in a suffix's share of blocked urls.
 PRIOR = 20.0
@@ -86,14 +87,27 @@ def _found(df: DataFrame, name: str, stats: DataFrame) -> DataFrame:
     return met.select(*df.columns, *[F.coalesce("__hot", "__rest")[v].alias(v) for v in values])
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def _sample(labelled: DataFrame) -> DataFrame:
+    """Distinct labelled urls to train on, with how many rows each has as `copies`; both verdicts are there if both are."""
+    once = written(labelled.groupBy("u", "host", "path", "y").agg(F.count(F.lit(1)).alias("copies")))
+    count = {r["y"]: r["count"] for r in once.groupBy("y").count().collect()}
+    total = sum(count.values())
+    parts = [first_by_hash(once.where(F.col("y") == y), "u", max(LEAST_ROWS, TRAIN_ROWS * n // total), n) for y, n in sorted(count.items())]
+    chosen = written(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]))
+    removed(once)
+    return chosen
+
+
+def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", withhold: Column | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict, score): each url's verdict, allow or block.
 
     `rules` are (host and path prefix, verdict) for a host and its subdomains; the longest that fits decides. The urls
     that rules decide are the labelled ones: the trees are trained on them and decide the rest, block from a score of 0.5
     on. If rules leave only one verdict, or none, the rest gets it, or allow. Suffix statistics (blocked share and count
-    by last label and by last two) cover all labelled urls, and each url's own label is left out of what it sees in
-    training. A null url or one without :// has an empty host and path. Rows that repeat stay; other columns are ignored.
+    by last label and by last two) cover all labelled urls, and each url's own rows are left out of what it sees in
+    training. A null url or one without :// has an empty host and path. Rows that repeat stay, and teach once; other
+    columns are ignored. Rows for which `withhold`, a condition on pages, holds teach nothing: their score is what the
+    trees say without them, whatever their rule.
     """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
@@ -101,10 +115,11 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id
 
     ready(pages.sparkSession)
     u = F.coalesce(F.col(url_col), F.lit(""))
-    urls = pages.select(F.col(id_col).alias("page_id"), u.alias("u"), host(F.col(url_col)).alias("host"), path(F.col(url_col)).alias("path"))
+    aside = F.lit(False) if withhold is None else F.coalesce(withhold, F.lit(False))
+    urls = pages.select(F.col(id_col).alias("page_id"), u.alias("u"), host(F.col(url_col)).alias("host"), path(F.col(url_col)).alias("path"), aside.alias("aside"))
     rule, verdict = _rule(rules)
     urls = urls.withColumn("rule", rule).withColumn("told", verdict)
-    labelled = urls.where(F.col("rule").isNotNull()).withColumn("y", (F.col("told") == "block").cast("double"))
+    labelled = urls.where(F.col("rule").isNotNull() & ~F.col("aside")).withColumn("y", (F.col("told") == "block").cast("double"))
     total = labelled.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y")).first()
     out = ["page_id", "host", "path", "rule"]
     if not total.n or total.y in (0, total.n):
@@ -112,7 +127,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id
         return urls.select(*out, F.coalesce("told", F.lit(rest)).alias("verdict"), F.lit(float(rest == "block")).alias("score"))
     share = total.y / total.n
 
-    marked = urls.select("host", F.when(F.col("rule").isNotNull(), (F.col("told") == "block").cast("double")).alias("y"))
+    marked = urls.select("host", F.when(F.col("rule").isNotNull() & ~F.col("aside"), (F.col("told") == "block").cast("double")).alias("y"))
 
     def stats(name: str, n: int) -> DataFrame:
         """All suffixes: their urls, and how many of them are labelled and blocked."""
@@ -129,8 +144,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id
         return df
 
     vector = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    sample = first_by_hash(labelled, "u", TRAIN_ROWS, total.n)
-    taught = written(with_stats(_lexical(sample), F.lit(1)).select(*FEATURES, "y"))
+    taught = written(with_stats(_lexical(_sample(labelled)), F.col("copies")).select(*FEATURES, "y"))
     trees = GBTClassifier(labelCol="y", featuresCol="features", maxIter=TREES, maxDepth=DEPTH, seed=SEED, cacheNodeIds=False).fit(vector.transform(taught))
     scored = trees.transform(vector.transform(with_stats(_lexical(urls), F.lit(0))))
     score = vector_to_array("probability")[1]

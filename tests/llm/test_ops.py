@@ -280,6 +280,35 @@ def test_url_filter_counts_every_site(spark, monkeypatch):
     assert len(got) == len(asked + rows) and got[:40] == told
 
 
+def test_url_filter_on_repeated_urls(spark, monkeypatch):
+    """Above the sample's bound: one url with most rows, two urls alone, and one repeated verdict; every row has a verdict."""
+    monkeypatch.setattr(url_filter, "TRAIN_ROWS", 30)
+    monkeypatch.setattr(url_filter, "LEAST_ROWS", 5)
+    rules = [("com/en/", "block"), ("net/de/", "allow")]
+    for k in range(4):
+        two = [f"http://a{k}.com/en/x"] * 400 + [f"http://b{k}.net/de/y"] * 300 + [f"http://c{k}.org/z"]
+        for urls in (two, two + [f"http://s{i}.net/de/{i}" for i in range(300)]):
+            got = url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()
+            assert len(got) == len(urls) and {g.verdict for g in got if g.page_id < 400} == {"block"} and {g.verdict for g in got if 400 <= g.page_id < 700} == {"allow"}
+    labelled = spark.createDataFrame([(f"u{i}" if i % 50 else f"b{i}", "h", "p", float(i % 50 == 0)) for i in range(1000)] * 2, "u string, host string, path string, y double")
+    chosen = url_filter._sample(labelled).collect()
+    assert {c.copies for c in chosen} == {2} and sum(c.y for c in chosen) == 5 and len({c.u for c in chosen}) == len(chosen) == 34
+
+
+def test_url_filter_on_withheld_urls(spark):
+    """Urls that rules decide, one in five withheld: the trees' verdicts on those."""
+    r = random.Random(31)
+    rules = [("com/shop/", "block"), ("net/docs/", "allow"), ("org/win/", "block"), ("io/read/", "allow")]
+    urls = []
+    for i in range(600):
+        tld, word = r.choice([("com", "shop"), ("net", "docs"), ("org", "win"), ("io", "read")])
+        tail = "&".join(f"q{r.randint(0, 99)}={r.randint(0, 9999)}" for _ in range(6)) if word in ("shop", "win") else ""
+        urls.append(f"http://h{r.randint(0, 40)}.{tld}/{word}/{i}?{tail}")
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = [g for g in url_filter.judge(df, rules, withhold=F.col("page_id") % 5 == 0).collect() if g.page_id % 5 == 0]
+    assert len(got) == 120 and np.mean([(g.score >= 0.5) == (g.verdict == "block") for g in got]) > 0.95
+
+
 WORDS = {"en": "the and that with from this which over there when", "fr": "les des avec pour dans être était voilà où ça", "de": "der die und nicht über schön auch noch wäre für"}
 
 
@@ -350,6 +379,20 @@ def test_langid_sample_is_bounded_by_language(spark, monkeypatch):
     assert seen == [{"en": 20, "fr": 20}]
 
 
+def test_langid_learns_from_languages_of_repeated_rows(spark, monkeypatch):
+    """A language of one row a thousand times is learned, and does not crowd another one out."""
+    monkeypatch.setattr(langid, "ROWS_PER_LANGUAGE", 10)
+    seen = []
+    plain = langid.in_one_task
+    monkeypatch.setattr(langid, "in_one_task", lambda rows, make: seen.append({r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}) or plain(rows, make))
+    keep = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5]
+    for k in keep[:4]:
+        rows = [(k, WORDS["de"], "de")] * 1000 + [(1000 + i, f"{WORDS['en']} {i}", "en") for i in range(100)]
+        assert langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).languages == ["de", "en"]
+    alone = langid.fit(spark.createDataFrame([(keep[0], WORDS["de"], "de")] * 1000, "doc_id long, text string, lang string"))
+    assert alone.languages == ["de"] and {s["de"] for s in seen} == {1} and {s.get("en", 10) for s in seen} == {10}
+
+
 def test_langid_learns_every_language(spark):
     r = random.Random(7)
     words = {f"l{k:02d}": ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(6)] for k in range(80)}
