@@ -14,15 +14,30 @@ def micros(ts: str) -> Column:
     return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', {ts})")
 
 
-def local_bounds(day: Column, zone: str) -> tuple[Column, Column]:
-    """First and one past the last microsecond of a local day: 23, 24 or 25 hours apart."""
-    begin = F.unix_micros(F.to_utc_timestamp(day.cast("timestamp"), zone))
-    end = F.unix_micros(F.to_utc_timestamp(F.date_add(day, 1).cast("timestamp"), zone))
-    return begin, end
+def local_us(us: Column, zone: Column | str) -> Column:
+    """A zone's clock as microseconds since its 1970: what the wall shows at an instant, whatever the session's zone."""
+    return F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(us), zone))
 
 
-def local_day(us: Column, zone: str) -> Column:
-    return F.to_date(F.from_utc_timestamp(F.timestamp_micros(us), zone))
+def day_number(us: Column, zone: Column | str) -> Column:
+    """Days since 1970 of an instant's local date."""
+    return F.floor(local_us(us, zone) / DAY)
+
+
+def day_start(day: Column, zone: Column | str) -> Column:
+    """The first instant of a local day, given as days since 1970: the first of two where midnight comes twice, and the end
+    of the gap where it never comes."""
+    return F.unix_micros(F.to_utc_timestamp(F.timestamp_micros((day * DAY).cast("long")), zone))
+
+
+def local_bounds(day: Column, zone: Column | str) -> tuple[Column, Column]:
+    """First and one past the last microsecond of a local day (a date): 23, 24 or 25 hours apart as a rule."""
+    n = F.datediff(day, F.lit("1970-01-01").cast("date")).cast("long")
+    return day_start(n, zone), day_start(n + 1, zone)
+
+
+def local_day(us: Column, zone: Column | str) -> Column:
+    return F.date_add(F.lit("1970-01-01").cast("date"), day_number(us, zone).cast("int"))
 
 
 def temporal_key(df: DataFrame, us: str, zone: str) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.functions.time import DAY, HOUR, MINUTE, SECOND
+from spanloom.functions.time import DAY, HOUR, MINUTE, SECOND, day_start, local_us
 from spanloom.operators.interval import by_day, cut, islands, merge, ordered, overlap_join, trim, union_us
 
 MERGE_GAP, SESSION_GAP, STRETCH_GAP = 2 * SECOND, 1 * SECOND, 20 * SECOND
@@ -23,10 +23,13 @@ def valid(samples: DataFrame, most_us: int) -> DataFrame:
     return samples.where((F.col("dur_us") > 0) & (F.col("dur_us") <= most_us))
 
 
-def observed_runs(samples: DataFrame, most_us: int = 6 * HOUR) -> DataFrame:
-    """Disjoint observed runs by device and UTC day: valid samples, cut at midnight and at the next sample's start."""
+def observed_runs(samples: DataFrame, most_us: int = 6 * HOUR, zone: Column | str | None = None) -> DataFrame:
+    """Disjoint observed runs by device and day: valid samples, cut at midnight and at the next sample's start.
+
+    Days are UTC ones, or those of `zone`, a zone's name or a column with one for each device.
+    """
     known = valid(samples, most_us).withColumn("end_us", F.col("start_us") + F.col("dur_us"))
-    return trim(by_day(known), KEYS, "start_us", "from_us", "id").drop("dur_us")
+    return trim(by_day(known, zone), KEYS, "start_us", "from_us", "id").drop("dur_us")
 
 
 def _changes(cols: list[str], gap_us: int, w) -> Column:
@@ -60,12 +63,14 @@ def support(runs: DataFrame, gap_us: int = MERGE_GAP) -> DataFrame:
     return merge(told, [*KEYS, "island"])
 
 
-def state_totals(runs: DataFrame) -> DataFrame:
-    """Time in each state by device and day, their sum, and the rest of the day as unobserved."""
+def state_totals(runs: DataFrame, zone: Column | str | None = None) -> DataFrame:
+    """Time in each state by device and day, their sum, and the rest of the day, of 24 hours or as long as it is in `zone`,
+    as unobserved."""
     length = F.col("end_us") - F.col("start_us")
     sums = {f"{s}_us": F.sum(F.when(F.col("state") == s, length).otherwise(0)) for s in PRECEDENCE}
-    total = runs.groupBy(*KEYS).agg(*[v.alias(k) for k, v in sums.items()], F.sum(length).alias("observed_us"))
-    return total.withColumn("unobserved_us", F.greatest(F.lit(0), DAY - F.col("observed_us")))
+    whole = F.lit(DAY) if zone is None else F.max(day_start(F.col("day") + 1, zone) - day_start(F.col("day"), zone))
+    total = runs.groupBy(*KEYS).agg(*[v.alias(k) for k, v in sums.items()], F.sum(length).alias("observed_us"), whole.alias("day_us"))
+    return total.withColumn("unobserved_us", F.greatest(F.lit(0), F.col("day_us") - F.col("observed_us"))).drop("day_us")
 
 
 def app_totals(runs: DataFrame) -> DataFrame:
@@ -75,20 +80,39 @@ def app_totals(runs: DataFrame) -> DataFrame:
     return front.groupBy(*KEYS, "app").agg(F.sum(length).alias("us"), F.sum(F.when(F.col("state") == "unattributed", length).otherwise(0)).alias("app_only_us"))
 
 
-def session_summary(sessions: DataFrame) -> DataFrame:
+def session_summary(sessions: DataFrame, zone: Column | str | None = None) -> DataFrame:
     """Overlapping sessions by device and day: sum, union and overlap; and by app, whose rows have all of these."""
-    parts = by_day(sessions)
+    parts = by_day(sessions, zone)
     raw = parts.groupBy(*KEYS, "app").agg(F.count(F.lit(1)).alias("sessions"), F.sum(F.col("end_us") - F.col("start_us")).alias("raw_us"))
     own = union_us(parts, [*KEYS, "app"], "app_union_us")
     whole = union_us(parts, KEYS, "device_union_us")
     return raw.join(own, [*KEYS, "app"]).join(whole, KEYS).withColumn("overlap_us", F.col("raw_us") - F.col("app_union_us"))
 
 
-def hour_profile(runs: DataFrame, zone: str = "UTC") -> DataFrame:
+def local_hours(df: DataFrame, zone: Column | str = "UTC") -> DataFrame:
+    """Intervals cut at local hours, with `hour` from 0 to 23; an hour that repeats gives pieces of one number."""
+    slots = cut(df, HOUR // 4)  # zones are quarters of an hour apart
+    return slots.withColumn("hour", F.pmod(F.floor(local_us(F.col("start_us"), zone) / HOUR), F.lit(24))).drop("slot")
+
+
+def hour_profile(runs: DataFrame, zone: Column | str = "UTC") -> DataFrame:
     """Time by device, local hour of the day and state. A repeated hour adds up."""
-    slots = cut(runs, HOUR)
-    hour = F.hour(F.from_utc_timestamp(F.timestamp_micros(F.col("slot") * HOUR), zone)).cast("long")
-    return slots.groupBy("device", hour.alias("hour"), "state").agg(F.sum(F.col("end_us") - F.col("start_us")).alias("us"))
+    return local_hours(runs, zone).groupBy("device", "hour", "state").agg(F.sum(F.col("end_us") - F.col("start_us")).alias("us"))
+
+
+def hours_of_day(runs: DataFrame, sessions: DataFrame, zone: Column | str = "UTC") -> DataFrame:
+    """All 24 local hours of each device: computer time by state, and the union of phone sessions; 0 where there is none.
+
+    A phone's sessions are merged by device and UTC day first, so that overlapping ones count once.
+    """
+    length = F.col("end_us") - F.col("start_us")
+    computer = local_hours(runs, zone).groupBy("device", "hour").agg(*[F.sum(F.when(F.col("state") == s, length).otherwise(0)).alias(f"{s}_us") for s in PRECEDENCE])
+    one = sessions.select("device", "start_us", "end_us", (zone if isinstance(zone, Column) else F.lit(zone)).alias("zone"))
+    phone = local_hours(merge(by_day(one), ["device", "day", "zone"]), F.col("zone")).groupBy("device", "hour").agg(F.sum(length).alias("phone_us"))
+    devices = runs.select("device").unionByName(sessions.select("device")).distinct()
+    spine = devices.select("device", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(23).cast("long"))).alias("hour"))
+    wide = spine.join(computer, ["device", "hour"], "left").join(phone, ["device", "hour"], "left")
+    return wide.select("device", "hour", *[F.coalesce(c, F.lit(0)).alias(c) for c in (*[f"{s}_us" for s in PRECEDENCE], "phone_us")])
 
 
 def activity_bins(runs: DataFrame, step_us: int = 5 * MINUTE) -> DataFrame:

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.functions.time import DAY, HOUR
+from spanloom.functions.time import DAY, HOUR, day_number, day_start
 
 ORDER = ("start_us", "end_us", "id")
 
@@ -41,12 +41,26 @@ def cut(df: DataFrame, step_us: int, into: str = "slot") -> DataFrame:
     return each.withColumns({"start_us": F.greatest("start_us", F.col(into) * step_us), "end_us": F.least("end_us", (F.col(into) + 1) * step_us)})
 
 
-def by_day(df: DataFrame) -> DataFrame:
-    """Intervals cut at UTC midnights, with `day` as days since 1970 and `from_us`, the start before cutting.
+def by_day(df: DataFrame, zone: Column | str | None = None) -> DataFrame:
+    """Intervals cut at midnights, with `day` as days since 1970 and `from_us`, the start before cutting.
 
-    Cutting first bounds every later partition to one device and day, and changes no length.
+    `zone` is a column of df or a zone's name; days are then local ones, 23 to 25 hours long where clocks change, and an
+    hour that repeats is two. Without it they are UTC days. Cutting first bounds every later partition to one device and
+    day, and changes no length.
     """
-    return cut(df.withColumn("from_us", F.col("start_us")), DAY, "day")
+    told = df.withColumn("from_us", F.col("start_us"))
+    if zone is None:
+        return cut(told, DAY, "day")
+    days = F.sequence(day_number(F.col("start_us"), zone), day_number(F.col("end_us") - 1, zone))
+    each = told.where("end_us > start_us").withColumn("day", F.explode(days))
+    return clip(each, day_start(F.col("day"), zone), day_start(F.col("day") + 1, zone))
+
+
+def day_spans(df: DataFrame, keys: list[str], zone: Column | str | None = None) -> DataFrame:
+    """The bounds of each day (keys with `day`) that df has, as low_us and high_us: what gaps() takes."""
+    day = F.col("day")
+    low, high = (day * DAY, (day + 1) * DAY) if zone is None else (day_start(day, zone), day_start(day + 1, zone))
+    return df.groupBy(*keys).agg(F.min(low).alias("low_us"), F.max(high).alias("high_us"))
 
 
 def trim(df: DataFrame, keys: list[str], *order: str) -> DataFrame:

@@ -21,22 +21,35 @@ def work_artifacts(commits: DataFrame, files: DataFrame, k: int = 8) -> tuple[Da
     return top, by_root
 
 
-def calendar_summary(items: DataFrame) -> DataFrame:
-    """Timed events below 24 hours by UTC day: union and count; all-day items don't count."""
+def calendar_summary(items: DataFrame, zone: Column | str | None = None) -> DataFrame:
+    """Timed events below 24 hours by day: union and count; all-day items don't count."""
     timed = items.where(~F.col("all_day") & (F.col("end_us") > F.col("start_us")) & (F.col("end_us") - F.col("start_us") < 24 * HOUR))
-    parts = by_day(timed)
+    parts = by_day(timed, zone)
     return union_us(parts, ["day"]).join(parts.groupBy("day").agg(F.count_distinct("id").alias("events")), "day")
 
 
-def day_facts(states: DataFrame, apps: DataFrame, sessions: DataFrame, behavior: DataFrame) -> DataFrame:
-    """One wide row by device and day; parts that are missing stay null, and a ladder tells the coverage."""
+def day_facts(states: DataFrame, apps: DataFrame, sessions: DataFrame, behavior: DataFrame, *more: DataFrame) -> DataFrame:
+    """One wide row by device and day; parts that are missing stay null, and a ladder tells the coverage.
+
+    `more` are further parts (frames, suggestions, calendar, artifacts), of one row by day or by device and day.
+    """
     app = apps.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("apps"), F.sum("us").alias("foreground_us"))
     own = sessions.groupBy(*KEYS).agg(F.first("device_union_us").alias("session_union_us"))
     wide = states.join(app, KEYS, "left").join(own, KEYS, "left").join(behavior.select(*KEYS, F.col("sessions").alias("stretches"), "switches", "longest_us"), KEYS, "left")
     status = F.when(F.col("observed_us") >= 12 * HOUR, "full").when(F.col("observed_us") >= 4 * HOUR, "partial").otherwise("sparse")
+    for part in more:
+        wide = wide.join(part, [k for k in KEYS if k in part.columns], "left")
     return wide.withColumn("coverage", status)
 
 
+def period_totals(totals: DataFrame, label: str, value: str) -> DataFrame:
+    """Totals by device and day of a label, merged into months and years (month null): a sum by each, not an average."""
+    date = F.date_add(F.to_date(F.lit("1970-01-01")), F.col("day").cast("int"))
+    told = totals.withColumns({"year": F.year(date).cast("long"), "month": F.month(date).cast("long")})
+    grouped = told.groupingSets([["device", "year", "month", label], ["device", "year", label]], "device", "year", "month", label)
+    return grouped.agg(F.sum(value).alias(value), F.count_distinct("day").alias("days"))
+
+
 def period_rollup(facts: DataFrame) -> DataFrame:
     """Month and year in one pass: sums, and days by coverage."""
     date = F.date_add(F.to_date(F.lit("1970-01-01")), F.col("day").cast("int"))

@@ -203,3 +203,50 @@ CAPTIONS = (
     ANNOTATIONS
     + """, captions AS (SELECT path AS id, n AS ord, status, 'view ' || status || ' ' || n::VARCHAR AS caption, CASE WHEN model = 1 THEN 'strong' ELSE 'weak' END AS model FROM annotations)"""
 )
+
+
+#: Where devices are, and how many days their times are moved, so that both clock changes of 2024 lie among them.
+ZONES = {0: ("America/Chicago", 60), 1: ("America/Chicago", 290), 2: ("Europe/Berlin", 80), 3: ("Asia/Kolkata", 0)}
+
+
+def zoned(df: DataFrame, *times: str) -> DataFrame:
+    """Rows of devices with their zone, times moved by ZONES."""
+    zone, shift = F.lit("UTC"), F.lit(0).cast("long")
+    for device, (name, days) in ZONES.items():
+        own = F.col("device") == device
+        zone, shift = F.when(own, name).otherwise(zone), F.when(own, days * 86_400_000_000).otherwise(shift)
+    return df.withColumns({"zone": zone} | {t: F.col(t) + shift for t in times})
+
+
+ZONE_SQL = "CASE device " + " ".join(f"WHEN {d} THEN '{z}'" for d, (z, _) in ZONES.items()) + " ELSE 'UTC' END"
+SHIFT_SQL = "CASE device " + " ".join(f"WHEN {d} THEN {n * 86_400_000_000}" for d, (_, n) in ZONES.items()) + " ELSE 0 END"
+
+
+def local_sql(us: str, zone: str = "zone") -> str:
+    """A zone's clock in microseconds, in SQL."""
+    return f"epoch_us(timezone({zone}, timezone('UTC', make_timestamp(({us})::BIGINT))))"
+
+
+def day_start_sql(day: str, zone: str = "zone") -> str:
+    return f"epoch_us(timezone({zone}, make_timestamp((({day}) * 86400000000)::BIGINT)))"
+
+
+def days_sql(rows: str, into: str) -> str:
+    """CTEs that cut rows (start_us, end_us, zone, ...) at local midnights."""
+    return f"""{into}_d AS (SELECT *, unnest(range({local_sql('start_us')} // 86400000000, {local_sql('end_us - 1')} // 86400000000 + 1)) AS day FROM {rows} WHERE end_us > start_us),
+  {into}_b AS (SELECT *, start_us AS from_us, {day_start_sql('day')} AS low_us, {day_start_sql('day + 1')} AS high_us FROM {into}_d),
+  {into} AS (SELECT * REPLACE (greatest(start_us, low_us) AS start_us, least(end_us, high_us) AS end_us) FROM {into}_b WHERE least(end_us, high_us) > greatest(start_us, low_us))"""
+
+
+LOCAL_RUNS = (
+    SAMPLES
+    + f""", zoned AS (SELECT id, device, state, app, win, k, start_us + {SHIFT_SQL} AS start_us, start_us + {SHIFT_SQL} + dur_us AS end_us, {ZONE_SQL} AS zone FROM samples WHERE dur_us > 0 AND dur_us <= 21600000000),
+  {days_sql('zoned', 'zoned_days')},
+  runs AS (SELECT id, device, day, state, app, win, k, zone, low_us, high_us, start_us, end_us FROM (
+    SELECT * REPLACE (least(end_us, coalesce(lead(start_us) OVER (PARTITION BY device, day ORDER BY start_us, from_us, id), end_us)) AS end_us) FROM zoned_days) WHERE end_us > start_us)"""
+)
+#: What follows from runs is the same text as for UTC days.
+LOCAL_STRETCHES = LOCAL_RUNS + STRETCHES[len(RUNS) :]
+LOCAL_TOTALS = TOTALS.replace("86400000000 - CAST(sum(end_us - start_us) AS BIGINT)", "max(high_us - low_us) - CAST(sum(end_us - start_us) AS BIGINT)")
+LOCAL_SESSIONS = f"""sessions AS (SELECT id, device, start_us, end_us, zone, 'a' || (k % 5)::VARCHAR AS app FROM zoned),
+  {days_sql('sessions', 'parts')}{SESSION_DAYS[SESSION_DAYS.index(",\nown AS") :]}"""
