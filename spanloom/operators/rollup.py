@@ -84,18 +84,6 @@ def history_overlay(recent: DataFrame, stored: DataFrame, keys: list[str]) -> Da
     return both.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("p"))).where("r = 1").drop("r", "p")
 
 
-def alerts(facts: DataFrame) -> DataFrame:
-    """Codes by device and day: too much unknown time, little coverage, no foreground."""
-    codes = F.array_compact(
-        F.array(
-            F.when(F.col("unattributed_us") > F.greatest(F.lit(300 * SECOND), F.expr("observed_us * 15 div 100")), "unknown_high"),
-            F.when(F.col("observed_us") < 4 * HOUR, "coverage_low"),
-            F.when(F.col("active_us") + F.col("unattributed_us") == 0, "no_foreground"),
-        )
-    )
-    return facts.select(*KEYS, F.array_join(codes, ",").alias("codes"))
-
-
 def day_alerts(facts: DataFrame) -> DataFrame:
     """Codes by device and day, in order: quality_failed (column failed), unknown_high (over 300 s and 15 % of observed),
     phone_stale (phone_age_us of 6 hours or more, or unknown), coverage_low, no_foreground."""
@@ -144,4 +132,4 @@ def week_heatmap(hours: DataFrame) -> DataFrame:
     return spine.join(s, ["device", "day", "hour"], "left").select("device", "day", "hour", heat_level(F.col("s")).alias("level"), F.col("s").isNull().alias("missing"))
 
 
-__all__ = ["DAY", "alerts", "calendar_summary", "day_alerts", "day_facts", "densify", "densify_week", "evolution", "history_overlay", "period_rollup", "review_document", "touched_days", "week_heatmap", "work_artifacts"]
+__all__ = ["DAY", "calendar_summary", "day_alerts", "day_facts", "densify", "densify_week", "evolution", "history_overlay", "period_rollup", "period_totals", "review_document", "touched_days", "week_heatmap", "work_artifacts"]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from spanloom.functions.time import HOUR, MINUTE, SECOND
 from spanloom.operators import ledger as G
 from spanloom.plans.book import Book
-from spanloom.plans.queries_activity import _runs
+from spanloom.plans.queries_activity import _runs, _segs
 from spanloom.plans.queries_ledger import FRESH, FRESH_NOW, HEALTH, _limits
 from spanloom.plans.queries_rank import CADENCE
 from spanloom.sources import adapters as V
@@ -29,14 +29,34 @@ def _events(spark, d):
     return e.select(F.col("event_id").alias("id"), (F.col("user_id") % 4).alias("device"), "user_id", "event_type", V.micros("ts").alias("at_us"), F.regexp_extract("props", "([0-9]+)", 1).cast("long").alias("k"))
 
 
-def _appended(spark, df):
+def _appended(spark, df, close=None):
+    """What a stream has appended once all input is there; close() then adds a last row to it, in a run of its own."""
     path = scratch(spark)
     T.run_once(df, f"{path}/out", f"{path}/checkpoint")
+    if close is not None:
+        close()
+        T.run_once(df, f"{path}/out", f"{path}/checkpoint")
     return spark.read.schema(df.schema).parquet(f"{path}/out")
 
 
+def _closing(spark, df, at, **keys):
+    """df, and what adds a heartbeat to it, long after all other rows: it lets the watermark pass them, and is never out."""
+    path, end = scratch(spark), V.EPOCH_2024 + 4000 * 24 * HOUR
+    spark.createDataFrame([], df.schema).write.parquet(path)
+
+    def close():
+        told = {at: end} | keys
+        spark.range(1).select(*[F.lit(told.get(f.name)).cast(f.dataType).alias(f.name) for f in df.schema]).write.mode("append").parquet(path)
+
+    return df.unionByName(T.source(spark, path, df.schema)), close
+
+
+#: The tables are in no order of time: rows wait for the whole of their month.
+WAIT, LONG_WAIT = "40 days", "3650 days"
+
+
 def _replay(spark, rows):
-    """rows as a stream, with what a finished batch cannot say: a last row, long after, that closes every window."""
+    """Rows that a batch derives, as a stream."""
     t = written(rows)
     return T.source(spark, t.written_at, t.schema)
 
@@ -55,7 +75,8 @@ def ingest_stream(spark, d):
 )
 def coalesce_files(spark, d):
     """Events of one key within a span of the last kept one are dropped and counted."""
-    return _appended(spark, T.coalesce(_events(spark, d), ["user_id", "event_type"], 24 * HOUR))
+    events, close = _closing(spark, _events(spark, d), "at_us", user_id=-1, event_type="end")
+    return _appended(spark, T.coalesce(events, ["user_id", "event_type"], 24 * HOUR, WAIT), close)
 
 
 @query(
@@ -65,8 +86,8 @@ def coalesce_files(spark, d):
 )
 def tab_dedupe(spark, d):
     """A tab's event goes if it repeats the last one sent within a span."""
-    e = _events(spark, d).withColumn("device", F.col("user_id")).withColumn("identity", F.col("event_type"))
-    return _appended(spark, T.tab_dedupe(e, ["device"], 12 * HOUR))
+    events, close = _closing(spark, _events(spark, d).withColumn("device", F.col("user_id")).withColumn("identity", F.col("event_type")), "at_us", device=-1)
+    return _appended(spark, T.tab_dedupe(events, ["device"], 12 * HOUR, WAIT), close)
 
 
 @query(CADENCE)
@@ -75,7 +96,8 @@ def frame_cadence(spark, d):
     i = F.col("doc_id")
     at = V.EPOCH_2024 + (i % 100) * 10 * SECOND + F.floor(i / 100) * 259_200 * SECOND
     f = _stream(spark, d, "documents").select(i.alias("id"), (i % 4).alias("device"), at.alias("at_us"), F.col("lang").alias("context"), (F.col("n_chars") % 3).alias("digest"), (F.col("n_chars") / 100.0).alias("level"))
-    return _appended(spark, T.frame_cadence(f, ["device"], change=10.0))
+    frames, close = _closing(spark, f, "at_us", device=-1)
+    return _appended(spark, T.frame_cadence(frames, ["device"], change=10.0, delay=LONG_WAIT), close)
 
 
 @query(HEALTH + " SELECT id, device, CAST(windows AS BIGINT) AS windows, CAST(untitled AS BIGINT) AS untitled FROM h")
@@ -84,15 +106,35 @@ def identity_health_stream(spark, d):
     k, t = F.col("k"), F.col("event_type")
     window = F.when(k % 100 < 76 + F.col("device") * 3, "unattributed").otherwise("active")
     state = F.when(t.isin("view", "click", "purchase"), window).when(t == "signup", "idle").otherwise("locked")
-    return _appended(spark, T.identity_samples(_events(spark, d).withColumn("state", state)))
+    samples, close = _closing(spark, _events(spark, d).withColumn("state", state), "at_us", device=-1)
+    return _appended(spark, T.identity_samples(samples, delay=WAIT), close)
+
+
+@query(f"WITH {V.STRETCHES} SELECT device, day, context, start_us, end_us, us, parts FROM stretches")
+def context_session_stream(spark, d):
+    """Sessions that a change of context ends, or a silence that the watermark has passed."""
+    context = F.when((F.col("state") == "active") & (F.col("sampled_us") > 0), F.concat_ws("/", "app", "win"))
+    told = _segs(spark, d).select("device", "day", "start_us", "end_us", context.alias("context"), F.col("sampled_us").alias("us"))
+    parts, close = _closing(spark, _replay(spark, told), "start_us", device=-1, day=-1)
+    return _appended(spark, T.context_sessions(parts, ["device", "day"], SECOND, WAIT), close)
+
+
+@query(
+    f"""WITH e AS (SELECT DISTINCT user_id AS source, event_type AS kind, epoch_us(ts) AS us FROM events), n AS (SELECT *, lag(us) OVER w AS before, lead(us) OVER w AS after FROM e WINDOW w AS (PARTITION BY source, kind ORDER BY us))
+    SELECT source, kind, us AS at_us, 'fresh' AS status FROM n WHERE before IS NULL OR us - before > {12 * HOUR} UNION ALL SELECT source, kind, us + {12 * HOUR}, 'stale' FROM n WHERE after IS NULL OR after - us > {12 * HOUR}"""
+)
+def freshness_stream(spark, d):
+    """When each source and kind becomes fresh and, by a timer, stale."""
+    receipts, close = _closing(spark, _events(spark, d).select(F.col("user_id").alias("source"), F.col("event_type").alias("kind"), "at_us"), "at_us", source=-1, kind="end")
+    return _appended(spark, T.freshness_changes(receipts, ["source", "kind"], 12 * HOUR, WAIT), close)
 
 
 @query(f"WITH {V.RUNS}, c AS (SELECT device, state, slot, least(end_us, (slot + 1) * 300000000) - greatest(start_us, slot * 300000000) AS us FROM (SELECT *, unnest(range(start_us // 300000000, (end_us - 1) // 300000000 + 1)) AS slot FROM runs)) SELECT device, state, slot * 300000000 AS start_us, CAST(sum(us) AS BIGINT) AS us FROM c GROUP BY ALL")
 def tumbling_activity(spark, d):
     """Time by state in bins of five minutes, closed by the watermark; a last heartbeat closes the last ones."""
     runs = _runs(spark, d).select("device", "state", "start_us", "end_us")
-    end = runs.agg(F.lit(-1).cast("long").alias("device"), F.lit("end").alias("state"), (F.max("end_us") + 24 * HOUR).alias("start_us")).withColumn("end_us", F.col("start_us") + SECOND)
-    return _appended(spark, T.tumbling(_replay(spark, runs.unionByName(end)))).where("device >= 0")
+    rows, close = _closing(spark, _replay(spark, runs), "start_us", device=-1, state="end", end_us=V.EPOCH_2024 + 4000 * 24 * HOUR + SECOND)
+    return _appended(spark, T.tumbling(rows, delay=WAIT), close).where("device >= 0")
 
 
 @query(
@@ -102,9 +144,8 @@ def tumbling_activity(spark, d):
 def session_stream(spark, d):
     """Sessions with gaps below twelve hours, closed by the watermark."""
     e = V.table(spark, d, "events").select(F.col("user_id").alias("device"), V.micros("ts").alias("us"))
-    end = e.agg(F.lit(-1).cast("long").alias("device"), (F.max("us") + 96 * HOUR).alias("us"))
-    s = _replay(spark, e.unionByName(end)).withColumn("at", F.timestamp_micros("us"))
-    return _appended(spark, T.sessions(s, "12 hours")).where("device >= 0")
+    rows, close = _closing(spark, _replay(spark, e), "us", device=-1)
+    return _appended(spark, T.sessions(rows.withColumn("at", F.timestamp_micros("us")), "12 hours", WAIT), close).where("device >= 0")
 
 
 @query(f"WITH e AS (SELECT user_id % 4 AS device, epoch_us(ts) AS us, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) * {30 * MINUTE} AS late FROM events) SELECT DISTINCT device, us // 86400000000 AS day, CASE WHEN late > {36 * HOUR} THEN 'backfill' WHEN late > {6 * HOUR} THEN 'late' ELSE 'current' END AS kind FROM e")

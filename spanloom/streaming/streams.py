@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,12 +12,16 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from pyspark.sql.types import StructType
 
 from spanloom.functions.time import SECOND
+from spanloom.sources.workers import importable
 
+#: How late rows may come: they wait so long for those before them; later ones are dropped.
+DELAY = "10 minutes"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def source(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    return spark.readStream.schema(schema).parquet(path)
+def source(spark: SparkSession, path: str, schema: StructType | str, most_bytes: int = 1 << 30) -> DataFrame:
+    """The files of a folder as a stream, most_bytes of them in one batch, so that a backlog is many batches."""
+    return spark.readStream.schema(schema).option("maxBytesPerTrigger", str(most_bytes)).parquet(path)
 
 
 def run_once(df: DataFrame, path: str, checkpoint: str, mode: str = "append", format: str = "parquet") -> None:
@@ -47,118 +52,135 @@ def sessions(events: DataFrame, gap: str, delay: str = "1 hour", at: str = "at")
     return grouped.select("device", F.unix_micros("session_window.start").alias("start_us"), F.unix_micros("session_window.end").alias("end_us"), "events")
 
 
-class KeepLast(StatefulProcessor):
-    """Keeps a row of a key only if the last one kept is older than `span_us`; state is one number a key.
-
-    Rows of one micro-batch are taken in time order. With a watermark behind it the input may be late by its delay.
-    """
-
-    def __init__(self, span_us: int, columns: list[str]):
-        self.span_us, self.columns = span_us, columns
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "at_us LONG")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(["at_us"])
-        last = self.last.get()[0] if self.last.exists() else None
-        keep = []
-        for at in pdf.at_us:
-            ok = last is None or at - last >= self.span_us
-            keep.append(ok)
-            last = at if ok else last
-        self.last.update((int(last),))
-        yield pdf[keep][self.columns]
-
-    def close(self) -> None:
-        pass
-
-
-def keep_last(events: DataFrame, keys: list[str], span_us: int) -> DataFrame:
-    """Events (keys, at_us) without those that follow a kept one of the same keys within span_us."""
-    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    cols = [*keys, "at_us"]
-    schema = events.select(*cols).schema
-    return events.select(*cols).groupBy(*keys).transformWithStateInPandas(statefulProcessor=KeepLast(span_us, cols), outputStructType=schema, outputMode="Append", timeMode="None")
-
-
 class Ordered(StatefulProcessor):
-    """One pass over a key's rows in time order, with a state of one row between batches.
+    """One pass over a key's rows in time order, however they arrive within the watermark's delay.
 
-    step(state, row) gives the next state and the row's output, or None for no output; state is None at first. A batch's
-    rows of one key are sorted before; how many these are is bounded by the source's maxBytesPerTrigger or maxFilesPerTrigger.
+    Rows wait in a list state until the watermark has passed them, then are taken in order; between batches there is that
+    list, whose length the delay bounds, and a state of one row. Times are after 1970, where watermarks begin. step(state, row) gives the next state and a list of output
+    rows; state is None at first. due(state) may name a moment at which, unless a row comes first, end(state) is asked for
+    the next state and output; an event-time timer wakes the key for it.
     """
 
-    def __init__(self, state: str, order: list[str], columns: list[str], step):
-        self.state, self.order, self.columns, self.step = state, order, columns, step
+    def __init__(self, state: str, row: list[tuple[str, str]], order: list[str], columns: list[str], step, due=None, end=None):
+        self.state, self.row, self.order, self.columns, self.step, self.due, self.end = state, row, order, columns, step, due, end
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.last = handle.getValueState("last", self.state)
+        self.waiting = handle.getListState("waiting", ", ".join(f"{n} {t}" for n, t in self.row))
+
+    def _tuples(self, pdf: pd.DataFrame) -> list[tuple]:
+        cols = []
+        for name, kind in self.row:
+            whole = kind == "bigint"
+            cols.append([None if pd.isna(v) else int(v) if whole else v for v in pdf[name].tolist()])
+        return list(zip(*cols, strict=True))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(self.order)
+        at, low = [n for n, _ in self.row].index(self.order[0]), None
+        for pdf in rows:
+            told = self._tuples(pdf)
+            if told:
+                self.waiting.appendList(told)
+                first = min(r[at] for r in told)
+                low = first if low is None else min(low, first)
+        if low is not None:
+            self._wake(low)
+        yield pd.DataFrame([], columns=self.columns)
+
+    def _wake(self, us: int) -> None:
+        self.handle.registerTimer(max(us // 1000 + 1, 1))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        names = [n for n, _ in self.row]
+        kind, at = namedtuple("Row", names), names.index(self.order[0])
+        places = [names.index(n) for n in self.order]
+        waiting = sorted((tuple(r) for r in self.waiting.get()), key=lambda r: [r[p] for p in places]) if self.waiting.exists() else []
         state, out = (tuple(self.last.get()) if self.last.exists() else None), []
-        for row in pdf.itertuples(index=False):
-            state, found = self.step(state, row)
-            if found is not None:
-                out.append((*key, *found))
-        self.last.update(state)
-        yield pd.DataFrame(out, columns=self.columns)
+        ready = [r for r in waiting if r[at] <= passed]
+        for r in ready:
+            state = self._closed(state, r[at], out)
+            state, found = self.step(state, kind(*r))
+            out += found
+        state = self._closed(state, passed + 1, out)
+        if ready:
+            if len(ready) < len(waiting):
+                self.waiting.put(waiting[len(ready) :])
+            else:
+                self.waiting.clear()
+        if state is None:
+            self.last.clear()
+        else:
+            self.last.update(state)
+            if self.due is not None and self.due(state) is not None:
+                self._wake(self.due(state))
+        if len(ready) < len(waiting):
+            self._wake(waiting[len(ready)][at])
+        yield pd.DataFrame([(*key, *x) for x in out], columns=self.columns)
+
+    def _closed(self, state, before: int, out: list):
+        """The state once everything due before a moment has ended."""
+        while state is not None and self.due is not None and self.due(state) is not None and self.due(state) < before:
+            state, found = self.end(state)
+            out += found
+        return state
 
     def close(self) -> None:
         pass
 
 
-def _ordered(rows: DataFrame, keys: list[str], order: list[str], state: str, out: str, step) -> DataFrame:
-    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+def _ordered(rows: DataFrame, keys: list[str], order: list[str], state: str, out: str, step, delay: str, due=None, end=None) -> DataFrame:
+    spark = importable(rows.sparkSession)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     columns = [*keys, *[x.split()[0] for x in out.split(", ")]]
     schema = rows.select(*keys).schema
     for x in out.split(", "):
         schema = schema.add(*x.split())
-    return rows.groupBy(*keys).transformWithStateInPandas(statefulProcessor=Ordered(state, order, columns, step), outputStructType=schema, outputMode="Append", timeMode="None")
+    row = [(f.name, f.dataType.simpleString()) for f in rows.schema if f.name not in keys]
+    timed = rows.withColumn("__at", F.timestamp_micros(order[0])).withWatermark("__at", delay)
+    return timed.groupBy(*keys).transformWithStateInPandas(statefulProcessor=Ordered(state, row, order, columns, step, due, end), outputStructType=schema, outputMode="Append", timeMode="EventTime")
 
 
-def coalesce(events: DataFrame, keys: list[str], span_us: int) -> DataFrame:
+def coalesce(events: DataFrame, keys: list[str], span_us: int, delay: str = DELAY) -> DataFrame:
     """Events (keys, at_us, id) that no kept one of the same keys precedes by less than span_us, each with how many were
     dropped since the kept one before."""
 
     def step(state, row):
         at, dropped = state or (None, 0)
         if at is not None and row.at_us - at < span_us:
-            return (at, dropped + 1), None
-        return (int(row.at_us), 0), (int(row.id), int(row.at_us), dropped)
+            return (at, dropped + 1), []
+        return (row.at_us, 0), [(row.id, row.at_us, dropped)]
 
-    return _ordered(events.select(*keys, "id", "at_us"), keys, ["at_us", "id"], "at LONG, dropped LONG", "id long, at_us long, dropped long", step)
+    return _ordered(events.select(*keys, "id", "at_us"), keys, ["at_us", "id"], "at LONG, dropped LONG", "id long, at_us long, dropped long", step, delay)
 
 
-def tab_dedupe(events: DataFrame, keys: list[str], span_us: int = 3 * SECOND) -> DataFrame:
+def tab_dedupe(events: DataFrame, keys: list[str], span_us: int = 3 * SECOND, delay: str = DELAY) -> DataFrame:
     """Tab events (keys, id, at_us, identity) without those that repeat the last one sent within span_us."""
 
     def step(state, row):
         if state is not None and state[0] == row.identity and row.at_us - state[1] < span_us:
-            return state, None
-        return (row.identity, int(row.at_us)), (int(row.id), int(row.at_us))
+            return state, []
+        return (row.identity, row.at_us), [(row.id, row.at_us)]
 
-    return _ordered(events.select(*keys, "id", "at_us", "identity"), keys, ["at_us", "id"], "identity STRING, at LONG", "id long, at_us long", step)
+    return _ordered(events.select(*keys, "id", "at_us", "identity"), keys, ["at_us", "id"], "identity STRING, at LONG", "id long, at_us long", step, delay)
 
 
-def frame_cadence(frames: DataFrame, keys: list[str], least_us: int = 20 * SECOND, most_us: int = 120 * SECOND, change: float = 1.0) -> DataFrame:
+def frame_cadence(frames: DataFrame, keys: list[str], least_us: int = 20 * SECOND, most_us: int = 120 * SECOND, change: float = 1.0, delay: str = DELAY) -> DataFrame:
     """Frames (keys, id, at_us, context, digest, level) to keep, by the rules of fold.cadence_keep."""
 
     def step(state, row):
-        context = None if pd.isna(row.context) else row.context
-        digest, level = (None if pd.isna(x) else x for x in (row.digest, row.level))
-        if state is not None and context is not None and context == state[1]:
+        if state is not None and row.context is not None and row.context == state[1]:
             age = row.at_us - state[0]
-            same = digest is not None and digest == state[2] or level is not None and state[3] is not None and abs(level - state[3]) < change
+            same = row.digest is not None and row.digest == state[2] or row.level is not None and state[3] is not None and abs(row.level - state[3]) < change
             if age < least_us or age < most_us and same:
-                return state, None
-        return (int(row.at_us), context, None if digest is None else int(digest), None if level is None else float(level)), (int(row.id), int(row.at_us))
+                return state, []
+        return (row.at_us, row.context, row.digest, row.level), [(row.id, row.at_us)]
 
-    return _ordered(frames.select(*keys, "id", "at_us", "context", "digest", "level"), keys, ["at_us", "id"], "at LONG, context STRING, digest LONG, level DOUBLE", "id long, at_us long", step)
+    return _ordered(frames.select(*keys, "id", "at_us", "context", "digest", "level"), keys, ["at_us", "id"], "at LONG, context STRING, digest LONG, level DOUBLE", "id long, at_us long", step, delay)
 
 
-def identity_samples(samples: DataFrame, recent: int = 60) -> DataFrame:
+def identity_samples(samples: DataFrame, recent: int = 60, delay: str = DELAY) -> DataFrame:
     """Each sample (device, id, at_us, state) with the windows, and the untitled ones, among its device's last `recent`.
 
     The state is one string of the last samples: w for a titled window, u for an untitled one, - for anything else.
@@ -166,9 +188,43 @@ def identity_samples(samples: DataFrame, recent: int = 60) -> DataFrame:
 
     def step(state, row):
         told = ((state[0] if state else "") + {"active": "w", "unattributed": "u"}.get(row.state, "-"))[-recent:]
-        return (told,), (int(row.id), len(told) - told.count("-"), told.count("u"))
+        return (told,), [(row.id, len(told) - told.count("-"), told.count("u"))]
+
+    return _ordered(samples.select("device", "id", "at_us", "state"), ["device"], ["at_us", "id"], "seen STRING", "id long, windows long, untitled long", step, delay)
+
+
+def context_sessions(parts: DataFrame, keys: list[str], gap_us: int = SECOND, delay: str = DELAY) -> DataFrame:
+    """Sessions of one context: parts (keys, start_us, end_us, context, us) that follow one another at most gap_us apart.
+
+    A part of another context, or of none, ends a session at once; a longer silence ends it when the watermark has passed
+    it. Gives keys, context, start_us, end_us, us, parts.
+    """
+
+    def step(state, row):
+        gap = None if state is None else row.start_us - state[2]
+        if state is not None and row.context == state[0] and 0 <= gap <= gap_us:
+            return (state[0], state[1], max(state[2], row.end_us), state[3] + row.us, state[4] + 1), []
+        done = [] if state is None else [state]
+        return (None if row.context is None else (row.context, row.start_us, row.end_us, row.us, 1)), done
+
+    columns = "context string, start_us long, end_us long, us long, parts long"
+    told = parts.select(*keys, "start_us", "end_us", "context", "us")
+    return _ordered(told, keys, ["start_us", "end_us"], columns.replace("string", "STRING"), columns, step, delay, due=lambda s: s[2] + gap_us, end=lambda s: (None, [s]))
+
 
-    return _ordered(samples.select("device", "id", "at_us", "state"), ["device"], ["at_us", "id"], "seen STRING", "id long, windows long, untitled long", step)
+def freshness_changes(receipts: DataFrame, keys: list[str], limit_us: int, delay: str = DELAY) -> DataFrame:
+    """When each source becomes fresh and stale: (keys, at_us, status) out of receipts (keys, at_us).
+
+    A source is fresh from a receipt until limit_us later; a timer tells that it went stale, with no receipt needed.
+    """
+
+    def step(state, row):
+        return (row.at_us, "fresh"), ([] if state is not None and state[1] == "fresh" else [(row.at_us, "fresh")])
+
+    def end(state):
+        return (state[0], "stale"), [(state[0] + limit_us, "stale")]
+
+    return _ordered(receipts.select(*keys, "at_us"), keys, ["at_us"], "at LONG, status STRING", "at_us long, status string", step, delay, due=lambda s: s[0] + limit_us if s[1] == "fresh" else None, end=end)
 
 
 def last_receipts(receipts: DataFrame, keys: list[str]) -> DataFrame:
@@ -200,40 +256,3 @@ def mark_touched(rows: DataFrame, path: str, checkpoint: str, cols: list[str]) -
         df.select(*cols).distinct().write.mode("append").parquet(path)
 
     rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-
-
-class Health(StatefulProcessor):
-    """The last `recent` samples of a device as a list state of 0 and 1, and the state they tell after each batch."""
-
-    def __init__(self, recent: int, least: int, share: int):
-        self.recent, self.least, self.share = recent, least, share
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getListState("seen", "untitled INT")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values("at_us")
-        flags = ([x[0] for x in self.seen.get()] + [int(x) for x in pdf.untitled])[-self.recent :]
-        self.seen.put([(x,) for x in flags])
-        limited = len(flags) >= self.least and sum(flags) * 100 >= len(flags) * self.share
-        yield pd.DataFrame({"device": [key[0]], "at_us": [int(pdf.at_us.iloc[-1])], "untitled": [sum(flags)], "windows": [len(flags)], "status": ["limited" if limited else "normal"]})
-
-    def close(self) -> None:
-        pass
-
-
-def identity_health(samples: DataFrame, recent: int = 60, least: int = 24, share: int = 80) -> DataFrame:
-    """The health of each device's titles after each batch; bounded state. samples: device, at_us, untitled."""
-    samples.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    return samples.groupBy("device").transformWithStateInPandas(
-        statefulProcessor=Health(recent, least, share), outputStructType="device LONG, at_us LONG, untitled LONG, windows LONG, status STRING", outputMode="Append", timeMode="None"
-    )
-
-
-def mark_days(rows: DataFrame, path: str, checkpoint: str, day: str = "day") -> None:
-    """Late rows name the days to recompute: each batch appends the distinct (device, day) that it touched."""
-
-    def batch(df: DataFrame, _: int) -> None:
-        df.select("device", day).distinct().write.mode("append").parquet(path)
-
-    rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
