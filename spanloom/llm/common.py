@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import pickle
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
 from spanloom.sources.scratch import removed, scratch, written
+from spanloom.sources.workers import importable
 
-ROOT = str(Path(__file__).resolve().parents[2])
 ROWS_PER_BATCH = 512
 
 
@@ -24,10 +22,7 @@ def ready(spark: SparkSession) -> SparkSession:
 
     A batch of documents holds whole texts; 512 rows bound what a worker has at once.
     """
-    env = spark.sparkContext.environment
-    paths = env.get("PYTHONPATH", "").split(os.pathsep)
-    if ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join(x for x in [ROOT, *paths] if x)
+    importable(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > ROWS_PER_BATCH:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
     return spark

@@ -1,7 +1,7 @@
 """Token counts of documents: the pieces of each distinct pre-token are counted once, then joined and summed.
 
-Pre-tokens are units (see units.py). The commonest short ones, of bounded number and length, are looked up in a broadcast
-table; only the rest is shuffled to its count, long ones by a digest instead of their text.
+Pre-tokens are units (see units.py). The commonest ones, of bounded number, are looked up in a broadcast table; only the
+rest is shuffled to its count. Long ones go by a digest instead of their text, in both, so none that is common is shuffled.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from spanloom.llm.units import units
 #: Pre-tokens in the broadcast table, and distinct ones that a task holds before it passes them on.
 COMMON = 1 << 18
 HELD = 300_000
-#: Bytes of a pre-token that may be broadcast, and characters of longer ones that a task holds before it passes them on.
+#: Bytes of a pre-token that stands for itself, not by a digest, and characters of longer ones that a task holds before it passes them on.
 SHORT = 64
 HELD_LONG = 1 << 25
 
@@ -130,9 +130,12 @@ def _frequencies(path: str, common):
                     count = Counter(pretokens(path, text))
                     pieces = list(map(known.get, count, repeat(0)))  # 0 where the table has none
                     row.append(i), unit.append(None), freq.append(None), size.append(len(text.encode())), done.append(sum(map(mul, pieces, count.values())))
-                    rare = [uf for uf, n in zip(count.items(), pieces, strict=True) if not n]
+                    rare = [(key(u), f) for (u, f), n in zip(count.items(), pieces, strict=True) if not n]
+                    if max((len(k) for k, _ in rare), default=0) > SHORT:  # a digest, which is common or not
+                        done[-1] += sum(f * known.get(k, 0) for k, f in rare if len(k) > SHORT)
+                        rare = [(k, f) for k, f in rare if len(k) <= SHORT or k not in known]
                     row += [i] * len(rare)
-                    unit += [key(u) for u, _ in rare]
+                    unit += [k for k, _ in rare]
                     freq += [f for _, f in rare]
                     done += [None] * len(rare)
                     size += [None] * len(rare)
@@ -167,8 +170,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str
     spark = ready(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), empty_text(text_col).alias("text"))
     pieces = written(texts.select("text").mapInArrow(_distinct(tokenizer), "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n")).mapInArrow(_pieces(tokenizer), "unit string, n long, pieces int"))
-    short = pieces.where(F.octet_length("unit") <= SHORT)
-    top = short.where(F.col("n") >= _least_common(short)).select("unit", "pieces").toArrow()
+    top = pieces.where(F.col("n") >= _least_common(pieces)).select("unit", "pieces").toArrow()
     common = spark.sparkContext.broadcast(dict(zip(top.column(0).to_pylist(), top.column(1).to_pylist(), strict=True)))
     rows = texts.withColumn("mark", F.xxhash64("text", F.octet_length("text"))).mapInArrow(_frequencies(tokenizer, common), "doc_id long, mark long, unit string, f int, done long, n_bytes long")
     # One row per document stays as it is; the rare pre-tokens find their counts. Both meet in one sum by document.

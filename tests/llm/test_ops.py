@@ -66,6 +66,26 @@ def test_topk_meets_vectors_of_its_own_length(spark, monkeypatch):
         assert [(-g.score, g.vec_id) for g in sorted((g for g in got if g.query_id == q), key=lambda g: g.rank)] == want
 
 
+def test_common_long_pretokens_are_not_shuffled(spark):
+    """A long unit that all documents share is summed where it is read, by its digest."""
+    import types
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    shared, own = "ab-" * 100, ["x" * 70 + str(i) for i in range(4)]
+    texts = [f"{shared} {o} {shared} end" for o in own]
+    n = len(Tokenizer.from_file(path).encode(" " + shared, add_special_tokens=False).ids)
+    known = types.SimpleNamespace(value={token_count.key(" " + shared): n, " end": 1})
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4), pa.int64()), pa.array(range(4), pa.int64()), pa.array(texts)], ["doc_id", "mark", "text"])
+    rows = [r for b in token_count._frequencies(path, known)(iter([batch])) for r in b.to_pylist()]
+    assert [r["done"] for r in rows if r["unit"] is None] == [n + 1] * 4  # the first one has no space before it
+    assert Counter(r["unit"] for r in rows if r["unit"] is not None) == Counter([token_count.key(shared)] * 4 + [token_count.key(" " + o) for o in own])
+    got = {g.doc_id: g.n_tokens for g in token_count.count_tokens(docs_of(spark, texts), path).collect()}
+    assert got == {i: len(Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+
+
 def base_spans(t):
     out = [(m.start(), 0, m.end(), "email") for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [(m.start(), 1, m.end(), "ip") for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
