@@ -12,13 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 def scratch(spark: SparkSession) -> str:
     """A new folder's path below spark.checkpoint.dir, which all executors share.
 
-    Where that setting is missing, a session on one machine (tests) gets a temporary folder, a cluster its warehouse.
+    Where that setting is missing, a session on one machine (tests) gets a temporary folder, a cluster its warehouse, which
+    then has to be a shared one: a local warehouse on a cluster raises, as each machine would write to its own disk.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
         alone = re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", sc.master)
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch")
+        house = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        if not alone and re.match(r"file:|/", house):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-") if alone else f"{house}/scratch")
         base = sc.getCheckpointDir()
     return f"{base.rstrip('/')}/spanloom-{uuid.uuid4().hex}"
 
