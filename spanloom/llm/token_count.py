@@ -25,7 +25,7 @@ from spanloom.llm.units import units
 COMMON = 1 << 18
 HELD = 300_000
 #: Bytes of a pre-token that stands for itself, not by a digest, and characters of longer ones that a task holds before it passes them on.
-SHORT = 64
+SHORT = 63
 HELD_LONG = 1 << 25
 
 
@@ -74,10 +74,10 @@ def pretokens(path: str, text: str) -> list[str]:
 
 
 def key(unit: str) -> str:
-    """A pre-token of at most SHORT bytes as it is; a longer one's digest, which is longer than SHORT."""
+    """A pre-token of at most SHORT bytes as it is; a longer one's digest, which has one byte more than SHORT."""
     if len(unit) * 4 <= SHORT or len(data := unit.encode()) <= SHORT:
         return unit
-    return "#" + hashlib.blake2b(data, digest_size=SHORT // 2).hexdigest()
+    return "#" + hashlib.blake2b(data, digest_size=(SHORT + 1) // 2).hexdigest()[:SHORT]
 
 
 def _distinct(path: str):
