@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from spanloom.functions import text as T
 from spanloom.operators.components import components, meet
 from spanloom.operators.evidence import hamming_pairs
 from spanloom.operators.interval import union_us
+from spanloom.operators.rank import numbered
 from spanloom.sources.scratch import removed, written
 
 
@@ -54,19 +56,56 @@ def whole_groups(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(found.select(F.col("u").alias("id"), "root"), "id", "left").withColumn("group", F.coalesce("root", "id")).drop("root")
 
 
+#: Sums that fill() looks at one by one; of a larger target, whole sizes are taken first, the largest ones.
+SUMS = 1 << 22
+
+
+def fill(sizes: dict[int, int], target: int) -> dict[int, int]:
+    """How many groups of each size (size: count) add up to the largest total that is at most target.
+
+    Counts are split into 1, 2, 4, ... groups; of each sum, the first part with which it can be reached is kept, so the way
+    back names each part once. Above SUMS, sizes are taken whole from the largest on until about SUMS are open, and the rest
+    is filled exactly.
+    """
+    taken, rest = dict.fromkeys(sizes, 0), target
+    for size in sorted(sizes, reverse=True):
+        k = min(sizes[size], max(0, rest - SUMS) // size)
+        taken[size], rest = k, rest - k * size
+    parts = []
+    for size in sorted(sizes):
+        left, k = sizes[size] - taken[size], 1
+        while left > 0 and size <= rest:
+            parts.append((size, min(k, left)))
+            left, k = left - k, 2 * k
+    reached, first = np.zeros(rest + 1, dtype=bool), np.zeros(rest + 1, np.int32)
+    reached[0] = True
+    for i, (size, k) in enumerate(parts):
+        step = size * k
+        if reached[rest] or step > rest:
+            continue
+        new = np.flatnonzero(reached[:-step] & ~reached[step:]) + step
+        reached[new], first[new] = True, i
+    at = int(np.flatnonzero(reached)[-1])
+    while at:
+        size, k = parts[first[at]]
+        taken[size] += k
+        at -= size * k
+    return {size: k for size, k in taken.items() if k}
+
+
 def hold_out(rows: DataFrame, share: float) -> DataFrame:
-    """Rows (id, group) with `held`: whole groups in the order of their md5 while they add up to at most `share` of rows.
+    """Rows (id, group) with `held`: whole groups that fill `share` of all rows as far as their sizes allow.
 
-    Groups above a quarter of that target never are held out, so one of them cannot end the fill early. Groups are summed
-    in 4096 classes of their md5 first, and only those before a class are added to it, so none is ordered in one task.
+    Only the histogram of group sizes comes to the driver, a row by size. Of a size, the first groups by md5 are held.
     """
     target = int(rows.count() * share)
-    sizes = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n")).withColumn("md5", F.md5(F.col("group").cast("string"))).withColumn("c", F.substr("md5", F.lit(1), F.lit(3)))
-    small = sizes.where(F.col("n") <= max(1, target // 4))
-    w = Window.orderBy("c").rowsBetween(Window.unboundedPreceding, -1)  # over 4096 rows at most
-    base = small.groupBy("c").agg(F.sum("n").alias("s")).select("c", F.coalesce(F.sum("s").over(w), F.lit(0)).alias("base"))
-    own = F.sum("n").over(Window.partitionBy("c").orderBy("md5", "group").rowsBetween(Window.unboundedPreceding, 0))
-    held = small.withColumn("own", own).join(base, "c").where(F.col("base") + F.col("own") <= target).select("group", F.lit(True).alias("held"))
+    groups = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= target).withColumn("md5", F.md5(F.col("group").cast("string")))
+    plan = fill({r["n"]: r["count"] for r in groups.groupBy("n").count().collect()}, target)
+    if not plan:
+        return rows.withColumn("held", F.lit(False))
+    ranked = numbered(groups, ["n"], ["md5", "group"], [F.substr("md5", F.lit(1), F.lit(3))], "place")
+    chosen = rows.sparkSession.createDataFrame(sorted(plan.items()), "n long, k long")
+    held = ranked.join(chosen, "n").where("place <= k").select("group", F.lit(True).alias("held"))
     return rows.join(held, "group", "left").withColumn("held", F.coalesce("held", F.lit(False)))
 
 

@@ -60,16 +60,14 @@ def variant_metrics(spark, d):
 
 
 @query(
-    f"""WITH {EXAMPLES}, r AS (SELECT variant, example % 2 AS round, CAST(sum(elapsed * (10 - CASE variant WHEN 2 THEN 2 WHEN 3 THEN 1 ELSE 0 END)) AS BIGINT) AS cost, count(*) FILTER (status = 'complete') + CASE WHEN variant = 2 THEN 100000000 ELSE 0 END AS correct, 0 AS critical FROM res GROUP BY variant, example % 2),
+    f"""WITH {EXAMPLES}, r AS (SELECT variant, example % 2 AS round, CAST(sum(elapsed) AS BIGINT) AS cost, count(*) FILTER (status = 'complete') AS correct, count(*) FILTER (privacy) AS critical FROM res GROUP BY variant, example % 2),
     f AS (SELECT r.variant, bool_and(r.cost * 100 <= b.cost * 85 AND r.correct >= b.correct AND r.critical = 0) AS ok, sum(r.cost) AS total FROM r JOIN r b ON b.variant = 1 AND b.round = r.round WHERE r.variant <> 1 GROUP BY r.variant)
     SELECT coalesce((SELECT arg_min(variant, (total, variant)) FROM f WHERE ok), 1) AS variant, CAST(coalesce((SELECT min(total) FROM f WHERE ok), (SELECT sum(cost) FROM r WHERE variant = 1)) AS BIGINT) AS total"""
 )
 def nominate_runtime(spark, d):
     """The variant that is 15 per cent faster than the first in both rounds and never worse."""
-    v = F.col("variant")
-    cost = F.sum(F.col("elapsed") * (10 - F.when(v == 2, 2).when(v == 3, 1).otherwise(0))).cast("long")
-    r = _results(spark, d).groupBy("variant", (F.col("example") % 2).alias("round")).agg(cost.alias("cost"), (F.count_if(F.col("status") == "complete") + F.when(v == 2, 100_000_000).otherwise(0)).alias("correct"))
-    return E.nominate_variant(r.withColumn("critical", F.lit(0)), 1)
+    r = _results(spark, d).groupBy("variant", (F.col("example") % 2).alias("round"))
+    return E.nominate_variant(r.agg(F.sum("elapsed").cast("long").alias("cost"), F.count_if(F.col("status") == "complete").alias("correct"), F.count_if("privacy").alias("critical")), 1)
 
 
 @query(
@@ -142,7 +140,7 @@ def annotation_quality(spark, d):
 
 
 HASHES = """em AS (SELECT vec_id AS id, list_sum(list_transform(range(1, 64), lambda i: CASE WHEN embedding[i] > 0 THEN (1::BIGINT << (i - 1)::INTEGER) ELSE 0::BIGINT END))::BIGINT + CASE WHEN embedding[64] > 0 THEN -9223372036854775807 - 1 ELSE 0 END AS code FROM embeddings),
-    hs AS (SELECT id, id % 3 AS ord, code FROM em UNION ALL SELECT id + 1000000, (id + 1) % 3, xor(code, (1::BIGINT << (id % 7)::INTEGER) - 1) FROM em UNION ALL SELECT id + 2000000, (id + 2) % 3, xor(code, ((1::BIGINT << (id % 6)::INTEGER) - 1) << 20) FROM em),
+    hs AS (SELECT id * 3 AS id, id % 3 AS ord, code FROM em UNION ALL SELECT id * 3 + 1, (id + 1) % 3, xor(code, (1::BIGINT << (id % 7)::INTEGER) - 1) FROM em UNION ALL SELECT id * 3 + 2, (id + 2) % 3, xor(code, ((1::BIGINT << (id % 6)::INTEGER) - 1) << 20) FROM em),
     ho AS (SELECT *, row_number() OVER (ORDER BY ord, id) AS r FROM hs)"""
 
 
@@ -159,8 +157,8 @@ def near_dup_hash(spark, d):
     e = V.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), code.alias("code"))
     i, c = F.col("id"), F.col("code")
     low = lambda k: F.expr(f"shiftleft(1L, cast(id % {k} as int)) - 1")
-    copies = e.select((i + 1_000_000).alias("id"), ((i + 1) % 3).alias("ord"), c.bitwiseXOR(low(7)).alias("code")).unionByName(e.select((i + 2_000_000).alias("id"), ((i + 2) % 3).alias("ord"), c.bitwiseXOR(F.shiftleft(low(6), 20)).alias("code")))
-    return E.greedy_exclusion(e.select("id", (i % 3).alias("ord"), "code").unionByName(copies)).select("id", "kept")
+    copies = e.select((i * 3 + 1).alias("id"), ((i + 1) % 3).alias("ord"), c.bitwiseXOR(low(7)).alias("code")).unionByName(e.select((i * 3 + 2).alias("id"), ((i + 2) % 3).alias("ord"), c.bitwiseXOR(F.shiftleft(low(6), 20)).alias("code")))
+    return E.greedy_exclusion(e.select((i * 3).alias("id"), (i % 3).alias("ord"), "code").unionByName(copies)).select("id", "kept")
 
 
 GROUPS = f"""{V.FRAMES}, nf AS (SELECT id, 'e' || (id // 3)::VARCHAR || '/' || (id % 3 // 2)::VARCHAR AS k FROM frames UNION ALL SELECT id, 'i' || md5(text) FROM frames WHERE text IS NOT NULL UNION ALL SELECT id, 'n' || left(lower(text), 60) FROM frames WHERE text IS NOT NULL),
@@ -175,9 +173,21 @@ def _grouped(spark, d):
     return E.whole_groups(f, ["episode", "image", "near"])
 
 
-@query(f"WITH RECURSIVE {GROUPS}, sz AS (SELECT grp, count(*) AS n, md5(grp::VARCHAR) AS h FROM cg GROUP BY grp), tg AS (SELECT count(*) * 2 // 10 AS t FROM cg), fl AS (SELECT grp, sum(n) OVER (ORDER BY h, grp ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS filled FROM sz, tg WHERE n <= greatest(1, t // 4)) SELECT cg.id, grp AS \"group\", coalesce(filled <= (SELECT t FROM tg), false) AS held FROM cg LEFT JOIN fl USING (grp)")
+#: Sums of whole groups: parts are 1, 2, 4, ... groups of a size, the smallest size first; `first` has the part that first
+#: reaches a sum, and `back` walks from the largest sum down.
+FILL = f"""WITH RECURSIVE {GROUPS}, tg AS (SELECT count(*) * 2 // 10 AS t FROM cg), sz AS (SELECT grp, count(*) AS n FROM cg GROUP BY grp HAVING count(*) <= (SELECT t FROM tg)), hi AS (SELECT n, count(*) AS c FROM sz GROUP BY n),
+    pl AS (SELECT n, unnest(list_concat(list_transform(range(0, CAST(floor(log2(c + 1)) AS BIGINT)), lambda j: (1::BIGINT << j::INTEGER)), CASE WHEN c + 1 > (1::BIGINT << floor(log2(c + 1))::INTEGER) THEN [c + 1 - (1::BIGINT << floor(log2(c + 1))::INTEGER)] ELSE []::BIGINT[] END)) AS k, unnest(range(0, 99)[: CAST(floor(log2(c + 1)) AS BIGINT) + CASE WHEN c + 1 > (1::BIGINT << floor(log2(c + 1))::INTEGER) THEN 1 ELSE 0 END]) AS j FROM hi),
+    pt AS (SELECT n, k, n * k AS w, row_number() OVER (ORDER BY n, j) AS i FROM pl),
+    re AS (SELECT 0::BIGINT AS i, 0::BIGINT AS s UNION SELECT re.i + 1, unnest([s, s + w]) AS s FROM re JOIN pt ON pt.i = re.i + 1),
+    fr AS (SELECT s, min(i) AS i FROM re, tg WHERE s <= t GROUP BY s),
+    back AS (SELECT s, i FROM fr WHERE s = (SELECT max(s) FROM fr) UNION ALL SELECT f.s, f.i FROM back JOIN pt ON pt.i = back.i JOIN fr f ON f.s = back.s - pt.w),
+    plan AS (SELECT n, sum(k) AS k FROM back JOIN pt USING (i) GROUP BY n),
+    hd AS (SELECT grp FROM (SELECT grp, n, row_number() OVER (PARTITION BY n ORDER BY md5(grp::VARCHAR), grp) AS place FROM sz) JOIN plan USING (n) WHERE place <= k)"""
+
+
+@query(FILL + ' SELECT cg.id, grp AS "group", hd.grp IS NOT NULL AS held FROM cg LEFT JOIN hd USING (grp)')
 def group_split(spark, d):
-    """A fifth of all frames held out, in whole transitive groups of episode, image and near image."""
+    """A fifth of all frames held out, as exactly as whole transitive groups of episode, image and near image allow."""
     return E.hold_out(_grouped(spark, d), 0.2).select("id", "group", "held")
 
 
