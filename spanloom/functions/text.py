@@ -196,11 +196,23 @@ def app_name(bundle: Column, names: dict[str, str] | None = None) -> Column:
     return F.when(F.coalesce(bundle, F.lit("")) == "", "Unknown app").when(known[bundle].isNotNull(), known[bundle]).when(bundle.startswith("com."), last).otherwise(bundle)
 
 
+# Folders whose files are generated or of a running program, and ends of names of such files.
+GENERATED_DIRS = (
+    ".git", "node_modules", ".venv", "venv", "dist", "build", ".next", ".cache", "vendor", "coverage", "__pycache__", "data",
+    "out", "static-pages", "static-catalog", "logs", "runtime", "state", "site-packages", "test-results", "playwright-report", "target",
+)
+RUNTIME_SUFFIXES = (".log", ".sqlite", ".sqlite3", ".sqlite3-wal", ".sqlite3-shm", ".db", ".db-wal", ".db-shm", ".tmp", ".swp", "~")
+
+
 def is_work_path(path: Column) -> Column:
-    """A relative path without hidden, generated or parent parts, and without a runtime suffix."""
-    parts = F.split(path, "/")
-    bad = F.exists(parts, lambda p: p.rlike(r"^\.") | p.isin("node_modules", "__pycache__", "build", "dist", ""))
-    return ~bad & ~path.rlike(r"\.(pyc|log|tmp|sqlite)$")
+    """A relative path without hidden, generated or parent parts, and without a runtime suffix in any case; null is none."""
+    parts = F.filter(F.split(path, "/"), lambda p: ~p.isin("", "."))
+    bad = F.exists(parts, lambda p: p.isin(*GENERATED_DIRS) | p.startswith("."))
+    name = F.lower(F.element_at(parts, -1))
+    runtime = F.lit(False)
+    for suffix in RUNTIME_SUFFIXES:
+        runtime = runtime | name.endswith(suffix)
+    return F.coalesce((F.size(parts) > 0) & ~path.startswith("/") & ~bad & ~F.when(F.size(parts) > 0, runtime).otherwise(True), F.lit(False))
 
 
 def lexical_flags(df: DataFrame, text: str, source: str) -> DataFrame:
@@ -250,3 +262,23 @@ def engine_timings(df: DataFrame, text: str) -> DataFrame:
     number = lambda p: F.expr(f"try_cast(regexp_extract({text}, '{p}', 1) AS DOUBLE)")
     told = df.withColumns({"prompt_ms": number(r"prompt eval time = *([0-9.]+) ms"), "eval_ms": number(r"(?m)^eval time = *([0-9.]+) ms"), "eval_tokens": number(r"(?m)^eval time = *[0-9.]+ ms / *([0-9]+)")})
     return told.withColumn("tokens_per_s", F.try_divide(F.col("eval_tokens") * 1000, F.col("eval_ms")))
+
+
+def engine_report(df: DataFrame, text: str) -> DataFrame:
+    """What an engine's log tells, of several such lines the last: seconds to load, to read the prompt and to generate, the
+    tokens of both, seconds to encode an image, and generated tokens a second; null where the log does not say."""
+
+    def last(pattern: str, group: int, which: int = 1) -> Column:
+        found = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(group))
+        return F.when(F.size(found) > 0, F.element_at(found, which))
+
+    line = r"(?m)^[^\n=]*?(?<!prompt )\b{} *= *([0-9.]+) *ms(?: */ *([0-9]+) *(?:tokens|runs))?"
+    number = lambda c: c.try_cast("double")
+    told = {}
+    for label, seconds, tokens in (("load time", "load_s", None), ("prompt eval time", "prompt_s", "prompt_tokens"), ("eval time", "generation_s", "generated_tokens")):
+        told[seconds] = number(last(line.format(label), 1, -1)) / 1000
+        if tokens:
+            told[tokens] = F.when(last(line.format(label), 2, -1) != "", last(line.format(label), 2, -1)).cast("long")
+    told["encode_s"] = number(last(r"(?i)(?:encode_image|image encoding|image encoded)[^\n]*?([0-9.]+) *ms", 1)) / 1000
+    out = df.withColumns(told)
+    return out.withColumn("tokens_per_s", F.when(F.col("generation_s") > 0, F.col("generated_tokens") / F.col("generation_s")))

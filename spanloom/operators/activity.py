@@ -8,8 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.functions.text import is_sensitive
 from spanloom.functions.time import DAY, HOUR, MINUTE, SECOND, day_start, local_us
-from spanloom.operators.interval import by_day, cut, islands, merge, ordered, overlap_join, trim, union_us
+from spanloom.operators.asof import asof
+from spanloom.operators.interval import by_day, cut, day_spans, islands, merge, ordered, overlap_join, point_join, trim, union_us
 
 MERGE_GAP, SESSION_GAP, STRETCH_GAP = 2 * SECOND, 1 * SECOND, 20 * SECOND
 BLOCK = 900 * SECOND
@@ -23,6 +25,16 @@ def valid(samples: DataFrame, most_us: int) -> DataFrame:
     return samples.where((F.col("dur_us") > 0) & (F.col("dur_us") <= most_us))
 
 
+# The sources that tell where the user is.
+KNOWN_SOURCES = ("mac_window_sample", "mac_idle", "mac_locked", "mac_window_legacy", "mac_idle_legacy")
+
+
+def valid_sources(samples: DataFrame, most_us: int = 30 * SECOND, legacy_us: int = 6 * HOUR) -> DataFrame:
+    """Samples of known sources with 0 < duration, of most_us at most, or legacy_us from a source that ends in _legacy."""
+    most = F.when(F.endswith("source", F.lit("_legacy")), legacy_us).otherwise(most_us)
+    return samples.where(F.col("source").isin(*KNOWN_SOURCES) & (F.col("dur_us") > 0) & (F.col("dur_us") <= most))
+
+
 def observed_runs(samples: DataFrame, most_us: int = 6 * HOUR, zone: Column | str | None = None) -> DataFrame:
     """Disjoint observed runs by device and day: valid samples, cut at midnight and at the next sample's start.
 
@@ -41,16 +53,15 @@ def _changes(cols: list[str], gap_us: int, w) -> Column:
     return ~F.coalesce(ok, F.lit(False))
 
 
-def segments(runs: DataFrame, gap_us: int = MERGE_GAP) -> DataFrame:
-    """Neighbouring runs of one state, app and window at most gap_us apart, with sample count, sampled time and support."""
+def segments(runs: DataFrame, gap_us: int = MERGE_GAP, same: tuple[str, ...] = ("state", "app", "win")) -> DataFrame:
+    """Neighbouring runs that agree in all columns of `same`, at most gap_us apart, with sample count, sampled time and
+    support. With a site's host or the evidence among these, a change of either is a segment of its own."""
     w = ordered(KEYS, "start_us")
-    told = islands(runs.withColumn("new", _changes(["state", "app", "win"], gap_us, w)), KEYS, F.col("new"), "start_us")
+    told = islands(runs.withColumn("new", _changes(list(same), gap_us, w)), KEYS, F.col("new"), "start_us")
     return told.groupBy(*KEYS, "island").agg(
         F.min("start_us").alias("start_us"),
         F.max("end_us").alias("end_us"),
-        F.first("state").alias("state"),
-        F.first("app").alias("app"),
-        F.first("win").alias("win"),
+        *[F.first(c).alias(c) for c in same],
         F.count(F.lit(1)).alias("samples"),
         F.sum(F.col("end_us") - F.col("start_us")).alias("sampled_us"),
     )
@@ -222,28 +233,53 @@ def _block_starts(df: DataFrame, most_us: int) -> DataFrame:
     return df.repartition(*KEYS).sortWithinPartitions(*KEYS, "part", "start_us").mapInPandas(run, df.schema.add("begin", "long"))
 
 
+def _pieces(df: DataFrame, most_us: int) -> DataFrame:
+    """df's rows once for each block that they meet, `block` being where that begins."""
+    return _block_starts(df, most_us).withColumn("block", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.floor((F.col("end_us") - F.col("begin") - 1) / most_us)), lambda j: F.col("begin") + j * most_us)))
+
+
 def _blocks(df: DataFrame, most_us: int, first: list[str], sampled: str | None = None) -> DataFrame:
     """The blocks of df's parts; rows that cross a block's end count in both, their time pro rata."""
-    cut = _block_starts(df, most_us).withColumn("block", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.floor((F.col("end_us") - F.col("begin") - 1) / most_us)), lambda j: F.col("begin") + j * most_us)))
+    cut = _pieces(df, most_us)
     low, high = F.greatest("start_us", "block"), F.least(F.col("end_us"), F.col("block") + most_us)
-    us = (high - low) if sampled is None else F.col(sampled) * (high - low) / (F.col("end_us") - F.col("start_us"))
+    us = (high - low) if sampled is None else F.col(sampled).cast("double") * (high - low) / (F.col("end_us") - F.col("start_us"))
     # A block may begin before the row it was found in, never after.
     return cut.groupBy(*KEYS, "part", "block").agg(F.min(low).alias("start_us"), F.max(high).alias("end_us"), F.sum(us).alias("us"), *[F.first(c).alias(c) for c in first]).drop("part", "block")
 
 
+def _focus_parts(segs: DataFrame, gap_us: int) -> DataFrame:
+    """Foreground segments with `part`: runs of one app, a barrier or a longer gap between."""
+    w = ordered(KEYS, "start_us")
+    told = segs.withColumn("ok", (F.col("state") == "active") & (F.col("sampled_us") > 0))
+    told = told.withColumn("new", F.coalesce(~F.lag("ok").over(w), F.lit(True)) | _changes(["app"], gap_us, w))
+    return islands(told, KEYS, F.col("new"), "start_us", into="part").where("ok")
+
+
 def focus_blocks(segs: DataFrame, most_us: int = BLOCK, gap_us: int = STRETCH_GAP) -> DataFrame:
     """Blocks of one app of most_us at most from their start; segments that pass it are cut, with their time pro rata.
 
     Parts by app, gap and barrier come first; the greedy cut happens inside them.
     """
-    w = ordered(KEYS, "start_us")
-    told = segs.withColumn("ok", (F.col("state") == "active") & (F.col("sampled_us") > 0))
-    told = told.withColumn("new", F.coalesce(~F.lag("ok").over(w), F.lit(True)) | _changes(["app"], gap_us, w))
-    told = islands(told, KEYS, F.col("new"), "start_us", into="part").where("ok")
+    told = _focus_parts(segs, gap_us)
     found = _blocks(told.select(*KEYS, "part", "start_us", "end_us", "app", "sampled_us"), most_us, ["app"], "sampled_us")
     return found.withColumn("block", F.row_number().over(ordered(KEYS, "start_us")).cast("long"))
 
 
+def block_windows(segs: DataFrame, k: int = 5, most_us: int = BLOCK, gap_us: int = STRETCH_GAP) -> DataFrame:
+    """What each focus block holds: its k titles with most time (of equal ones the first seen), and how many there are.
+
+    Gives KEYS, start_us (where the block's first title is seen), title, us, rank, windows. Sensitive titles are one.
+    """
+    title = F.when(is_sensitive(F.col("win")), "[sensitive window]").otherwise(F.col("win"))
+    cut = _pieces(_focus_parts(segs, gap_us).select(*KEYS, "part", "start_us", "end_us", "sampled_us", title.alias("title")), most_us)
+    low, high = F.greatest("start_us", "block"), F.least(F.col("end_us"), F.col("block") + most_us)
+    us = F.col("sampled_us").cast("double") * (high - low) / (F.col("end_us") - F.col("start_us"))
+    per = cut.where("title <> ''").groupBy(*KEYS, "part", "block", "title").agg(F.sum(us).alias("us"), F.min(low).alias("seen"))
+    w = Window.partitionBy(*KEYS, "part", "block")
+    told = per.withColumns({"rank": F.row_number().over(w.orderBy(F.desc("us"), "seen")).cast("long"), "windows": F.count(F.lit(1)).over(w), "start_us": F.min("seen").over(w)})
+    return told.where(F.col("rank") <= k).select(*KEYS, "start_us", "title", "us", "rank", "windows")
+
+
 def episodes(runs: DataFrame, most_us: int = BLOCK, jitter_us: int = MERGE_GAP) -> DataFrame:
     """Runs of one state, app and window, jitter_us apart at most, in episodes of most_us at most; support stays exact."""
     w = ordered(KEYS, "start_us")
@@ -251,6 +287,62 @@ def episodes(runs: DataFrame, most_us: int = BLOCK, jitter_us: int = MERGE_GAP)
     return _blocks(told.select(*KEYS, "part", "start_us", "end_us", "state", "app", "win"), most_us, ["state", "app", "win"])
 
 
+def bounded_episodes(runs: DataFrame, boundaries: DataFrame, most_us: int = BLOCK, jitter_us: int = MERGE_GAP) -> DataFrame:
+    """episodes() that explicit boundaries and barriers end as well, each with a digest of what supports it as its id.
+
+    boundaries (device, at_us) cut runs and end an episode, also where they fall between two runs. A run with `barrier` is
+    an episode of its own. The digest covers state, app, window and every piece of support, so it names the content.
+    """
+    own = runs.select(*KEYS, "id", "state", "app", "win", "barrier", "start_us", "end_us")
+    marks = boundaries.select("device", "at_us").distinct()
+    met = point_join(marks, own.select("device", "day", "id", "start_us", "end_us"), ["device"]).where("at_us > start_us")
+    cuts = met.groupBy(*KEYS, "id").agg(F.array_sort(F.collect_set("at_us")).alias("cuts"))
+    told = own.join(cuts, [*KEYS, "id"], "left").withColumn("edges", F.concat(F.array("start_us"), F.coalesce("cuts", F.array().cast("array<long>")), F.array("end_us")))
+    each = told.withColumn("i", F.explode(F.sequence(F.lit(1), F.size("edges") - 1))).withColumns({"start_us": F.element_at("edges", F.col("i")), "end_us": F.element_at("edges", F.col("i") + 1)}).drop("edges", "cuts", "i")
+    last = asof(each, marks.select("device", F.col("at_us").alias("start_us"), "at_us", F.col("at_us").alias("id")), ["device"], "start_us", [])
+    w = ordered(KEYS, "start_us")
+    split = F.coalesce(F.col("match_us") >= F.lag("end_us").over(w), F.lit(False)) | F.col("barrier") | F.coalesce(F.lag("barrier").over(w), F.lit(False))
+    parts = islands(last.withColumn("new", _changes(["state", "app", "win"], jitter_us, w) | split), KEYS, F.col("new"), "start_us", into="part")
+    cut = _pieces(parts.select(*KEYS, "part", "state", "app", "win", "start_us", "end_us"), most_us)
+    low, high = F.greatest("start_us", "block"), F.least(F.col("end_us"), F.col("block") + most_us)
+    support = F.array_sort(F.collect_list(F.struct(low.alias("start_us"), high.alias("end_us"))))  # an episode lasts most_us at most
+    found = cut.groupBy(*KEYS, "part", "block").agg(F.min(low).alias("start_us"), F.max(high).alias("end_us"), F.sum(high - low).alias("us"), F.first("state").alias("state"), F.first("app").alias("app"), F.first("win").alias("win"), support.alias("support"))
+    spans = F.array_join(F.transform("support", lambda s: F.concat(s["start_us"].cast("string"), F.lit("-"), s["end_us"].cast("string"))), ",")
+    content = F.concat_ws("|", F.col("device").cast("string"), "state", F.coalesce("app", F.lit("")), F.coalesce("win", F.lit("")), spans)
+    return found.select(*KEYS, "start_us", "end_us", "us", "state", "app", "win", F.concat(F.lit("episode-"), F.sha2(content, 256)).alias("episode_id"))
+
+
+def activity_score(runs: DataFrame, sessions: DataFrame, screens: DataFrame, now_us: int, zone: Column | str = "UTC", step_us: int = 5 * MINUTE) -> DataFrame:
+    """All bins of each local day that has runs: the computer's state, its time and topic, the topic seen on its screen, and
+    the phone's time and app.
+
+    A bin that begins at now_us or later is `future`. runs need `topic`; screens are (device, at_us, topic) and count only
+    where some time has no title. Phone time is a union; its app is the one with most time. Ties go to what was first
+    seen, then by name.
+    """
+    length = F.col("end_us") - F.col("start_us")
+    days = day_spans(runs, KEYS, zone)
+    spine = days.select("device", "day", F.explode(F.sequence(F.floor(F.col("low_us") / step_us), F.floor((F.col("high_us") - 1) / step_us))).alias("slot"))
+    sums = activity_bins(runs, step_us)
+
+    def most(rows: DataFrame, label: str, value: Column, into: str) -> DataFrame:
+        per = rows.where(F.col(label).isNotNull()).groupBy("device", "slot", label).agg(value.alias("v"), F.min("start_us").alias("seen"))
+        return per.groupBy("device", "slot").agg(F.min_by(label, F.struct(-F.col("v"), "seen", label)).alias(into))
+
+    topics = most(cut(runs.where("state = 'active'"), step_us), "topic", F.sum(length), "topic")
+    phone = cut(sessions, step_us)
+    own = union_us(phone, ["device", "slot"], "phone_us")
+    apps = most(phone, "app", F.sum(length), "phone_app")
+    seen = most(screens.withColumns({"slot": F.floor(F.col("at_us") / step_us), "start_us": F.col("at_us")}), "topic", F.count(F.lit(1)), "screen_topic")
+    wide = spine
+    for part in (sums.drop("top_app"), topics, own, apps, seen):
+        wide = wide.join(part, ["device", "slot"], "left")
+    state = F.when(F.col("slot") * step_us >= now_us, "future").otherwise(F.coalesce("state", F.lit("unknown")))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    shown = F.when(zero("unattributed_us") > 0, F.col("screen_topic"))
+    return wide.select("device", "day", "slot", state.alias("state"), zero("active_us").alias("active_us"), zero("unattributed_us").alias("unattributed_us"), "topic", shown.alias("screen_topic"), zero("phone_us").alias("phone_us"), "phone_app")
+
+
 def window_totals(segs: DataFrame, k: int = 20) -> DataFrame:
     """The k (app, window) with most time by device; of equal ones the first seen."""
     t = segs.where("state = 'active'").groupBy("device", "app", "win").agg(F.sum("sampled_us").alias("us"), F.min("start_us").alias("seen"))
@@ -265,3 +357,17 @@ def browser_overlap(tabs: DataFrame, segs: DataFrame) -> DataFrame:
     front = segs.where("state = 'active' AND app = 'app1'").select(*KEYS, "start_us", "end_us")
     met = overlap_join(lasting.select(*KEYS, "start_us", "end_us", "site"), front, KEYS)
     return met.groupBy("device", "site").agg(F.sum(F.col("end_us") - F.col("start_us")).alias("us"))
+
+
+def browser_shares(tabs: DataFrame, segs: DataFrame, app: str = "chrome") -> DataFrame:
+    """Sampled time by device and site: a tab counts from its event to the next one, or to the end of its day, where a
+    browser's segment is in front, with or without a title, by the share of the segment that was sampled.
+
+    An event without focus or site only ends the one before. Merged segments hold gaps, so their wall time is not credited.
+    """
+    w = ordered(KEYS, "start_us", "id")
+    lasting = tabs.withColumn("end_us", F.coalesce(F.lead("start_us").over(w), (F.col("day") + 1) * DAY)).where("end_us > start_us AND focused AND site IS NOT NULL")
+    front = segs.where(F.col("state").isin("active", "unattributed") & F.contains(F.lower("app"), F.lit(app))).select(*KEYS, "start_us", "end_us", "sampled_us")
+    met = overlap_join(lasting.select(*KEYS, "start_us", "end_us", "site"), front, KEYS)
+    share = (F.col("end_us") - F.col("start_us")).cast("double") * F.col("sampled_us") / (F.col("b_end") - F.col("b_start"))
+    return met.groupBy("device", "site").agg(F.sum(share).alias("us"))

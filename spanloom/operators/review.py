@@ -97,3 +97,12 @@ def counter_rates(rows: DataFrame, keys: list[str], at: str, value: str) -> Data
     w = Window.partitionBy(*keys).orderBy(at, "id")
     v, t = F.lag(value).over(w), F.lag(at).over(w)
     return rows.withColumn("per_us", F.when(v.isNotNull() & (F.col(value) >= v), (F.col(value) - v) / (F.col(at) - t)))
+
+
+def fallback_candidates(source: DataFrame, fallback: DataFrame, readable: DataFrame, status: str) -> DataFrame:
+    """Frames (path) whose source annotation has `status`, whose text was read, and that the fallback neither completed nor
+    skipped nor tried twice: with its last status and attempts. source, fallback: path, status (attempts); readable: path."""
+    tried = fallback.select("path", F.col("status").alias("fallback"), "attempts")
+    met = source.where(F.col("status") == status).select("path").join(readable.select("path"), "path", "left_semi").join(tried, "path", "left")
+    open_ = F.col("fallback").isNull() | ~F.col("fallback").isin("complete", "sensitive_skipped") & (F.col("attempts") < 2)
+    return met.where(open_).select("path", "fallback", F.coalesce("attempts", F.lit(0)).cast("long").alias("attempts"))

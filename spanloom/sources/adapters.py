@@ -70,8 +70,9 @@ def commits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def file_events(spark: SparkSession, d: str) -> DataFrame:
-    ext = F.when(F.col("l_partkey") % 9 == 0, ".log").when(F.col("l_partkey") % 7 == 0, ".pyc").otherwise(".py")
-    head = F.when(F.col("l_partkey") % 11 == 0, "build/").when(F.col("l_partkey") % 13 == 0, ".cache/").otherwise("src/")
+    k = F.col("l_partkey")
+    ext = F.when(k % 9 == 0, ".LOG").when(k % 7 == 0, ".pyc").when(k % 10 == 3, ".sqlite3-wal").otherwise(".py")
+    head = F.when(k % 11 == 0, "build/").when(k % 13 == 0, ".cache/").when(k % 17 == 0, "web/out/").when(k % 19 == 0, "./src/").otherwise("src/")
     return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("root"), F.concat(head, F.lit("f"), F.col("l_partkey").cast("string"), ext).alias("path"), F.col("l_returnflag").alias("kind"), micros("l_shipdate").alias("at_us"))
 
 
@@ -165,9 +166,9 @@ FRAMES = f"""frames AS (
 COMMITS = "commits AS (SELECT o_custkey % 20 AS repo, o_orderkey AS sha, epoch_us(o_orderdate) AS at_us, o_custkey % 7 AS author, o_custkey % 5 AS committer FROM orders)"
 
 FILES = """files AS (
-  SELECT l_suppkey AS root, CASE WHEN l_partkey % 11 = 0 THEN 'build/' WHEN l_partkey % 13 = 0 THEN '.cache/' ELSE 'src/' END || 'f' || l_partkey::VARCHAR ||
-    CASE WHEN l_partkey % 9 = 0 THEN '.log' WHEN l_partkey % 7 = 0 THEN '.pyc' ELSE '.py' END AS path, l_returnflag AS kind, epoch_us(l_shipdate) AS at_us,
-    l_partkey % 11 <> 0 AND l_partkey % 13 <> 0 AND l_partkey % 9 <> 0 AND l_partkey % 7 <> 0 AS work FROM lineitem)"""
+  SELECT l_suppkey AS root, CASE WHEN l_partkey % 11 = 0 THEN 'build/' WHEN l_partkey % 13 = 0 THEN '.cache/' WHEN l_partkey % 17 = 0 THEN 'web/out/' WHEN l_partkey % 19 = 0 THEN './src/' ELSE 'src/' END || 'f' || l_partkey::VARCHAR ||
+    CASE WHEN l_partkey % 9 = 0 THEN '.LOG' WHEN l_partkey % 7 = 0 THEN '.pyc' WHEN l_partkey % 10 = 3 THEN '.sqlite3-wal' ELSE '.py' END AS path, l_returnflag AS kind, epoch_us(l_shipdate) AS at_us,
+    l_partkey % 11 <> 0 AND l_partkey % 13 <> 0 AND l_partkey % 17 <> 0 AND l_partkey % 9 <> 0 AND (l_partkey % 7 = 0 OR l_partkey % 10 <> 3) AS work FROM lineitem)"""
 
 CALENDAR = """calendar AS (
   SELECT o_orderkey AS id, epoch_us(o_orderdate) AS start_us, epoch_us(o_orderdate) + (o_orderkey % 1800) * 60000000 AS end_us, o_orderkey % 11 = 0 AS all_day, o_custkey % 6 AS calendar FROM orders)"""

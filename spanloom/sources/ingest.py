@@ -30,6 +30,14 @@ def upsert_annotations(stored: DataFrame, new: DataFrame) -> DataFrame:
     return both.groupBy("path", "model").agg(F.max_by("status", F.struct("n", "status")).alias("status"), F.max("n").alias("n"), F.sum("attempts").alias("attempts"))
 
 
+def upsert_descriptions(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """Stored and new descriptions by (path, model, prompt): the last written row (at_us, n) replaces status, attempts and
+    elapsed_s as it has them. One shuffle, no join."""
+    row = F.struct("status", "attempts", "elapsed_s", "at_us", "n")
+    both = stored.unionByName(new)
+    return both.groupBy("path", "model", "prompt").agg(F.max_by(row, F.struct("at_us", "n")).alias("r")).select("path", "model", "prompt", "r.*")
+
+
 def fill_in(stored: DataFrame, late: DataFrame, key: str, keep: list[str], replace: list[str]) -> DataFrame:
     """stored with late rows merged by key: `keep` columns only fill nulls, `replace` columns take the late value."""
     a, b = stored.alias("a"), late.alias("b")
