@@ -287,6 +287,32 @@ def episodes(runs: DataFrame, most_us: int = BLOCK, jitter_us: int = MERGE_GAP)
     return _blocks(told.select(*KEYS, "part", "start_us", "end_us", "state", "app", "win"), most_us, ["state", "app", "win"])
 
 
+def day_windows(segs: DataFrame, k: int = 20) -> DataFrame:
+    """The k (app, title) with most sampled time by device and day, of equal ones the first seen; sensitive titles are one."""
+    title = F.when(is_sensitive(F.col("win")), "[sensitive window]").otherwise(F.col("win"))
+    t = segs.where("state = 'active'").groupBy(*KEYS, "app", title.alias("title")).agg(F.sum("sampled_us").alias("us"), F.min("start_us").alias("seen"))
+    rank = F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.desc("us"), "seen")).cast("long")
+    return t.withColumn("rank", rank).where(F.col("rank") <= k).drop("seen")
+
+
+def switch_rates(segs: DataFrame) -> DataFrame:
+    """Window and app switches of the foreground by device and day, and both an hour of sampled time, in thousandths.
+
+    A switch is a change from one foreground segment to the next of the day; the rate is made of sums, never averaged.
+    """
+    w = ordered(KEYS, "start_us")
+    front = segs.where("state = 'active'").withColumns({c: (~F.lag(x).over(w).eqNullSafe(F.col(x)) & (F.row_number().over(w) > 1)).cast("long") for c, x in (("app_moved", "app"), ("win_moved", "win"))})
+    moved = F.greatest("app_moved", "win_moved")
+    told = front.groupBy(*KEYS).agg(F.sum(moved).alias("window_switches"), F.sum("app_moved").alias("app_switches"), F.sum("sampled_us").alias("us"))
+    return told.withColumn("switches_per_hour_x1000", F.expr(f"CASE WHEN us > 0 THEN window_switches * 1000 * {HOUR} div us END"))
+
+
+def switch_rates_of_periods(days: DataFrame) -> DataFrame:
+    """switch_rates() of whole devices: switches and seconds are added, the rate is made anew."""
+    told = days.groupBy("device").agg(F.count(F.lit(1)).alias("days"), *[F.sum(c).alias(c) for c in ("window_switches", "app_switches", "us")])
+    return told.withColumn("switches_per_hour_x1000", F.expr(f"CASE WHEN us > 0 THEN CAST(window_switches AS DECIMAL(38, 0)) * 1000 * {HOUR} div us END"))
+
+
 def bounded_episodes(runs: DataFrame, boundaries: DataFrame, most_us: int = BLOCK, jitter_us: int = MERGE_GAP) -> DataFrame:
     """episodes() that explicit boundaries and barriers end as well, each with a digest of what supports it as its id.
 

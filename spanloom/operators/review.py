@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.time import DAY
-from spanloom.operators.interval import with_same
+from spanloom.operators.interval import overlap_join, with_same
 
 
 def apply_corrections(commands: DataFrame, keys: list[str]) -> DataFrame:
@@ -106,3 +106,24 @@ def fallback_candidates(source: DataFrame, fallback: DataFrame, readable: DataFr
     met = source.where(F.col("status") == status).select("path").join(readable.select("path"), "path", "left_semi").join(tried, "path", "left")
     open_ = F.col("fallback").isNull() | ~F.col("fallback").isin("complete", "sensitive_skipped") & (F.col("attempts") < 2)
     return met.where(open_).select("path", "fallback", F.coalesce("attempts", F.lit(0)).cast("long").alias("attempts"))
+
+
+def review_view(slots: DataFrame, unknown: DataFrame, scopes: DataFrame, outcomes: DataFrame, topics: DataFrame, step_us: int) -> DataFrame:
+    """Slots to review with what is known of them: (device, slot, unknown_us, confirmed_label, scope_label, confirmed_us,
+    unconfirmed_us, suggested_label, outcome_marked).
+
+    slots: device, slot, unknown_us; unknown: disjoint runs (device, start_us, end_us) of unknown time; scopes: device, slot,
+    label, start_us, end_us of current corrections; outcomes: device, slot; topics: device, at_us, topic. A label counts as
+    confirmed only if its frozen scope covers all of the slot's unknown time. The suggestion is the commonest topic in the
+    slot, of equal ones the first seen, then by name.
+    """
+    held = overlap_join(scopes.select("device", "slot", "start_us", "end_us"), unknown.select("device", "start_us", "end_us"), ["device"])
+    covered = held.groupBy("device", "slot").agg(F.sum(F.col("end_us") - F.col("start_us")).alias("covered_us"))
+    per = topics.withColumn("slot", F.floor(F.col("at_us") / step_us)).groupBy("device", "slot", "topic").agg(F.count(F.lit(1)).alias("n"), F.min("at_us").alias("seen"))
+    suggested = per.groupBy("device", "slot").agg(F.min_by("topic", F.struct(-F.col("n"), "seen", "topic")).alias("suggested_label"))
+    told = slots.join(scopes.select("device", "slot", F.col("label").alias("scope_label")), ["device", "slot"], "left").join(covered, ["device", "slot"], "left").join(suggested, ["device", "slot"], "left")
+    told = told.join(outcomes.select("device", "slot").distinct().withColumn("outcome_marked", F.lit(True)), ["device", "slot"], "left")
+    confirmed = F.least(F.coalesce("covered_us", F.lit(0)), "unknown_us")
+    label = F.when(F.col("scope_label").isNotNull() & (F.col("confirmed_us") >= F.col("unknown_us")), F.col("scope_label"))
+    told = told.withColumn("confirmed_us", confirmed).withColumn("confirmed_label", label)
+    return told.select("device", "slot", "unknown_us", "confirmed_label", "scope_label", "confirmed_us", (F.col("unknown_us") - F.col("confirmed_us")).alias("unconfirmed_us"), "suggested_label", F.coalesce("outcome_marked", F.lit(False)).alias("outcome_marked"))

@@ -50,6 +50,19 @@ def period_totals(totals: DataFrame, label: str, value: str) -> DataFrame:
     return grouped.agg(F.sum(value).alias(value), F.count_distinct("day").alias("days"))
 
 
+def day_sketches(rows: DataFrame, keys: list[str], item: str, value: str) -> DataFrame:
+    """By keys (with day): a sketch of the distinct items and one of the values' distribution, some kilobytes a day, which
+    period_sketches() merges, so that a period's distinct count and quantiles need no rows of its days."""
+    return rows.groupBy(*keys).agg(F.hll_sketch_agg(item).alias("items"), F.expr(f"kll_sketch_agg_bigint({value})").alias("amounts"))
+
+
+def period_sketches(days: DataFrame, keys: list[str]) -> DataFrame:
+    """Merged day_sketches() by keys: estimated distinct items, and the median and ninth decile of the values."""
+    merged = days.groupBy(*keys).agg(F.hll_union_agg("items").alias("items"), F.expr("kll_merge_agg_bigint(amounts)").alias("amounts"))
+    quantile = lambda q: F.expr(f"kll_sketch_get_quantile_bigint(amounts, {q}D)")
+    return merged.select(*keys, F.hll_sketch_estimate("items").alias("distinct_items"), quantile(0.5).alias("median"), quantile(0.9).alias("p90"))
+
+
 def period_rollup(facts: DataFrame) -> DataFrame:
     """Month and year in one pass: sums, and days by coverage."""
     date = F.date_add(F.to_date(F.lit("1970-01-01")), F.col("day").cast("int"))
@@ -132,4 +145,4 @@ def week_heatmap(hours: DataFrame) -> DataFrame:
     return spine.join(s, ["device", "day", "hour"], "left").select("device", "day", "hour", heat_level(F.col("s")).alias("level"), F.col("s").isNull().alias("missing"))
 
 
-__all__ = ["DAY", "calendar_summary", "day_alerts", "day_facts", "densify", "densify_week", "evolution", "history_overlay", "period_rollup", "period_totals", "review_document", "touched_days", "week_heatmap", "work_artifacts"]
+__all__ = ["DAY", "calendar_summary", "day_alerts", "day_facts", "day_sketches", "densify", "densify_week", "evolution", "history_overlay", "period_rollup", "period_sketches", "period_totals", "review_document", "touched_days", "week_heatmap", "work_artifacts"]

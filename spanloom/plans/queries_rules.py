@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
-from spanloom.functions.time import DAY
+from spanloom.functions.time import DAY, MINUTE, SECOND
 from spanloom.operators import activity as A
 from spanloom.operators import review as W
+from spanloom.operators import rollup as R
+from spanloom.operators.interval import cut
 from spanloom.plans.book import Book
 from spanloom.plans.queries_activity import BLOCK_PARTS, FOLD, _runs, _segs
 from spanloom.sources import adapters as V
@@ -158,3 +160,72 @@ def upsert_descriptions(spark, d):
     """Descriptions by path, model and prompt; a later row sets what it has."""
     a = V.annotations(spark, d).withColumns({"prompt": F.col("n") % 3, "attempts": F.col("n")})
     return S.upsert_descriptions(a.where("n <= 3"), a.where("n > 3")).select("path", "model", "prompt", "status", "attempts", "elapsed_s")
+
+
+SLOTS = f"""{V.RUNS}, un AS (SELECT device, start_us, end_us FROM runs WHERE state = 'unattributed'),
+    rs AS (SELECT device, slot, CAST(sum(least(end_us, (slot + 1) * 900000000) - greatest(start_us, slot * 900000000)) AS BIGINT) AS unknown_us FROM (SELECT *, unnest(range(start_us // 900000000, (end_us - 1) // 900000000 + 1)) AS slot FROM un) GROUP BY device, slot HAVING sum(least(end_us, (slot + 1) * 900000000) - greatest(start_us, slot * 900000000)) >= 120000000),
+    so AS (SELECT device, slot, 'l' || (slot % 4)::VARCHAR AS label, slot * 900000000 AS start_us, slot * 900000000 + CASE WHEN slot % 2 = 0 THEN 900000000 ELSE 300000000 END AS end_us FROM rs WHERE slot % 3 = 0),
+    co AS (SELECT so.device, so.slot, CAST(sum(least(so.end_us, un.end_us) - greatest(so.start_us, un.start_us)) AS BIGINT) AS covered_us FROM so JOIN un ON un.device = so.device AND un.start_us < so.end_us AND so.start_us < un.end_us GROUP BY ALL),
+    su AS (SELECT device, slot, topic FROM (SELECT device, start_us // 900000000 AS slot, 'h' || (k % 3)::VARCHAR AS topic, count(*) AS n, min(start_us) AS seen FROM samples WHERE k % 10 IN (1, 2) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY device, slot ORDER BY n DESC, seen, topic) = 1),
+    vw AS (SELECT rs.device, rs.slot, unknown_us, label AS scope_label, least(coalesce(covered_us, 0), unknown_us) AS confirmed_us, topic AS suggested_label, rs.slot % 6 = 0 AS outcome_marked FROM rs LEFT JOIN so USING (device, slot) LEFT JOIN co USING (device, slot) LEFT JOIN su USING (device, slot))"""
+
+
+@query(f"WITH {SLOTS} SELECT device, slot, unknown_us, CASE WHEN confirmed_us >= unknown_us THEN scope_label END AS confirmed_label, scope_label, confirmed_us, unknown_us - confirmed_us AS unconfirmed_us, suggested_label, outcome_marked FROM vw")
+def review_slots_view(spark, d):
+    """Slots to review with scope, cover, suggestion and outcome."""
+    step = 15 * MINUTE
+    unknown = _runs(spark, d).where("state = 'unattributed'").select("device", "start_us", "end_us")
+    slots = cut(unknown, step).groupBy("device", "slot").agg(F.sum(F.col("end_us") - F.col("start_us")).alias("unknown_us")).where(F.col("unknown_us") >= 120 * SECOND)
+    start = F.col("slot") * step
+    scopes = slots.where("slot % 3 = 0").select("device", "slot", F.concat(F.lit("l"), (F.col("slot") % 4).cast("string")).alias("label"), start.alias("start_us"), (start + F.when(F.col("slot") % 2 == 0, step).otherwise(step // 3)).alias("end_us"))
+    topics = V.samples(spark, d).where("k % 10 IN (1, 2)").select("device", F.col("start_us").alias("at_us"), F.concat(F.lit("h"), (F.col("k") % 3).cast("string")).alias("topic"))
+    return W.review_view(slots, unknown, scopes, slots.where("slot % 6 = 0"), topics, step)
+
+
+@query(f"WITH {V.SEGMENTS}, t AS (SELECT device, day, app, CASE WHEN win = 'w1' THEN '[sensitive window]' ELSE win END AS title, CAST(sum(sampled_us) AS BIGINT) AS us, min(start_us) AS seen FROM segments WHERE state = 'active' GROUP BY ALL) SELECT device, day, app, title, us, row_number() OVER (PARTITION BY device, day ORDER BY us DESC, seen) AS rank FROM t QUALIFY rank <= 3")
+def day_windows(spark, d):
+    """Titles with most time in each day, sensitive ones as one."""
+    return A.day_windows(_segs(spark, d).withColumn("win", F.when(F.col("win") == "w1", "password list").otherwise(F.col("win"))), 3)
+
+
+RATES = f"""{V.SEGMENTS}, fm AS (SELECT device, day, sampled_us, CASE WHEN row_number() OVER w > 1 AND lag(app) OVER w IS DISTINCT FROM app THEN 1 ELSE 0 END AS a, CASE WHEN row_number() OVER w > 1 AND lag(win) OVER w IS DISTINCT FROM win THEN 1 ELSE 0 END AS w FROM segments WHERE state = 'active' WINDOW w AS (PARTITION BY device, day ORDER BY start_us)),
+    rates AS (SELECT device, day, CAST(sum(greatest(a, w)) AS BIGINT) AS window_switches, CAST(sum(a) AS BIGINT) AS app_switches, CAST(sum(sampled_us) AS BIGINT) AS us FROM fm GROUP BY device, day)"""
+
+
+@query(f"WITH {RATES} SELECT *, CASE WHEN us > 0 THEN CAST(window_switches * 1000 * 3600000000 // us AS BIGINT) END AS switches_per_hour_x1000 FROM rates")
+def switch_rates(spark, d):
+    """Window and app switches by day, and their rate an hour of sampled time."""
+    return A.switch_rates(_segs(spark, d))
+
+
+@query(f"WITH {RATES} SELECT device, count(*) AS days, CAST(sum(window_switches) AS BIGINT) AS window_switches, CAST(sum(app_switches) AS BIGINT) AS app_switches, CAST(sum(us) AS BIGINT) AS us, CASE WHEN sum(us) > 0 THEN CAST(sum(window_switches)::HUGEINT * 1000 * 3600000000 // sum(us) AS BIGINT) END AS switches_per_hour_x1000 FROM rates GROUP BY device")
+def switch_rates_of_periods(spark, d):
+    return A.switch_rates_of_periods(A.switch_rates(_segs(spark, d)))
+
+
+@query(f"WITH {V.ANNOTATIONS}, t AS (SELECT model, at_us // 86400000000 AS day, path, n FROM annotations) SELECT model, year(DATE '1970-01-01' + CAST(day AS INTEGER)) AS year, count(DISTINCT path) AS paths, true AS near, true AS median_near FROM t GROUP BY ALL")
+def period_sketches(spark, d):
+    """Distinct paths of a year exactly, and whether the merged day sketches come within five per cent of them and of the
+    median path number's rank."""
+    a = V.annotations(spark, d).withColumn("day", F.floor(F.col("at_us") / DAY))
+    year = F.year(F.date_add(F.lit("1970-01-01").cast("date"), F.col("day").cast("int"))).cast("long")
+    days = R.day_sketches(a, ["model", "day"], "path", "path").withColumn("year", year)
+    told = R.period_sketches(days, ["model", "year"]).join(a.groupBy("model", year.alias("year")).agg(F.count_distinct("path").alias("paths")), ["model", "year"])
+    rank = a.withColumn("year", year).join(told.select("model", "year", "median"), ["model", "year"]).groupBy("model", "year").agg(F.avg((F.col("path") <= F.col("median")).cast("double")).alias("below"))
+    near = F.abs(F.col("distinct_items") - F.col("paths")) <= F.greatest(F.lit(1), F.col("paths") * 0.05)
+    return told.join(rank, ["model", "year"]).select("model", "year", "paths", near.alias("near"), F.col("below").between(0.45, 0.55).alias("median_near"))
+
+
+@query(f"WITH {V.RUNS} SELECT id, device, day, state, start_us, end_us FROM runs WHERE day = 19726")
+def ledger_day(spark, d):
+    """One day's runs out of a ledger laid out by day, source and device: two day folders are read, and nothing is dealt
+    before the first window."""
+    from spanloom.sources import book_of_days as B
+    from spanloom.sources.scratch import scratch
+
+    path = scratch(spark)
+    name = "ledger_" + path.rsplit("-", 1)[-1]
+    B.store(V.samples(spark, d).withColumn("source", F.col("state")), name, path, 8)
+    low = 19_726 * DAY
+    rows = B.read_days(spark, name, low, low + DAY)
+    return A.observed_runs(rows).where("day = 19726").select("id", "device", "day", "state", "start_us", "end_us")

@@ -156,3 +156,52 @@ def test_bins_of_a_day_of_its_own_length(spark, hours):
     screens = spark.createDataFrame([], "device long, at_us long, topic string")
     got = A.activity_score(df, none, screens, now_us=low + 100 * DAY, zone="America/Chicago").collect()
     assert len(got) == hours * 12 and sum(r.active_us for r in got) == MINUTE
+
+
+def test_a_label_counts_only_if_its_scope_covers_the_slot(spark):
+    m = MINUTE
+    slots = spark.createDataFrame([(1, 0, 5 * m), (1, 1, 4 * m), (1, 2, 3 * m)], "device long, slot long, unknown_us long")
+    unknown = spark.createDataFrame([(1, 0, 5 * m), (1, 16 * m, 20 * m), (1, 30 * m, 33 * m)], "device long, start_us long, end_us long")
+    scopes = spark.createDataFrame([(1, 0, "plan", 0, 15 * m), (1, 1, "mail", 15 * m, 18 * m)], "device long, slot long, label string, start_us long, end_us long")
+    outcomes = spark.createDataFrame([(1, 0), (1, 0)], "device long, slot long")
+    topics = spark.createDataFrame([(1, m, "b"), (1, 2 * m, "a"), (1, 3 * m, "a"), (1, 31 * m, "z"), (1, 32 * m, "y")], "device long, at_us long, topic string")
+    got = {r.slot: r for r in W.review_view(slots, unknown, scopes, outcomes, topics, 15 * m).collect()}
+    assert len(got) == 3 and (got[0].confirmed_label, got[0].unconfirmed_us, got[0].suggested_label, got[0].outcome_marked) == ("plan", 0, "a", True)
+    assert (got[1].confirmed_label, got[1].scope_label, got[1].confirmed_us, got[1].unconfirmed_us, got[1].outcome_marked) == (None, "mail", 2 * m, 2 * m, False)
+    assert (got[2].confirmed_us, got[2].unconfirmed_us, got[2].suggested_label) == (0, 3 * m, "z")
+
+
+def test_switches_an_hour_are_made_of_sums(spark):
+    df = runs(spark, [(0, 900, "active", "a", "one"), (900, 1800, "active", "a", "two"), (1800, 1810, "idle", None, None), (1810, 3610, "active", "b", "two")])
+    got = A.switch_rates(A.segments(df)).first()
+    assert (got.window_switches, got.app_switches, got.us, got.switches_per_hour_x1000) == (2, 1, HOUR, 2000)
+
+
+def test_a_laid_out_ledger_is_read_by_day_and_without_exchange(spark, tmp_path):
+    from spanloom.sources import book_of_days as B
+
+    rows = [(i, i % 3, i * HOUR, 600 * SECOND, "active" if i % 2 else "idle", "a", "w") for i in range(24 * 5)]
+    df = spark.createDataFrame(rows, "id long, device long, start_us long, dur_us long, state string, app string, win string").withColumn("source", F.col("state"))
+    B.store(df, "ledger_test", str(tmp_path / "ledger"), 4)
+    size = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    got = A.observed_runs(B.read_days(spark, "ledger_test", 2 * DAY, 3 * DAY))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and "Exchange" not in plan and size
+    scan = spark.table("ledger_test").where(F.col("on_day").between(1, 2)).inputFiles()
+    assert scan and all("on_day=" in f for f in scan)
+    assert "PartitionFilters: [isnotnull(on_day" in plan
+    want = A.observed_runs(df.where((F.col("start_us") >= 2 * DAY - 6 * HOUR) & (F.col("start_us") < 3 * DAY)))
+    pick = lambda x: sorted(tuple(r) for r in x.select("id", "start_us", "end_us").collect())
+    assert pick(got) == pick(want) and len(pick(got)) == 30
+    spark.sql("DROP TABLE ledger_test")
+
+
+def test_merged_day_sketches_are_near_the_whole(spark):
+    from spanloom.operators import rollup as R
+
+    df = spark.range(40_000).select((F.col("id") % 3).alias("device"), (F.col("id") % 50).alias("day"), (F.col("id") * 7919 % 9000).alias("path"), (F.col("id") % 1001).alias("us"))
+    got = R.period_sketches(R.day_sketches(df, ["device", "day"], "path", "us"), ["device"]).collect()
+    for g in got:
+        exact = df.where(F.col("device") == g.device).agg(F.count_distinct("path").alias("n")).first().n
+        assert abs(g.distinct_items - exact) <= exact * 0.05 and abs(g.median - 500) <= 25 and abs(g.p90 - 900) <= 25
+    assert len(got) == 3
