@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import pandas as pd
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -228,6 +230,59 @@ def lexical_flags(df: DataFrame, text: str, source: str) -> DataFrame:
     )
 
 
+def supported_topic(topic: Column, word: Column, source: Column) -> Column:
+    """Whether a source supports a topic: the evidence word, of four letters or a known short subject, occurs in it, and topic
+    and source share a subject. `Unclear` needs no support; null is none."""
+    low, clean = F.lower(F.coalesce(source, F.lit(""))), F.lower(F.trim(F.coalesce(word, F.lit(""))))
+    named = ((F.length(clean) >= 4) | clean.isin(*SHORT_SUBJECTS)) & F.contains(low, clean)
+    shared = F.arrays_overlap(subject_tokens(F.coalesce(topic, F.lit(""))), subject_tokens(low))
+    return F.coalesce(F.lower(topic) == "unclear", F.lit(False)) | named & F.coalesce(shared, F.lit(False))
+
+
+# Domains of examples, and addresses that anyone may know.
+EXAMPLE_DOMAINS = ("example.com", "example.org", "example.net", "example.invalid", "example.test", "users.noreply.github.com")
+PUBLIC_CONTACTS = ("noreply@github.com",)
+ADDRESS = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+
+
+def identifier_pattern(text: str, mode: str) -> str:
+    """A private identifier as a pattern: literal as it stands, or a word in any case."""
+    if mode not in ("literal", "word") or not 3 <= len(text) <= 1024:
+        raise ValueError("an identifier has 3 to 1024 characters and is a literal or a word")
+    escaped = re.sub(r"([^A-Za-z0-9_ ])", r"\\\1", text)
+    return escaped if mode == "literal" else f"(?i)(?<![A-Za-z0-9]){escaped}(?![A-Za-z0-9])"
+
+
+def privacy_flags(text: Column, identifiers: list[tuple[str, str]]) -> dict[str, Column]:
+    """What must not be published in a text: home paths, private identifiers, credentials, and contacts that are no example.
+
+    Slashes that JSON escapes count as slashes. identifiers are (text, mode).
+    """
+    plain = F.replace(F.coalesce(text, F.lit("")), F.lit("\\/"), F.lit("/"))
+    known = F.lit(False)
+    for value, mode in identifiers:
+        known = known | plain.rlike(identifier_pattern(value, mode))
+    own = F.exists(F.regexp_extract_all(F.lower(plain), F.lit(ADDRESS.replace("A-Za-z", "a-z")), F.lit(0)), lambda a: ~F.substring_index(a, "@", -1).isin(*EXAMPLE_DOMAINS) & ~a.isin(*PUBLIC_CONTACTS))
+    return {"home_path": plain.rlike(HOME_PATH), "identifier": known, "credential": plain.rlike(CREDENTIAL), "contact": own}
+
+
+def privacy_scan(df: DataFrame, id_col: str, text_col: str, identifiers: list[tuple[str, str]]) -> DataFrame:
+    """Lines with each kind of privacy_flags(): how many, and the first, by text."""
+    lines = df.select(F.col(id_col), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("line", "s"))
+    flags = F.array_compact(F.array(*[F.when(c, k) for k, c in privacy_flags(F.col("s"), identifiers).items()]))
+    found = lines.select(id_col, "line", F.explode(flags).alias("kind"))
+    return found.groupBy(id_col, "kind").agg(F.count(F.lit(1)).alias("lines"), (F.min("line") + 1).cast("long").alias("first_line"))
+
+
+def publishable(text: Column, rules: list[tuple[str, str, str]]) -> Column:
+    """A text with its private identifiers (text, mode, replacement) replaced; null where something private is left over."""
+    out = text
+    for value, mode, to in rules:
+        out = F.regexp_replace(out, identifier_pattern(value, mode), to.replace("\\", "\\\\").replace("$", "\\$"))
+    flags = privacy_flags(out, [(v, m) for v, m, _ in rules])
+    return F.when(~(flags["home_path"] | flags["contact"] | flags["identifier"]), out)
+
+
 def line_scan(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Lines with home paths, credentials, e-mail or phone numbers: count and first line of each kind by text."""
     lines = df.select(F.col(id_col), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("line", "s"))

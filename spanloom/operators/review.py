@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.time import DAY
@@ -127,3 +127,20 @@ def review_view(slots: DataFrame, unknown: DataFrame, scopes: DataFrame, outcome
     label = F.when(F.col("scope_label").isNotNull() & (F.col("confirmed_us") >= F.col("unknown_us")), F.col("scope_label"))
     told = told.withColumn("confirmed_us", confirmed).withColumn("confirmed_label", label)
     return told.select("device", "slot", "unknown_us", "confirmed_label", "scope_label", "confirmed_us", (F.col("unknown_us") - F.col("confirmed_us")).alias("unconfirmed_us"), "suggested_label", F.coalesce("outcome_marked", F.lit(False)).alias("outcome_marked"))
+
+
+def frame_counts(frames: DataFrame, annotations: DataFrame, day: Column) -> DataFrame:
+    """By day of a frame: frames, those whose text is read, those still pending, and annotations by status.
+
+    frames: id, status (of reading its text), and what `day` needs; annotations: id, status. One row a day; a status that no
+    annotation of the day has is 0.
+    """
+    dated = frames.select("id", "status", day.alias("day"))
+    own = dated.groupBy("day").agg(F.count(F.lit(1)).alias("frames"), F.count_if(F.col("status") == "complete").alias("read"), F.count_if(~F.col("status").eqNullSafe("complete")).alias("pending"))
+    told = annotations.select("id", F.col("status").alias("told")).join(dated.select("id", "day"), "id").groupBy("day").agg(*[F.count_if(F.col("told") == s).alias(s) for s in ("complete", "incomplete", "filtered")])
+    return own.join(told, "day", "left").select("day", "frames", "read", "pending", *[F.coalesce(s, F.lit(0)).alias(s) for s in ("complete", "incomplete", "filtered")])
+
+
+def frame_intervals(benchmark: DataFrame, hours: tuple[int, ...] = (8, 10, 12)) -> DataFrame:
+    """A benchmark (capacity) with the least seconds between frames, so that all of so many active hours are described."""
+    return benchmark.withColumns({f"seconds_{h}h": F.when(F.col("capacity") > 0, F.ceil(F.lit(h * 3600) / F.col("capacity"))) for h in hours})

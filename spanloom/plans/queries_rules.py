@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
@@ -15,6 +17,10 @@ from spanloom.plans.queries_activity import BLOCK_PARTS, FOLD, _runs, _segs
 from spanloom.sources import adapters as V
 from spanloom.sources import ingest as S
 
+def _q(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
 BOOK = Book()
 query = BOOK.query
 QUERIES, SQL = BOOK.queries, BOOK.sql
@@ -229,3 +235,70 @@ def ledger_day(spark, d):
     low = 19_726 * DAY
     rows = B.read_days(spark, name, low, low + DAY)
     return A.observed_runs(rows).where("day = 19726").select("id", "device", "day", "state", "start_us", "end_us")
+
+
+def _tokens_sql(x: str) -> str:
+    return f"list_distinct(list_transform(list_filter(regexp_extract_all(lower({x}), '[a-z0-9]{{2,}}'), lambda w: (length(w) >= 4 OR list_contains({list(T.SHORT_SUBJECTS)}, w)) AND NOT list_contains({list(T.GENERIC)}, w)), lambda w: regexp_replace(w, 's+$', '')))"
+
+
+@query(
+    f"""WITH p AS (SELECT b.conv_id, b.turn, CASE WHEN b.conv_id % 9 = 0 THEN 'Unclear' ELSE left(b.text, 40) END AS topic, regexp_extract(lower(b.text), '[a-z]{{3,}}') AS word, a.text AS source FROM conversations b JOIN conversations a ON a.conv_id = b.conv_id AND a.turn = b.turn - 1)
+    SELECT conv_id, turn, lower(topic) = 'unclear' OR ((length(word) >= 4 OR list_contains({list(T.SHORT_SUBJECTS)}, word)) AND contains(lower(source), word) AND list_has_any({_tokens_sql('topic')}, {_tokens_sql('source')})) AS supported FROM p"""
+)
+def topic_support(spark, d):
+    """Whether the turn before supports what a turn begins with."""
+    c = V.table(spark, d, "conversations")
+    before = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("source"))
+    topic = F.when(F.col("conv_id") % 9 == 0, "Unclear").otherwise(F.left("text", F.lit(40)))
+    word = F.regexp_extract(F.lower("text"), "[a-z]{3,}", 0)
+    return c.join(before, ["conv_id", "turn"]).select("conv_id", "turn", T.supported_topic(topic, word, F.col("source")).alias("supported"))
+
+
+IDENTIFIERS = [("idiot", "word"), ("ther ", "literal")]
+FLAGS_SQL = f"""[regexp_matches(s, {_q(T.HOME_PATH)}), regexp_matches(s, '(?i)(^|[^A-Za-z0-9])idiot([^A-Za-z0-9]|$)') OR contains(s, 'ther '), regexp_matches(s, {_q(T.CREDENTIAL)}), len(list_filter(regexp_extract_all(lower(s), '[a-z0-9._%+-]+@[a-z0-9.-]+\\.[a-z]{{2,}}'), lambda a: NOT list_contains({list(T.EXAMPLE_DOMAINS)}, split_part(a, '@', 2)) AND a <> 'noreply@github.com')) > 0]"""
+
+
+@query(
+    f"""WITH l AS (SELECT doc_id, replace(unnest(string_split(coalesce(text, ''), chr(10))), '\\/', '/') AS s, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n FROM documents),
+    k AS (SELECT doc_id, n, unnest(['home_path', 'identifier', 'credential', 'contact']) AS kind, unnest({FLAGS_SQL}) AS hit FROM l) SELECT doc_id, kind, count(*) AS lines, min(n) AS first_line FROM k WHERE hit GROUP BY ALL"""
+)
+def privacy_scan(spark, d):
+    """Lines with home paths, private identifiers, credentials or contacts that are no example."""
+    return T.privacy_scan(V.table(spark, d, "documents"), "doc_id", "text", IDENTIFIERS)
+
+
+@query(
+    f"""WITH r AS (SELECT doc_id, replace(regexp_replace(regexp_replace(text, '(?i)(^|[^A-Za-z0-9])idiot($|[^A-Za-z0-9])', '\\1[word]\\2', 'g'), '(?i)(^|[^A-Za-z0-9])idiot($|[^A-Za-z0-9])', '\\1[word]\\2', 'g'), 'ther ', 'thing ') AS t FROM documents), f AS (SELECT doc_id, t, replace(coalesce(t, ''), '\\/', '/') AS s FROM r)
+    SELECT doc_id, CASE WHEN NOT ((({FLAGS_SQL})[1]) OR (({FLAGS_SQL})[2]) OR (({FLAGS_SQL})[4])) THEN md5(t) END AS digest FROM f"""
+)
+def publishable_text(spark, d):
+    """Texts after redaction; none where something private is left."""
+    rules = [("idiot", "word", "[word]"), ("ther ", "literal", "thing ")]
+    return V.table(spark, d, "documents").select("doc_id", F.md5(T.publishable(F.col("text"), rules)).alias("digest"))
+
+
+@query(
+    f"""WITH {V.SCREENS}, {V.CAPTIONS}, dd AS (SELECT id, status, at_us // 86400000000 AS day FROM screens), ow AS (SELECT day, count(*) AS frames, count(*) FILTER (status = 'complete') AS read, count(*) FILTER (status IS DISTINCT FROM 'complete') AS pending FROM dd GROUP BY day),
+    an AS (SELECT day, count(*) FILTER (c.status = 'complete') AS complete, count(*) FILTER (c.status = 'incomplete') AS incomplete, count(*) FILTER (c.status = 'filtered') AS filtered FROM captions c JOIN dd USING (id) GROUP BY day)
+    SELECT day, frames, read, pending, coalesce(complete, 0) AS complete, coalesce(incomplete, 0) AS incomplete, coalesce(filtered, 0) AS filtered FROM ow LEFT JOIN an USING (day)"""
+)
+def frame_counts(spark, d):
+    """Frames by day, read and pending, and their annotations by status."""
+    return W.frame_counts(V.screens(spark, d), V.captions(spark, d), F.floor(F.col("at_us") / DAY))
+
+
+@query(f"WITH {V.ANNOTATIONS}, m AS (SELECT model, CAST(floor(23400 * 0.8 / quantile_disc(elapsed_s, 0.9)) AS BIGINT) AS capacity FROM annotations WHERE status = 'complete' GROUP BY model) SELECT model, capacity, {', '.join(f'CAST(ceil({h * 3600}.0 / capacity) AS BIGINT) AS seconds_{h}h' for h in (8, 10, 12))} FROM m")
+def frame_intervals(spark, d):
+    """Least seconds between frames for active days of 8, 10 and 12 hours."""
+    m = W.model_benchmark(V.annotations(spark, d).where("status = 'complete'"), 23_400, 0.8)
+    return W.frame_intervals(m).select("model", "capacity", "seconds_8h", "seconds_10h", "seconds_12h")
+
+
+COUNTED = {"events": "event_type", "documents": "source", "lineitem": "l_returnflag", "conversations": "role"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS ledger, {c} AS source, count(*) AS rows FROM {t} GROUP BY {c}" for t, c in COUNTED.items()))
+def ledger_counts(spark, d):
+    """Rows by table and source."""
+    parts = [V.table(spark, d, t).groupBy(F.col(c).alias("source")).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(t).alias("ledger"), "source", "rows") for t, c in COUNTED.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)

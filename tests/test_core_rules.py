@@ -205,3 +205,21 @@ def test_merged_day_sketches_are_near_the_whole(spark):
         exact = df.where(F.col("device") == g.device).agg(F.count_distinct("path").alias("n")).first().n
         assert abs(g.distinct_items - exact) <= exact * 0.05 and abs(g.median - 500) <= 25 and abs(g.p90 - 900) <= 25
     assert len(got) == 3
+
+
+def test_topics_need_a_word_and_a_subject(spark):
+    rows = [("Unclear", "", "", True), ("Budget report", "budget", "the budget reports of May", True), ("Budget report", "budget", "a bud", False), ("Garden", "budget", "the budget", False), ("Budget", "bud", "budget", False), (None, "budget", "budget", False), ("Budget", None, None, False)]
+    df = spark.createDataFrame(rows, "topic string, word string, source string, ok boolean")
+    assert [r[0] for r in df.select(T.supported_topic(F.col("topic"), F.col("word"), F.col("source"))).collect()] == [r[3] for r in rows]
+
+
+def test_what_is_private_is_flagged_and_refused(spark):
+    rules = [("acme", "word", "[org]"), ("C-12.3", "literal", "[id]")]
+    texts = ["Acme and acmes, C-12.3 not C-1293", "see /Users/kim/a", "in JSON \\/Users\\/kim\\/a", "mail kim@acme.org", "mail a@example.com or noreply@github.com", "a@example.com b@other.io", "fine", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = [r[0] for r in df.orderBy("id").select(T.publishable(F.col("text"), rules)).collect()]
+    assert got == ["[org] and acmes, [id] not C-1293", None, None, "mail kim@[org].org", texts[4], None, "fine", None]
+    found = {(r.id, r.kind): (r.lines, r.first_line) for r in T.privacy_scan(df, "id", "text", [(a, b) for a, b, _ in rules]).collect()}
+    assert found == {(0, "identifier"): (1, 1), (1, "home_path"): (1, 1), (2, "home_path"): (1, 1), (3, "identifier"): (1, 1), (3, "contact"): (1, 1), (5, "contact"): (1, 1)}
+    with pytest.raises(ValueError):
+        T.identifier_pattern("ab", "word")
