@@ -179,8 +179,11 @@ def window_captions(frames: DataFrame, captions: DataFrame, k: int = 2) -> DataF
     sensitive ones don't count."""
     usable = captions.where("status = 'complete'").where(~T.is_sensitive(F.col("caption")) & (F.col("caption") != ""))
     met = usable.join(frames.where(F.coalesce("win", F.lit("")) != "").select("id", "app", "win", "at_us"), "id")
-    rank = F.row_number().over(Window.partitionBy("app", "win").orderBy("at_us", "id", "ord"))
-    first = met.withColumn("r", rank).where(F.col("r") <= k)
+    # By day first, so that the commonest title is not all of one task; what is left of it is k rows a day.
+    order = ("at_us", "id", "ord")
+    daily = F.row_number().over(Window.partitionBy("app", "win", "__day").orderBy(*order))
+    met = met.withColumn("__day", F.floor(F.col("at_us") / DAY)).withColumn("r", daily).where(F.col("r") <= k)
+    first = met.withColumn("r", F.row_number().over(Window.partitionBy("app", "win").orderBy(*order))).where(F.col("r") <= k)
     return first.groupBy("app", "win").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "caption"))), lambda s: s["caption"]).alias("captions"))
 
 

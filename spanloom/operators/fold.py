@@ -138,3 +138,20 @@ def frame_episodes(frames: DataFrame, keys: list[str], context: list[str], gap_u
     whole = edge.groupBy(*keys, "__n").agg(F.min_by("episode", F.struct("__day", "__e")).alias("episode"), F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.sum("frames").alias("frames"))
     cols = [*keys, "episode", "start_us", "end_us", "frames"]
     return whole.select(*cols).unionByName(parts.where("NOT __edge").select(*cols))
+
+
+def with_episode(frames: DataFrame, keys: list[str], context: list[str], gap_us: int = 120 * SECOND) -> DataFrame:
+    """frames with `episode`, as frame_episodes() names it: the first frame of their row of one context, also over midnights."""
+    day = [*keys, "__day"]
+    w = Window.partitionBy(*day).orderBy("at_us", "id")
+    told = frames.withColumn("__day", F.floor(F.col("at_us") / DAY)).withColumn("__c", F.struct(*context))
+    same = F.coalesce(F.col("at_us") - F.lag("at_us").over(w) <= gap_us, F.lit(False)) & F.lag("__c").over(w).eqNullSafe(F.col("__c"))
+    told = told.withColumn("__e", F.sum((~same).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = told.groupBy(*day, "__e").agg(F.min_by("id", F.struct("at_us", "id")).alias("episode"), F.min("at_us").alias("start_us"), F.max("at_us").alias("end_us"), F.first("__c").alias("__c"))
+    edge = parts.withColumn("__edge", (F.col("__e") == 1) | (F.col("__e") == F.max("__e").over(Window.partitionBy(*day)))).where("__edge")
+    v = Window.partitionBy(*keys).orderBy("__day", "__e")
+    joins = F.coalesce((F.lag("__day").over(v) < F.col("__day")) & (F.col("start_us") - F.lag("end_us").over(v) <= gap_us), F.lit(False)) & F.lag("__c").over(v).eqNullSafe(F.col("__c"))
+    edge = edge.withColumn("__n", F.sum((~joins).cast("long")).over(v.rowsBetween(Window.unboundedPreceding, 0)))
+    first = edge.withColumn("named", F.first("episode").over(Window.partitionBy(*keys, "__n").orderBy("__day", "__e"))).select(*day, "__e", "named")
+    names = parts.select(*day, "__e", "episode").join(first, [*day, "__e"], "left").select(*day, "__e", F.coalesce("named", "episode").alias("episode"))
+    return with_same(told, names, [*day, "__e"]).drop("__day", "__e", "__c")

@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
+from spanloom.functions.time import SECOND
 from spanloom.operators.components import components, meet
 from spanloom.operators.evidence import hamming_pairs
+from spanloom.operators.fold import with_episode
 from spanloom.operators.interval import union_us
 from spanloom.operators.rank import numbered
 from spanloom.sources.scratch import removed, written
@@ -109,6 +111,47 @@ def hold_out(rows: DataFrame, share: float) -> DataFrame:
     return rows.join(held, "group", "left").withColumn("held", F.coalesce("held", F.lit(False)))
 
 
+def middle_turn(pos: Column, n: Column) -> Column:
+    """When a row at a place from 0 of n is taken if the middle one of what is left is, again and again."""
+    d = pos - F.floor(n / 2)
+    odd = F.when(d > 0, 2 * d - 1).otherwise(-2 * d)
+    return F.when(n % 2 == 1, odd).otherwise(F.when(d < 0, -2 * d - 1).otherwise(2 * d))
+
+
+def specialization_split(frames: DataFrame, today: int, quotas: dict[str, int], most_bits: int = 4) -> DataFrame:
+    """Frames for training and the held-out parts: (id, day, split, episode, ord).
+
+    frames: id, device, at_us, day (local), app, win, code (64 bits), ok (text read, nothing sensitive). Of the days before
+    today the last one tests, the one before validates, the others train. Episodes with frames in two parts are left out. Of
+    each context in each half hour the middle frame is a candidate; apps take turns, from the middle of their time outwards.
+    In the order test, validation, train a frame goes if its code is within most_bits of one selected before; the first
+    `quotas` of each part stay. Fewer than three days raise.
+    """
+    told = with_episode(frames.select("id", "device", "at_us", "day", "app", "win", "code", "ok"), ["device"], ["app", "win"])
+    days = [r.day for r in frames.where(F.col("day") < today).select("day").distinct().orderBy(F.desc("day")).limit(3).collect()]
+    if len(days) < 3:
+        raise ValueError("three whole days are needed")
+    split = F.when(F.col("day") == days[0], "test").when(F.col("day") == days[1], "validation").when(F.col("day") < today, "train")
+    told = told.withColumn("split", split)
+    crossing = told.where("split IS NOT NULL").groupBy("device", "episode").agg(F.count_distinct("split").alias("n")).where("n > 1").select("device", "episode")
+    fit = told.where("split IS NOT NULL AND ok").join(crossing, ["device", "episode"], "left_anti")
+    group = ["day", "app", "win", "half"]
+    fit = fit.withColumn("half", F.floor(F.col("at_us") / (1800 * SECOND)))
+    w = Window.partitionBy(*group)
+    one = fit.withColumns({"r": F.row_number().over(w.orderBy("at_us", "id")), "n": F.count(F.lit(1)).over(w)}).where(F.col("r") == F.floor(F.col("n") / 2) + 1)
+    by_app = Window.partitionBy("split", "app")
+    one = one.withColumns({"pos": F.row_number().over(by_app.orderBy("at_us", "id")) - 1, "n": F.count(F.lit(1)).over(by_app), "first": F.min(F.struct("at_us", "id")).over(by_app)})
+    ranked = written(one.withColumn("turn", middle_turn(F.col("pos"), F.col("n"))).withColumn("ord", F.row_number().over(Window.partitionBy("split").orderBy("turn", "first")).cast("long")).select("id", "day", "split", "episode", "code", "ord"))
+    chosen = None
+    for name in ("test", "validation", "train"):
+        own = ranked.where(F.col("split") == name)
+        before = [] if chosen is None else [chosen.select("id", F.lit(0).cast("long").alias("ord"), "code")]
+        kept = greedy_exclusion(reduce(DataFrame.unionByName, [own.select("id", "ord", "code"), *before]), most_bits).where("kept").select("id")
+        first = own.join(kept, "id", "left_semi").orderBy("ord").limit(quotas[name])
+        chosen = written(first if chosen is None else chosen.unionByName(first))
+    return chosen.drop("code")
+
+
 def cohort(frames: DataFrame, reason: Column, key: str, quota: int) -> DataFrame:
     """The frames of each key that a trial asks about: (key, id, bin, episode, rank), at most `quota`.
 

@@ -11,6 +11,7 @@ from spanloom.functions.time import DAY, MINUTE, SECOND
 from spanloom.operators import activity as A
 from spanloom.operators import review as W
 from spanloom.operators import rollup as R
+from spanloom.operators import trial as E
 from spanloom.operators.interval import cut
 from spanloom.plans.book import Book
 from spanloom.plans.queries_activity import BLOCK_PARTS, FOLD, _runs, _segs
@@ -302,3 +303,14 @@ def ledger_counts(spark, d):
     """Rows by table and source."""
     parts = [V.table(spark, d, t).groupBy(F.col(c).alias("source")).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(t).alias("ledger"), "source", "rows") for t, c in COUNTED.items()]
     return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@query()
+def specialization_split(spark, d):
+    """Frames selected for training and held-out parts, by the survey's rules; the tests hold it against a plain version."""
+    f, i = V.frames(spark, d), F.col("id")
+    at = V.EPOCH_2024 + F.floor(i / 5) * 9000 * SECOND + (i % 5) * MINUTE  # five frames every two and a half hours
+    f = f.withColumn("at_us", at)
+    frames = f.select("id", (F.floor(i / 5) % 2).alias("device"), "at_us", F.floor(F.col("at_us") / DAY).alias("day"), "app", F.concat(F.lit("w"), (i % 2).cast("string")).alias("win"), F.xxhash64("text").alias("code"), (~T.is_sensitive(F.col("text"))).alias("ok"))
+    last = frames.agg(F.max("day").alias("day")).first().day
+    return E.specialization_split(frames, last + 1, {"test": 20, "validation": 20, "train": 60})

@@ -88,3 +88,53 @@ def test_groups_are_held_whole(spark):
     got = trial.hold_out(spark.createDataFrame(rows, "id long, group long"), 0.3).collect()
     assert sum(g.held for g in got) == 15 and all(len({g.held for g in got if g.group == k}) == 1 for k in range(1, 6))
     assert not any(g.held for g in trial.hold_out(spark.createDataFrame(rows, "id long, group long"), 0.02).collect())
+
+
+def plain_split(rows, today, quotas):
+    days = sorted({r["day"] for r in rows if r["day"] < today})
+    part = {x: "test" if x == days[-1] else "validation" if x == days[-2] else "train" for x in days}
+    episode, before = {}, {}
+    for r in sorted(rows, key=lambda r: (r["device"], r["at_us"], r["id"])):
+        key, last = (r["app"], r["win"]), before.get(r["device"])
+        name = last[2] if last and key == last[1] and r["at_us"] - last[0] <= 120_000_000 else r["id"]
+        episode[r["id"]], before[r["device"]] = (r["device"], name), (r["at_us"], key, name)
+    parts = {}
+    for r in rows:
+        if r["day"] in part:
+            parts.setdefault(episode[r["id"]], set()).add(part[r["day"]])
+    groups = {}
+    for r in sorted(rows, key=lambda r: (r["at_us"], r["id"])):
+        if r["day"] in part and r["ok"] and len(parts[episode[r["id"]]]) == 1:
+            groups.setdefault((r["day"], r["app"], r["win"], r["at_us"] // 1_800_000_000), []).append(r)
+    chosen, seen = [], []
+    for split in ("test", "validation", "train"):
+        buckets = {}
+        for r in sorted((g[len(g) // 2] for k, g in groups.items() if part[k[0]] == split), key=lambda r: (r["at_us"], r["id"])):
+            buckets.setdefault(r["app"], []).append(r)
+        order = []
+        while any(buckets.values()):
+            order += [b.pop(len(b) // 2) for b in buckets.values() if b]
+        count = 0
+        for r in order:
+            if count == quotas[split] or any((r["code"] ^ c).bit_count() <= 4 for c in seen):
+                continue
+            seen.append(r["code"])
+            chosen.append((r["id"], split, episode[r["id"]][1]))
+            count += 1
+    return sorted(chosen)
+
+
+def test_split_for_training_is_the_plain_one(spark):
+    r = random.Random(8)
+    base = [r.getrandbits(63) for _ in range(25)]
+    rows, at = [], 5 * 86_400_000_000 - 4_000_000_000
+    for i in range(260):
+        at += r.choice([20, 60, 100, 400, 6000]) * 1_000_000
+        code = r.choice(base) ^ (1 << r.randrange(63)) ^ (1 << r.randrange(63))
+        rows.append({"id": i, "device": r.randint(1, 2), "at_us": at, "day": at // 86_400_000_000, "app": r.choice("abc"), "win": r.choice("xy"), "code": code, "ok": r.random() < 0.9})
+    today = max(x["day"] for x in rows)
+    quotas = {"test": 3, "validation": 4, "train": 9}
+    got = trial.specialization_split(spark.createDataFrame(rows, "id long, device long, at_us long, day long, app string, win string, code long, ok boolean"), today, quotas).collect()
+    assert sorted((g.id, g.split, g.episode) for g in got) == plain_split(rows, today, quotas) and len(got) > 8
+    with pytest.raises(ValueError):
+        trial.specialization_split(spark.createDataFrame(rows[:1], "id long, device long, at_us long, day long, app string, win string, code long, ok boolean"), 99, quotas)
