@@ -8,7 +8,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# What counts as sensitive, as an address, as a number that identifies.
+# What counts as sensitive, as an address, as a number that identifies. Word bounds are written out, since Java
+# and RE2 differ on what is a word at \b.
 SENSITIVE = (
     r"(?i)(^|[^A-Za-z0-9_])(password|passcode|verification code|one.time code|recovery key|credit card|bank account|"
     r"social security|api key|keychain|1password|bitwarden|dashlane|proton pass|suicid(?:e|al)|self.harm|kill myself|"
