@@ -26,7 +26,7 @@ def test_registered():
     import __spark_entry__ as e
 
     names = e.queries()
-    assert "pipeline" in names and sum(n.startswith("op") for n in names) == 10
+    assert "pipeline" in names and sum(n.startswith("op") for n in names) == 13
 
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, `a.b` string, toxicity string, pii_spans string, node long, `__text` string"
@@ -66,7 +66,7 @@ def test_stage_on_odd_rows_and_none(spark, folder, odd, name):
     rows = out.collect()
     ids = sorted((r.doc_id for r in rows if r.doc_id is not None))
     if name in ("toxicity", "pii"):
-        assert len(rows) == 10
+        assert len(rows) == 13
     if name == "near_dup":  # one row of the id that repeats; rows without an id stay
         assert ids == [1, 2, 3, 4, 5, 6] and len(rows) == 8
     if name == "packing":
