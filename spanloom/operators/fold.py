@@ -1,15 +1,15 @@
-"""Selections whose next step depends on the last row kept or on a cluster's first: ordered folds over small groups."""
+"""Selections whose next step depends on the last row kept or on a cluster's first: each row's successor, then its chain."""
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from spanloom.functions.time import DAY, SECOND
+from spanloom.operators.chain import followed
 from spanloom.operators.interval import with_same
+from spanloom.operators.rank import numbered
+from spanloom.sources.scratch import written
 
 
 def l2(a, b):
@@ -17,81 +17,58 @@ def l2(a, b):
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x))
 
 
-def _parts(df: DataFrame, keys: list[str], at: str, tie: str, span_us: int) -> DataFrame:
-    """df with `part`, new after a hole of more than span_us: no fold below looks over one.
+def _ahead(frames: DataFrame, keys: list[str], span_us: int, cols: list[str]) -> DataFrame:
+    """frames numbered by (at_us, id) as n, with `ahead`: this row and those up to span_us after it, in order, as structs.
 
-    Holes are found by day; one row a day then tells how many parts begin before it, and whether its first row begins one.
+    Rows without a time are left out. Windows are a key's day, or its span if that is longer, and what the last rows look
+    at beyond it; a row's work is the rows in its span.
     """
-    day = [*keys, "__day"]
-    w = Window.partitionBy(*day).orderBy(at, tie)
-    told = df.withColumn("__day", F.floor(F.col(at) / DAY))
-    told = told.withColumn("__hole", F.coalesce((F.col(at) - F.lag(at).over(w) > span_us).cast("long"), F.lit(0)))
-    told = told.withColumn("__own", F.sum("__hole").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    v = Window.partitionBy(*keys).orderBy("__day")
-    days = told.groupBy(*day).agg(F.min(at).alias("first"), F.max(at).alias("last"), F.sum("__hole").alias("holes"))
-    begins = F.coalesce((F.col("first") - F.lag("last").over(v) > span_us).cast("long"), F.lit(1)) + F.coalesce(F.lag("holes").over(v), F.lit(0))
-    days = days.withColumn("begins", begins).select(*day, F.sum("begins").over(v.rowsBetween(Window.unboundedPreceding, 0)).alias("__before"))
-    return with_same(told, days, day).withColumn("part", F.col("__before") + F.col("__own")).drop("__day", "__hole", "__own", "__before")
+    told = frames.where("at_us IS NOT NULL").select(*keys, "id", "at_us", *cols)
+    told = numbered(told, keys, ["at_us", "id", F.xxhash64(*told.columns)], [F.floor(F.col("at_us") / DAY)], "n")
+    return _looked(told, keys, span_us, cols)
 
 
-def _folded(parts: DataFrame, keys: list[str], cols: list[str], step, schema) -> DataFrame:
-    """One ordered pass over each part: step(state, *cols) gives the next state and the row's values, None for no row.
+def _looked(told: DataFrame, keys: list[str], span_us: int, cols: list[str]) -> DataFrame:
+    size = max(DAY, span_us)
+    own, early = F.floor(F.col("at_us") / size), F.pmod(F.col("at_us"), F.lit(size)) <= span_us
+    both = told.withColumn("__own", own).withColumn("__in", F.explode(F.when(early, F.array("__own", F.col("__own") - 1)).otherwise(F.array("__own"))))
+    w = Window.partitionBy(*keys, "__in").orderBy("at_us").rangeBetween(0, span_us)
+    seen = both.withColumn("ahead", F.collect_list(F.struct("n", "at_us", *cols)).over(w)).where("__own = __in").drop("__own", "__in")
+    return seen.withColumn("ahead", F.sort_array(F.filter("ahead", lambda x: x.n >= F.col("n"))))
 
-    State is None where a part begins. Only it is carried between batches, so a part of any length needs no more memory.
-    """
-    group, arrow = [*keys, "part"], to_arrow_schema(schema)
 
-    def run(batches):
-        now, state = None, None
-        for batch in batches:
-            out = []
-            of = zip(*[batch.column(k).to_pylist() for k in group], strict=True)
-            for g, row in zip(of, zip(*[batch.column(c).to_pylist() for c in cols], strict=True), strict=True):
-                if g != now:
-                    now, state = g, None
-                state, found = step(state, *row)
-                if found is not None:
-                    out.append((*g[:-1], *found))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(arrow)], schema=arrow)
+def _next(drops) -> Column:
+    """The number of the first row after this one that drops(x, before) doesn't drop, `before` being x's predecessor."""
+    first = F.get(F.filter("ahead", lambda x, i: (i > 0) & ~drops(x, F.get("ahead", i - 1))), F.lit(0)).n
+    return F.coalesce(first, F.col("n") + F.size("ahead"))
 
-    rows = parts.select(*group, *cols).repartition(*group).sortWithinPartitions(*group, "at_us", "id")
-    return rows.mapInArrow(run, schema)
+
+def _near(x: Column, distance: float) -> Column:
+    return F.coalesce(l2(F.col("vector"), x.vector) <= distance, F.lit(False))
 
 
 def feature_dedupe(frames: DataFrame, keys: list[str], span_us: int = 120 * SECOND, distance: float = 0.10) -> DataFrame:
     """Frames (id, at_us, vector) without those within span_us and distance of the last one kept of the same keys.
 
-    A kept frame without a vector becomes the reference all the same, and then nothing matches it.
+    A kept frame without a vector becomes the reference all the same, and then nothing matches it; vectors of unequal
+    lengths or with nulls match none.
     """
-
-    def step(last, i, at, v):
-        close = last is not None and v is not None and last[1] is not None and 0 <= at - last[0] <= span_us and len(v) == len(last[1])
-        if close and np.sqrt(((np.asarray(v, float) - np.asarray(last[1], float)) ** 2).sum()) <= distance:
-            return last, None
-        return (at, v), (i, at)
-
-    told = _parts(frames.select(*keys, "id", "at_us", "vector"), keys, "at_us", "id", span_us)
-    schema = frames.select(*keys, "id", "at_us").schema
-    return _folded(told, keys, ["id", "at_us", "vector"], step, schema)
+    told = _ahead(frames, keys, span_us, ["vector"]).withColumn("next", _next(lambda x, _: _near(x, distance)))
+    return followed(told, keys, ["id", "at_us"]).select(*keys, "id", "at_us")
 
 
 def similarity_clusters(frames: DataFrame, keys: list[str], span_us: int = 120 * SECOND, distance: float = 0.10) -> DataFrame:
     """(keys, id, at_us, first_id): a frame joins if its app is the frame's before and it is near the cluster's first.
 
-    A frame that is not eligible ends a cluster and is in none.
+    A frame that is not eligible, or has no vector, ends a cluster and is in none.
     """
-
-    def step(state, i, at, a, v, ok):
-        first, app = state or (None, None)
-        if not ok or v is None:
-            return (None, app), None
-        v = np.asarray(v, float)
-        if first is None or a != app or at - first[1] > span_us or np.sqrt(((v - first[2]) ** 2).sum()) > distance:
-            first = (i, at, v)
-        return (first, a), (i, at, first[0])
-
-    told = _parts(frames.select(*keys, "id", "at_us", "app", "vector", "eligible"), keys, "at_us", "id", span_us)
-    return _folded(told, keys, ["id", "at_us", "app", "vector", "eligible"], step, frames.select(*keys, "id", "at_us", F.col("id").alias("first_id")).schema)
+    cols = ["app", "vector", "eligible"]
+    told = frames.where("at_us IS NOT NULL").withColumn("eligible", F.coalesce("eligible", F.lit(False)) & F.col("vector").isNotNull()).select(*keys, "id", "at_us", *cols)
+    told = written(numbered(told, keys, ["at_us", "id", F.xxhash64(*told.columns)], [F.floor(F.col("at_us") / DAY)], "n"))
+    joins = lambda x, before: F.col("eligible") & x.eligible & before.eligible & x.app.eqNullSafe(before.app) & _near(x, distance)
+    first = followed(_looked(told, keys, span_us, cols).withColumn("next", _next(joins)), keys, ["id", "eligible"])
+    of = first.where("eligible").select(*keys, F.explode(F.sequence("n", F.col("next") - 1)).alias("n"), F.col("id").alias("first_id"))
+    return with_same(told, of, [*keys, "n"]).select(*keys, "id", "at_us", "first_id")
 
 
 def label_propagation(clusters: DataFrame, labels: DataFrame) -> DataFrame:
@@ -108,16 +85,11 @@ def cadence_keep(frames: DataFrame, keys: list[str], least_us: int = 20 * SECOND
     differs by `change` or more.
     """
 
-    def step(last, i, at, c, d, x):
-        if last is not None and c == last[1]:
-            age = at - last[0]
-            known = x is not None and last[3] is not None
-            if age < least_us or age < most_us and (d is not None and d == last[2] or known and abs(x - last[3]) < change):
-                return last, None
-        return (at, c, d, x), (i, at)
-
-    told = _parts(frames.select(*keys, "id", "at_us", "context", "digest", "level"), keys, "at_us", "id", most_us)
-    return _folded(told, keys, ["id", "at_us", "context", "digest", "level"], step, frames.select(*keys, "id", "at_us").schema)
+    age, level = lambda x: x.at_us - F.col("at_us"), lambda x: F.coalesce(F.abs(x.level - F.col("level")) < change, F.lit(False))
+    same = lambda x: F.coalesce(x.digest == F.col("digest"), F.lit(False)) | level(x)
+    drops = lambda x, _: x.context.eqNullSafe(F.col("context")) & ((age(x) < least_us) | (age(x) < most_us) & same(x))
+    told = _ahead(frames, keys, max(least_us, most_us), ["context", "digest", "level"]).withColumn("next", _next(drops))
+    return followed(told, keys, ["id", "at_us"]).select(*keys, "id", "at_us")
 
 
 def frame_episodes(frames: DataFrame, keys: list[str], context: list[str], gap_us: int = 120 * SECOND) -> DataFrame:

@@ -151,21 +151,3 @@ def test_accounting_drift_is_named(spark, bad, code):
     row = base | bad
     df = spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} long" for k in row))
     assert [r.code for r in Q.check_accounting(df).collect()] == ([code] if code else [])
-
-
-def test_parts_by_day_equal_one_window(spark):
-    import random
-
-    r = random.Random(6)
-    at = sorted(r.randrange(0, 5 * DAY) for _ in range(400))
-    rows = [(None if i % 3 == 0 else i % 3, i, t) for i, t in enumerate(at)] + [(7, 1000 + i, i * 100 * S) for i in range(2000)]
-    df = spark.createDataFrame(rows, "device long, id long, at_us long")
-    got = fold._parts(df, ["device"], "at_us", "id", 1500 * S).collect()
-    assert len(got) == len(rows)
-    for d in {x.device for x in got}:
-        own = sorted((x for x in got if x.device == d), key=lambda x: (x.at_us, x.id))
-        n, last = 0, None
-        for x in own:
-            n += last is None or x.at_us - last > 1500 * S
-            last = x.at_us
-            assert x.part == n
