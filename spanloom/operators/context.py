@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
-from spanloom.functions.time import DAY, MINUTE, SECOND
+from spanloom.functions.time import DAY, HOUR, MINUTE, SECOND
 from spanloom.operators.asof import nearest
 from spanloom.operators.evidence import first_reason
 from spanloom.operators.interval import point_join
@@ -216,18 +216,79 @@ def search(records: DataFrame, text: str, device: int | None = None, k: int = 50
     return found.orderBy("start_us", "device", "label").limit(k)
 
 
+def _specific(tags: DataFrame) -> DataFrame:
+    """(__a, __w, topic): one topic a window, of several the first; a topic without a subject is none."""
+    told = tags.where((F.col("status") == "model_inference") & (F.size(T.subject_tokens(F.col("topic"))) > 0))
+    return told.groupBy(F.col("app").alias("__a"), F.col("win").alias("__w")).agg(F.min("topic").alias("topic"))
+
+
 def allocate_topics(segments: DataFrame, tags: DataFrame, keys: list[str]) -> DataFrame:
     """Active time by keys, label and status: a window's specific topic (app, win, topic, status), else its broad context.
 
     One tag a window: of several, the first by topic. A topic without a subject is none.
     """
-    known = tags.where((F.col("status") == "model_inference") & (F.size(T.subject_tokens(F.col("topic"))) > 0)).groupBy(F.col("app").alias("__a"), F.col("win").alias("__w")).agg(F.min("topic").alias("topic"))
-    told = segments.where("state = 'active'").join(known, F.col("app").eqNullSafe(F.col("__a")) & (F.col("win") == F.col("__w")), "left")
+    told = segments.where("state = 'active'").join(_specific(tags), F.col("app").eqNullSafe(F.col("__a")) & (F.col("win") == F.col("__w")), "left")
     broad = T.broad_context(F.col("win"), F.col("app"))
     status = F.when(F.col("topic").isNotNull(), "specific_model").when(F.col("label") == "Unclear", "unclassified").otherwise("broad_context")
     return told.withColumn("label", F.coalesce("topic", broad)).withColumn("status", status).groupBy(*keys, "label", "status").agg(F.sum("sampled_us").alias("us"))
 
 
+def topic_stretches(segments: DataFrame, tags: DataFrame, keys: list[str], gap_us: int = SECOND) -> DataFrame:
+    """Stretches of one specific topic or one exact window: label, status, start_us, end_us, sampled us, apps in the order
+    they were first seen, whether the context `switched` into the stretch, and changes of window in it.
+
+    Several apps may share a stretch only by their topic; a sensitive title has none. Whatever is not active, has no
+    sampled time or no length, and a gap of more than gap_us, ends a stretch, and what follows it is no switch. Without a
+    title the label is the broad context.
+    """
+    w = Window.partitionBy(*keys).orderBy("start_us", "end_us")
+    hidden, title = T.is_sensitive(F.col("win")), F.coalesce("win", F.lit(""))
+    told = segments.join(_specific(tags), F.col("app").eqNullSafe(F.col("__a")) & (F.col("win") == F.col("__w")), "left").drop("__a", "__w")
+    told = told.withColumn("topic", F.when(~hidden, F.col("topic")))
+    told = told.withColumn("label", F.coalesce("topic", F.when((title != "") & ~hidden, F.left("win", F.lit(160))), T.broad_context(F.col("win"), F.col("app"))))
+    exact = F.struct(F.coalesce("app", F.lit("")), title)
+    told = told.withColumns({"__seen": F.coalesce((F.col("state") == "active") & (F.col("sampled_us") > 0) & (F.col("end_us") > F.col("start_us")), F.lit(False)), "__win": exact, "__own": F.struct("topic", F.when(F.col("topic").isNull(), exact))})
+    told = told.withColumn("__next", F.col("__seen") & F.coalesce(F.lag("__seen").over(w) & (F.col("start_us") - F.lag("end_us").over(w)).between(0, gap_us), F.lit(False)))
+    other = lambda c: F.col("__next") & ~F.lag(c).over(w).eqNullSafe(F.col(c))
+    told = told.withColumns({"__moved": other("__own"), "__turned": other("__win")})
+    told = told.withColumn("__n", F.sum((F.col("__seen") & (~F.col("__next") | F.col("__moved"))).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    apps = F.filter(F.transform(F.sort_array(F.collect_list(F.struct("start_us", "app"))), lambda x: x.app), lambda a: a != "")
+    return (
+        told.where("__seen")
+        .groupBy(*keys, "__n")
+        .agg(
+            F.min("label").alias("label"),
+            F.min(F.when(F.col("topic").isNotNull(), "specific_model").otherwise("observed_window")).alias("status"),
+            F.min("start_us").alias("start_us"),
+            F.max("end_us").alias("end_us"),
+            F.sum("sampled_us").alias("us"),
+            F.array_distinct(apps).alias("apps"),
+            F.max("__moved").alias("switched"),
+            F.sum(F.col("__turned").cast("long")).alias("window_switches"),
+        )
+        .drop("__n")
+    )
+
+
+def stretch_measures(stretches: DataFrame, keys: list[str]) -> DataFrame:
+    """Of topic_stretches() by keys: stretches, switches of context and window, sampled time, context switches an hour of
+    it in thousandths, median and longest, time in those of 20 minutes or more, and how many last below 2 minutes.
+
+    With keys without the day these are a period's: the rate is made of sums, and the median of all its stretches.
+    """
+    told = stretches.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("sessions"),
+        F.count_if("switched").alias("context_switches"),
+        F.sum("window_switches").alias("window_switches"),
+        F.sum("us").alias("us"),
+        F.floor(F.median("us")).alias("median_us"),
+        F.max("us").alias("longest_us"),
+        F.sum(F.when(F.col("us") >= 1200 * SECOND, F.col("us")).otherwise(0)).alias("sustained_us"),
+        F.count_if(F.col("us") < 120 * SECOND).alias("brief"),
+    )
+    return told.withColumn("switches_per_hour_x1000", F.expr(f"CAST(CAST(context_switches AS DECIMAL(38, 0)) * 1000 * {HOUR} div us AS BIGINT)"))
+
+
 def fresh_hypotheses(hypotheses: DataFrame, episodes: DataFrame, sources: DataFrame, runtime: dict[str, str], version: int) -> DataFrame:
     """hypotheses with why each may not be used, by rank; ok if all still matches.
 

@@ -152,11 +152,15 @@ TOPICS = f"""tags2 AS (SELECT app, win, CASE WHEN app = 'app1' AND win = 'w1' TH
     al AS (SELECT s.device, s.day, coalesce(CASE WHEN t.topic <> 'video page' THEN t.topic END, {_ladder("s.win", "s.app", "NULL::VARCHAR")}) AS label, CASE WHEN t.topic <> 'video page' THEN 'specific_model' ELSE 'broad_context' END AS status, sampled_us FROM segments s LEFT JOIN tags2 t ON t.app = s.app AND t.win = s.win WHERE s.state = 'active')"""
 
 
-def _topics(spark, d, segs=None):
+def _tags(spark, d):
     i = F.col("id")
     f = V.frames(spark, d).select(F.concat(F.lit("app"), (i % 2).cast("string")).alias("app"), F.concat(F.lit("w"), (F.floor(i / 2) % 2).cast("string")).alias("win"), F.col("app").alias("source")).where("NOT (app = 'app0' AND win = 'w0')")
     tags = f.groupBy("app", "win").agg(F.min(F.concat(F.lit("project "), "source")).alias("topic")).withColumn("status", F.lit("model_inference"))
-    tags = tags.withColumn("topic", F.when((F.col("app") == "app1") & (F.col("win") == "w1"), "video page").otherwise(F.col("topic")))
+    return tags.withColumn("topic", F.when((F.col("app") == "app1") & (F.col("win") == "w1"), "video page").otherwise(F.col("topic")))
+
+
+def _topics(spark, d, segs=None):
+    tags = _tags(spark, d)
     return C.allocate_topics(_segs(spark, d) if segs is None else segs, tags, A.KEYS)
 
 
@@ -166,6 +170,43 @@ def topic_allocation(spark, d):
     return _topics(spark, d)
 
 
+TOPIC_STRETCHES = f"""{V.SEGMENTS}, {V.FRAMES}, {TOPICS},
+    sg AS (SELECT s.device, s.day, s.start_us, s.end_us, s.state, coalesce(s.app, '') || chr(1) || coalesce(s.win, '') AS exact, s.sampled_us, s.app, CASE WHEN t.topic <> 'video page' THEN t.topic END AS topic, coalesce(CASE WHEN t.topic <> 'video page' THEN t.topic END, nullif(s.win, ''), {_ladder("s.win", "s.app", "NULL::VARCHAR")}) AS label, s.state = 'active' AND s.sampled_us > 0 AS seen FROM segments s LEFT JOIN tags2 t ON t.app = s.app AND t.win = s.win),
+    nx AS (SELECT *, coalesce('topic ' || topic, exact) AS own, seen AND coalesce(lag(seen) OVER w AND start_us - lag(end_us) OVER w BETWEEN 0 AND {{gap}}, false) AS next FROM sg WINDOW w AS (PARTITION BY device, day ORDER BY start_us)),
+    mv AS (SELECT *, next AND lag(own) OVER w <> own AS moved, next AND lag(exact) OVER w <> exact AS turned FROM nx WINDOW w AS (PARTITION BY device, day ORDER BY start_us)),
+    st AS (SELECT *, sum(CASE WHEN seen AND (NOT next OR moved) THEN 1 ELSE 0 END) OVER (PARTITION BY device, day ORDER BY start_us) AS n FROM mv),
+    ap AS (SELECT device, day, n, string_agg(app, ',' ORDER BY since) AS apps FROM (SELECT device, day, n, app, min(start_us) AS since FROM st WHERE seen AND app <> '' GROUP BY ALL) GROUP BY ALL),
+    ts AS (SELECT device, day, label, status, start_us, end_us, us, coalesce(apps, '') AS apps, switched, window_switches FROM (SELECT device, day, n, min(label) AS label, CASE WHEN min(topic) IS NULL THEN 'observed_window' ELSE 'specific_model' END AS status, min(start_us) AS start_us, max(end_us) AS end_us, CAST(sum(sampled_us) AS BIGINT) AS us, bool_or(moved) AS switched, CAST(sum(turned::INT) AS BIGINT) AS window_switches FROM st WHERE seen GROUP BY device, day, n) LEFT JOIN ap USING (device, day, n))"""
+#: Samples of the tables lie further apart than those of a device that is in use.
+NEXT_US = 1800 * SECOND
+TOPIC_STRETCHES = TOPIC_STRETCHES.format(gap=NEXT_US)
+
+
+def _topic_stretches(spark, d):
+    return C.topic_stretches(_segs(spark, d), _tags(spark, d), A.KEYS, NEXT_US)
+
+
+@query(f"WITH {TOPIC_STRETCHES} SELECT * FROM ts")
+def topic_stretches(spark, d):
+    """Stretches of one topic or exact window, with their apps in order of appearance."""
+    return _topic_stretches(spark, d).withColumn("apps", F.array_join("apps", ","))
+
+
+def _measures_sql(by: str) -> str:
+    return f"""WITH {TOPIC_STRETCHES} SELECT {by}, count(*) AS sessions, count(*) FILTER (switched) AS context_switches, CAST(sum(window_switches) AS BIGINT) AS window_switches, CAST(sum(us) AS BIGINT) AS us, CAST(floor(median(us)) AS BIGINT) AS median_us, max(us) AS longest_us,
+    CAST(sum(CASE WHEN us >= 1200000000 THEN us ELSE 0 END) AS BIGINT) AS sustained_us, count(*) FILTER (us < 120000000) AS brief, CAST(count(*) FILTER (switched)::HUGEINT * 3600000000000 // sum(us) AS BIGINT) AS switches_per_hour_x1000 FROM ts GROUP BY {by}"""
+
+
+@query(_measures_sql("device, day"))
+def topic_stretch_measures(spark, d):
+    return C.stretch_measures(_topic_stretches(spark, d), A.KEYS)
+
+
+@query(_measures_sql("device"))
+def topic_stretch_measures_of_periods(spark, d):
+    return C.stretch_measures(_topic_stretches(spark, d), ["device"])
+
+
 @query(f"WITH {V.SEGMENTS}, {V.FRAMES}, {TOPICS} SELECT device, label, status, CAST(sum(sampled_us) AS BIGINT) AS us, count(DISTINCT day) AS days FROM al WHERE sampled_us > 0 GROUP BY ALL")
 def merge_contexts(spark, d):
     """Topic totals of all days of a device, by label and status."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spanloom.functions import text as T
 from spanloom.functions.time import DAY, HOUR, MINUTE, SECOND
 from spanloom.operators import activity as A
+from spanloom.operators import context as C
 from spanloom.operators import review as W
 from spanloom.sources import ingest
 from spanloom.sources.periods import refresh
@@ -223,3 +224,29 @@ def test_what_is_private_is_flagged_and_refused(spark):
     assert found == {(0, "identifier"): (1, 1), (1, "home_path"): (1, 1), (2, "home_path"): (1, 1), (3, "identifier"): (1, 1), (3, "contact"): (1, 1), (5, "contact"): (1, 1)}
     with pytest.raises(ValueError):
         T.identifier_pattern("ab", "word")
+
+
+def test_topic_stretches(spark):
+    """One topic over two apps; a sensitive title has none; a return from idle and a gap are no switches."""
+    rows = [
+        (0, 600, "active", "editor", "plan.md"), (600, 1300, "active", "browser", "Budget sheet"), (1300, 1400, "active", "editor", "other.md"),
+        (1400, 1410, "idle", None, None), (1410, 1500, "active", "editor", "plan.md"),
+        (1505, 1600, "active", "editor", "plan.md"), (1600, 1601, "active", "editor", "password list"), (1601, 1700, "active", None, None),
+    ]
+    segs = runs(spark, rows).withColumn("sampled_us", F.col("end_us") - F.col("start_us"))
+    tags = [("editor", "plan.md", "Budget planning", "model_inference"), ("browser", "Budget sheet", "Budget planning", "model_inference"), ("editor", "other.md", "Taxes", "rejected"), ("editor", "password list", "Password change", "model_inference")]
+    told = C.topic_stretches(segs, spark.createDataFrame(tags, "app string, win string, topic string, status string"), ["device", "day"])
+    got = sorted(((r.start_us // SECOND, r.end_us // SECOND, r.label, r.status, r.apps, r.switched, r.window_switches) for r in told.collect()))
+    assert got == [
+        (0, 1300, "Budget planning", "specific_model", ["editor", "browser"], False, 1),
+        (1300, 1400, "other.md", "observed_window", ["editor"], True, 1),
+        (1410, 1500, "Budget planning", "specific_model", ["editor"], False, 0),
+        (1505, 1600, "Budget planning", "specific_model", ["editor"], False, 0),
+        (1600, 1601, "Sensitive window (topic hidden)", "observed_window", ["editor"], True, 1),
+        (1601, 1700, "Unclear", "observed_window", [], True, 1),
+    ]
+    m = C.stretch_measures(told, ["device"]).first()
+    us = 1300 + 100 + 90 + 95 + 1 + 99
+    assert (m.sessions, m.context_switches, m.window_switches, m.us, m.longest_us, m.sustained_us, m.brief) == (6, 3, 4, us * SECOND, 1300 * SECOND, 1300 * SECOND, 5)
+    assert (m.median_us, m.switches_per_hour_x1000) == (97 * SECOND, 3 * 3600 * 1000 // us)
+    assert C.stretch_measures(told.limit(0), ["device"]).collect() == []
