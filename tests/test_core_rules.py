@@ -119,6 +119,16 @@ def test_descriptions_are_set_by_path_model_and_prompt(spark):
     assert got == [("m", 1, "complete", 2), ("m", 2, "complete", 1), ("x", 1, "failed", 1)]
 
 
+def test_descriptions_of_one_time_and_number_do_not_depend_on_the_order_of_rows(spark):
+    kind = "path string, model string, prompt int, status string, attempts long, elapsed_s double, at_us long, n long"
+    rows = [("p", "m", 1, "complete", 5, 24.0, 20, 5), ("p", "m", 1, "filtered", 5, 24.0, 20, 5), ("p", "m", 1, "incomplete", 5, 17.0, 20, 5), ("p", "m", 1, "failed", 9, 99.0, None, 9)]
+    none = spark.createDataFrame([], kind)
+    for given in (rows, rows[::-1], rows[1:] + rows[:1], rows[2:] + rows[:2]):
+        df = spark.createDataFrame(given, kind).coalesce(1)
+        got = [r for pair in ((df, none), (none, df)) for r in ingest.upsert_descriptions(*pair).collect()]
+        assert [(r.status, r.attempts, r.elapsed_s, r.at_us, r.n) for r in got] == [("filtered", 5, 24.0, 20, 5)] * 2
+
+
 def files(base, name):
     return {os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, fs in os.walk(os.path.join(base, name)) for f in fs if f.endswith(".parquet")}
 
