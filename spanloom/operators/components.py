@@ -28,8 +28,11 @@ def meet(rows: DataFrame, stats: DataFrame, key: str, count: str, total: int) ->
     return met.where(found.isNotNull()).select(*rows.columns, *[found[v].alias(v) for v in values])
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u", F.lit(1)))).first())
+def _shape(edges: DataFrame) -> tuple[int, int]:
+    """How many edges (u, v) there are, and how many nodes keep them from being stars: a u of two edges, or one that is a v."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return tuple(nodes.agg(F.coalesce(F.sum("up"), F.lit(0)), F.count_if(F.expr("up > 1 OR (up = 1 AND down = 1)"))).first())
 
 
 def _with_least(edges: DataFrame, total: int) -> DataFrame:
@@ -41,18 +44,17 @@ def components(edges: DataFrame) -> DataFrame:
     """(u, root) for each node that has a smaller one in its component; root is the component's smallest node.
 
     `edges` has two long columns u and v; loops, repeats and either direction are fine. Nodes without edges, and the
-    roots themselves, have no row. Rounds go on until nothing changes; each is written to the shared folder in place of
-    the one before, so lost executors cost one round.
+    roots themselves, have no row. Rounds go on until all edges are stars, which one count tells; each is written to the
+    shared folder in place of the one before, so lost executors cost one round.
     """
     e = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
-    mark = _mark(e)
-    while mark[0]:
+    total, left = _shape(e)
+    while left:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = written(_with_least(both, 2 * mark[0]).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct())
-        down = _with_least(large, 2 * mark[0])
+        large = written(_with_least(both, 2 * total).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")))  # as many rows as e
+        down = _with_least(large, 2 * total)
         new = written(down.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct())
         removed(e, large)
-        e, before, mark = new, mark, _mark(new)
-        if mark == before:
-            break
+        e = new
+        total, left = _shape(e)
     return e.select("u", F.col("v").alias("root"))

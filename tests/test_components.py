@@ -46,6 +46,14 @@ def test_long_chain_settles(spark):
     assert got(spark, chain) == roots(chain)
 
 
+def test_stars_need_no_round(spark, monkeypatch):
+    writes = []
+    monkeypatch.setattr(C, "written", lambda df, f=C.written: writes.append(1) or f(df))
+    star = [(0, i) for i in range(1, 30)] + [(100, 101), (100, 101), (103, 100)]
+    assert got(spark, star) == roots(star) and len(writes) == 1
+    assert got(spark, [*star, (29, 100)]) == roots([*star, (29, 100)]) and len(writes) > 2
+
+
 def test_meet(spark, monkeypatch):
     monkeypatch.setattr(C, "LEAST_HOT", 3)
     rows = spark.createDataFrame([(k, i) for k, n in ((1, 50), (2, 2), (3, 4), (9, 1)) for i in range(n)], "k long, i long")
