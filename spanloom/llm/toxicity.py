@@ -47,7 +47,8 @@ def _compressor(content: bytes):
     if len(content) < 8:
         content = b" " * 8 + content
     words = zs.ZstdCompressionDict(content, dict_type=zs.DICT_TYPE_RAWCONTENT)
-    how = zs.ZstdCompressionParameters.from_level(5, window_log=16, min_match=4, strategy=zs.STRATEGY_LAZY2, write_content_size=False, write_dict_id=False, format=zs.FORMAT_ZSTD1_MAGICLESS)
+    # Optimal parsing: windows are short, so a lazy parser's slips can hide what one word of the dictionary saves.
+    how = zs.ZstdCompressionParameters.from_level(5, window_log=16, min_match=3, strategy=zs.STRATEGY_BTOPT, write_content_size=False, write_dict_id=False, format=zs.FORMAT_ZSTD1_MAGICLESS)
     words.precompute_compress(compression_params=how)
     return zs.ZstdCompressor(dict_data=words, compression_params=how)
 

@@ -1,11 +1,13 @@
 """Each operator against brute force, and on nulls, empty and long texts, ties, repeated rows, empty tables, clashing names."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -498,6 +500,20 @@ def test_toxicity_scores_against_the_model(spark):
         assert abs(g.toxicity - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-9, texts[g.doc_id][:40]
 
 
+def test_toxicity_finds_withheld_documents():
+    sf = "/root/testdata/sf0.1"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    rows = duckdb.sql(f"SELECT doc_id, text, toxic FROM '{sf}/documents.parquet' JOIN '{sf}/labels.parquet' USING (doc_id) WHERE toxic IS NOT NULL AND text IS NOT NULL ORDER BY doc_id").fetchall()
+    away = lambda r: zlib.crc32(str(r[0]).encode()) % 3 == 1
+    some = [[t[: toxicity.ROW_CHARS].encode() for i, t, y in rows if y == k and not away((i,))] for k in (1, 0)]
+    m = toxicity.train(*some, len(some[0]) / (len(some[0]) + len(some[1])))
+    x = toxicity._Scorer(m.ordinary, m.toxic).features([r[1].encode() for r in rows if away(r)])
+    told = 1 / (1 + np.exp(-np.c_[(x - m.centre) / m.spread, np.ones(len(x))] @ m.weights)) >= toxicity.THRESHOLD
+    y = np.array([r[2] == 1 for r in rows if away(r)])
+    assert told[y].mean() > 0.45 and told[~y].mean() < 0.02
+
+
 def test_toxicity_excerpts_spread_over_long_texts(spark):
     text = "".join(f"{i:06d} " for i in range(30_000))
     df = spark.createDataFrame([(1, text), (2, "short"), (3, None)], "i long, t string")
