@@ -378,7 +378,7 @@ def validate_results(spark, d):
 def validate_batch(spark, d):
     """Topics that a model gave turns, each with a word as evidence: which stand, which don't, and which are missing."""
     c, t = V.table(spark, d, "conversations"), F.col("turn")
-    word = F.element_at(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]{4,}"), F.lit(0)), 1)
+    word = F.get(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]{4,}"), F.lit(0)), F.lit(0))
     topic = F.when(t % 6 == 1, F.concat(word, F.lit(" finished"))).when(t % 6 == 2, "zzyzx plan").otherwise(F.concat(F.coalesce(word, F.lit("zzyzx")), F.lit(" project")))
     answers = c.where("turn % 6 <> 0").select("conv_id", t.alias("id"), t.alias("ord"), topic.alias("topic"), F.coalesce(word, F.lit("zzyzx")).alias("word"))
     late = answers.select("conv_id", "id", (F.col("ord") + 1000).alias("ord"), F.lit("later topic").alias("topic"), F.lit("later").alias("word"))
