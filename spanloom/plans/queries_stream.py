@@ -39,9 +39,9 @@ def _appended(spark, df, close=None):
     return spark.read.schema(df.schema).parquet(f"{path}/out")
 
 
-def _closing(spark, df, at, **keys):
+def _closing(spark, df, at, end=V.EPOCH_2024 + 4000 * 24 * HOUR, **keys):
     """df, and what adds a heartbeat to it, long after all other rows: it lets the watermark pass them, and is never out."""
-    path, end = scratch(spark), V.EPOCH_2024 + 4000 * 24 * HOUR
+    path = scratch(spark)
     spark.createDataFrame([], df.schema).write.parquet(path)
 
     def close():
@@ -52,7 +52,14 @@ def _closing(spark, df, at, **keys):
 
 
 #: The tables are in no order of time: rows wait for the whole of their month.
-WAIT, LONG_WAIT = "40 days", "3650 days"
+WAIT = "40 days"
+
+
+def _whole(rows, at):
+    """The delay and the heartbeat of a stream over rows in no order of time: all wait for the last one, however long the table lasts."""
+    low, high = rows.agg(F.min(at), F.max(at)).first()
+    span = 0 if low is None else high - low
+    return f"{span // SECOND + 1} seconds", (V.EPOCH_2024 if low is None else high) + span + 2 * SECOND
 
 
 def _replay(spark, rows):
@@ -96,8 +103,9 @@ def frame_cadence(spark, d):
     i = F.col("doc_id")
     at = V.EPOCH_2024 + (i % 100) * 10 * SECOND + F.floor(i / 100) * 259_200 * SECOND
     f = _stream(spark, d, "documents").select(i.alias("id"), (i % 4).alias("device"), at.alias("at_us"), F.col("lang").alias("context"), (F.col("n_chars") % 3).alias("digest"), (F.col("n_chars") / 100.0).alias("level"))
-    frames, close = _closing(spark, f, "at_us", device=-1)
-    return _appended(spark, T.frame_cadence(frames, ["device"], change=10.0, delay=LONG_WAIT), close)
+    delay, end = _whole(V.table(spark, d, "documents").select(at.alias("at_us")), "at_us")
+    frames, close = _closing(spark, f, "at_us", end, device=-1)
+    return _appended(spark, T.frame_cadence(frames, ["device"], change=10.0, delay=delay), close)
 
 
 @query(HEALTH + " SELECT id, device, CAST(windows AS BIGINT) AS windows, CAST(untitled AS BIGINT) AS untitled FROM h")
