@@ -55,8 +55,9 @@ def sessions(events: DataFrame, gap: str, delay: str = "1 hour", at: str = "at")
 class Ordered(StatefulProcessor):
     """One pass over a key's rows in time order, however they arrive within the watermark's delay.
 
-    Rows wait in a list state until the watermark has passed them, then are taken in order; between batches there is that
-    list, whose length the delay bounds, and a state of one row. Times are after 1970, where watermarks begin. step(state, row) gives the next state and a list of output
+    Rows wait in a list state until the watermark has passed them, then are taken in order; a row that comes after the
+    watermark under which its key's rows were last taken is late and dropped. Between batches there is that
+    list, whose length the delay bounds, that watermark, and a state of one row. Times are after 1970, where watermarks begin. step(state, row) gives the next state and a list of output
     rows; state is None at first. due(state) may name a moment at which, unless a row comes first, end(state) is asked for
     the next state and output; an event-time timer wakes the key for it.
     """
@@ -67,6 +68,7 @@ class Ordered(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.last = handle.getValueState("last", self.state)
+        self.passed = handle.getValueState("passed", "us LONG")
         self.waiting = handle.getListState("waiting", ", ".join(f"{n} {t}" for n, t in self.row))
 
     def _tuples(self, pdf: pd.DataFrame) -> list[tuple]:
@@ -78,8 +80,9 @@ class Ordered(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         at, low = [n for n, _ in self.row].index(self.order[0]), None
+        passed = self.passed.get()[0] if self.passed.exists() else None
         for pdf in rows:
-            told = self._tuples(pdf)
+            told = [r for r in self._tuples(pdf) if r[at] is not None and (passed is None or r[at] > passed)]
             if told:
                 self.waiting.appendList(told)
                 first = min(r[at] for r in told)
@@ -93,6 +96,7 @@ class Ordered(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
+        self.passed.update((passed,))
         names = [n for n, _ in self.row]
         kind, at = namedtuple("Row", names), names.index(self.order[0])
         places = [names.index(n) for n in self.order]
@@ -138,7 +142,8 @@ def _ordered(rows: DataFrame, keys: list[str], order: list[str], state: str, out
     for x in out.split(", "):
         schema = schema.add(*x.split())
     row = [(f.name, f.dataType.simpleString()) for f in rows.schema if f.name not in keys]
-    timed = rows.withColumn("__at", F.timestamp_micros(order[0])).withWatermark("__at", delay)
+    # The time of the watermark stays out of what goes to Python, where pandas has no moments beyond 2262.
+    timed = rows.withColumn("__at", F.timestamp_micros(order[0])).withWatermark("__at", delay).drop("__at")
     return timed.groupBy(*keys).transformWithStateInPandas(statefulProcessor=Ordered(state, row, order, columns, step, due, end), outputStructType=schema, outputMode="Append", timeMode="EventTime")
 
 

@@ -26,7 +26,7 @@ def test_turns_without_a_word(spark, tmp_path):
     assert len(got) == 60 and any("model_inference" in r for r in got)
 
 
-@pytest.mark.parametrize("starts", [(0, 13_000, 140_000)])
+@pytest.mark.parametrize("starts", [(0, 13_000, 140_000), (0, 3_080_000)])
 def test_frames_over_years(spark, tmp_path, starts):
     """A stream takes all rows of a table that lasts longer than any fixed delay, in no order of time, and beyond 2262 too."""
     ids = [i for a in starts for i in range(a, a + 12)]
