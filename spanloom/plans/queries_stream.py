@@ -115,7 +115,11 @@ def identity_health_stream(spark, d):
     window = F.when(k % 100 < 76 + F.col("device") * 3, "unattributed").otherwise("active")
     state = F.when(t.isin("view", "click", "purchase"), window).when(t == "signup", "idle").otherwise("locked")
     samples, close = _closing(spark, _events(spark, d).withColumn("state", state), "at_us", device=-1)
-    return _appended(spark, T.identity_samples(samples, delay=WAIT), close)
+    path = scratch(spark)
+    T.identity_samples(samples, f"{path}/out", f"{path}/checkpoint", delay=WAIT)
+    close()
+    T.identity_samples(samples, f"{path}/out", f"{path}/checkpoint", delay=WAIT)
+    return spark.read.schema("device long, id long, windows long, untitled long").parquet(f"{path}/out/*")
 
 
 @query(f"WITH {V.STRETCHES} SELECT device, day, context, start_us, end_us, us, parts FROM stretches")

@@ -6,12 +6,13 @@ from collections import namedtuple
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from spanloom.functions.time import SECOND
+from spanloom.sources.scratch import removed, written
 from spanloom.sources.workers import importable
 
 #: How late rows may come: they wait so long for those before them; later ones are dropped.
@@ -185,17 +186,39 @@ def frame_cadence(frames: DataFrame, keys: list[str], least_us: int = 20 * SECON
     return _ordered(frames.select(*keys, "id", "at_us", "context", "digest", "level"), keys, ["at_us", "id"], "at LONG, context STRING, digest LONG, level DOUBLE", "id long, at_us long", step, delay)
 
 
-def identity_samples(samples: DataFrame, recent: int = 60, delay: str = DELAY) -> DataFrame:
-    """Each sample (device, id, at_us, state) with the windows, and the untitled ones, among its device's last `recent`.
+def identity_samples(samples: DataFrame, path: str, checkpoint: str, recent: int = 60, delay: str = DELAY, lot: str = "5 minutes") -> None:
+    """Leaves at path each sample (device, id, at_us, state) that the watermark has passed, with the windows, and the untitled
+    ones, among its device's last `recent`. Takes all input that is there, then stops; a restart goes on.
 
-    The state is one string of the last samples: w for a titled window, u for an untitled one, - for anything else.
+    Samples wait in lots of time, by device, so no task has a device's history. Lots that a batch closes are counted each on
+    its own, after the states of the samples before: one string by lot, w for a titled window, u for an untitled one, - for
+    anything else. A device's last ones are kept by batch beside the output, so a batch that is repeated finds them again.
     """
-
-    def step(state, row):
-        told = ((state[0] if state else "") + {"active": "w", "unattributed": "u"}.get(row.state, "-"))[-recent:]
-        return (told,), [(row.id, len(told) - told.count("-"), told.count("u"))]
-
-    return _ordered(samples.select("device", "id", "at_us", "state"), ["device"], ["at_us", "id"], "seen STRING", "id long, windows long, untitled long", step, delay)
+    spark, few = samples.sparkSession, recent - 1
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    code = F.when(F.col("state") == "active", "w").when(F.col("state") == "unattributed", "u").otherwise("-")
+    timed = samples.select("device", F.timestamp_micros("at_us").alias("at"), F.struct("at_us", "id", code.alias("code")).alias("s")).withWatermark("at", delay)
+    lots = timed.groupBy("device", F.window("at", lot)).agg(F.collect_list("s").alias("rows")).select("device", F.unix_micros("window.start").alias("lot"), F.sort_array("rows").alias("rows"))
+    rolling, by_lot = Window.partitionBy("device", "lot").orderBy("place").rowsBetween(-few, 0), Window.partitionBy("device").orderBy("lot")
+    joined = lambda rows: F.array_join(F.transform(rows, lambda r: r.code), "")
+
+    def batch(df: DataFrame, n: int) -> None:
+        closed = written(df)
+        tails = closed.select("device", "lot", joined(F.slice("rows", F.greatest(F.lit(1), F.size("rows") - few + 1), few)).alias("tail"))
+        if n:
+            tails = tails.unionByName(spark.read.schema(tails.schema).parquet(f"{path}-tails/{n - 1}"))
+        # A lot has one sample at least, so the lots before it that matter are as few as the samples.
+        before = tails.withColumn("before", F.right(F.array_join(F.collect_list("tail").over(by_lot.rowsBetween(-few, -1)), ""), F.lit(few)))
+        before.groupBy("device").agg(F.max("lot").alias("lot"), F.max_by(F.right(F.concat("before", "tail"), F.lit(few)), "lot").alias("tail")).write.mode("overwrite").parquet(f"{path}-tails/{n}")
+        led = closed.join(before.select("device", "lot", "before"), ["device", "lot"])
+        none = F.transform(F.filter(F.split("before", ""), lambda x: x != ""), lambda x: F.struct(F.lit(None).cast("long").alias("at_us"), F.lit(None).cast("long").alias("id"), x.alias("code"), F.lit(False).alias("own")))
+        own = F.transform("rows", lambda r: F.struct(r.at_us.alias("at_us"), r.id.alias("id"), r.code.alias("code"), F.lit(True).alias("own")))
+        each = led.select("device", "lot", F.posexplode(F.concat(none, own)).alias("place", "s")).select("device", "lot", "place", "s.*")
+        told = each.withColumns({"windows": F.sum((F.col("code") != "-").cast("long")).over(rolling), "untitled": F.sum((F.col("code") == "u").cast("long")).over(rolling)}).where("own")
+        told.select("device", "id", "windows", "untitled").write.mode("overwrite").parquet(f"{path}/{n}")
+        removed(closed)
+
+    lots.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
 
 
 def context_sessions(parts: DataFrame, keys: list[str], gap_us: int = SECOND, delay: str = DELAY) -> DataFrame:
