@@ -48,15 +48,10 @@ def hamming_pairs(codes: DataFrame, most: int, bits: int = 64) -> DataFrame:
     An equi-join on choices of blocks (see block_choices) finds all: for 4 of 64 bits that is 70 keys of 32 bits, so that
     N codes at random make about N * N * 35 / 2^32 pairs to look at.
     """
-    mask = lambda width: (1 << width) - 1 if width < 64 else -1
-    keys = []
-    for n, chosen in enumerate(block_choices(most, bits)):
-        value, at = F.lit(0).cast("long"), 0
-        for first, width in chosen:
-            value = value.bitwiseOR(F.shiftleft(F.shiftrightunsigned("code", first).bitwiseAND(F.lit(mask(width)).cast("long")), at))
-            at += width
-        keys.append(F.struct(F.lit(n).alias("n"), value.alias("v")))
-    told = codes.select("id", "code", F.explode(F.array(*keys)).alias("k")).select("id", "code", "k.n", "k.v")
+    masks = [sum(((1 << width) - 1) << first for first, width in chosen) for chosen in block_choices(most, bits)]
+    # A choice's key is the code with all other bits cleared; as one list of masks it keeps plans small.
+    signed = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in masks])
+    told = codes.select("id", "code", F.posexplode(signed).alias("n", "m")).select("id", "code", "n", F.col("code").bitwiseAND(F.col("m")).alias("v"))
     other = told.select(F.col("id").alias("b"), F.col("code").alias("c2"), "n", "v")
     near = told.withColumnRenamed("id", "a").join(other, ["n", "v"]).where("a < b")
     return near.where(F.bit_count(F.col("code").bitwiseXOR(F.col("c2"))) <= most).select("a", "b").distinct()
